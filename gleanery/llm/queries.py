@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, secret_scan
 from .common import load
 
 QUERIES = {
+    "op2_secret_scan": lambda spark, sf: secret_scan.op2_secret_scan(load(spark, sf, "documents")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
 }
 ORACLES = {
+    "op2_secret_scan": secret_scan.OP2_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
 }
