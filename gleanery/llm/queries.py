@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, secret_scan
+from . import decontaminate, mixing, quality_rules, secret_scan
 from .common import load
 
 QUERIES = {
     "op2_secret_scan": lambda spark, sf: secret_scan.op2_secret_scan(load(spark, sf, "documents")),
+    "op6_mix": lambda spark, sf: mixing.op6_mix(load(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.OP2_SQL,
+    "op6_mix": mixing.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
 }
