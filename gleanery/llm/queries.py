@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, phrase_dedup, quality_rules, secret_scan, simhash
+from . import decontaminate, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import load
 
 QUERIES = {
     "op2_secret_scan": lambda spark, sf: secret_scan.op2_secret_scan(load(spark, sf, "documents")),
     "op3_simhash": lambda spark, sf: simhash.op3_simhash(load(spark, sf, "documents")),
     "op7_phrase_dedup": lambda spark, sf: phrase_dedup.op7_phrase_dedup(load(spark, sf, "documents")),
+    "op4_suffix_dedup": lambda spark, sf: suffix_dedup.op4_suffix_dedup(load(spark, sf, "documents")),
     "op6_mix": lambda spark, sf: mixing.op6_mix(load(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
