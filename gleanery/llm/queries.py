@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
+from . import decontaminate, line_dedup, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import load
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, sf: line_dedup.op1_line_dedup(load(spark, sf, "documents")),
     "op2_secret_scan": lambda spark, sf: secret_scan.op2_secret_scan(load(spark, sf, "documents")),
     "op3_simhash": lambda spark, sf: simhash.op3_simhash(load(spark, sf, "documents")),
     "op7_phrase_dedup": lambda spark, sf: phrase_dedup.op7_phrase_dedup(load(spark, sf, "documents")),
