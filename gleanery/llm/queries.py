@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
+from . import decontaminate, language_id, line_dedup, lm_score, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import load
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_phrase_dedup": lambda spark, sf: phrase_dedup.op7_phrase_dedup(load(spark, sf, "documents")),
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.op4_suffix_dedup(load(spark, sf, "documents")),
     "op5_language_id": lambda spark, sf: language_id.op5_language_id(load(spark, sf, "pages"), load(spark, sf, "documents")),
+    "op10_lm_score": lambda spark, sf: lm_score.op10_lm_score(load(spark, sf, "documents")),
     "op6_mix": lambda spark, sf: mixing.op6_mix(load(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
