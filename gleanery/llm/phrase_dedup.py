@@ -4,7 +4,7 @@ A word goes if it is covered by a window of ``WINDOW`` words whose sequence
 also starts anywhere else.  Each window is anchored at one phrase of ``PHRASE``
 words (anchors.py).  Phrases that anchor windows in two places or more are
 mined by a grouped count and dealt to the blocks of documents that hold them.
-Each block compiles its phrases to an Aho-Corasick automaton over word codes
+Each block compiles its phrases to an Aho-Corasick automaton over letters of the words' hashes
 and streams its documents through it; windows anchored at a located phrase are
 then confirmed exactly: by a 128-bit hash, counted once a block, over all
 blocks.  Documents are dealt to blocks of about ``BLOCK_MB``, by a hash, once.
@@ -27,8 +27,9 @@ from .anchors import gram_hashes, mixed, pieces, window_anchors, window_starts
 from .common import block_count, checkpoint
 
 WINDOW = 35
-PHRASE = 12
-BLOCK_MB = 16
+PHRASE = 8
+BLOCK_MB = 8
+LETTERS = 3
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,8 +59,10 @@ class _Texts:
             shift = np.array([self.begins[d] + b for d, b, _ in batch]) - offsets
             yield units, shift, offsets, at, first, last, grams
 
-    def codes(self, begin: int, n: int) -> tuple:
-        return tuple((self.hashes[begin : begin + n] & np.uint64(0xFFFFFFFF)).tolist())
+    def letters(self, begin: int, n: int) -> tuple:
+        """``LETTERS`` letters for each word, one byte of its hash each, tagged by place: few children for each node of an automaton."""
+        h = self.hashes[begin : begin + n].astype(np.int64)
+        return tuple(np.stack([(k << 8) + ((h >> 8 * k) & 255) for k in range(LETTERS)], axis=1).ravel().tolist())
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -102,14 +105,14 @@ def locate(blocked: DataFrame, phrases: DataFrame, window: int, phrase: int) ->
             for p, a in zip((at + shift[np.searchsorted(offsets, at, side="right") - 1])[wanted[k] == g].tolist(), g[wanted[k] == g].tolist()):
                 if a not in known:
                     known.add(a)
-                    automaton.add_word(texts.codes(p, phrase), 1)
+                    automaton.add_word(texts.letters(p, phrase), 1)
         located = np.zeros(len(texts.hashes) + 1, dtype=bool)
         if known:
             automaton.make_automaton()
             for begin, n in zip(texts.begins.tolist(), texts.lengths):
                 for cut in range(0, n, 1 << 20):
-                    ends = [end for end, _ in automaton.iter(texts.codes(begin + cut, min(n - cut, (1 << 20) + phrase - 1)))]
-                    located[np.array(ends, dtype=np.int64) + (begin + cut - phrase + 1)] = True
+                    ends = np.array([end for end, _ in automaton.iter(texts.letters(begin + cut, min(n - cut, (1 << 20) + phrase - 1)))], dtype=np.int64)
+                    located[ends // LETTERS + (begin + cut - phrase + 1)] = True
         found = []
         for units, shift, offsets, at, first, last, _ in texts.parts() if known else ():
             hit = located[at + shift[np.searchsorted(offsets, at, side="right") - 1]]
