@@ -34,6 +34,8 @@ def _spelled(pattern: str, space: str, bound: str) -> str:
 
 
 def java(pattern: str) -> str:
+    for script in ("Greek", "Hebrew"):
+        pattern = pattern.replace(rf"\p{{{script}}}", rf"\p{{Is{script}}}")
     return _spelled(pattern, _JAVA_SPACE, _JAVA_BOUND)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
@@ -83,19 +83,23 @@ def demoted(text: Column | str) -> Column:
     return reduce(lambda a, b: a | b, demotions(text).values())
 
 
-def prose_type(text: Column | str) -> Column:
-    """argument, method or objection, or null; ``text`` is collapsed to one line first."""
-    clean = one_line(text)
+def prose_type(clean: Column, claims: Column, noise: Column) -> Column:
+    """argument, method or objection, or null, of a text collapsed to one line, its claims, and whether it is noise."""
     size = F.length(clean)
-    silent = demoted(clean) & (claim_count(clean) == 0)
     short = F.when(has(clean, lx.ARGUMENT_AGENT), "argument").when(has(clean, lx.METHOD_AGENT), "method")
     long = (
         F.when(has(clean, lx.OBJECTION_CUE), "objection")
         .when(has(clean, lx.ARGUMENT_AGENT), "argument")
         .when(has(clean, lx.METHOD_CUE) | has(clean, lx.BOUNDARY_CUE), "method")
-        .when((claim_count(clean) > 0) | has(clean, lx.ARGUMENT_CUE), "argument")
+        .when((claims > 0) | has(clean, lx.ARGUMENT_CUE), "argument")
     )
-    return F.when((size < lx.SHORT_PROSE) | (size > lx.LONG_PROSE), F.lit(None)).when(silent, F.lit(None)).when(size < lx.PROSE, short).otherwise(long)
+    return F.when(~size.between(lx.SHORT_PROSE, lx.LONG_PROSE), F.lit(None)).when(noise & (claims == 0), F.lit(None)).when(size < lx.PROSE, short).otherwise(long)
+
+
+def typed(df: DataFrame, text: str, out: str = "type") -> DataFrame:
+    """``df`` with the prose type of a column; step by step, so that nothing is computed twice."""
+    df = df.withColumn("_clean", one_line(text)).withColumn("_claims", claim_count("_clean")).withColumn("_noise", demoted("_clean"))
+    return df.withColumn(out, prose_type(F.col("_clean"), F.col("_claims"), F.col("_noise"))).drop("_clean", "_claims", "_noise")
 
 
 def prose_title(text: Column | str) -> Column:
@@ -113,24 +117,19 @@ def prose_title(text: Column | str) -> Column:
     return cut_at_word(F.when(title == "", clean).otherwise(title), 120)
 
 
-def definition(line: Column | str) -> Column:
-    """struct(title, summary) of an English definition line, or null."""
-    line = col(line)
+def with_definition(df: DataFrame, line: str, out: str = "definition") -> DataFrame:
+    """``df`` with struct(title, summary) of an English definition line, or null."""
     strip = lambda x: one_line(F.regexp_replace(x, "\\A[\"“”'‘’]+|[\"“”'‘’]+\\z", ""))
     ended = lambda x: one_line(F.regexp_replace(one_line(x), java(r"[.!?]\s*\z"), ""))
-
-    def subject(t: Column) -> Column:
-        words = F.size(F.split(t, " "))
-        return F.length(t).between(2, 80) & ~has(t, lx.SUBJECT_STOP) & ~has(t, lx.SUBJECT_VERB) & ~t.rlike(r"[,;:()\[\]{}]") & (words <= 6)
-
-    defined = has(line, lx.DEFINED_AS)
-    explicit = defined | has(line, lx.REFERS_TO)
-    e_title = strip(F.when(defined, group(line, lx.DEFINED_AS, 1)).otherwise(group(line, lx.REFERS_TO, 1)))
-    e_body = ended(F.when(defined, group(line, lx.DEFINED_AS, 2)).otherwise(group(line, lx.REFERS_TO, 2)))
-    i_title, i_body = strip(group(line, lx.IS_A, 1)), ended(group(line, lx.IS_A, 2))
-    predicate = F.length(i_body).between(8, 260) & (has(i_body, lx.PREDICATE_NOUN) | has(i_body, r"\b[A-Za-z0-9_]+-[A-Za-z0-9_]+\b"))
-    found = lambda t, b: F.struct(t.alias("title"), b.alias("summary"))
-    return F.when(explicit, F.when(subject(e_title) & (F.length(e_body) >= 8), found(e_title, e_body))).when(has(line, lx.IS_A) & subject(i_title) & predicate, found(i_title, i_body))
+    text = F.col(line)
+    form = F.when(has(text, lx.DEFINED_AS), 1).when(has(text, lx.REFERS_TO), 2).when(has(text, lx.IS_A), 3)
+    part = lambda n: F.when(F.col("_form") == 1, group(text, lx.DEFINED_AS, n)).when(F.col("_form") == 2, group(text, lx.REFERS_TO, n)).when(F.col("_form") == 3, group(text, lx.IS_A, n))
+    df = df.withColumn("_form", form).withColumn("_title", strip(part(1))).withColumn("_body", ended(part(2)))
+    title, body = F.col("_title"), F.col("_body")
+    subject = F.length(title).between(2, 80) & ~has(title, lx.SUBJECT_STOP) & ~has(title, lx.SUBJECT_VERB) & ~title.rlike(r"[,;:()\[\]{}]") & (F.size(F.split(title, " ")) <= 6)
+    predicate = F.length(body).between(8, 260) & (has(body, lx.PREDICATE_NOUN) | has(body, r"\b[A-Za-z0-9_]+-[A-Za-z0-9_]+\b"))
+    fits = subject & F.when(F.col("_form") == 3, predicate).otherwise(F.length(body) >= 8)
+    return df.withColumn(out, F.when(fits, F.struct(title.alias("title"), body.alias("summary")))).drop("_form", "_title", "_body")
 
 
 def quotation(line: Column | str) -> Column:
@@ -159,15 +158,16 @@ def is_token(t: Column) -> Column:
     return ~t.rlike(r"\A(?:[0-9]*|[a-z])\z") & ~t.isin(lx.STOP_WORDS)
 
 
-def original_terms(text: Column | str) -> Column:
-    """Method terms, Greek and Hebrew runs, abbreviations, technical hyphenations: unique without case, at most twelve."""
-    text = col(text)
-    fixed = F.array_compact(F.array(*[F.when(has(text, rf"(?i)\b{t}\b"), F.lit(t)) for t in lx.METHOD_TERMS]))
-    runs = F.concat(*[F.regexp_extract_all(text, F.lit(java(p)), F.lit(0)) for p in (lx.GREEK, lx.HEBREW, lx.ABBREVIATION)])
-    hyphens = F.filter(F.regexp_extract_all(text, F.lit(java(lx.HYPHEN_TERM)), F.lit(0)), _technical)
-    clean = F.filter(F.concat(fixed, runs, hyphens), lambda t: F.length(t).between(2, 80) & ~t.isin(lx.NOISY_ABBREVIATIONS))
-    first = F.filter(clean, lambda t, i: F.array_position(F.transform(clean, F.lower), F.lower(t)) == i + 1)
-    return F.slice(first, 1, lx.MAX_TERMS)
+def with_terms(df: DataFrame, text: Column | str, out: str = "terms") -> DataFrame:
+    """``df`` with method terms, Greek and Hebrew runs, abbreviations and technical hyphenations of a text: unique without case, at most twelve."""
+    df = df.withColumn("_t", col(text))
+    fixed = F.array_compact(F.array(*[F.when(has(F.col("_t"), rf"(?i)\b{t}\b"), F.lit(t)) for t in lx.METHOD_TERMS]))
+    runs = [F.regexp_extract_all("_t", F.lit(java(p)), F.lit(0)) for p in (lx.GREEK, lx.HEBREW, lx.ABBREVIATION)]
+    hyphens = F.filter(F.regexp_extract_all("_t", F.lit(java(lx.HYPHEN_TERM)), F.lit(0)), _technical)
+    df = df.withColumn("_all", F.filter(F.concat(fixed, *runs, hyphens), lambda t: F.length(t).between(2, 80) & ~t.isin(lx.NOISY_ABBREVIATIONS)))
+    df = df.withColumn("_low", F.transform("_all", F.lower))
+    first = F.filter("_all", lambda t, i: F.array_position("_low", F.lower(t)) == i + 1)
+    return df.withColumn(out, F.slice(first, 1, lx.MAX_TERMS)).drop("_t", "_all", "_low")
 
 
 def _technical(term: Column) -> Column:
@@ -200,22 +200,23 @@ def lines_of(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(text), "\r?\n"), trimmed), lambda x: x != "")
 
 
-def structural_reason(type_: Column, title: Column, summary: Column, evidence: Column) -> Column:
-    """The first rule that makes a candidate structure instead of knowledge, or null."""
-    title = trimmed(F.coalesce(title, F.lit("")))
+def with_structural_reason(df: DataFrame, type_: str, title: str, summary: Column, evidence: Column, out: str = "reason") -> DataFrame:
+    """``df`` with the first rule that makes a candidate structure instead of knowledge, or null."""
     body = F.array_join(F.filter(F.array(F.coalesce(summary, F.lit("")), F.coalesce(evidence, F.lit(""))), lambda x: x != ""), "\n")
-    combined = F.array_join(F.filter(F.array(title, body), lambda x: x != ""), "\n")
-    silent = claim_count(combined) == 0
-    shown = F.when(body == "", title).otherwise(body)
-    section = has(title, lx.SECTION_MARKER) | has(F.coalesce(F.get(lines_of(body), F.lit(0)), F.lit("")), lx.SECTION_MARKER)
-    caps = F.slice(lines_of(body), 1, 4)
-    names = F.size(caps) > 0
-    names = names & F.forall(caps, lambda x: has(x, lx.CAPS_NAMES))
-    return (
-        F.when(silent & demoted(combined), "demoted")
-        .when(silent & has(combined, lx.CITATION), "citation")
-        .when(silent & (type_ == "quotation") & F.length(compact(title)).between(1, 31) & short_labels(shown), "short_quotation")
-        .when(silent & (type_ == "quotation"), "quotation_only")
-        .when(silent & section & short_labels(shown), "section_marker")
-        .when(silent & (type_ != "quotation") & person_name(title) & (names | near_duplicate(title, body) | short_labels(body)), "person_name")
+    df = df.withColumn("_title", trimmed(F.coalesce(F.col(title), F.lit("")))).withColumn("_body", body)
+    df = df.withColumn("_all", F.array_join(F.filter(F.array("_title", "_body"), lambda x: x != ""), "\n"))
+    df = df.withColumn("_silent", claim_count("_all") == 0).withColumn("_noise", demoted("_all")).withColumn("_lines", lines_of("_body"))
+    df = df.withColumn("_labels", short_labels(F.when(F.col("_body") == "", F.col("_title")).otherwise(F.col("_body")))).withColumn("_person", person_name("_title"))
+    head = F.coalesce(F.get("_lines", F.lit(0)), F.lit(""))
+    caps = (F.size("_lines") > 0) & F.forall(F.slice("_lines", 1, 4), lambda x: has(x, lx.CAPS_NAMES))
+    quoted, silent = F.col(type_) == "quotation", F.col("_silent")
+    alike = caps | near_duplicate(F.col("_title"), F.col("_body")) | short_labels("_body")
+    reason = (
+        F.when(silent & F.col("_noise"), "demoted")
+        .when(silent & has(F.col("_all"), lx.CITATION), "citation")
+        .when(silent & quoted & F.length(compact("_title")).between(1, 31) & F.col("_labels"), "short_quotation")
+        .when(silent & quoted, "quotation_only")
+        .when(silent & (has(F.col("_title"), lx.SECTION_MARKER) | has(head, lx.SECTION_MARKER)) & F.col("_labels"), "section_marker")
+        .when(silent & ~quoted & F.col("_person") & alike, "person_name")
     )
+    return df.withColumn(out, reason).drop("_title", "_body", "_all", "_silent", "_noise", "_lines", "_labels", "_person")

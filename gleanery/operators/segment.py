@@ -175,7 +175,7 @@ def outline(outlines: DataFrame) -> DataFrame:
         last = {0: r"\A#{1,6}\s+(.+)\z", 1: r"\A제\s*\d+\s*[장절항]\s*(.*)\z", 2: r"\A\d+(?:\.\d+)*[.)]?\s+(.+)\z", 3: r"\A[-*+•]\s+(.+)\z"}[[r[0] for r in rules].index(pattern)]
         level, label = F.when(hit, at).otherwise(level), F.when(hit, name).otherwise(label)
         title = F.when(hit, F.regexp_extract(body, last, 1)).otherwise(title)
-    nodes = lines(outlines).where(tx.trimmed(line) != "").select("source_id", "ln", level.alias("level"), label.alias("label"), title.alias("title"))
+    nodes = lines(outlines).where(tx.trimmed(line) != "").select("source_id", "ln", F.least(level, F.lit(9)).cast("int").alias("level"), label.alias("label"), title.alias("title"))
     nodes = nodes.withColumn("ord", F.row_number().over(_order())).withColumn("title", F.when(F.col("title") == "", F.col("label")).otherwise(F.col("title")))
     levels = F.array(*[F.struct(F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1)).alias("o"), F.lit(k).alias("k")) for k in range(1, 9)])
     nodes = nodes.withColumn("open", levels)

@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from . import segments
+from . import candidates, segments
 
-PARTS = [segments]
+PARTS = [segments, candidates]

@@ -31,7 +31,7 @@ def demotion_flags(spark, sf_dir):
 
 def prose_type_counts(spark, sf_dir):
     docs = cue_docs(spark, sf_dir)
-    typed = docs.select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", tx.prose_type("line").alias("type"))
+    typed = tx.typed(docs.select("lang", F.explode(F.split("text", "\n")).alias("line")), "line")
     return typed.groupBy("lang", F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -123,4 +123,11 @@ ORACLES = {
       h as (select p.source_id, p.ln, h.ln as hl, h.level, h.title from p join l h on h.source_id = p.source_id and h.ln < p.ln and h.level is not null
         where not exists (select 1 from l o where o.source_id = h.source_id and o.ln > h.ln and o.ln < p.ln and o.level <= h.level))
       select p.source_id, begin, stop, coalesce(path, '') as path from p left join (select source_id, ln, string_agg(title, ' > ' order by hl) as path from h group by 1, 2) g using (source_id, ln)""",
+    "outline_tree": f"""with {q.with_views('md_docs')}, l as (select source_id, ln, {q.trimmed('line')} as t, length(replace(regexp_extract(line, '^([ \\t]*)', 1), chr(9), '  ')) as depth from {q.lines('md_docs')} x where {q.trimmed('line')} <> ''),
+      n as (select source_id, row_number() over (partition by source_id order by ln) as ord,
+        least(9, case when regexp_matches(t, '^#{{1,6}}\\s+.+$') then length(regexp_extract(t, '^(#{{1,6}})', 1)) when regexp_matches(t, '^제\\s*\\d+\\s*장') then 1 when regexp_matches(t, '^제\\s*\\d+\\s*절') then 2 when regexp_matches(t, '^제\\s*\\d+\\s*항') then 3
+          when regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+.+$') then len(string_split(regexp_extract(t, '^(\\d+(\\.\\d+)*)', 1), '.')) else cast(floor(depth / 2) as int) + 1 end) as level,
+        case when regexp_matches(t, '^#{{1,6}}\\s+.+$') then regexp_extract(t, '^#{{1,6}}\\s+(.+)$', 1) when regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+.+$') then regexp_extract(t, '^\\d+(\\.\\d+)*[.)]?\\s+(.+)$', 1)
+          when regexp_matches(t, '^[-*+•]\\s+.+$') then regexp_extract(t, '^[-*+•]\\s+(.+)$', 1) else t end as title from l)
+      select source_id, concat('n', ord) as node_id, level, coalesce('n' || cast((select max(p.ord) from n p where p.source_id = n.source_id and p.ord < n.ord and p.level < n.level) as varchar), '') as parent, md5(title) as title_md5 from n""",
 }
