@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Units worked on at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -6,7 +6,7 @@ anywhere else.  Windows of that length are anchored at a gram of ``GRAM`` bytes
 twice are repeated whole.  Contexts met once whose anchor recurs are dealt, with
 one copy of each repeated context of that anchor, to shards by anchor, where the
 suffixes at their window starts are sorted as far as ``LENGTH`` bytes: initial
-buckets by ``Q``-byte grams are refined by sorting on the bucket identifiers at
+buckets by (a 64-bit hash of) ``Q``-byte grams are refined by sorting on the bucket identifiers at
 later offsets, each round reusing the last one's updates at twice the depth.
 Windows that end in one bucket are equal.  Only grams that recur reach that sort.
 
@@ -33,11 +33,11 @@ from .common import block_count, checkpoint
 
 LENGTH = 400
 GRAM = 24
-Q = 8
+Q = 50
 HOT = 20_000
-BLOCK_MB = 16
+BLOCK_MB = 8
 #: Bytes of contexts sorted at a time.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 #: What is known of a context: repeated, to be sorted, to be compared by hashes.
 REPEATED, SORTED, HASHED = 0, 1, 2
@@ -155,11 +155,9 @@ def equal_suffixes(text: np.ndarray, depth: int, q: int = Q) -> np.ndarray:
 
     Buckets are numbered by where they begin in the order of the suffixes.  Positions alone in a bucket are sorted and leave the work.
     """
-    n = len(text)
-    padded = np.r_[text.astype(np.uint64), np.zeros(depth, np.uint64)]
-    gram = np.zeros(n, np.uint64)
-    for k in range(q):
-        gram = (gram << np.uint64(8)) | padded[k : k + n]
+    n, q = len(text), min(q, depth)
+    padded = np.r_[text.astype(np.uint64) + np.uint64(1), np.zeros(q - 1, np.uint64)]
+    gram = gram_hashes(mixed(padded), q) if n else padded
     order = np.argsort(gram, kind="stable")
     bucket = _numbered(gram[order], order, np.zeros(n, np.int64))
     reach = q
