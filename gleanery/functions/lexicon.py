@@ -88,3 +88,16 @@ CONCEPT_WORDS = (
 SHORT_PROSE, PROSE, LONG_PROSE = 35, 80, 900
 CHUNK_CHARS, BATCH_CHUNKS, EVIDENCE_CHARS, CONTEXT_LINE = 1800, 8, 900, 260
 QUOTE_CHARS, MAX_TERMS, MAX_REFS, TOP_CARDS, CARD_CHUNKS = 600, 12, 12, 8, 4
+
+# ---- fixed values: one-hop synonyms of a token ----
+SYNONYMS = {
+    "typology": "모형론 예표론", "hermeneutic": "해석학 hermeneutics", "hermeneutics": "해석학 hermeneutic", "allusion": "암시 인유", "intertextuality": "상호텍스트성 intertextual",
+    "intertextual": "상호텍스트성 intertextuality", "exile": "유배 포로", "covenant": "계약 언약", "kingdom": "나라 왕국", "passion": "수난", "psalm": "시편", "paul": "바오로 pauline",
+    "pauline": "paul 바오로", "parrhesia": "παρρησία παρρησια 파레시아 boldness frankness", "boldness": "parrhesia παρρησία 파레시아 담대함", "frankness": "parrhesia παρρησία 파레시아 솔직함",
+    "cor": "corinthians 코린 코린토 고린토 고린 1코린 2코린", "corinthians": "cor 코린 코린토 고린토 고린 1코린 2코린", "gal": "galatians 갈라 갈라티아", "galatians": "gal 갈라 갈라티아",
+    "acts": "사도 사도행전", "heb": "hebrews 히브 히브리", "hebrews": "heb 히브 히브리", "john": "요한", "mark": "마르 마르코", "해석학": "hermeneutic hermeneutics", "모형론": "typology",
+    "예표론": "typology", "상호텍스트성": "intertextuality intertextual", "유배": "exile", "계약": "covenant", "언약": "covenant", "수난": "passion", "시편": "psalm", "바오로": "paul pauline",
+}
+
+# ---- fixed values: thresholds of matching and scoring ----
+SIM_UPDATE, SIM_LINK, IGNORE_TOTAL, OUTLINE_LEAST = 0.5, 0.2, 1, 0.18

@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from . import candidates, segments
+from . import candidates, matching, segments
 
-PARTS = [segments, candidates]
+PARTS = [segments, candidates, matching]
