@@ -103,7 +103,9 @@ def keep(docs: DataFrame, policy: Policy = STRICT, id_col: str = "doc_id", text_
     """The rows of ``docs`` that pass, with their columns. Judged in place, without a join."""
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     judged = ledger(packed.select(F.col("row").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text")))
-    return apply_policy(judged, policy).where("kept").select("doc_id.*")
+    # a filter on ``kept`` itself would be moved below the measurements, with all of them written out in it; one behind a generator isn't
+    passed = apply_policy(judged, policy).select(F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    return passed.where("row is not null").select("row.*")
 
 
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
