@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from . import candidates, matching, segments
+from . import candidates, knowledge, matching, segments
 
-PARTS = [segments, candidates, matching]
+PARTS = [segments, candidates, matching, knowledge]
