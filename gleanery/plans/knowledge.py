@@ -241,7 +241,7 @@ ORACLES = {
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",
     "topn_cards": f"{mtp._SCORED} select candidate_id, action, total from (select sg.*, c1.source_id from sg join c1 using (candidate_id)) x order by total desc, case action when 'create_new' then 0 when 'update_existing' then 1 when 'link_only' then 2 else 3 end, source_id, candidate_id limit 8",
     "decision_carry": f"{_C} select candidate_id, cand.source_id, coalesce(d.decision, 'pending') as decision from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
-    "claim_reviews": f"{_C} select candidate_id, md5(case when d.decision = 'approved' then concat('reviewed: ', title) else title end) as statement_md5 from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
+    "claim_reviews": f"{_C} select candidate_id, md5(case when d.decision = 'approved' then {q.trimmed("concat('reviewed: ', title)")} else title end) as statement_md5 from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
     "candidate_lineage": f"{_C} select concat(source_id, '-unclassified') as entry_id, candidate_id from cand",
     "markdown_roundtrip": f"{_C} select concat(source_id, '-unclassified') as id, count(*) as n_claims, true as same from cand group by 1",
     "entry_upsert": "select cast(item_id as varchar) as id, 'old' as origin from benchmark where cast(item_id as varchar) not in (select cast(doc_id as varchar) from documents) union all select cast(doc_id as varchar), 'new' from documents",
