@@ -33,7 +33,9 @@ TAU = 2
 MIN_CHARS = 32
 STEP = 16
 TILE = 128
-_BLOCK = 16
+_BLOCK = 32
+#: Bits of the filters that keep rows without a partner from being shuffled: 8 for each key, up to 2^26 (16 MB of rows).
+_LEAST_BITS, _MOST_BITS = 20, 26
 _ENDS = " \t\r\x0b\x0c"
 
 
@@ -70,9 +72,19 @@ def _segment_keys(tau: int) -> Column:
 
 
 def _same_ends() -> tuple[Column, Column]:
-    """Blocks of a line from its begin, and from its end (reversed)."""
-    rx = F.lit("(?s).{1,%d}" % _BLOCK)
-    return F.regexp_extract_all("line", rx, F.lit(0)), F.regexp_extract_all(F.reverse("line"), rx, F.lit(0))
+    """Hashes of a line's blocks from its begin, and from its end (reversed)."""
+    blocks = lambda c: F.transform(F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)), lambda b: F.xxhash64(b))
+    return blocks(F.col("line")), blocks(F.reverse("line"))
+
+
+def _may_be_in(rows: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """``rows`` whose ``column`` may be among ``keys``: all that are, and few others. The bits are broadcast; their number is bounded, and a full filter only lets more rows pass."""
+    bits = min(max(_LEAST_BITS, (8 * n_keys).bit_length()), _MOST_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    filled = keys.groupBy(word(F.col(column)).alias("bit_word")).agg(F.bit_or(bit(F.col(column))).alias("bits"))
+    met = rows.join(F.broadcast(filled), word(F.col(column)) == F.col("bit_word"))
+    return met.where(F.col("bits").bitwiseAND(bit(F.col(column))) != 0).drop("bit_word", "bits")
 
 
 def _verified(tau: int) -> str:
@@ -107,7 +119,7 @@ def _verified(tau: int) -> str:
 
 def within(pairs: DataFrame, tau: int = TAU) -> DataFrame:
     """The rows of ``pairs`` (structs x, y with ``line``, ``n``, ``head``, ``tail``) whose lines are within ``tau`` edits."""
-    return pairs.where(F.expr(_verified(tau)))
+    return pairs.where(F.expr(f"abs(x.n - y.n) <= {tau} and {_verified(tau)}"))
 
 
 def prepared(texts: DataFrame) -> DataFrame:
@@ -115,15 +127,15 @@ def prepared(texts: DataFrame) -> DataFrame:
     return texts.select("*", F.length("line").alias("n"), head.alias("head"), tail.alias("tail"))
 
 
-def near_links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): links between different lines (lid, line) that connect all lines within ``tau`` edits."""
-    keyed = distinct.where(F.length("line") >= MIN_CHARS).select("lid", F.explode(_segment_keys(tau)).alias("e")).select("lid", "e.k", "e.index")
-    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index")).where("least <> most and index").select("k")
-    members = checkpoint(keyed.join(shared, "k").groupBy("k", "lid").agg(F.max("index").alias("index")))
-    sizes = members.groupBy("k").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    texts = distinct.join(members.select("lid").distinct(), "lid")
-    dealt = members.join(sizes, "k").select("k", "lid", "index", "tiles", F.pmod(F.xxhash64("lid"), "tiles").cast("int").alias("tile"))
-    rows = checkpoint(dealt.join(prepared(texts), "lid"))
+def near_links(texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): links between different lines (lid, line; repeats may come) that connect all lines within ``tau`` edits."""
+    keyed = texts.where(F.length("line") >= MIN_CHARS).select("lid", F.explode(_segment_keys(tau)).alias("e")).select("lid", "e.k", "e.index")
+    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    shared = checkpoint(shared.where("least <> most and index").select("k", "tiles"))
+    members = _may_be_in(keyed, "k", shared, shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
+    members = checkpoint(members.withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int")))
+    texts = _may_be_in(texts, "lid", members, members.count()).dropDuplicates(["lid"])
+    rows = prepared(checkpoint(texts.join(members, "lid").select("k", "lid", "index", "tiles", "tile", "line")))
 
     one = F.struct("lid", "line", "n", "head", "tail")
     order = Window.partitionBy("k", "tile").orderBy("line")
@@ -135,9 +147,10 @@ def near_links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
     one = F.struct("lid", "line", "n", "head", "tail", "root")
     spread = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     index = rows.where("index").select("k", F.col("tile").alias("i"), spread.alias("j"), one.alias("x"))
-    probe = rows.select(F.col("k").alias("pk"), spread.alias("pi"), F.col("tile").alias("pj"), one.alias("y"))
+    probe = rows.select(F.col("k").alias("pk"), spread.alias("pi"), F.col("tile").alias("pj"), one.alias("y"), F.col("index").alias("both"))
     same = (F.col("k") == F.col("pk")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
-    pairs = index.join(probe, same & F.expr(f"x.root <> y.root and {_verified(tau)}"))
+    # two indexed lines meet twice: one of the meetings is enough
+    pairs = index.join(probe, same & F.expr(f"abs(x.n - y.n) <= {tau} and (not both or x.lid < y.lid) and x.root <> y.root and {_verified(tau)}"))
     return first.unionByName(pairs.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))).unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
@@ -147,7 +160,7 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", tex
     placed = checkpoint(split.select("key", "doc_id", "ln", "lid"))
     at = F.struct(F.col("doc_id").isNull(), "doc_id", "ln", "key").alias("at")
     firsts = checkpoint(placed.select("lid", at).groupBy("lid").agg(F.min(F.struct("at", "lid")).alias("first"), F.count("*").alias("n")))
-    classes = components(near_links(split.select("lid", "line").dropDuplicates(["lid"]), tau)).withColumnRenamed("node", "lid")
+    classes = components(near_links(split.select("lid", "line"), tau)).withColumnRenamed("node", "lid")
     rooted = firsts.join(classes, "lid", "left").where("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
     judged = rooted.select("lid", "root").join(leads, "root").select("lid", F.col("lead.at").alias("lead"), (F.col("lead.lid") != F.col("lid")).alias("near"))
