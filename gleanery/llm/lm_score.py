@@ -5,18 +5,26 @@ embeddings of ``SIDE`` tokens before and after, one tanh layer, and a softmax in
 two steps (class of the token, then the token in its class).  The score of a
 document is the sum of its tokens' conditional log-probabilities.
 
-Word counts over all documents give the vocabulary.  Training is local descent
+Word counts over all documents give the vocabulary: the most frequent words have
+tokens of their own, and their number grows with the square root of the distinct
+words, as do the buckets that the others share and the classes.  The probability
+of a word in a bucket is the bucket's times the word's share of it, from its count
+over all documents, so every distinct word has its own.
+
+Training is local descent
 with averaging: in each round every task trains a copy on all its documents,
 each position in one round, and the copies are averaged, weighted by their
 tokens, in sums of integers, so that reruns over the same input splits agree.
-A task hands on one model, whatever it reads.
+A task hands on one model, whose size follows the vocabulary.
 
 Cases: null and empty texts have no tokens and score 0; repeated rows each give
 their row; the model of an empty table is its initial one, and scores no rows.
+Rows meet the shares of their words by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -24,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import checkpoint, words
 
-#: Frequent words with a token of their own, and shared tokens of all others.
+#: Frequent words with a token of their own, and shared tokens of all others, at least; the latter are one for ``TOP_WORDS // OTHERS`` of the former.
 TOP_WORDS, OTHERS = 960, 64
+#: So many tokens of their own for each square root of the distinct words.
+ROOTS = 2
+#: Classes at least; a power of two whose square holds all tokens.
 CLASSES = 32
 DIM, HIDDEN, SIDE = 16, 16, 2
 ROUNDS = 2
@@ -36,18 +47,47 @@ RATE = 0.5
 _SCALE = 1 << 24
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", top: int = TOP_WORDS) -> list[str]:
-    """The most frequent words of all documents, ties by the word: a bounded list."""
-    counts = docs.select(F.explode(words(text_col)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n): all words of all documents."""
+    return docs.select(F.explode(words(text_col)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def vocabulary_size(distinct: int) -> int:
+    return max(TOP_WORDS, math.ceil(ROOTS * math.sqrt(distinct)))
+
+
+def most_frequent(counts: DataFrame, top: int) -> list[str]:
     return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(top).collect()]
 
 
+def vocabulary(docs: DataFrame, text_col: str = "text", top: int = TOP_WORDS) -> list[str]:
+    """The most frequent words of all documents, ties by the word."""
+    return most_frequent(word_counts(docs, text_col), top)
+
+
+def _named(docs: DataFrame, vocab: list[str]) -> DataFrame:
+    return F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocab], "w string"))
+
+
+def bucket_shares(counts: DataFrame, vocab: list[str]) -> DataFrame:
+    """(w, nats): for every word outside the vocabulary the logarithm of its share of its bucket, times ``_SCALE``."""
+    bucket = F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(Tokenizer(vocab).others))
+    rest = counts.join(_named(counts, vocab), "w", "left_anti").withColumn("bucket", bucket)
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rest.join(F.broadcast(totals), "bucket").select("w", F.round(F.log(F.col("n") / F.col("total")) * _SCALE).cast("long").alias("nats"))
+
+
+def n_classes(size: int) -> int:
+    return max(CLASSES, 1 << math.ceil(math.log2(math.sqrt(size))))
+
+
 class Network:
     """The model: ``flat`` holds all parameters, the attributes are views of it."""
 
     def __init__(self, size: int, flat: np.ndarray | None = None):
-        self.size, self.members = size, size // CLASSES
-        self.shapes = {"emb": (size + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "out": (size, HIDDEN), "out_b": (size,)}
+        self.size, self.classes = size, n_classes(size)
+        self.members = size // self.classes
+        self.shapes = {"emb": (size + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, self.classes), "cls_b": (self.classes,), "out": (size, HIDDEN), "out_b": (size,)}
         n = sum(int(np.prod(s)) for s in self.shapes.values())
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.1, n).astype(np.float32)
@@ -70,7 +110,7 @@ class Network:
         """(class, rows of that class) for the classes that occur."""
         cls = target // self.members
         order = np.argsort(cls, kind="stable")
-        ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
+        ends = np.cumsum(np.bincount(cls, minlength=self.classes))
         return cls, [(c, order[b:e]) for c, (b, e) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if e > b]
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -98,7 +138,7 @@ class Network:
             q[np.arange(len(rows)), target[rows] - s.start] -= 1
             dh[rows] += q @ self.out[s]
             # a class is corrected by its own share of the batch, or rare ones would stand still
-            scale = rate / max(len(rows), n / CLASSES)
+            scale = rate / max(len(rows), n / self.classes)
             self.out[s] -= scale * (q.T @ h[rows])
             self.out_b[s] -= scale * q.sum(axis=0)
         dz = dh * (1 - h * h)
@@ -119,11 +159,13 @@ class Tokenizer:
     def __init__(self, vocab: list[str]):
         self.ids = {w.encode(): i for i, w in enumerate(vocab)}
         self.top = len(vocab)
-        self.size = -(-(self.top + OTHERS) // CLASSES) * CLASSES
+        self.others = max(OTHERS, self.top * OTHERS // TOP_WORDS)
+        classes = n_classes(self.top + self.others)
+        self.size = -(-(self.top + self.others) // classes) * classes
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        get, crc, top = self.ids.get, zlib.crc32, self.top
-        return np.array([i if (i := get(w)) is not None else top + crc(w) % OTHERS for w in (text or b"").split()], dtype=np.int64)
+        get, crc, top, others = self.ids.get, zlib.crc32, self.top, self.others
+        return np.array([i if (i := get(w)) is not None else top + crc(w) % others for w in (text or b"").split()], dtype=np.int64)
 
 
 def contexts(tokens: np.ndarray, pad: int) -> np.ndarray:
@@ -177,15 +219,16 @@ def train(docs: DataFrame, vocab: list[str], text_col: str = "text", rounds: int
     return flat
 
 
-def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``pll`` (sum of log-probabilities): one row for each row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text", shares: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``pll`` (sum of log-probabilities): one row for each row of ``docs``; of words outside the vocabulary if ``shares`` are given, else of their buckets."""
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"), key)
     size = Tokenizer(vocab).size
 
     def run(batches):
         tokens_of, net = Tokenizer(vocab), Network(size, flat)
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            n, n_others, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             held, n_held = [], 0
 
             def settle() -> None:
@@ -200,20 +243,27 @@ def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, id_col: str = "do
 
             for k, t in enumerate(b.column(1)):
                 tokens = tokens_of(t.as_py())
-                n[k] = len(tokens)
+                n[k], n_others[k] = len(tokens), np.count_nonzero(tokens >= tokens_of.top)
                 if len(tokens):
                     held.append((np.full(len(tokens), k), contexts(tokens, size), tokens))
                     n_held += len(tokens)
                 if n_held >= 8 * BATCH:
                     settle()
             settle()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "pll"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), b.column(2), pa.array(n_others)], names=["doc_id", "n_tokens", "pll", "key", "n_others"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, pll double")
+    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, pll double, key long, n_others long")
+    if shares is not None:
+        outside = docs.select(key, F.explode(words(text_col)).alias("w")).join(_named(docs, vocab), "w", "left_anti")
+        # sums over all rows of a key: repeated rows have equal words, so each takes its part by the number of its own
+        sums = outside.join(shares.hint("shuffle_hash"), "w").groupBy("key").agg(F.sum("nats").alias("nats"), F.count("*").alias("of"))
+        scored = scored.join(sums, "key", "left").withColumn("pll", F.col("pll") + F.coalesce(F.col("nats") / _SCALE * (F.col("n_others") / F.col("of")), F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "pll")
 
 
 def op10_lm_score(docs: DataFrame) -> DataFrame:
     """``pll`` and its mean a token, from a model of the same documents."""
-    vocab = vocabulary(docs)
-    scored = score(docs, vocab, train(docs, vocab))
+    counts = checkpoint(word_counts(docs))
+    vocab = most_frequent(counts, vocabulary_size(counts.count()))
+    scored = score(docs, vocab, train(docs, vocab), shares=bucket_shares(counts, vocab))
     return scored.select("doc_id", "n_tokens", F.round("pll", 3).alias("pll"), F.round(F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0), 4).alias("mean_lp"))

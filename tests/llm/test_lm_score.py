@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -72,3 +73,43 @@ def test_empty_table_and_reruns(spark):
     assert M.op10_lm_score(empty).count() == 0
     docs = spark.createDataFrame([(1, "a b c a b c"), (1, "a b c a b c"), (None, "z")], "doc_id long, text string")
     assert sorted(map(str, M.op10_lm_score(docs).collect())) == sorted(map(str, M.op10_lm_score(docs).collect()))
+
+
+def test_every_word_has_its_own_probability(spark, model):
+    vocab, flat = model
+    words = [w for k in range(80) for w in [f"rare{k}"] * (1 + k % 5)]
+    docs = spark.createDataFrame([(1, " ".join(words[:100])), (2, " ".join(words[100:]) + " w1"), (2, " ".join(words[100:]) + " w1"), (3, None), (4, vocab[0])], "doc_id long, text string")
+    n = {r.w: r.n for r in M.word_counts(docs).collect()}
+    bucket = lambda w: zlib.crc32(w.encode()) % M.OTHERS
+    total = {}
+    for w in n:
+        if w not in vocab:
+            total[bucket(w)] = total.get(bucket(w), 0) + n[w]
+    shares = M.bucket_shares(M.word_counts(docs), vocab)
+    plain = {r.doc_id: r.pll for r in M.score(docs, vocab, flat).collect()}
+    rows = M.score(docs, vocab, flat, shares=shares).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 2, 3, 4]
+    texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    for r in rows:
+        want = sum(np.log(n[w] / total[bucket(w)]) for w in texts[r.doc_id] if w not in vocab)
+        assert abs(r.pll - plain[r.doc_id] - want) < 1e-3
+
+
+def test_random_strings_score_below_less_frequent_words(spark):
+    rng = random.Random(5)
+    usual = [f"u{k}" for k in range(M.TOP_WORDS)] * 6
+    seldom = [f"s{k}" for k in range(300)] * 4
+    pool = usual + seldom
+    rng.shuffle(pool)
+    rows = [(k, " ".join(pool[k * 60 : k * 60 + 60])) for k in range(-(-len(pool) // 60))]
+    rows += [(9001, " ".join(f"s{k}" for k in range(60))), (9002, " ".join("".join(rng.choices("bcdfgxyz", k=9)) for _ in range(60)))]
+    got = {r.doc_id: r.mean_lp for r in M.op10_lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9001] > got[9002] + 1
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    distinct = 400_000
+    assert M.vocabulary_size(100) == M.TOP_WORDS and M.vocabulary_size(16 * distinct) == 4 * M.vocabulary_size(distinct) > 4 * M.TOP_WORDS
+    tokens_of = M.Tokenizer([f"w{k}" for k in range(M.vocabulary_size(16 * distinct))])
+    net = M.Network(tokens_of.size)
+    assert net.members * net.classes == net.size and net.classes > M.CLASSES and tokens_of.others > M.OTHERS
