@@ -45,8 +45,8 @@ def finished(raw: DataFrame) -> DataFrame:
     return raw.withColumn("candidate_id", ids).withColumn("original_terms", both).select(*COLUMNS)
 
 
-def plain_candidates(sources: DataFrame) -> DataFrame:
-    """Candidates of plain texts (source_id, text): each line goes to one rule at most, the others form prose blocks."""
+def raw_plain_candidates(sources: DataFrame) -> DataFrame:
+    """Candidates of plain texts (source_id, text), repeated ones too: each line goes to one rule at most, the others form prose blocks."""
     ruled = line_rules(sg.lines(sources)).withColumn("consumed", F.col("rule").isNotNull())
     near = lambda c: F.when(F.length(tx.trimmed(c)).between(1, lx.CONTEXT_LINE), tx.trimmed(c))
     order = Window.partitionBy("source_id").orderBy("ln")
@@ -62,8 +62,8 @@ def plain_candidates(sources: DataFrame) -> DataFrame:
     return finished(taken.unionByName(prose))
 
 
-def markdown_candidates(sources: DataFrame) -> DataFrame:
-    """Candidates of Markdown sources: concept headings with the next paragraph, bold definitions, other paragraphs by type, block quotes."""
+def raw_markdown_candidates(sources: DataFrame) -> DataFrame:
+    """Candidates of Markdown sources, repeated ones too: concept headings with the next paragraph, bold definitions, other paragraphs by type, block quotes."""
     order = Window.partitionBy("source_id").orderBy("first_line")
     after = order.rowsBetween(1, Window.unboundedFollowing)
     blocks = sg.markdown_blocks(sources).withColumn("no", F.row_number().over(order) - 1)
@@ -107,6 +107,16 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.min(F.struct(at.alias("at"), *rest)).alias("first"), gathered("refs"), gathered("original_terms")).select("source_id", "type", "refs", "original_terms", *[f"first.{c}" for c in rest]).select(*COLUMNS)
 
 
+def plain_candidates(sources: DataFrame) -> DataFrame:
+    """Candidates of plain texts (source_id, text), repeated ones merged."""
+    return deduplicated(raw_plain_candidates(sources))
+
+
+def markdown_candidates(sources: DataFrame) -> DataFrame:
+    """Candidates of Markdown sources, repeated ones merged."""
+    return deduplicated(raw_markdown_candidates(sources))
+
+
 def violations(candidates: DataFrame) -> DataFrame:
     """candidate_id and the schema rules that a candidate breaks."""
     rules = {

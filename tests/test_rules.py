@@ -11,6 +11,7 @@ from gleanery.operators import entries as en
 from gleanery.operators import matching as mt
 from gleanery.operators import reports as rp
 from gleanery.operators import responses as rs
+from gleanery.operators import scoring as sc
 from gleanery.operators import segment as sg
 
 
@@ -76,6 +77,21 @@ def test_repeated_candidates_merge(spark):
     assert row.refs == ["s#line-1", "s#line-3"]
 
 
+def test_repeated_lines_make_one_card(spark):
+    line = "We argue that this claim shows how the method supports the evidence and therefore the theory holds in practice."
+    texts = [("a", f"{line}\n\n{line.upper()}\n\n{line}"), ("b", line)]
+    df = spark.createDataFrame(texts, "source_id string, text string")
+    found = cd.plain_candidates(df)
+    assert {r.source_id: r.refs for r in found.collect()} == {"a": ["a#line-1", "a#line-3", "a#line-5"], "b": ["b#line-1"]}
+    chunks = sg.chunks(df.withColumn("kind", F.lit("plaintext")))
+    entries = spark.createDataFrame([(1, "e1", "Harbour", "ships")], "ord int, id string, title string, summary string")
+    scored = sc.scored(found, chunks, entries.select(F.col("title").alias("text")), entries, mt.synonyms(spark))
+    points = {r.source_id: r.evidence_quality for r in scored.collect()}
+    assert points == {"a": 2, "b": 1}
+    (row,) = cd.markdown_candidates(spark.createDataFrame([("m", f"> {line}\n\nBetween.\n\n> {line}")], "source_id string, text string")).where("type = 'quotation'").collect()
+    assert row.refs == ["m#md-block-0", "m#md-block-2"]
+
+
 def test_long_blocks_split_at_newlines(spark):
     text = "\n".join(["a" * 700, "b" * 700, "c" * 700, "d" * 4000, "e" * 10])
     cut = sg.chunks(spark.createDataFrame([("s", text, "plaintext")], "source_id string, text string, kind string")).orderBy("ord").collect()
