@@ -22,6 +22,7 @@ TERM_RULES = [
 ]
 CONTEXT_MARKERS = "religious_text 성서 성경 종교 신학 가톨릭 교회 하느님 하나님 예수 그리스도 구원 은총 의화 칭의 판관기 탈출기 마르코 마태오 루카 여호와 시편 복음".split()
 SCHEMA = """wiki_candidates array<struct<title: string, type: string, confidence: string, summary_ko: string, reason: string,
+  discipline_profile: string, discipline_unit: string, mapping_reason: string, reuse_reason: string, boundary_note: string, standard_terms: array<string>,
   evidence: array<struct<chunk_id: string, quote: string, translation_ko: string>>>>"""
 
 
@@ -88,6 +89,16 @@ def evidence_gate(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("verdict", verdict).drop("known")
 
 
+def text_fields(rows: DataFrame, gate: DataFrame) -> DataFrame:
+    """source_id, idx, label, text: what the terminology policy reads of candidates with ``kind``; of bound evidence the first translation."""
+    named = [F.struct(F.lit(c).alias("label"), F.col(c).alias("text")) for c in ("title", "discipline_profile", "discipline_unit", "summary_ko", "mapping_reason", "reuse_reason", "boundary_note", "reason")]
+    kind = F.struct(F.lit("type").alias("label"), F.when(F.col("kind").isin(TYPES), F.col("kind")).alias("text"))
+    terms = F.transform(F.coalesce("standard_terms", F.array().cast("array<string>")), lambda t: F.struct(F.lit("standard_terms").alias("label"), t.alias("text")))
+    own = rows.select("source_id", "idx", F.explode(F.concat(F.array(*named, kind), terms)).alias("f")).select("source_id", "idx", "f.*")
+    said = gate.where("verdict = 'bound'").groupBy("source_id", "idx", "chunk_id", "quote").agg(F.min(F.when(tx.trimmed(F.col("translation")) != "", F.struct("ei", "translation"))).alias("t"))
+    return own.unionByName(said.select("source_id", "idx", F.lit("translation_ko").alias("label"), F.col("t.translation").alias("text")))
+
+
 def judged(candidates: DataFrame, gate: DataFrame) -> DataFrame:
     """Candidates with ``violations`` and ``importable``."""
     bound = gate.groupBy("source_id", "idx").agg(
@@ -105,7 +116,10 @@ def judged(candidates: DataFrame, gate: DataFrame) -> DataFrame:
             fault(F.col("structure").isNotNull(), "structure"),
         )
     )
-    rows = rows.withColumn("violations", F.concat(checks, F.coalesce("faults", F.array().cast("array<string>"))))
+    terms = term_hits(text_fields(rows, gate), "source_id", "idx").select("source_id", "idx", F.transform("hits", lambda h: F.concat(F.lit("term "), h["label"], F.lit(" "), h["term"])).alias("terms"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("checks", checks).join(terms, ["source_id", "idx"], "left")
+    rows = rows.withColumn("violations", F.concat("checks", F.coalesce("faults", none), F.array_distinct(F.coalesce("terms", none)))).drop("checks", "terms")
     return rows.withColumn("importable", F.size("violations") == 0)
 
 
@@ -134,12 +148,21 @@ def good_prefix(batches: DataFrame) -> DataFrame:
     return found.select("source", F.coalesce(F.col("bad.batch"), F.col("n")).cast("long").alias("n_good"), F.coalesce("bad.status", F.lit("")).alias("stopped_by"))
 
 
+def term_hits(fields: DataFrame, *keys: str, rules=TERM_RULES) -> DataFrame:
+    """``keys`` and hits (rule, label, term, religious): the policy terms in each field (label, text), unless the field excuses them; the context is that of all fields of a key."""
+    text = F.coalesce("text", F.lit(""))
+    hit = lambda r: F.contains(text, F.lit(r[0])) & (F.lit(True) if not r[2] else ~F.contains(text, F.lit(r[2])))
+    one = lambda n, r: F.struct(F.lit(n).alias("rule"), F.col("label"), F.lit(r[0]).alias("term"), F.lit(r[3]).alias("religious"))
+    context = F.max(F.lit(False) if not CONTEXT_MARKERS else text.rlike("|".join(CONTEXT_MARKERS)))
+    found = fields.withColumn("hits", F.array_compact(F.array(*[F.when(hit(r), one(n, r)) for n, r in enumerate(rules)])))
+    grouped = found.groupBy(*keys).agg(context.alias("context"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return grouped.select(*keys, F.expr("filter(hits, h -> context or not h.religious)").alias("hits"))
+
+
 def term_violations(fields: DataFrame, rules=TERM_RULES) -> DataFrame:
-    """id and the policy terms that its fields (id, text) use, unless excused or out of context."""
-    context = F.max(F.lit(False) if not CONTEXT_MARKERS else F.col("text").rlike("|".join(CONTEXT_MARKERS)))
-    grouped = fields.groupBy("id").agg(context.alias("religious"), F.array_join(F.collect_list("text"), "\n").alias("text"))
-    hit = lambda r: F.contains("text", F.lit(r[0])) & (F.lit(True) if not r[2] else ~F.contains("text", F.lit(r[2]))) & (F.col("religious") if r[3] else F.lit(True))
-    return grouped.select("id", F.array_compact(F.array(*[F.when(hit(r), F.lit(r[0])) for r in rules])).alias("terms"))
+    """id and the policy terms that its fields (id, text) use, unless excused in the same field or out of context."""
+    hits = term_hits(fields.select("id", F.lit("").alias("label"), "text"), "id", rules=rules)
+    return hits.select("id", F.array_distinct(F.transform("hits", lambda h: h["term"])).alias("terms"))
 
 
 def prompts(batched: DataFrame) -> DataFrame:

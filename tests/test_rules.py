@@ -1,5 +1,7 @@
 """Cases of the rules on literal rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,34 @@ def test_term_rules_and_prefix(spark):
     assert {r.source: (r.n_good, r.stopped_by) for r in rs.good_prefix(batches).collect()} == {"a": (1, "recovered"), "b": (1, "")}
 
 
+def test_terms_make_candidates_unfit(spark):
+    said = {
+        "ok": {"title": "은총과 의화"},
+        "title": {"title": "하나님 나라"},
+        "context": {"title": "은혜의 뜻", "type": "religious_text"},
+        "plain": {"title": "은혜의 뜻"},
+        "excused": {"title": "이신칭의", "standard_terms": ["칭의"]},
+        "list": {"title": "t", "boundary_note": "사사기", "standard_terms": "not a list"},
+        "translation": {"title": "t", "translations": ["", "마가복음", "여호와"]},
+    }
+    rows = []
+    for key, x in said.items():
+        evidence = [{"chunk_id": "c", "quote": "the theory holds in practice", "translation_ko": t} for t in x.pop("translations", [""])]
+        own = {"type": "concept", "summary_ko": "a summary that argues this shows how the theory holds", "reason": "", "evidence": evidence} | x
+        rows.append((key, json.dumps({"wiki_candidates": [own]}, ensure_ascii=False)))
+    asked = rs.response_candidates(rs.parsed(spark.createDataFrame(rows, "source_id string, raw string")))
+    chunks = spark.createDataFrame([(k, "c", "so the theory holds in practice") for k in said], "source_id string, chunk_id string, text string")
+    gate = rs.evidence_gate(asked, chunks)
+    got = {r.source_id: r.violations for r in rs.judged(asked, gate).collect()}
+    assert got == {
+        "ok": [], "title": ["term title 하나님"], "context": ["term title 은혜"], "plain": [], "excused": ["term title 이신칭의", "term standard_terms 칭의"],
+        "list": ["term boundary_note 사사기"], "translation": ["term translation_ko 마가복음"],
+    }
+    assert {r.source_id for r in rs.imported(rs.judged(asked, gate), gate).collect()} == {"ok", "plain"}
+    apart = spark.createDataFrame([(1, "이신칭의"), (1, "칭의")], "id int, text string")
+    assert rs.term_violations(apart).first().terms == ["이신칭의", "칭의"]
+
+
 def test_markdown_round_trip(spark, sources):
     found = cd.plain_candidates(sources)
     built = en.build(found, found.select("candidate_id", F.lit(None).cast("string").alias("node_id")))
