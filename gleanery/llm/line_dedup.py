@@ -18,7 +18,8 @@ dense groups don't emit all their pairs.  All steps are DataFrame operations.
 
 Cases: null and blank lines are never duplicates; lines are compared without
 the white space at their ends; repeated rows are duplicates of each other; ties
-go by id, line number, then a hash of the row; an empty table gives no rows.
+go by id, line number, then a hash of the row, then the number of the repeated row; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,7 +156,11 @@ def near_links(texts: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, ln, near): the lines to remove; ``near`` if the class's first line is another text."""
+    """(key, ln, near, all_rows; once for each row of a key): lines of classes with several.
+
+    ``near`` if the class's first line is another text; ``all_rows`` if the line goes from all rows of
+    its key, else it is the first of its class and goes from those after the first row only.
+    """
     split = lines(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
     placed = checkpoint(split.select("key", "doc_id", "ln", "lid"))
     at = F.struct(F.col("doc_id").isNull(), "doc_id", "ln", "key").alias("at")
@@ -164,15 +169,29 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", tex
     rooted = firsts.join(classes, "lid", "left").where("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
     judged = rooted.select("lid", "root").join(leads, "root").select("lid", F.col("lead.at").alias("lead"), (F.col("lead.lid") != F.col("lid")).alias("near"))
-    again = placed.select("key", "ln", "lid", at).join(judged, "lid").where("at <> lead")
-    return again.select("key", "ln", "near")
+    again = placed.select("key", "ln", "lid", at).join(judged, "lid")
+    return again.select("key", "ln", "near", F.expr("at <> lead").alias("all_rows"))
+
+
+def _gone_by_key(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    return duplicate_lines(docs, tau).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("ln", "near", "all_rows"))).alias("line_gone"))
+
+
+def _row_no(key: str) -> Column:
+    """Numbers rows of equal id and text, from 1."""
+    return F.row_number().over(Window.partitionBy(key).orderBy(key))
+
+
+#: SQL: the lines to remove from a row.
+_GONE = "filter(line_gone, g -> g.all_rows or line_row_no > 1)"
 
 
 def keep_first_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` (doc_id, text, ...) without their duplicate lines; rows that had words and lose them all go."""
-    gone = duplicate_lines(docs.select("doc_id", "text"), tau).groupBy("key").agg(F.collect_set("ln").alias("gone_lines"))
+    gone = _gone_by_key(docs.select("doc_id", "text"), tau).withColumnRenamed("key", "line_key")
     key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumn("line_key", key).join(gone.withColumnRenamed("key", "line_key"), "line_key", "left")
+    numbered = docs.withColumn("line_key", key).withColumn("line_row_no", _row_no("line_key"))
+    joined = numbered.join(gone, "line_key", "left").withColumn("gone_lines", F.expr(f"transform({_GONE}, g -> g.ln)"))
     text = F.expr("if(gone_lines is null, text, array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(gone_lines, i)), '\\n'))")
     kept = joined.withColumn("text", text).where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -180,9 +199,8 @@ def keep_first_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:
     """For each document row: its lines with words, those to remove, those of them like an earlier line but not equal, and their numbers."""
-    gone = duplicate_lines(docs).groupBy("key").agg(F.count("*").alias("n_removed"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("ln")).alias("lns"))
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_ENDS)) != ""))
     base = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), n_lines.cast("long").alias("n_lines"))
-    joined = base.join(gone, "key", "left")
-    return joined.select("doc_id", "n_lines", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_near")], F.coalesce(F.array_join("lns", ","), F.lit("")).alias("removed_lines"))
+    joined = base.withColumn("line_row_no", _row_no("key")).join(_gone_by_key(docs), "key", "left").withColumn("line_gone", F.expr(f"coalesce({_GONE}, array())"))
+    return joined.select("doc_id", "n_lines", F.size("line_gone").cast("long").alias("n_removed"), F.expr("cast(size(filter(line_gone, g -> g.near)) as bigint)").alias("n_near"), F.array_join(F.transform("line_gone", lambda g: g["ln"].cast("string")), ",").alias("removed_lines"))

@@ -83,3 +83,13 @@ def test_stage_rewrites_and_keeps_columns(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id < 4) == [(1, f"{long}\nown"), (2, "other")]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 5]
     assert line_dedup.op1_line_dedup(spark.createDataFrame([], "doc_id long, text string, lid int")).count() == 0
+
+
+def test_repeated_rows_are_duplicates_of_each_other(spark):
+    long = "this line is long enough to be compared by edits, one two three"
+    rows = [(1, f"{long}\nown"), (2, f"{long}!\nother\n"), (2, f"{long}!\nother\n"), (2, f"{long}!\nother\n"), (3, "alone"), (3, "alone"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_near, r.removed_lines) for r in line_dedup.op1_line_dedup(docs).collect())
+    assert got == [(1, 2, 0, 0, ""), (2, 2, 1, 1, "0"), (2, 2, 2, 1, "0,1"), (2, 2, 2, 1, "0,1"), (3, 1, 0, 0, ""), (3, 1, 1, 0, "0"), (4, 0, 0, 0, ""), (4, 0, 0, 0, "")]
+    kept = sorted((r.doc_id, r.text or "") for r in line_dedup.keep_first_lines(docs).collect())
+    assert kept == [(1, f"{long}\nown"), (2, "other\n"), (3, "alone"), (4, ""), (4, "")]
