@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Without it a session in one process gets a temporary folder; a cluster gets an error, as its machines share none."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, for what several branches read. The folder is that of ``spark.checkpoint.dir``; only a session without one gets a temporary folder."""
+    """``df`` with its lineage cut, for what several branches read."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
