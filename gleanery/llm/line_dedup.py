@@ -1,16 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``TAU`` edits are one class, linked as far as links reach; of a
-class the first line in document order stays.  A line of ``MIN_CHARS`` code
-points or more is cut into TAU + 1 segments; of the segments of two lines within
-TAU edits one is untouched, with at most i - 1 edits before the i-th and
-TAU + 1 - i after it.  So the first segment is looked up at the line's begin,
-the last counted from its end, and those between at a few shifts.  Segments are
-laid out by classes of length (``STEP`` wide), and a line near the border of its
-class also probes the neighbouring one.  Candidates share an indexed segment.
-They are verified by equal leading and trailing blocks, then by a bit-parallel
-simulation of the 2 * TAU + 1 diagonals around the main one.  Shorter lines, and
-equal ones, are joined by equality.
+Two lines are linked if they are within ``TAU`` edits and a similarity of 0.8: an
+edit for each whole ``PER_EDIT`` code points of the shorter one at most, so that
+lines under ``PER_EDIT`` are linked by equality alone.  Linked lines are one class,
+as far as links reach; of a class the first line in document order stays.
+
+A line is cut into a segment more than it may have edits.  Of the segments of two
+linked lines one is untouched, with at most i - 1 edits before the i-th and as many
+after it as segments.  So the first segment is looked up at the line's begin, the
+last counted from its end, and the middle one, less its last code point, where it
+begins and a place later: of two lines one has the other's there.  Segments are
+laid out by classes of length, and a line so near the end of its class that
+linked lines may lie beyond also probes the next class.  Candidates share an
+indexed segment.  They are verified by equal leading and trailing blocks, then by a
+bit-parallel simulation of the 2 * TAU + 1 diagonals around the main one.
 
 A segment that many lines share is dealt in tiles; neighbours in text order are
 linked first, and then only pairs of different classes are verified, so that
@@ -19,7 +22,9 @@ dense groups don't emit all their pairs.  All steps are DataFrame operations.
 Cases: null and blank lines are never duplicates; lines are compared without
 the white space at their ends; repeated rows are duplicates of each other; ties
 go by id, line number, then a hash of the row, then the number of the repeated row; an
-empty table gives no rows.
+empty table gives no rows; a line of any length is compared whole.  Columns of
+``docs`` keep their names and values in ``keep_first_lines``, whatever they are
+called.  Equal lines are told by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -27,16 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, may_be_in, packed
 from .components import components
 
 TAU = 2
-MIN_CHARS = 32
-STEP = 16
+#: Code points of the shorter line for each edit.
+PER_EDIT = 5
 TILE = 128
 _BLOCK = 32
-#: Bits of the filters that keep rows without a partner from being shuffled: 8 for each key, up to 2^26 (16 MB of rows).
-_LEAST_BITS, _MOST_BITS = 20, 26
 _ENDS = " \t\r\x0b\x0c"
 
 
@@ -47,29 +50,27 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return split.select("key", "doc_id", "ln", F.btrim("line", F.lit(_ENDS)).alias("line")).where("line <> ''")
 
 
-def _segment_keys(tau: int) -> Column:
-    """The keys of ``line``: an array of (k, index): hashes of (class, segment number, segment), indexed or only probed."""
-    size = F.length("line")
-    own = F.floor(size / STEP).cast("int")
+def _class(size: Column) -> Column:
+    """The least length of the lines laid out as one of ``size`` code points."""
+    return F.when(size < 2 * PER_EDIT, F.lit(PER_EDIT)).when(size < 16, F.lit(2 * PER_EDIT)).when(size < 32, size - size % 4).otherwise(size - size % 16).cast("int")
 
-    def keys(cls: Column, indexed: bool) -> list[Column]:
-        width = F.floor(cls * STEP / (tau + 1)).cast("int")
-        out = []
-        for i in range(1, tau + 2):
-            if i == 1:
-                places = [(F.lit(1), 0)]
-            elif i == tau + 1:
-                places = [(size - width + 1, 0)]
-            else:
-                shifts = range(-min(i - 1, tau), min(i - 1, tau) + 1)
-                places = [((i - 1) * width + 1 + s, s) for s in shifts]
-            out += [F.struct(F.xxhash64(cls, F.lit(i), F.substring(F.col("line"), at, width)).alias("k"), F.lit(indexed and s == 0).alias("index")) for at, s in places]
-        return out
 
-    none = F.array().cast("array<struct<k:bigint,index:boolean>>")
-    below = F.when((size % STEP < tau) & (own * STEP > MIN_CHARS), F.array(*keys(own - 1, False))).otherwise(none)
-    above = F.when(size % STEP >= STEP - tau, F.array(*keys(own + 1, False))).otherwise(none)
-    return F.concat(F.array(*keys(own, True)), below, above)
+def _segment_keys(line: Column) -> Column:
+    """The keys of a line, an array of longs; those with an odd number are indexed, the others only probe."""
+    size = F.length(line)
+    own, above = _class(size), _class(size + TAU)
+
+    def keys(cls: Column, indexed: bool, few: bool) -> list[Column]:
+        """Of the class's layout: two segments if it has ``few``, else three."""
+        key = lambda i, at, width, index: F.shiftleft(F.xxhash64(cls, F.lit(i), F.substring(line, at, width)), 1).bitwiseOR(F.lit(int(index)).cast("long"))
+        width = F.lit(2) if few else F.floor(cls / 3).cast("int")
+        ends = [key(1, F.lit(1), width, indexed), key(3, size - width + 1, width, indexed)]
+        return ends if few else [*ends, key(2, width + 1, width - 1, indexed), key(2, width + 2, width - 1, False)]
+
+    none = F.array().cast("array<bigint>")
+    beyond = F.when(above > own, F.array(*keys(above, False, False))).otherwise(none)
+    short = F.concat(F.array(*keys(own, True, True)), beyond)
+    return F.when(size < PER_EDIT, none).when(size < 2 * PER_EDIT, short).when(above > own, F.concat(F.array(*keys(own, True, False)), beyond)).otherwise(F.array(*keys(own, True, False)))
 
 
 def _same_ends() -> tuple[Column, Column]:
@@ -78,23 +79,14 @@ def _same_ends() -> tuple[Column, Column]:
     return blocks(F.col("line")), blocks(F.reverse("line"))
 
 
-def _may_be_in(rows: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFrame:
-    """``rows`` whose ``column`` may be among ``keys``: all that are, and few others. The bits are broadcast; their number is bounded, and a full filter only lets more rows pass."""
-    bits = min(max(_LEAST_BITS, (8 * n_keys).bit_length()), _MOST_BITS)
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
-    filled = keys.groupBy(word(F.col(column)).alias("bit_word")).agg(F.bit_or(bit(F.col(column))).alias("bits"))
-    met = rows.join(F.broadcast(filled), word(F.col(column)) == F.col("bit_word"))
-    return met.where(F.col("bits").bitwiseAND(bit(F.col(column))) != 0).drop("bit_word", "bits")
-
-
 def _verified(tau: int) -> str:
-    """SQL: the lines of rows ``x`` and ``y`` are within ``tau`` edits."""
+    """SQL: the lines of rows ``x`` and ``y`` are within ``tau`` edits and one for each ``PER_EDIT`` code points."""
     band = 2 * tau + 1
     mask = (1 << band) - 1
     head = "coalesce(nullif(array_position(zip_with(x.head, y.head, (p, q) -> p <=> q), false), 0) - 1, size(x.head))"
     tail = "coalesce(nullif(array_position(zip_with(x.tail, y.tail, (p, q) -> p <=> q), false), 0) - 1, size(x.tail))"
     least = "least(x.n, y.n)"
+    limit = f"least({tau}, floor({least} / {PER_EDIT}))"
     cut = f"named_struct('h', cast(least({_BLOCK} * {head}, {least}) as int), 't', cast({_BLOCK} * {tail} as int))"
     mid = "named_struct('a', substring(x.line, c.h + 1, x.n - c.h - least(c.t, {0} - c.h)), 'b', substring(y.line, c.h + 1, y.n - c.h - least(c.t, {0} - c.h)))".format(least)
     # both ends of the middles differ within a block; with two edits at most what lies between is equal but for a shift of one
@@ -111,11 +103,12 @@ def _verified(tau: int) -> str:
         new.append(old if d == 0 else f"(({old} | z.{state[d - 1]} | shiftright(z.{state[d - 1]}, 1) | shiftleft({new[d - 1]}, 1)) & {mask})")
     steps += "named_struct(" + ", ".join(f"'r{d}', {e}" for d, e in enumerate(new)) + "))[0]"
     start = "named_struct(" + ", ".join(f"'r{d}', {sum(1 << (tau + i) for i in range(d + 1))}" for d in range(tau + 1)) + ")"
-    walk = f"aggregate(sequence(1, size(v.b)), {start}, (s, j) -> {steps}, s -> s.r{tau} & shiftleft(1, size(v.a) - size(v.b) + {tau}) <> 0)"
+    reached = "case " + " ".join(f"when least(x.n, y.n) < {PER_EDIT * (d + 1)} then s.r{d}" for d in range(tau)) + f" else s.r{tau} end"
+    walk = f"aggregate(sequence(1, size(v.b)), {start}, (s, j) -> {steps}, s -> ({reached}) & shiftleft(1, size(v.a) - size(v.b) + {tau}) <> 0)"
     chars = "named_struct('a', if(m.a = '', array(), split(m.a, '')), 'b', if(m.b = '', array(), split(m.b, '')))"
-    deep = f"case when m.a = m.b then true when size(v.b) = 0 then size(v.a) <= {tau} else {walk} end"
+    deep = f"case when m.a = m.b then true when size(v.b) = 0 then size(v.a) <= {limit} else {walk} end"
     let = lambda name, value, body: f"exists(array({value}), {name} -> {body})"
-    return let("c", cut, let("m", mid, f"{quick} and abs(x.n - y.n) <= {tau} and " + let("v", chars, deep)))
+    return let("c", cut, let("m", mid, f"{quick} and abs(x.n - y.n) <= {limit} and " + let("v", chars, deep)))
 
 
 def within(pairs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -128,14 +121,14 @@ def prepared(texts: DataFrame) -> DataFrame:
     return texts.select("*", F.length("line").alias("n"), head.alias("head"), tail.alias("tail"))
 
 
-def near_links(texts: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): links between different lines (lid, line; repeats may come) that connect all lines within ``tau`` edits."""
-    keyed = texts.where(F.length("line") >= MIN_CHARS).select("lid", F.explode(_segment_keys(tau)).alias("e")).select("lid", "e.k", "e.index")
-    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    shared = checkpoint(shared.where("least <> most and index").select("k", "tiles"))
-    members = _may_be_in(keyed, "k", shared, shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
+def near_links(keyed: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): links between different lines that connect all linked ones, from their keys (lid, ks) and texts (lid, line); repeats may come."""
+    keyed = keyed.select("lid", F.explode("ks").alias("e")).select("lid", F.shiftright("e", 1).alias("k"), (F.col("e") % 2 != 0).alias("index"))
+    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.count("*").alias("n"))
+    shared = checkpoint(shared.where("least <> most and index").select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    members = may_be_in(keyed, "k", shared, shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
     members = checkpoint(members.withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int")))
-    texts = _may_be_in(texts, "lid", members, members.count()).dropDuplicates(["lid"])
+    texts = may_be_in(texts, "lid", members, members.count()).dropDuplicates(["lid"])
     rows = prepared(checkpoint(texts.join(members, "lid").select("k", "lid", "index", "tiles", "tile", "line")))
 
     one = F.struct("lid", "line", "n", "head", "tail")
@@ -162,10 +155,10 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", tex
     its key, else it is the first of its class and goes from those after the first row only.
     """
     split = lines(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
-    placed = checkpoint(split.select("key", "doc_id", "ln", "lid"))
+    placed = checkpoint(split.select("key", "doc_id", "ln", "lid", _segment_keys(F.col("line")).alias("ks")))
     at = F.struct(F.col("doc_id").isNull(), "doc_id", "ln", "key").alias("at")
     firsts = checkpoint(placed.select("lid", at).groupBy("lid").agg(F.min(F.struct("at", "lid")).alias("first"), F.count("*").alias("n")))
-    classes = components(near_links(split.select("lid", "line"), tau)).withColumnRenamed("node", "lid")
+    classes = components(near_links(placed.select("lid", "ks"), split.select("lid", "line"), tau)).withColumnRenamed("node", "lid")
     rooted = firsts.join(classes, "lid", "left").where("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
     judged = rooted.select("lid", "root").join(leads, "root").select("lid", F.col("lead.at").alias("lead"), (F.col("lead.lid") != F.col("lid")).alias("near"))
@@ -188,13 +181,11 @@ _GONE = "filter(line_gone, g -> g.all_rows or line_row_no > 1)"
 
 def keep_first_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` (doc_id, text, ...) without their duplicate lines; rows that had words and lose them all go."""
-    gone = _gone_by_key(docs.select("doc_id", "text"), tau).withColumnRenamed("key", "line_key")
-    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    numbered = docs.withColumn("line_key", key).withColumn("line_row_no", _row_no("line_key"))
-    joined = numbered.join(gone, "line_key", "left").withColumn("gone_lines", F.expr(f"transform({_GONE}, g -> g.ln)"))
-    text = F.expr("if(gone_lines is null, text, array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(gone_lines, i)), '\\n'))")
-    kept = joined.withColumn("text", text).where(F.col("gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = packed(docs).withColumn("line_row_no", _row_no("key"))
+    joined = numbered.join(_gone_by_key(docs.select("doc_id", "text"), tau), "key", "left").withColumn("gone", F.expr(f"transform({_GONE}, g -> g.ln)"))
+    text = F.expr("if(gone is null, row.text, array_join(filter(split(row.text, '\\n'), (l, i) -> not array_contains(gone, i)), '\\n'))")
+    kept = joined.withColumn("text", text).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:

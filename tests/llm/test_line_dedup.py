@@ -14,7 +14,11 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(rows, tau=2, least=32):
+def limit(a, b):
+    return min(2, min(len(a), len(b)) // 5)
+
+
+def brute(rows):
     found = [(d, ln, s) for d, t in rows for ln, s in enumerate(x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")) if s]
     texts = sorted({s for _, _, s in found})
     root = {s: s for s in texts}
@@ -26,7 +30,7 @@ def brute(rows, tau=2, least=32):
 
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau:
+            if abs(len(a) - len(b)) <= limit(a, b) and edits(a, b) <= limit(a, b):
                 root[find(a)] = find(b)
     seen, gone = {}, {}
     for d, ln, s in sorted(found, key=lambda x: x[:2]):
@@ -47,9 +51,9 @@ def change(rng, s, k):
 def corpus(seed):
     rng = random.Random(seed)
     line = lambda n: "".join(rng.choices("abcdefgh ", k=n)).strip() or "a"
-    base = [line(rng.choice([10, 31, 32, 33, 46, 47, 48, 49, 63, 64, 65, 100, 200])) for _ in range(40)]
-    pool = base + [change(rng, rng.choice(base), rng.randint(1, 4)) for _ in range(160)]
-    return [(d, "\n".join(rng.choices(pool + ["", "  "], k=rng.randint(1, 6)))) for d in range(80)]
+    base = [line(rng.choice([3, 4, 5, 8, 9, 10, 12, 15, 16, 19, 20, 23, 28, 31, 32, 33, 46, 47, 48, 49, 63, 64, 65, 100, 200])) for _ in range(60)]
+    pool = base + [change(rng, rng.choice(base), rng.randint(1, 4)) for _ in range(240)]
+    return [(d, "\n".join(rng.choices(pool + ["", "  "], k=rng.randint(1, 6)))) for d in range(120)]
 
 
 def test_fixture_against_brute_force(spark, monkeypatch):
@@ -59,7 +63,7 @@ def test_fixture_against_brute_force(spark, monkeypatch):
         docs = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
         got = {r.doc_id: (r.n_removed, r.n_near, r.removed_lines) for r in line_dedup.op1_line_dedup(docs).collect()}
         want = brute(rows)
-        assert got == {d: (len(g := want.get(d, [])), sum(n for _, n in g), ",".join(str(x) for x, _ in g)) for d in [*range(80), 900, 901]}
+        assert got == {d: (len(g := want.get(d, [])), sum(n for _, n in g), ",".join(str(x) for x, _ in g)) for d in [*range(120), 900, 901]}
 
 
 def test_bit_parallel_distance(spark):
@@ -71,7 +75,7 @@ def test_bit_parallel_distance(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     sides = [line_dedup.prepared(df.select("i", F.col(c).alias("line"))).select(F.col("i").alias(f"i_{c}"), F.struct("line", "n", "head", "tail").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
     near = {r.i_a for r in line_dedup.within(sides[0].join(sides[1], F.col("i_a") == F.col("i_b"))).collect()}
-    assert near == {i for i, (a, b) in enumerate(pairs) if edits(a, b) <= 2}
+    assert near == {i for i, (a, b) in enumerate(pairs) if edits(a, b) <= limit(a, b)}
 
 
 def test_stage_rewrites_and_keeps_columns(spark):
