@@ -1,20 +1,25 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 An item is cut into windows of ``size`` consecutive words (an item of fewer
-words is one window).  A window counts as contained only if all its words are
-there in order, so the necessary prefix of its words, ordered by rarity in the
-corpus, is one token: its rarest.  Documents' words are joined with those
-prefix tokens only; the token's place in the window bounds where the window
+words is one window).  A window is a set of shingles of ``SHINGLE`` words
+(itself, if it has fewer).  It counts as contained only if all its shingles are
+there in order, so the necessary prefix of its shingles, ordered by rarity in
+the corpus, is one: the rarest.  Documents' shingles are joined with those
+prefix shingles only; a shingle's place in its window bounds where the window
 would start and end (the length and positional bounds), and what is left is
-verified word by word.
+verified word by word.  Shingles meet by a 64-bit hash.
 
 The items' side is broadcast when its windows are few (``BROADCAST_WINDOWS``,
-counted first); otherwise both sides are shuffled on the token, and candidates
-meet the words of their documents in a second join.  Both give the same rows.
+counted first); otherwise bits of the prefix shingles keep all but the rows that
+may have one from being shuffled, each with the words around it.  Both give the
+same rows.  Rarity is counted over all documents: sums in each task first, then
+joined with the windows' shingles, which are dealt by window where they are many.
 
 Cases: null or empty texts have no words and no hits; items without words have
 no windows; repeated documents each give their row; equal windows of several
-items count for each of them; an empty benchmark hits nothing.
+items count for each of them; an empty benchmark hits nothing.  A text of any
+length is one row, its shingles are rows of their own.  Columns of ``docs`` keep
+their names and values in ``drop_contaminated``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,10 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import EMPTY_SHA256, ascii_lower
+from .common import EMPTY_SHA256, ascii_lower, checkpoint, may_be_in, packed, row_key
 
 #: Windows up to which the items' side may be broadcast: some 300 bytes each.
 BROADCAST_WINDOWS = 100_000
+#: Words of a shingle.
+SHINGLE = 3
+#: Parts that a shingle's windows are dealt to.
+SPREAD = 16
 _WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,45 +50,79 @@ def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str
     return cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(size)))).alias("win")).distinct()
 
 
-def prefix_index(wins: DataFrame, docs_words: DataFrame) -> DataFrame:
-    """For each distinct window its rarest word in the corpus (``token``), that word's first place (``at``), and ``items``.
+def _shingle(words: str, at: Column, n: Column | int) -> Column:
+    """The hash of the ``SHINGLE`` words of an array from place ``at`` (from 0); fewer if ``n`` is less. Words beyond the end don't count."""
+    return F.xxhash64(*[F.when(F.lit(k) < n, F.get(words, at + k)) for k in range(SHINGLE)])
 
-    ``docs_words`` has ``w``.  Ties go to the smaller word; a word that no document has is rarest.
+
+def document_shingles(keyed: DataFrame, sizes: list[int], *more: str) -> DataFrame:
+    """(``more``, pos, w, sh): the shingles of documents (w: array of words) at each place, for each of the sizes."""
+    at = keyed.select(*more, "w", F.posexplode("w").alias("pos", "first"))
+    if len(sizes) == 1:
+        return at.select(*more, "w", "pos", _shingle("w", F.col("pos"), sizes[0]).alias("sh"))
+    return at.select(*more, "w", "pos", F.explode(F.array(*[_shingle("w", F.col("pos"), n) for n in sizes])).alias("sh"))
+
+
+def prefix_index(wins: DataFrame, docs_words: DataFrame, n_wins: int) -> DataFrame:
+    """For each distinct window its rarest shingle in the corpus (``sh``), that shingle's first place (``at``), and ``items``.
+
+    ``docs_words`` has ``w``.  Ties go to the smaller hash; a shingle that no document has is rarest.
     """
-    vocabulary = wins.select(F.explode("win").alias("token")).distinct()
-    counts = docs_words.select(F.explode("w").alias("token")).join(_small(vocabulary, wins), "token").groupBy("token").count()
-    places = wins.groupBy("win").agg(F.collect_set("item").alias("items")).select("win", "items", F.posexplode("win").alias("at", "token"))
-    ranked = places.join(counts, "token", "left").select("win", "items", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "at").alias("r"))
-    rarest = ranked.groupBy("win").agg(F.min("r").alias("r"), F.first("items").alias("items"))
-    return rarest.select(F.xxhash64("win").alias("wid"), "win", F.size("win").alias("len"), "items", F.col("r.token").alias("token"), F.col("r.at").alias("at"))
-
-
-def _small(df: DataFrame, measured: DataFrame) -> DataFrame:
-    """Broadcast only if the windows it derives from are few."""
-    return F.broadcast(df) if measured.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else df
-
-
-def hits(keyed: DataFrame, wins: DataFrame) -> DataFrame:
-    """Occurrences (key, start, len, items) of windows in documents (key, w)."""
-    words = keyed.select("key", "w")
-    index = prefix_index(wins, words)
-    if wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        found = words.select("key", "w", F.posexplode("w").alias("pos", "token")).join(F.broadcast(index), "token")
-        within = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.size("w"))
-        same = F.slice("w", F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1, F.col("len")) == F.col("win")
-        return found.where(within & same).select("key", (F.col("pos") - F.col("at")).alias("start"), "len", "items")
-    tokens = words.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
-    found = tokens.join(index.select("token", "at", "len", "wid"), "token")
-    found = found.where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.col("n")))
-    found = found.select("key", (F.col("pos") - F.col("at")).alias("start"), "wid").join(words.dropDuplicates(["key"]), "key").select("key", "start", "wid", "w")
-    return found.join(index.select("wid", "win", "len", "items"), "wid").where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("win")).select("key", "start", "len", "items")
+    few = n_wins <= BROADCAST_WINDOWS
+    distinct = wins.groupBy("win").agg(F.collect_set("item").alias("items"))
+    length = F.least(F.size("win"), F.lit(SHINGLE))
+    places = distinct.select("win", "items", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - length), lambda i: _shingle("win", i, length))).alias("at", "sh"))
+    vocabulary = places.select("sh").distinct()
+    shingles = document_shingles(docs_words, window_sizes(wins))
+    if few:
+        counts = shingles.join(F.broadcast(vocabulary), "sh").groupBy("sh").agg(F.count("*").alias("n"))
+    else:
+        may = may_be_in(shingles, "sh", vocabulary, n_wins * SPREAD)
+        counts = may.groupBy("sh").agg(F.count("*").alias("n")).join(vocabulary, "sh")
+    if few:  # no more shingles than words in the windows
+        ranked = places.join(F.broadcast(counts), "sh", "left")
+    else:  # a shingle that most windows have is dealt by window
+        salted = counts.select("sh", "n", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+        ranked = places.withColumn("salt", F.pmod(F.xxhash64("win"), F.lit(SPREAD)).cast("int")).join(salted, ["sh", "salt"], "left")
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh", "at"))
+    rarest = ranked.groupBy("win").agg(best.alias("r"), F.first("items").alias("items"))
+    return rarest.select("win", F.size("win").alias("len"), "items", F.col("r.sh").alias("sh"), F.col("r.at").alias("at"))
+
+
+def window_sizes(wins: DataFrame) -> list[int]:
+    """The sizes of shingles that the windows have: ``SHINGLE`` at most."""
+    return sorted(r[0] for r in wins.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect())
+
+
+def hits(keyed: DataFrame, wins: DataFrame, size: int) -> DataFrame:
+    """Occurrences (key, start, len, items) of windows of at most ``size`` words in documents (key, w)."""
+    wins = checkpoint(wins)
+    n_wins = wins.count()
+    few = n_wins <= BROADCAST_WINDOWS
+    sizes = window_sizes(wins)
+    if not sizes:
+        return keyed.select("key", F.lit(0).alias("start"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items")).where("false")
+    index = prefix_index(wins, keyed.select("w"), n_wins)
+    shingles = document_shingles(keyed, sizes, "key")
+    if few:
+        found = shingles.join(F.broadcast(index), "sh")
+        begin, around = F.col("pos") - F.col("at"), F.col("w")
+    else:
+        index = checkpoint(index)
+        low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+        near = may_be_in(shingles, "sh", index, n_wins).select("key", "sh", "pos", low.alias("low"), F.slice("w", low + 1, F.lit(2 * size)).alias("w"))
+        found = near.join(index, "sh")
+        begin, around = F.col("pos") - F.col("at") - F.col("low"), F.col("w")
+    within = (begin >= 0) & (begin + F.col("len") <= F.size(around))
+    same = F.slice(around, F.greatest(begin, F.lit(0)) + 1, F.col("len")) == F.col("win")
+    return found.where(within & same).select("key", (F.col("pos") - F.col("at")).alias("start"), "len", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document row: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings); ``carry`` columns follow."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("w"), *carry)
-    occurrences = hits(base.select("key", "w"), windows(items, size)).groupBy("key", "start").agg(F.max("len").alias("len"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    occurrences = hits(base.select("key", "w"), windows(items, size), size).groupBy("key", "start").agg(F.max("len").alias("len"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     before = Window.partitionBy("key").orderBy("start")
     ended = F.coalesce(F.max(F.col("start") + F.col("len")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new = F.greatest(F.col("start") + F.col("len") - F.greatest("start", ended), F.lit(0))
@@ -95,11 +138,10 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that are not contaminated, with their columns."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id"), text)
-    judged = contamination(docs.select("doc_id", "text", key.alias("bad_key")), items, size, carry=("bad_key",))
-    bad = judged.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("bad_key").distinct()
-    return docs.withColumn("bad_key", key).join(bad, "bad_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = row_key(F.col("doc_id"), F.col("text"))
+    judged = contamination(docs.select("doc_id", "text", key.alias("row_key")), items, size, carry=("row_key",))
+    bad = judged.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row_key").alias("key")).distinct()
+    return packed(docs).join(bad, "key", "left_anti").select("row.*")
 
 
 def op9_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
