@@ -18,7 +18,7 @@ CLAIM_KO = rf"(?:{'|'.join(KO_STEMS)})(?:{'|'.join(KO_ENDINGS)})|{'|'.join(KO_WH
 CLAIM_GUARDS = [
     r"(?i)\b(?:shows?|showed|showing)\s+up\b",
     r"(?i)\b(?:the|a|an|this|that|these|those|no)\s+claims?\b",
-    r"(?i)-\s*(?:defined|defining)\b",
+    r"(?i)-\s*defined\b",
     r"(?i)\b(?:the|a|an|this|that|these|those)\s+proposed\b",
 ]
 
@@ -31,7 +31,7 @@ DEMOTIONS = {
         r"(?:see|cf\.|참조)\s+[A-Z][A-Za-z.'-]+|[A-Z][A-Za-z.'-]+,\s+[“\x22][^”\x22]{4,}[”\x22],?\s*\d{1,4}|[“\x22][^”\x22]{4,}[”\x22],?\s*\d{1,4}\s*[-–]\s*\d{1,4}",
     ],
     "table_of_contents": [r"(?i)(?:목\s*차|table\s+of\s+contents|차\s*례)", r"\.{4,}\s*\d{1,4}\s*(?:\n|\z)"],
-    "index": [r"(?i)(?:색\s*인|찾아보기)|(?:\A|\n)\s*(?i:index)\s*(?:\n|\z)", r"\S+,\s+\d{1,4}(?:,\s*\d{1,4}){2,}"],
+    "index": [r"(?i)(?:색\s*인|찾아보기)|(?:\A|\n)\s*(?i:index)\s*(?:\n|\z)", r"\S,\s+\d{1,4}(?:,\s*\d{1,4}){2,}"],
     "copyright": [r"(?i)(?:판\s*권|저작권|copyright|©|all\s+rights\s+reserved|ISBN[\s:]*[\d-]{10,})"],
 }
 CITATION = DEMOTIONS["bibliography"][2]
@@ -91,13 +91,74 @@ QUOTE_CHARS, MAX_TERMS, MAX_REFS, TOP_CARDS, CARD_CHUNKS = 600, 12, 12, 8, 4
 
 # ---- fixed values: one-hop synonyms of a token ----
 SYNONYMS = {
-    "typology": "모형론 예표론", "hermeneutic": "해석학 hermeneutics", "hermeneutics": "해석학 hermeneutic", "allusion": "암시 인유", "intertextuality": "상호텍스트성 intertextual",
-    "intertextual": "상호텍스트성 intertextuality", "exile": "유배 포로", "covenant": "계약 언약", "kingdom": "나라 왕국", "passion": "수난", "psalm": "시편", "paul": "바오로 pauline",
-    "pauline": "paul 바오로", "parrhesia": "παρρησία παρρησια 파레시아 boldness frankness", "boldness": "parrhesia παρρησία 파레시아 담대함", "frankness": "parrhesia παρρησία 파레시아 솔직함",
-    "cor": "corinthians 코린 코린토 고린토 고린 1코린 2코린", "corinthians": "cor 코린 코린토 고린토 고린 1코린 2코린", "gal": "galatians 갈라 갈라티아", "galatians": "gal 갈라 갈라티아",
-    "acts": "사도 사도행전", "heb": "hebrews 히브 히브리", "hebrews": "heb 히브 히브리", "john": "요한", "mark": "마르 마르코", "해석학": "hermeneutic hermeneutics", "모형론": "typology",
-    "예표론": "typology", "상호텍스트성": "intertextuality intertextual", "유배": "exile", "계약": "covenant", "언약": "covenant", "수난": "passion", "시편": "psalm", "바오로": "paul pauline",
-}
+    "typology": "모형론, 예표론",
+    "hermeneutic": "해석학, hermeneutics",
+    "hermeneutics": "해석학, hermeneutic",
+    "allusion": "암시, 인유",
+    "intertextuality": "상호텍스트성, intertextual",
+    "intertextual": "상호텍스트성, intertextuality",
+    "exile": "유배, 포로",
+    "covenant": "계약, 언약",
+    "kingdom": "나라, 왕국",
+    "passion": "수난",
+    "psalm": "시편",
+    "paul": "바오로, pauline",
+    "pauline": "paul, 바오로",
+    "parrhesia": "παρρησία, παρρησια, 파레시아, boldness, frankness, free speech",
+    "παρρησία": "parrhesia, παρρησια, 파레시아, boldness, frankness, free speech",
+    "παρρησια": "parrhesia, παρρησία, 파레시아, boldness, frankness, free speech",
+    "boldness": "parrhesia, παρρησία, 파레시아, 담대함",
+    "frankness": "parrhesia, παρρησία, 파레시아, 솔직함",
+    "cor": "corinthians, 코린, 코린토, 고린토, 고린, 1코린, 2코린",
+    "corinthians": "cor, 코린, 코린토, 고린토, 고린, 1코린, 2코린",
+    "gal": "galatians, 갈라, 갈라티아",
+    "galatians": "gal, 갈라, 갈라티아",
+    "acts": "사도, 사도행전",
+    "heb": "hebrews, 히브, 히브리",
+    "hebrews": "heb, 히브, 히브리",
+    "john": "요한",
+    "mark": "마르, 마르코",
+    "해석학": "hermeneutic, hermeneutics",
+    "모형론": "typology",
+    "예표론": "typology",
+    "상호텍스트성": "intertextuality, intertextual",
+    "유배": "exile",
+    "계약": "covenant",
+    "언약": "covenant",
+    "수난": "passion",
+    "시편": "psalm",
+    "바오로": "paul, pauline",
+    "파레시아": "parrhesia, παρρησία, παρρησια, boldness, frankness, free speech",
+    "담대함": "boldness, parrhesia, παρρησία",
+    "솔직함": "frankness, parrhesia, παρρησία",
+    "코린": "cor, corinthians, 1코린, 2코린",
+    "코린토": "cor, corinthians, 고린토, 1코린, 2코린",
+    "고린토": "cor, corinthians, 코린토, 1코린, 2코린",
+    "고린": "cor, corinthians, 코린, 1코린, 2코린",
+    "1코린": "cor, corinthians, 코린, 코린토, 고린토, 고린",
+    "2코린": "cor, corinthians, 코린, 코린토, 고린토, 고린",
+    "갈라": "gal, galatians, 갈라티아",
+    "갈라티아": "gal, galatians, 갈라",
+    "사도": "acts, 사도행전",
+    "사도행전": "acts, 사도",
+    "히브": "heb, hebrews, 히브리",
+    "히브리": "heb, hebrews, 히브",
+    "요한": "john",
+    "마르": "mark, 마르코",
+    "마르코": "mark, 마르",
+}
+
+# ---- fixed values: titles and Markdown forms ----
+SENTENCE_HEAD = r"\A[^\n]{40,140}?[.!?](?:\s|\z)"
+TITLE_DROPS = [
+    r"[.!?]\s*\z",
+    r"(?i)\A(?:however|nevertheless|therefore|thus),?\s+",
+    r"(?i)\A(?:the author|the chapter|this chapter|this study|the text)\s+(?:argues?|suggests?|observes?|indicates?|maintains?|claims?|contends?|demonstrates?|shows?|challenges?|criticizes?)\s+(?:that\s+)?",
+    r"(?i)\A(?:저자는?|이\s*장(?:은|에서는)?)\s*(?:주장|제안|지적|강조|논증|비판|반박)(?:한다|하며|했다|하였다|하는)?\s*",
+]
+CONCEPT_HEADING = r"(?i)\A(?:Concept|Definition|개념|정의)(?![A-Za-z0-9_])"
+BOLD_DEFINITION = r"\*\*([^*\n]+)\*\*\s*[—–-]\s*([^\n]{8,})"
+BOLD_SENTENCE = r"\A(.{8,260}?[.!?])\s+(.{40,})\z"
 
 # ---- fixed values: thresholds of matching and scoring ----
 SIM_UPDATE, SIM_LINK, IGNORE_TOTAL, OUTLINE_LEAST = 0.5, 0.2, 1, 0.18

@@ -10,10 +10,12 @@ from __future__ import annotations
 _WIDE = ["00A0", "1680", "2000-200A", "2028", "2029", "202F", "205F", "3000", "FEFF"]
 _JAVA_SPACE = r"\t\n\x0B\f\r " + "".join("-".join(f"\\u{c}" for c in w.split("-")) for w in _WIDE)
 _RE2_SPACE = r"\t\n\x0B\f\r " + "".join("-".join(f"\\x{{{c}}}" for c in w.split("-")) for w in _WIDE)
-_JAVA_BOUND = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: A boundary before a word's first character, and one after its last.
+_JAVA_BEFORE, _JAVA_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
-def _spelled(pattern: str, space: str, bound: str) -> str:
+def _spelled(pattern: str, space: str, before: str, after: str) -> str:
+    """``\\b`` is one before a word if a letter, group or class follows it."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -22,7 +24,8 @@ def _spelled(pattern: str, space: str, bound: str) -> str:
         elif two == r"\S" and not inside:
             out.append(f"[^{space}]")
         elif two == r"\b":
-            out.append(bound)
+            follows = pattern[i + 2 : i + 3]
+            out.append(before if follows.isalnum() or follows and follows in "([" else after)
         elif two[:1] == "\\":
             out.append(two)
         else:
@@ -36,9 +39,9 @@ def _spelled(pattern: str, space: str, bound: str) -> str:
 def java(pattern: str) -> str:
     for script in ("Greek", "Hebrew"):
         pattern = pattern.replace(rf"\p{{{script}}}", rf"\p{{Is{script}}}")
-    return _spelled(pattern, _JAVA_SPACE, _JAVA_BOUND)
+    return _spelled(pattern, _JAVA_SPACE, _JAVA_BEFORE, _JAVA_AFTER)
 
 
 def re2(pattern: str) -> str:
     """As the inside of an SQL string."""
-    return _spelled(pattern, _RE2_SPACE, r"\b").replace("'", "''")
+    return _spelled(pattern, _RE2_SPACE, r"\b", r"\b").replace("'", "''")

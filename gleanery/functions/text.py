@@ -11,6 +11,9 @@ from . import lexicon as lx
 from .rx import java
 
 
+HANGUL = r"[가-힣]"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -66,7 +69,9 @@ def claim_count(text: Column | str) -> Column:
     """Verbs that make a claim: English ones less those that only look it, and Korean ones."""
     text = col(text)
     guards = reduce(lambda a, b: a + b, [count(text, g) for g in lx.CLAIM_GUARDS])
-    return count(text, lx.CLAIM_EN) - guards + count(text, lx.CLAIM_KO)
+    # the patterns start at a word with one of few letters: tried only in texts that have such a verb
+    english = F.when(has(text, lx.CLAIM_EN), count(text, lx.CLAIM_EN) - guards).otherwise(0)
+    return english + F.when(has(text, HANGUL), count(text, lx.CLAIM_KO)).otherwise(0)
 
 
 def demotions(text: Column | str) -> dict[str, Column]:
@@ -98,21 +103,18 @@ def prose_type(clean: Column, claims: Column, noise: Column) -> Column:
 
 def typed(df: DataFrame, text: str, out: str = "type") -> DataFrame:
     """``df`` with the prose type of a column; step by step, so that nothing is computed twice."""
-    df = df.withColumn("_clean", one_line(text)).withColumn("_claims", claim_count("_clean")).withColumn("_noise", demoted("_clean"))
-    return df.withColumn(out, prose_type(F.col("_clean"), F.col("_claims"), F.col("_noise"))).drop("_clean", "_claims", "_noise")
+    df = df.withColumn("_clean", one_line(text)).withColumn("_fits", F.length("_clean").between(lx.SHORT_PROSE, lx.LONG_PROSE))
+    # other lengths have no type: they meet no pattern
+    df = df.withColumn("_claims", F.when(F.col("_fits"), claim_count("_clean")).otherwise(0)).withColumn("_noise", F.when(F.col("_fits"), demoted("_clean")).otherwise(False))
+    return df.withColumn(out, prose_type(F.col("_clean"), F.col("_claims"), F.col("_noise"))).drop("_clean", "_fits", "_claims", "_noise")
 
 
 def prose_title(text: Column | str) -> Column:
     """The first sentence without its connector or reporting verb, cut at 120 characters."""
     clean = one_line(text)
-    sentence = group(clean, r"\A[^\n]{40,140}?[.!?](?:\s|\z)", 0)
+    sentence = group(clean, lx.SENTENCE_HEAD, 0)
     title = F.when(sentence == "", clean).otherwise(sentence)
-    for pattern in (
-        r"[.!?]\s*\z",
-        r"(?i)\A(?:however|nevertheless|therefore|thus),?\s+",
-        r"(?i)\A(?:the author|the chapter|this chapter|this study|the text)\s+(?:argues?|suggests?|observes?|indicates?|maintains?|claims?|contends?|demonstrates?|shows?|challenges?|criticizes?)\s+(?:that\s+)?",
-        r"(?i)\A(?:저자는?|이\s*장(?:은|에서는)?)\s*(?:주장|제안|지적|강조|논증|비판|반박)(?:한다|하며|했다|하였다|하는)?\s*",
-    ):
+    for pattern in lx.TITLE_DROPS:
         title = F.regexp_replace(title, java(pattern), "")
     return cut_at_word(F.when(title == "", clean).otherwise(title), 120)
 

@@ -73,11 +73,11 @@ def raw_markdown_candidates(sources: DataFrame) -> DataFrame:
     ref = lambda n: F.concat("source_id", F.lit("#md-block-"), n)
     row = lambda type_, title, summary, stop, refs, source: F.struct(F.lit(type_).alias("type") if isinstance(type_, str) else type_.alias("type"), title.alias("title"), summary.alias("summary"), stop.alias("stop"), refs.alias("refs"), source.alias("source_text"))
     heading = tx.trimmed(F.regexp_replace("raw", java(r"\A#{1,6}\s+"), ""))
-    concept = r"(?i)\A(?:Concept|Definition|개념|정의)(?![A-Za-z0-9_])"
+    concept = lx.CONCEPT_HEADING
     name = tx.trimmed(F.regexp_replace(F.regexp_replace(heading, concept, ""), java(r"\A[\s:—–-]+"), ""))
-    bold, body = F.regexp_extract("raw", r"\*\*([^*\n]+)\*\*\s*[—–-]\s*([^\n]{8,})", 1), F.regexp_extract("raw", r"\*\*([^*\n]+)\*\*\s*[—–-]\s*([^\n]{8,})", 2)
+    bold, body = F.regexp_extract("raw", lx.BOLD_DEFINITION, 1), F.regexp_extract("raw", lx.BOLD_DEFINITION, 2)
     clean = tx.one_line(body)
-    first, rest = F.regexp_extract(clean, r"\A(.{8,260}?[.!?])\s+(.{40,})\z", 1), tx.trimmed(F.regexp_extract(clean, r"\A(.{8,260}?[.!?])\s+(.{40,})\z", 2))
+    first, rest = F.regexp_extract(clean, lx.BOLD_SENTENCE, 1), tx.trimmed(F.regexp_extract(clean, lx.BOLD_SENTENCE, 2))
     blocks = tx.typed(blocks.withColumn("rest", rest), "rest", "rest_type")
     blocks = tx.typed(blocks, "plain", "plain_type")
     rest, rest_type, plain_type = F.col("rest"), F.col("rest_type"), F.col("plain_type")

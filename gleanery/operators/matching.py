@@ -21,7 +21,7 @@ def token_rows(texts: DataFrame) -> DataFrame:
 
 
 def synonyms(spark: SparkSession, table: dict[str, str] = lx.SYNONYMS) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, v in table.items() for s in v.split()], "token string, synonym string")
+    return spark.createDataFrame([(k, s) for k, v in table.items() for s in v.split(", ")], "token string, synonym string")
 
 
 def expanded(tokens: DataFrame, table: DataFrame, hops: int = 1) -> DataFrame:

@@ -82,19 +82,15 @@ def truncated(clean: str, n: int) -> str:
 
 
 def title_sql(clean: str) -> str:
-    sentence = q.group(clean, r"\A[^\n]{40,140}?[.!?](?:\s|\z)", 0)
+    sentence = q.group(clean, lx.SENTENCE_HEAD, 0)
     t = f"case when {sentence} = '' then {clean} else {sentence} end"
-    for p in (
-        r"[.!?]\s*\z",
-        r"(?i)\A(?:however|nevertheless|therefore|thus),?\s+",
-        r"(?i)\A(?:the author|the chapter|this chapter|this study|the text)\s+(?:argues?|suggests?|observes?|indicates?|maintains?|claims?|contends?|demonstrates?|shows?|challenges?|criticizes?)\s+(?:that\s+)?",
-    ):
+    for p in lx.TITLE_DROPS:
         t = q.replace(t, p)
     return f"(select case when length(t) <= 120 then t when strpos(reverse(substr(t, 1, 121)), ' ') > 0 and 121 - strpos(reverse(substr(t, 1, 121)), ' ') >= 78 then trim(substr(t, 1, 121 - strpos(reverse(substr(t, 1, 121)), ' '))) else trim(substr(t, 1, 120)) end from (select {q.one_line(t)} as t))"
 
 
 def plain_sql(docs: str) -> str:
-    """``with`` clauses up to ``cand``: the candidates of a table (source_id, text)."""
+    """``with`` clauses up to ``candr``, the candidates of a table (source_id, text), and ``cand``, with repeated ones merged."""
     concept, ko = q.group("line", lx.CONCEPT_LINE, 1), lx.KO_DEFINITION
     return f"""lr as (select *, {q.has('line', lx.CONCEPT_LINE)} as is_c, {q.has('line', ko)} as is_k, {q.trimmed(f"string_split_regex({concept}, '[—–-]|:')[1]")} as c_head, {q.trimmed(concept)} as c_body, {QUOTE} as quote,
     lag({q.trimmed('line')}) over (partition by source_id order by ln) as pl, lead({q.trimmed('line')}) over (partition by source_id order by ln) as nl from {definitions(q.lines(docs) + ' l')} x),
@@ -110,7 +106,10 @@ def plain_sql(docs: str) -> str:
       regexp_replace(concat_ws(chr(10), case when length(pl) between 1 and 260 then pl end, {q.trimmed('line')}, case when length(nl) between 1 and 260 then nl end), '[ \\t]+', ' ', 'g') end as ev, rtype = 'concept' as whole from rl where rtype is not null
     union all select source_id, type, {title_sql('clean')}, {truncated('clean', 300)}, begin, stop, case when fl = ll then concat(source_id, '#line-', fl + 1) else concat(source_id, '#lines-', fl + 1, '-', ll + 1) end,
       array_to_string(list_filter(list_transform(string_split(raw, chr(10)), lambda x: {q.trimmed("regexp_replace(x, '[ " + chr(92) + "t]+', ' ', 'g')")}), lambda x: x <> ''), chr(10)), false from pc where type is not null),
-  cand as (select substr(sha256(concat(source_id, ':', type, ':', begin, ':', stop)), 1, 16) as candidate_id, source_id, type, title, summary, begin, stop, refs, case when not whole and length(ev) > 900 then concat(substr(ev, 1, 899), '…') else ev end as evidence_text from cand0)"""
+  candr as (select substr(sha256(concat(source_id, ':', type, ':', begin, ':', stop)), 1, 16) as candidate_id, source_id, type, title, summary, begin, stop, refs, case when not whole and length(ev) > 900 then concat(substr(ev, 1, 899), '…') else ev end as evidence_text from cand0),
+  candl as (select *, first_value(candidate_id) over same as lead_id, row_number() over same as no from candr window same as (partition by source_id, type, lower({q.one_line('title')}), lower({q.one_line('summary')}) order by begin, stop, candidate_id)),
+  candg as (select lead_id, string_agg(refs, ',' order by k) as refs, count(*) as n_refs from (select lead_id, refs, min(no) as k from candl group by 1, 2 qualify row_number() over (partition by lead_id order by min(no)) <= 12) z group by 1),
+  cand as (select candidate_id, source_id, type, title, summary, begin, stop, g.refs, evidence_text, n_refs from candl l join candg g on g.lead_id = l.candidate_id where no = 1)"""
 
 
 def _all(p: str) -> str:
@@ -136,6 +135,6 @@ ORACLES = {
       select d.source_id, coalesce(string_agg(term, ',' order by term), '') as terms, count(term) as n_terms from cue_docs d left join g on g.source_id = d.source_id group by 1""",
     "candidates": f"{_W}, {plain_sql('cue_docs')} select candidate_id, source_id, type, md5(title) as title_md5, md5(summary) as summary_md5, begin, stop, refs, md5(evidence_text) as evidence_md5 from cand",
     "candidate_dedup": f"""{_W}, twice as (select source_id, concat(text, chr(10), chr(10), text) as text from cue_docs), {plain_sql('twice')}
-      select source_id, type, md5(lower(arg_min(title, begin))) as title_md5, least(count(distinct refs), 12) as n_refs, arg_min(refs, begin) as first_ref, min(begin) as begin from cand group by source_id, type, lower({q.one_line('title')}), lower({q.one_line('summary')})""",
+      select source_id, type, md5(lower(arg_min(title, begin))) as title_md5, least(count(distinct refs), 12) as n_refs, arg_min(refs, begin) as first_ref, min(begin) as begin from candr group by source_id, type, lower({q.one_line('title')}), lower({q.one_line('summary')})""",
     "schema_conformance": f"{_W}, {plain_sql('cue_docs')} select source_id, count(*) as n, count(*) filter (where length(title) > 0 and length(summary) > 0 and length(refs) > 0 and begin >= 0 and stop >= begin and length(evidence_text) > 0) as n_valid from cand group by 1",
 }

@@ -99,7 +99,7 @@ def card_groups(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (token_table, synonym_expand, candidate_chunk_join, chunk_neighbours, jaccard_best_entry, bigram_outline_map, schema_fit, structural_reasons, scored_candidates, action_tally, card_groups)}
 
-_SYN = "syn as (select * from (values " + ", ".join(f"('{k}', '{s}')" for k, v in lx.SYNONYMS.items() for s in v.split()) + ") v(token, synonym))"
+_SYN = "syn as (select * from (values " + ", ".join(f"('{k}', '{s}')" for k, v in lx.SYNONYMS.items() for s in v.split(", ")) + ") v(token, synonym))"
 _BASE = f"with recursive {q.with_views('cue_docs', 'existing')}, {_SYN}"
 _TERMS = cdp.ORACLES["original_terms"].split(", a as (select source_id, list_concat(")[1].split(") as terms from cue_docs)")[0]
 
@@ -108,14 +108,15 @@ _STRIPPED = "regexp_replace(title, '^[\\s\"''“”‘’.,;:()\\[\\]{}]+|[\\s\"
 #: Candidates with their original terms as one string ``terms``.
 _CAND = f"""{cdp.plain_sql('cue_docs')},
   ct as (select candidate_id, source_id, type, title, summary, begin, stop, refs, evidence_text, {q.one_line(_STRIPPED)} as tt,
-    (select string_agg(l.line, chr(10) order by l.ln) from {q.lines('cue_docs')} l where l.source_id = cand.source_id and l.begin >= cand.begin and l.stop <= cand.stop) as source_text from cand),
+    (select string_agg(l.line, chr(10) order by l.ln) from {q.lines('cue_docs')} l where l.source_id = candr.source_id and l.begin >= candr.begin and l.stop <= candr.stop) as source_text from candr),
   ta as (select *, concat(title, chr(10), summary, chr(10), source_text) as text from ct),
   tb as (select * exclude (text), text, list_concat({_TERMS}) as raw_terms from ta),
   tc as (select candidate_id, i, raw_terms[i] as term from (select candidate_id, list_filter(raw_terms, lambda t: length(t) between 2 and 80 and t not in ({cdp._NOISE_A})) as raw_terms from tb) a, unnest(range(1, len(raw_terms) + 1)) as u(i)),
   td as (select candidate_id, arg_min(term, i) as term, min(i) as i from tc group by candidate_id, lower(term) qualify row_number() over (partition by candidate_id order by min(i)) <= 12),
   te as (select candidate_id, term, i from td union all select candidate_id, tt, 0 from ct where type = 'concept' and length(tt) between 2 and 80 and len(string_split(tt, ' ')) <= 6 and not {q.demoted('tt')}),
   tf as (select candidate_id, term, min(i) as i from te group by 1, 2 qualify row_number() over (partition by candidate_id order by min(i)) <= 12),
-  c1 as (select tb.candidate_id, source_id, type, title, summary, begin, stop, refs, evidence_text, coalesce(string_agg(term, ' ' order by i), '') as terms from tb left join tf on tf.candidate_id = tb.candidate_id group by all)"""
+  tg as (select lead_id as candidate_id, term, min(no * 1000000 + i) as i from tf join candl using (candidate_id) group by 1, 2 qualify row_number() over (partition by lead_id order by min(no * 1000000 + i)) <= 12),
+  c1 as (select cand.candidate_id, source_id, type, title, summary, begin, stop, refs, n_refs, evidence_text, coalesce(string_agg(term, ' ' order by i), '') as terms from cand left join tg on tg.candidate_id = cand.candidate_id group by all)"""
 
 
 def _tok(name: str, table: str, key: str, text: str, hops: int = 0) -> str:
@@ -158,8 +159,8 @@ _REASON = f"""ra as (select *, {q.trimmed('title')} as t, array_to_string(list_f
     when silent and type <> 'quotation' and len(ws) between 2 and 5 and np + ni + nn = len(ws) and ns = 0 and (nn >= 2 or (nn >= 1 and (ni >= 1 or np >= 1)))
       and ((len(bl) > 0 and len(list_filter(bl[1:4], lambda x: not {q.has('x', lx.CAPS_NAMES)})) = 0) or ({q.compact('t')} <> '' and {q.compact('body')} <> '' and (contains({q.compact('t')}, {q.compact('body')}) or contains({q.compact('body')}, {q.compact('t')}))) or {_labels('body')}) then 'person_name' end as reason from rc)"""
 _SCORED = f"""{_BASE}, {_CAND}, {_BEST}, {_FIT}, {_ANCHOR}, {_REASON},
-  sa as (select d.candidate_id, type, reason, sim, target, concat_ws(chr(10), title, summary, evidence_text) as hay, least(n_matched, 3) as schema_fit, coalesce(not later, false) as held, coalesce(not later, false) and n_text >= 200 as long_text, title from c1 d join be using (candidate_id) join sf using (candidate_id) join rs using (candidate_id) left join an using (candidate_id)),
-  sb as (select candidate_id, type, reason, sim, target, schema_fit, least({q.claims('hay')}, 3) as claim_strength, held::int + long_text::int as evidence_quality,
+  sa as (select d.candidate_id, type, reason, sim, target, concat_ws(chr(10), title, summary, evidence_text) as hay, least(n_matched, 3) as schema_fit, coalesce(not later, false) as held, coalesce(not later, false) and n_text >= 200 as long_text, n_refs >= 2 as many, title from c1 d join be using (candidate_id) join sf using (candidate_id) join rs using (candidate_id) left join an using (candidate_id)),
+  sb as (select candidate_id, type, reason, sim, target, schema_fit, least({q.claims('hay')}, 3) as claim_strength, least(held::int + long_text::int + many::int, 3) as evidence_quality,
     (type in ('concept', 'argument', 'method', 'objection'))::int + (length({q.trimmed('title')}) >= 6)::int as reusability, case when sim >= 0.5 then 0 when sim >= 0.2 then 1 else 2 end as novelty,
     least({q.has('hay', lx.BOUNDARY_SCORE_CUE)}::int + 1 + (type = 'quotation')::int, 3) as boundary, {' + '.join(f'{s}::int' for s in q.demotions('hay').values())} as kinds from sa),
   sd as (select *, case when reason is not null then -99 else -3 * kinds end as penalty from sb),
