@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
-from gleanery.llm.common import checkpoint, load
+from gleanery.llm.common import checkpoint, load, packed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,16 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with ``copies`` and ``taken``; repeated rows are paired with their draws one by one."""
+    """Documents that the mix takes, with ``copies`` and ``taken``; repeated rows are paired with their draws one by one.
+
+    Given columns of these names stay, and the mix's are then ``mix_copies`` and ``mix_taken``.
+    """
     draws = mixing.mix(docs.select("doc_id", "text", "source"))
-    draws = draws.select(F.col("key").alias("mix_key"), "copies", (F.col("size") * F.col("copies")).alias("taken"), F.row_number().over(Window.partitionBy("key").orderBy("copies")).alias("mix_no"))
-    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken")], key.alias("mix_key"))
-    rows = rows.withColumn("mix_no", F.row_number().over(Window.partitionBy("mix_key").orderBy("source")))
-    return rows.join(draws, ["mix_key", "mix_no"]).where("copies > 0").drop("mix_key", "mix_no")
+    draws = draws.select("key", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.row_number().over(Window.partitionBy("key").orderBy("copies")).alias("no"))
+    rows = packed(docs).withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy("row.source")))
+    names = {c.lower() for c in docs.columns}
+    added = [F.col(c).alias(c if c not in names else f"mix_{c}") for c in ("copies", "taken")]
+    return rows.join(draws, ["key", "no"]).where("copies > 0").select("row.*", *added)
 
 
 STAGES = [

@@ -18,6 +18,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def only(df: DataFrame, test: Column) -> DataFrame:
+    """The rows for which ``test`` holds. It is judged behind a generator: a plain filter would be moved below the columns that it reads, with all their expressions written out in it, several times over."""
+    return df.withColumn("_holds", F.explode_outer(F.array(F.coalesce(test, F.lit(False))))).where("_holds").drop("_holds")
+
+
 def has(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 
@@ -44,25 +54,30 @@ def one_line(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), java(r"\s+"), " "))
 
 
-def truncated(text: Column | str, most: int) -> Column:
-    clean = one_line(text)
+def cut(clean: Column, most: int) -> Column:
     return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most - 1), F.lit("…"))).otherwise(clean)
 
 
+def truncated(text: Column | str, most: int) -> Column:
+    return let(one_line(text), lambda clean: cut(clean, most))
+
+
 def clean_evidence(text: Column | str) -> Column:
     """Blanks collapsed line by line, empty lines dropped, cut at the evidence limit."""
     lines = F.transform(F.split(col(text), "\r?\n"), lambda x: trimmed(F.regexp_replace(x, "[ \t]+", " ")))
-    clean = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    return F.when(F.length(clean) > lx.EVIDENCE_CHARS, F.concat(F.substring(clean, 1, lx.EVIDENCE_CHARS - 1), F.lit("…"))).otherwise(clean)
+    return let(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), lambda clean: cut(clean, lx.EVIDENCE_CHARS))
 
 
 def cut_at_word(text: Column | str, most: int) -> Column:
     """At most ``most`` characters, up to the last blank if that is beyond 65 % of them."""
-    clean = one_line(text)
-    head = F.substring(clean, 1, most + 1)
-    last = most + 1 - F.instr(F.reverse(head), " ")  # characters before the last blank
-    cut = F.when((F.instr(head, " ") > 0) & (last >= int(most * 0.65)), F.substring(head, F.lit(1), last)).otherwise(F.substring(clean, 1, most))
-    return F.when(F.length(clean) <= most, clean).otherwise(F.trim(cut))
+
+    def shortened(clean: Column) -> Column:
+        head = F.substring(clean, 1, most + 1)
+        last = most + 1 - F.instr(F.reverse(head), " ")  # characters before the last blank
+        kept = F.when((F.instr(head, " ") > 0) & (last >= int(most * 0.65)), F.substring(head, F.lit(1), last)).otherwise(F.substring(clean, 1, most))
+        return F.when(F.length(clean) <= most, clean).otherwise(F.trim(kept))
+
+    return let(one_line(text), shortened)
 
 
 def claim_count(text: Column | str) -> Column:
@@ -111,12 +126,14 @@ def typed(df: DataFrame, text: str, out: str = "type") -> DataFrame:
 
 def prose_title(text: Column | str) -> Column:
     """The first sentence without its connector or reporting verb, cut at 120 characters."""
-    clean = one_line(text)
-    sentence = group(clean, lx.SENTENCE_HEAD, 0)
-    title = F.when(sentence == "", clean).otherwise(sentence)
-    for pattern in lx.TITLE_DROPS:
-        title = F.regexp_replace(title, java(pattern), "")
-    return cut_at_word(F.when(title == "", clean).otherwise(title), 120)
+
+    def dropped(title: Column) -> Column:
+        for pattern in lx.TITLE_DROPS:
+            title = F.regexp_replace(title, java(pattern), "")
+        return title
+
+    or_else = lambda a, b: let(a, lambda x: F.when(x == "", b).otherwise(x))
+    return cut_at_word(let(one_line(text), lambda clean: or_else(dropped(or_else(group(clean, lx.SENTENCE_HEAD, 0), clean)), clean)), 120)
 
 
 def with_definition(df: DataFrame, line: str, out: str = "definition") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import persisted
+from ..sources.store import persisted, shared_folder
 
 #: ASCII white space: what separates words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,6 +20,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return persisted(df)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet, compressed, to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A hash of a row's id and text."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))

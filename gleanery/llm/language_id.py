@@ -1,7 +1,7 @@
 """Language identification of web pages by Bayesian evidence fusion.
 
 A naive Bayes model over hashed letter trigrams is fitted on at most
-``SAMPLE_ROWS`` labelled documents (those of least hash of their id).  For each
+``SAMPLE_ROWS`` labelled documents (those of least hashes of id and content).  For each
 page it gives the likelihood of its text under each language.  The page's
 posterior joins that with the declared language of its markup and with priors
 of its address: suffix, registered domain and host.  The priors and the
@@ -11,8 +11,10 @@ taken out of its host's sums.
 
 Cases: null or empty pages, and pages without letters, are decided by address
 and declaration alone; a null or odd address has empty host, domain and suffix;
-repeated rows each give their row; without labelled documents no language is
-known and ``lang`` is null; an empty table of pages gives no rows.
+repeated rows each give their row, and count once in the sample; without labelled
+documents no language is known and ``lang`` is null; an empty table of pages gives
+no rows; a page or document of any length is read whole, in one row; other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +49,16 @@ def trigrams(text: str | None) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities (languages x buckets) of trigrams, from a bounded sample."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample_rows).select("lang", "t")
+    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col), F.col(lang_col)).alias("h2"))
+    # the hashes alone are put in order, and of them those below a bound that some eight times the sample should fall under
+    n = rows.count()
+    below = F.col("h") < min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (8 * sample_rows + 1000) / max(n, 1))))
+    held = rows.where(below).select("h", "h2").orderBy("h", "h2").limit(sample_rows).collect()  # sample_rows pairs of numbers
+    if len(held) < min(sample_rows, n):
+        held = rows.select("h", "h2").orderBy("h", "h2").limit(sample_rows).collect()
+    last = max(((r["h"], r["h2"]) for r in held), default=(-(2**63), -(2**63)))
+    # rows equal to the last one in both hashes are equal texts: all of them stay, or none would be left of a table of repeats
+    sample = rows.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("h2") <= last[1]))).dropDuplicates(["h", "h2"]).select("lang", "t")
 
     def count(batches):
         for b in batches:
@@ -121,7 +132,7 @@ def fuse(found: DataFrame, names: list[str], strength: float = STRENGTH) -> Data
     suffixes = smoothed(suffix, "suffix", total, None, "s", "w")
     domains = smoothed(domain, "domain", suffixes, "suffix", "d", "s").drop("suffix")
     priors = host.join(domains, "domain").select("host", F.col("n").alias("hn"), *[F.col(f"p{k}").cast("double").alias(f"h{k}") for k in langs], *[f"d{k}" for k in langs])
-    joined = soft.join(priors, "host").join(declared, "declared")
+    joined = soft.join(priors, "host").join(F.broadcast(declared), "declared")  # two or three letters: 18,279 values at most
     # the host's sums without this page, smoothed towards its domain
     post = [F.get("ll", F.lit(k)) + F.log((F.greatest(F.col(f"h{k}") - F.col(f"p{k}").cast("double"), F.lit(0.0)) + strength * F.col(f"d{k}")) / (F.col("hn") - 1 + strength)) + F.col(f"c{k}") for k in langs]
     scored = joined.select("page_id", "declared", "host", F.array(*post).alias("lp"), "ll")

@@ -5,11 +5,15 @@ every match must contain, for each clause, all trigrams of one alternative.
 The index holds, for the trigrams that any query names, one posting for each
 document that contains it.  Postings are intersected by a grouped bitwise or,
 and only documents that satisfy a rule's query are verified with its regular
-expression.  Rules without a mandatory trigram scan every text.
+expression.  Rules without a mandatory trigram scan every text.  Bits of the
+candidates' keys (of bounded size) split the texts: those without a candidate
+rule are never shuffled, the others meet their rules by a join.
 
 Cases: a null or empty text has no spans; repeated rows each give their row;
 documents of one key only share the candidate rules, which are verified row by
-row; an empty table gives no rows.  Offsets are code points, ends exclusive.
+row; an empty table gives no rows; a text of any length is scanned whole, in its
+row; other columns aren't read, whatever their names.  Offsets are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, flagged, row_key
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: matches of ``pattern`` whose ``group`` has ``least`` characters or more."""
@@ -145,17 +152,26 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     with_grams = [r for r in rules if trigram_query(r.pattern)]
     grams = sorted({g for r in with_grams for clause in trigram_query(r.pattern) for s in clause for g in s})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    if grams:
-        keyed = keyed.join(candidates(build_index(keyed.select("key", "text"), grams), with_grams), "key", "left")
-    else:
-        keyed = keyed.withColumn("rules", F.lit(None).cast("array<string>"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    if not grams:
+        return verify(keyed.withColumn("rules", F.lit(None).cast("array<string>")), rules)
+    met = checkpoint(candidates(build_index(keyed.select("key", "text"), grams), with_grams))
+    split = flagged(keyed, F.col("key"), met.select("key"), met.count(), "asked")
+    rest = split.where("not asked").select("doc_id", "text", F.lit(None).cast("array<string>").alias("rules"))
+    asked = split.where("asked").join(met, "key", "left").select("doc_id", "text", "rules")
+    # a pattern without trigrams is the only one that the rest is asked
+    return verify(asked, rules).unionByName(verify(rest, rules, only=[r for r in rules if r not in with_grams]))
+
+
+def verify(texts: DataFrame, rules: tuple[Rule, ...], only: list[Rule] | None = None) -> DataFrame:
+    """``doc_id`` and ``spans`` of rows (doc_id, text, rules): a rule with trigrams is tried only where ``rules`` has its kind."""
     found = []
     for k, rule in enumerate(rules):
-        spans = F.expr(_spans(rule, k))
-        ask = F.col("text").rlike(rule.pattern) & (F.array_contains("rules", rule.kind) if rule in with_grams else F.lit(True))
-        found.append(F.when(ask, spans).otherwise(F.expr(_NONE)))
-    return keyed.select("doc_id", F.sort_array(F.concat(*found)).alias("spans"))
+        if only is not None and rule not in only:
+            continue
+        spans = F.when(F.col("text").rlike(rule.pattern), F.expr(_spans(rule, k))).otherwise(F.expr(_NONE))
+        found.append(F.when(F.array_contains("rules", rule.kind), spans).otherwise(F.expr(_NONE)) if trigram_query(rule.pattern) else spans)
+    return texts.select("doc_id", F.sort_array(F.concat(F.expr(_NONE), *found)).alias("spans"))
 
 
 def render(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

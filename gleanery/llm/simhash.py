@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, packed
 from .components import components
 
 TAU = 3
@@ -269,11 +269,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """One row of each group of near-duplicates: the one of smallest id, repeated rows once; columns as given."""
-    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    leads = near_duplicates(docs.select("doc_id", "text"), tau).select(F.col("first_key").alias("lead_key")).distinct()
-    kept = docs.withColumn("lead_key", key).join(leads, "lead_key", "left_semi")
-    return kept.dropDuplicates(["lead_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near-duplicates: the one of smallest id, repeated rows once; columns as given, whatever their names."""
+    leads = near_duplicates(docs.select("doc_id", "text"), tau).select(F.col("first_key").alias("key")).distinct()
+    return packed(docs).join(leads, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def raw_plain_candidates(sources: DataFrame) -> DataFrame:
         F.when(F.col("rule.type") == "quotation", tx.clean_evidence("context")).otherwise(F.col("line")).alias("evidence_text"),
     )
     ref = F.when(F.col("first_line") == F.col("last_line"), F.concat("source_id", F.lit("#line-"), F.col("first_line") + 1)).otherwise(F.concat("source_id", F.lit("#lines-"), F.col("first_line") + 1, F.lit("-"), F.col("last_line") + 1))
-    prose = tx.typed(sg.prose_blocks(ruled), "text").where("type is not null").select(
+    prose = tx.only(tx.typed(sg.prose_blocks(ruled), "text"), F.col("type").isNotNull()).select(
         "source_id", "type", tx.prose_title("text").alias("title"), tx.truncated("text", 300).alias("summary"), "begin", "stop", F.array(ref).alias("refs"), F.col("text").alias("source_text"), tx.clean_evidence("text").alias("evidence_text")
     )
     return finished(taken.unionByName(prose))
@@ -94,7 +94,8 @@ def raw_markdown_candidates(sources: DataFrame) -> DataFrame:
             F.when((F.col("kind") == "blockquote") & (F.length(quote) >= 8), row("quotation", F.substring(F.get(F.split(quote, "\n"), F.lit(0)), 1, 80), F.when(F.length(quote) > 240, F.concat(F.substring(quote, 1, 237), F.lit("…"))).otherwise(quote), F.col("stop"), F.array(ref("no")), F.col("raw"))),
         )
     )
-    rows = blocks.select("source_id", "begin", F.explode(found).alias("c")).select("source_id", "begin", "c.*")
+    # not explode: of it a filter on the array's size is inferred, which would build the array twice
+    rows = blocks.select("source_id", "begin", F.explode_outer(found).alias("c")).where("c is not null").select("source_id", "begin", "c.*")
     return finished(rows.withColumn("evidence_text", F.col("source_text")))
 
 

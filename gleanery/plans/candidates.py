@@ -13,12 +13,12 @@ from . import sqltext as q
 
 
 def definition_lines(spark, sf_dir):
-    lines = tx.with_definition(sg.lines(sgp.cue_docs(spark, sf_dir)), "line", "d").where("d is not null")
+    lines = tx.only(tx.with_definition(sg.lines(sgp.cue_docs(spark, sf_dir)), "line", "d"), F.col("d").isNotNull())
     return lines.select("source_id", "ln", "d.title", F.md5("d.summary").alias("summary_md5"))
 
 
 def quotation_lines(spark, sf_dir):
-    lines = sg.lines(sgp.cue_docs(spark, sf_dir)).withColumn("quote", tx.quotation("line")).where("quote is not null")
+    lines = tx.only(sg.lines(sgp.cue_docs(spark, sf_dir)).withColumn("quote", tx.quotation("line")), F.col("quote").isNotNull())
     return lines.select("source_id", "ln", "quote")
 
 
