@@ -89,6 +89,31 @@ SHORT_PROSE, PROSE, LONG_PROSE = 35, 80, 900
 CHUNK_CHARS, BATCH_CHUNKS, EVIDENCE_CHARS, CONTEXT_LINE = 1800, 8, 900, 260
 QUOTE_CHARS, MAX_TERMS, MAX_REFS, TOP_CARDS, CARD_CHUNKS = 600, 12, 12, 8, 4
 
+# ---- fixed values: bibliographic lines ----
+BIB_CHARS, BIB_LINES, BIB_TITLE_LINES, BIB_FIELD, BIB_TITLE, BIB_DISPLAY = 16_000, 90, 40, 120, 150, 220
+BIB_NOISE = [
+    r"\A\d{1,4}\z",
+    r"\A[-–—_*=\s]+\z",
+    r"(?i)\bisbn\b|copyright|all rights reserved|printed in|published by|table of contents|contents\b",
+    r"(?i)\A(?:목\s*차|차례|참고문헌|색인|bibliography|references|index)\z",
+    r"(?i)\A(?:chapter|part|section)\s+\d+",
+    r"(?i)\Apage\s+\d+",
+]
+BIB_NOT_TITLE = [r"(?i)\A(?:by|edited by|translated by)\b", r"\A(?:저자|지은이|글|옮긴이|역자|번역|출판사?)\s*[:：]"]
+BIB_AUTHOR_KO = r"(?:저자|지은이|글)\s*[:：]\s*([^\n]+)\z"
+BIB_AUTHOR = r"(?i)\bby\s+([^\n]+)\z"
+BIB_AUTHOR_DROPS = [r"(?i)\btranslated by\b[^\n]+\z", r"(?i)\bedited by\b[^\n]+\z"]
+BIB_TRANSLATOR_KO = r"(?:옮긴이|역자|번역)\s*[:：]\s*([^\n]+)\z"
+BIB_TRANSLATOR = r"(?i)\btranslated by\s+([^\n]+)\z"
+BIB_PUBLISHER_KO = r"(?:출판사|출판|펴낸곳)\s*[:：]\s*([^\n]+)\z"
+BIB_PUBLISHER = r"(?i)\b(?:press|publishing|publisher|books|verlag|academic|university)\b|(?:출판|출판부|출판사|대학교출판)"
+BIB_YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
+BIB_TRIM = r"\A[,.:;|\-–—\s]+|[,.:;|\-–—\s]+\z"
+
+# ---- fixed values: orders of decisions and actions ----
+DECISIONS = ("approved", "pending", "held", "discarded")
+ACTIONS = ("create_new", "update_existing", "link_only", "ignore")
+
 # ---- fixed values: one-hop synonyms of a token ----
 SYNONYMS = {
     "typology": "모형론, 예표론",

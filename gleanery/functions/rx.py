@@ -15,7 +15,7 @@ _JAVA_BEFORE, _JAVA_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def _spelled(pattern: str, space: str, before: str, after: str) -> str:
-    """``\\b`` is one before a word if a letter, group or class follows it."""
+    """``\\b`` is one before a word at the begin of a pattern, group or alternative, else one after a word."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -24,8 +24,8 @@ def _spelled(pattern: str, space: str, before: str, after: str) -> str:
         elif two == r"\S" and not inside:
             out.append(f"[^{space}]")
         elif two == r"\b":
-            follows = pattern[i + 2 : i + 3]
-            out.append(before if follows.isalnum() or follows and follows in "([" else after)
+            head = pattern[:i]
+            out.append(before if not head or head.endswith("(?i)") or head[-1] in "(|" else after)
         elif two[:1] == "\\":
             out.append(two)
         else:

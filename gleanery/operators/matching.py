@@ -104,20 +104,24 @@ def best_node(queries: DataFrame, nodes: DataFrame, table: DataFrame, graded: bo
 def anchored(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """candidate_id, chunk_id, chunk_ord, how: the first chunk of the source that holds the candidate's begin, else the first that overlaps it."""
     c = candidates.select("candidate_id", "source_id", "begin", "stop")
-    k = chunks.select("source_id", "chunk_id", "ord", F.col("begin").alias("cb"), F.col("stop").alias("ce"), F.length(tx.trimmed(F.col("text"))).alias("n_text"))
+    k = chunks.select("source_id", "chunk_id", "ord", F.col("begin").alias("cb"), F.col("stop").alias("ce"), F.length(tx.trimmed(F.col("text"))).alias("n_text"), (F.size("path") if "path" in chunks.columns else F.lit(0)).alias("n_path"))
     inside = (F.col("begin") >= F.col("cb")) & (F.col("begin") < F.col("ce"))
     over = (F.col("begin") < F.col("ce")) & (F.col("stop") > F.col("cb"))
-    met = c.join(k, "source_id").where(inside | over).groupBy("candidate_id").agg(F.min(F.struct((~inside).alias("later"), "ord", "chunk_id", "n_text")).alias("k"))
-    return c.select("candidate_id", "source_id").join(met, "candidate_id", "left").select("candidate_id", "source_id", "k.chunk_id", F.col("k.ord").alias("chunk_ord"), F.col("k.n_text"), F.when(F.col("k.later"), "overlap").when(~F.col("k.later"), "inside").otherwise("none").alias("how"))
+    met = c.join(k, "source_id").where(inside | over).groupBy("candidate_id").agg(F.min(F.struct((~inside).alias("later"), "ord", "chunk_id", "n_text", "n_path")).alias("k"))
+    return c.select("candidate_id", "source_id").join(met, "candidate_id", "left").select("candidate_id", "source_id", "k.chunk_id", F.col("k.ord").alias("chunk_ord"), F.col("k.n_text"), F.col("k.n_path"), F.when(F.col("k.later"), "overlap").when(~F.col("k.later"), "inside").otherwise("none").alias("how"))
 
 
 def neighbours(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """candidate_id and the chunks around its own (one before, one after); all of its source if it has none."""
     order = Window.partitionBy("source_id").orderBy("ord")
     around = chunks.select("source_id", "ord", F.collect_list("chunk_id").over(order.rowsBetween(-1, 1)).alias("near"))
-    everything = chunks.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]).alias("all_chunks"))
-    hit = anchored(candidates, chunks).join(around.withColumnRenamed("ord", "chunk_ord"), ["source_id", "chunk_ord"], "left").join(everything, "source_id", "left")
-    return hit.select("candidate_id", "source_id", F.coalesce("near", "all_chunks", F.array().cast("array<string>")).alias("chunk_ids"))
+    found = anchored(candidates, chunks)
+    hit = found.where("chunk_ord is not null").join(around.withColumnRenamed("ord", "chunk_ord"), ["source_id", "chunk_ord"]).select("candidate_id", "source_id", F.col("near").alias("chunk_ids"))
+    rest = found.where("chunk_ord is null").select("candidate_id", "source_id")
+    # all chunks of a source: only of those that a candidate without its own is from
+    asked = chunks.join(rest.select("source_id").distinct(), "source_id", "left_semi").groupBy("source_id")
+    everything = asked.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]).alias("all_chunks"))
+    return hit.unionByName(rest.join(everything, "source_id", "left").select("candidate_id", "source_id", F.coalesce("all_chunks", F.array().cast("array<string>")).alias("chunk_ids")))
 
 
 def schema_fit(candidates: DataFrame, keywords: DataFrame, table: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..functions import text as tx
 
 # ---- fixed values: text-quality limits ----
 BLANK, LOW, GOOD = 10, 80, 180
-_YEAR = r"(?:^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})(?:[^0-9]|$)"
 
 
 def text_quality(pages: DataFrame) -> DataFrame:
@@ -46,15 +48,71 @@ def page_cleanup(text: Column) -> Column:
 
 
 def bibliography(sources: DataFrame) -> DataFrame:
-    """source_id, title, year, publisher_line: the first fitting lines among the first 90 with text."""
+    """source_id, title, author, translator, publisher, year, confidence, display_title: of each field the first fitting line.
+
+    A title is the rest of the first line with "by", else the nearest fitting one of the five lines before it, else
+    the first fitting line of all, else the file's name (column ``filename``, if ``sources`` has it).
+    """
+    name = F.col("filename") if "filename" in sources.columns else F.lit(None).cast("string")
+    text = F.substring(F.regexp_replace("text", "\f", "\n"), 1, lx.BIB_CHARS)
+    compact = tx.one_line(F.regexp_replace("raw", r"[\x00-\x1f]+", " "))
+    lines = sources.select("source_id", F.posexplode(F.split(text, "\r?\n")).alias("ln", "raw")).select("source_id", "ln", compact.alias("line")).where("line <> ''")
     order = Window.partitionBy("source_id").orderBy("ln")
-    lines = sources.select("source_id", F.posexplode(F.split("text", "\n")).alias("ln", "raw")).select("source_id", "ln", tx.one_line("raw").alias("line")).where("line <> ''")
-    lines = lines.withColumn("no", F.row_number().over(order)).where("no <= 90")
-    digits = F.regexp_count("line", F.lit("[0-9]"))
-    title = F.length("line").between(6, 150) & (digits <= 0.35 * F.length("line"))
-    first = lambda value, test: F.min_by(F.when(test, value), F.when(test, F.col("no")))
-    year = F.regexp_extract("line", _YEAR, 1)
-    return lines.groupBy("source_id").agg(first(F.col("line"), title).alias("title"), first(year, year != "").alias("year"), first(F.col("line"), F.col("line").rlike(r"(?i)(?<![A-Za-z0-9_])(?:press|publisher|publishing|university|verlag)(?![A-Za-z0-9_])")).alias("publisher_line"))
+    lines = lines.withColumn("no", F.row_number().over(order)).where(F.col("no") <= lx.BIB_LINES)
+    line = F.col("line")
+    lines = lines.withColumn("fits", _title_candidate(line)).withColumn("noise", _noise(line)).withColumn("by", tx.has(line, lx.BIB_AUTHOR))
+    before = F.last(F.when(F.col("fits"), line), ignorenulls=True).over(order.rowsBetween(-5, -1))
+    rest = tx.trimmed(F.regexp_replace(line, tx.java(lx.BIB_AUTHOR), ""))
+    by_title = F.coalesce(F.when(_title_candidate(rest), rest), before)
+    author = tx.group(line, lx.BIB_AUTHOR, 1)
+    for drop in lx.BIB_AUTHOR_DROPS:
+        author = F.regexp_replace(author, tx.java(drop), "")
+    labelled = lambda pattern: _clamped(tx.group(line, pattern, 1), lx.BIB_FIELD)
+    fields = {
+        "author_ko": F.when(tx.has(line, lx.BIB_AUTHOR_KO), labelled(lx.BIB_AUTHOR_KO)),
+        "author_en": F.when(F.col("by"), tx.let(_clamped(author, lx.BIB_FIELD), lambda x: F.when((x != "") & ~_noise(x), x))),
+        "translator_ko": F.when(tx.has(line, lx.BIB_TRANSLATOR_KO), labelled(lx.BIB_TRANSLATOR_KO)),
+        "translator_en": F.when(tx.has(line, lx.BIB_TRANSLATOR), labelled(lx.BIB_TRANSLATOR)),
+        "publisher_ko": F.when(tx.has(line, lx.BIB_PUBLISHER_KO), labelled(lx.BIB_PUBLISHER_KO)),
+        "publisher_en": F.when(~F.col("noise") & tx.has(line, lx.BIB_PUBLISHER), _clamped(line, lx.BIB_FIELD)),
+        "year": F.when(tx.has(line, lx.BIB_YEAR), tx.group(line, lx.BIB_YEAR, 1)),
+        "first_title": F.when(F.col("fits") & (F.col("no") <= lx.BIB_TITLE_LINES), _clamped(line, lx.BIB_TITLE)),
+    }
+    marked = lines.select("source_id", "no", *[v.alias(k) for k, v in fields.items()], F.when(F.col("by"), F.struct("no", _clamped(by_title, lx.BIB_TITLE).alias("title"))).alias("by_line"))
+    first = [F.min_by(k, F.when(F.col(k).isNotNull(), F.col("no"))).alias(k) for k in fields]
+    found = sources.select("source_id", name.alias("filename")).join(marked.groupBy("source_id").agg(*first, F.min("by_line").alias("by_line")), "source_id", "left")
+    either = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
+    title = F.coalesce("by_line.title", "first_title")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("filename", r"\.[^.]+\z", ""), r"[_\-]+", " "), r"\s*\(\d+\)\s*\z", "")
+    file_title = F.coalesce(F.nullif(_clamped(bare, 140), F.lit("")), F.col("filename"))
+    file_year = F.nullif(tx.group(F.col("filename"), lx.BIB_YEAR, 1), F.lit(""))
+    found = found.select(
+        "source_id", F.coalesce(title, file_title).alias("title"), either("author_ko", "author_en").alias("author"), either("translator_ko", "translator_en").alias("translator"),
+        either("publisher_ko", "publisher_en").alias("publisher"), F.coalesce("year", file_year).alias("year"), F.when(title.isNotNull(), "heuristic").otherwise("filename_fallback").alias("confidence"),
+    )
+    return found.withColumn("display_title", display_title())
+
+
+def display_title() -> Column:
+    """Title, author, translator, publisher and year in one line."""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    parts = F.concat_ws(" · ", some("author"), F.concat(F.lit("역자 "), some("translator")), some("publisher"), some("year"))
+    base = F.coalesce(some("title"), F.lit("제목 미상"))
+    return F.when(parts == "", base).otherwise(_clamped(F.concat(base, F.lit(" — "), parts), lx.BIB_DISPLAY))
+
+
+def _clamped(value: Column, most: int) -> Column:
+    clean = F.regexp_replace(tx.one_line(F.regexp_replace(value, r"[\x00-\x1f]+", " ")), tx.java(lx.BIB_TRIM), "")
+    return tx.let(clean, lambda c: F.when(F.length(c) > most, F.concat(tx.trimmed(F.substring(c, 1, most - 1)), F.lit("…"))).otherwise(c))
+
+
+def _noise(line: Column) -> Column:
+    return reduce(lambda a, b: a | b, [tx.has(line, p) for p in lx.BIB_NOISE])
+
+
+def _title_candidate(line: Column) -> Column:
+    fits = F.length(line).between(6, lx.BIB_TITLE) & (F.regexp_count(line, F.lit("[0-9]")) <= 0.35 * F.length(line))
+    return reduce(lambda a, b: a & ~b, [tx.has(line, p) for p in lx.BIB_NOT_TITLE], fits & ~_noise(line))
 
 
 def sniffed(files: DataFrame) -> DataFrame:

@@ -170,9 +170,3 @@ def prompts(batched: DataFrame) -> DataFrame:
     part = F.concat(F.lit("- chunk_id: "), "chunk_id", F.lit("\n    "), F.regexp_replace("text", "\n", "\n    "))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))), lambda x: x["part"])
     return batched.groupBy("source_id", "batch").agg(F.concat_ws("\n", F.concat(F.lit("source: "), F.col("source_id")), F.array_join(parts, "\n"), F.lit("Answer with one JSON object: wiki_candidates.")).alias("prompt"))
-
-
-def top_cards(scored: DataFrame, n: int = lx.TOP_CARDS) -> DataFrame:
-    """The ``n`` first cards by total, action, source and id."""
-    rank = F.when(F.col("action") == "create_new", 0).when(F.col("action") == "update_existing", 1).when(F.col("action") == "link_only", 2).otherwise(3)
-    return scored.withColumn("action_rank", rank).orderBy(F.desc("total"), "action_rank", "source_id", "candidate_id").limit(n)

@@ -9,23 +9,22 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from . import matching as mt
 
-ACTIONS = ("create_new", "update_existing", "link_only", "ignore")
-
 
 def scored(candidates: DataFrame, chunks: DataFrame, keywords: DataFrame, entries: DataFrame, table: DataFrame) -> DataFrame:
-    """The candidates' sub-scores, total, structural reason, recommended action, target and rationale."""
+    """The candidates' (with ``page``, if they have one) sub-scores, total, structural reason, recommended action, target and rationale."""
     rows = tx.with_structural_reason(candidates, "type", "title", F.col("summary"), F.col("evidence_text"))
     rows = rows.withColumn("_hay", F.concat_ws("\n", "title", "summary", "evidence_text"))
     rows = rows.withColumn("kinds", tx.demotion_kinds("_hay")).withColumn("claims", tx.claim_count("_hay")).withColumn("bounded", tx.has(F.col("_hay"), lx.BOUNDARY_SCORE_CUE))
     rows = rows.join(mt.schema_fit(candidates, keywords, table), "candidate_id").join(mt.anchored(candidates, chunks).drop("source_id"), "candidate_id").join(mt.best_entry(candidates, entries, table), "candidate_id")
     flag = lambda c: F.when(c, 1).otherwise(0)
     held, many = F.col("how") == "inside", F.size("refs") >= 2
+    paged = F.col("page").isNotNull() if "page" in candidates.columns else F.lit(False)
     rows = rows.select(
         "candidate_id", "source_id", "type", "reason", "kinds", "target", "sim", "matched", "begin",
         F.least("n_matched", F.lit(3)).cast("int").alias("schema_fit"),
         F.least(F.greatest("claims", F.lit(0)), F.lit(3)).cast("int").alias("claim_strength"),
-        F.least(flag(held) + flag(held & (F.col("n_text") >= 200)) + flag(many), F.lit(3)).alias("evidence_quality"),
-        (flag(F.col("type").isin("concept", "argument", "method", "objection")) + flag(F.length(tx.trimmed(F.col("title"))) >= 6)).alias("reusability"),
+        F.least(flag(held) + flag(held & (F.col("n_text") >= 200)) + flag(paged) + flag(many), F.lit(3)).alias("evidence_quality"),
+        (flag(F.col("type").isin("concept", "argument", "method", "objection")) + flag(held & (F.col("n_path") > 0)) + flag(F.length(tx.trimmed(F.col("title"))) >= 6)).alias("reusability"),
         F.when(F.col("sim") >= lx.SIM_UPDATE, 0).when(F.col("sim") >= lx.SIM_LINK, 1).otherwise(2).alias("novelty"),
         F.least(flag(F.col("bounded")) + 1 + flag(F.col("type") == "quotation"), F.lit(3)).alias("boundary"),
         F.when(F.col("reason").isNotNull(), -99).otherwise(-3 * F.size("kinds")).alias("penalty"),

@@ -111,6 +111,20 @@ def chunks(sources: DataFrame, most: int = lx.CHUNK_CHARS) -> DataFrame:
     return cut.select("source_id", "ord", ids.alias("chunk_id"), "path", "begin", "stop", "text", F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"))
 
 
+def page_documents(pages: DataFrame) -> DataFrame:
+    """source_id, text, page_starts of pages (source_id, page, text): pages joined by form feeds, and where each begins."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", tx.normalized("text").alias("text"))))
+    texts = F.transform("pages", lambda p: p["text"])
+    starts = F.transform("pages", lambda p, i: F.aggregate(F.slice(texts, F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t) + 1))
+    return pages.groupBy("source_id").agg(ordered.alias("pages")).select("source_id", F.array_join(texts, "\f").alias("text"), starts.alias("page_starts"))
+
+
+def with_page(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """``rows`` (source_id, begin, ...) with ``page``, from 1: the last that begins at or before them; null without pages."""
+    page = F.size(F.filter("page_starts", lambda p: p <= F.col("begin")))
+    return rows.join(documents.select("source_id", "page_starts"), "source_id", "left").withColumn("page", F.when(page > 0, page)).drop("page_starts")
+
+
 def chunk_batches(cut: DataFrame, size: int = lx.BATCH_CHUNKS) -> DataFrame:
     """``cut`` with ``batch``: consecutive groups of ``size`` chunks of a source."""
     return cut.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("source_id").orderBy("ord")) - 1) / size).cast("int"))

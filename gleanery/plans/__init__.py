@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from . import candidates, knowledge, matching, segments
+from . import candidates, handoff, knowledge, matching, segments
 
-PARTS = [segments, candidates, matching, knowledge]
+PARTS = [segments, candidates, matching, knowledge, handoff]

@@ -85,10 +85,6 @@ def batch_prompts(spark, sf_dir):
     return rs.prompts(cut).select("source_id", "batch", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
 
 
-def topn_cards(spark, sf_dir):
-    return rs.top_cards(mtp._scored(spark, sf_dir)).select("candidate_id", "action", F.col("total").cast("long").alias("total"))
-
-
 def _decided(spark, sf_dir):
     found = persisted(cd.plain_candidates(sgp.cue_docs(spark, sf_dir)))
     return en.with_decisions(found, views.view(spark, sf_dir, views.DECISIONS))
@@ -160,11 +156,6 @@ def quality_gate(spark, sf_dir):
     return rp.quality_gate(docs, rp.text_quality(docs)).select("source_id")
 
 
-def bibliography(spark, sf_dir):
-    rows = rp.bibliography(sgp.cue_docs(spark, sf_dir))
-    return rows.select("source_id", F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"), F.coalesce("year", F.lit("")).alias("year"))
-
-
 def source_summary(spark, sf_dir):
     docs = sgp.cue_docs(spark, sf_dir)
     found = cd.plain_candidates(docs).groupBy("source_id").agg(F.count("*").alias("n_candidates"))
@@ -215,8 +206,8 @@ def decision_stream_latest(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, batch_prefix, term_policy, batch_prompts, topn_cards,
-        decision_carry, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, bibliography, source_summary,
+        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, batch_prefix, term_policy, batch_prompts,
+        decision_carry, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
         step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest,
     )
 }
@@ -239,7 +230,6 @@ ORACLES = {
     "evidence_locators": f"{_R} select source_id, idx, 0 as ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 as bigint) as line from gate where verdict = 'bound'",
     "term_policy": f"select conv_id as id, cast({' + '.join(f'''(contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''})::int''' for r in rs.TERM_RULES)} as bigint) as n_terms, coalesce(array_to_string(list_sort(list_filter([{', '.join(f'''case when contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''} then '{r[0]}' end''' for r in rs.TERM_RULES)}], lambda x: x is not null)), ','), '') as terms from (select conv_id, string_agg(text, chr(10)) as t, coalesce(bool_or(regexp_matches(text, '{'|'.join(rs.CONTEXT_MARKERS)}')), false) as rel from conversations group by 1) x",
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",
-    "topn_cards": f"{mtp._SCORED} select candidate_id, action, total from (select sg.*, c1.source_id from sg join c1 using (candidate_id)) x order by total desc, case action when 'create_new' then 0 when 'update_existing' then 1 when 'link_only' then 2 else 3 end, source_id, candidate_id limit 8",
     "decision_carry": f"{_C} select candidate_id, cand.source_id, coalesce(d.decision, 'pending') as decision from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
     "claim_reviews": f"{_C} select candidate_id, md5(case when d.decision = 'approved' then {q.trimmed("concat('reviewed: ', title)")} else title end) as statement_md5 from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
     "candidate_lineage": f"{_C} select concat(source_id, '-unclassified') as entry_id, candidate_id from cand",
@@ -250,10 +240,6 @@ ORACLES = {
       h as (select *, cast(floor(total / n_pages + 0.5) as bigint) as average, odd / greatest(chars, 1) as r from g)
       select source_id, n_pages, extractable, low, blank, total, odd, average, case when total = 0 or extractable / n_pages < 0.35 or average < 80 or r >= 0.08 then 'bad' when extractable / n_pages < 0.7 or low / n_pages > 0.25 or average < 180 or r >= 0.03 then 'warn' else 'ok' end as level from h""",
     "quality_gate": "select cast(doc_id as varchar) as source_id from (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\pL\\pN]')) as n, len(regexp_extract_all(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0E-\\x1F�□■▯]')) as odd, length(coalesce(text, '')) as c from documents) x where n >= 80 and odd / greatest(c, 1) < 0.08",
-    "bibliography": f"""with {q.with_views('cue_docs')}, l as (select source_id, ln, {q.one_line('line')} as line from {q.lines('cue_docs')} x), n as (select *, row_number() over (partition by source_id order by ln) as no from l where line <> '' qualify no <= 90),
-      t as (select source_id, arg_min(line, no) as title from n where length(line) between 6 and 150 and len(regexp_extract_all(line, '[0-9]')) <= 0.35 * length(line) group by 1),
-      y as (select source_id, arg_min(regexp_extract(line, '(?:^|[^0-9])(1[89][0-9]{{2}}|20[0-9]{{2}})(?:[^0-9]|$)', 1), no) as year from n where regexp_matches(line, '(?:^|[^0-9])(1[89][0-9]{{2}}|20[0-9]{{2}})(?:[^0-9]|$)') group by 1)
-      select distinct n.source_id, md5(coalesce(title, '')) as title_md5, coalesce(year, '') as year from n left join t using (source_id) left join y using (source_id)""",
     "source_summary": f"{_C}, {sgp._CHUNKS.replace('c as (', 'chunk as (')} select d.source_id, d.lang, coalesce(a.n, 0) as n_candidates, coalesce(b.n, 0) as n_chunks from cue_docs d left join (select source_id, count(*) as n from cand group by 1) a on a.source_id = d.source_id left join (select source_id, count(*) as n from chunk group by 1) b on b.source_id = d.source_id",
     "step_judgement": f"{mtp._SCORED} select step, status, count(*) as n from (select unnest([{{'step': 'created', 'ok': true}}, {{'step': 'structure', 'ok': reason is null}}, {{'step': 'anchor', 'ok': evidence_quality > 0}}, {{'step': 'mapping', 'ok': sim >= 0.18}}, {{'step': 'import', 'ok': action <> 'ignore'}}]) as s from sg) x, lateral (select s.step as step, case when s.ok then 'pass' else 'fail' end as status) y group by 1, 2",
     "pages_text": f"""select page_id, md5(t) as text_md5, length(t) as n_chars from (select page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?i)</p>|<br\\s*/?>|</h[1-6]>|</li>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)), lambda x: {q.one_line('x')}), lambda x: x <> ''), chr(10)) as t from pages) x""",

@@ -70,7 +70,10 @@ def structural_reasons(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    found, chunks, entries = parts(spark, sf_dir)
+    return scored_of(spark, *parts(spark, sf_dir))
+
+
+def scored_of(spark, found, chunks, entries):
     return sc.scored(found, chunks, entries.select(F.col("title").alias("text")), entries, mt.synonyms(spark))
 
 

@@ -29,6 +29,19 @@ select cast(doc_id as string) as source_id, doc_id, lang, source,
 from (select doc_id, lang, source, coalesce(text, '') as text, split_part(coalesce(text, ''), chr(10), 1) as l from documents) x
 """
 
+BIB_DOCS = """
+select cast(doc_id as string) as source_id, concat(case doc_id % 9 when 1 then 'The_Collected-Essays 1987 (2).pdf' when 2 then '2004.txt' else concat('file-', cast(doc_id as string), '.md') end) as filename,
+  concat(case doc_id % 11
+    when 0 then concat('Studies of the Record', chr(10), 'by Jane Roe translated by Ann Lee', chr(10), 'Northern University Press, 1994', chr(10))
+    when 1 then concat('저자: 김철수', chr(10), '역자: 이영희', chr(10), '출판사: 한빛', chr(10))
+    when 2 then concat('Essays on Method by John Doe', chr(10), 'Copyright 2001', chr(10))
+    when 3 then concat('123', chr(10), 'Contents', chr(10), 'Chapter 1', chr(10), 'Some Verlag', chr(12))
+    when 4 then concat('Short', chr(10), 'A First Line of Title', chr(10), 'second line here', chr(10), 'Edited work', chr(10), 'by', chr(9), 'Max Mustermann, edited by B.', chr(10), 'printed in 1850', chr(10))
+    when 5 then concat('1234567 890', chr(10), 'page 12', chr(10), '— ; A title between marks: —', chr(10), 'City Books', chr(10))
+    else '' end, case when doc_id % 13 = 0 then '12' else text end) as text
+from (select doc_id, coalesce(text, '') as text from documents) x
+"""
+
 MD_DOCS = """
 select cast(doc_id as string) as source_id, doc_id, concat('# ', split_part(l, ' ', 1), chr(10), chr(10), '## Concept ', split_part(l, ' ', 2), chr(10), chr(10),
   '**', split_part(l, ' ', 3), '** - ', l, chr(10), chr(10), '> ', l, chr(10), '> ', split_part(l, ' ', 1), chr(10), chr(10),
@@ -36,6 +49,10 @@ select cast(doc_id as string) as source_id, doc_id, concat('# ', split_part(l, '
 from (select doc_id, translate(split_part(coalesce(text, ''), chr(10), 1), '*#>_-', '     ') as l, translate(coalesce(text, ''), '*#>_-', '     ') as t from documents) x
 """
 
+PAGE_ROWS = """
+select concat('v', cast(cast(floor(doc_id / 4) as int) as string)) as source_id, cast(doc_id % 4 + 1 as int) as page, coalesce(text, '') as text from documents
+"""
+
 VOLUME_PAGES = """
 select source as source_id, cast(row_number() over (partition by source order by doc_id) as int) as page,
   case doc_id % 9 when 0 then '' when 1 then split_part(coalesce(text, ''), ' ', 1) else coalesce(text, '') end as text
@@ -68,7 +85,7 @@ select source_id, doc_id, concat(
   '{{"wiki_candidates":[{{"title":"', case when doc_id % 11 = 0 then '' else substr(text, 1, 30) end,
   '","type":"', case doc_id % 13 when 0 then 'essay' when 1 then 'method' else 'argument' end,
   '","confidence":"', case when doc_id % 17 = 0 then 'certain' else 'high' end,
-  '","summary_ko":"the text argues this","evidence":[{{"chunk_id":"',
+  '","summary_ko":"', case doc_id % 6 when 0 then 'a note' when 1 then '하나님의 은혜' when 2 then '은혜' else 'the text argues this' end, '","reuse_reason":"', case when doc_id % 5 = 1 then 'again' else '' end, '","evidence":[{{"chunk_id":"',
   case when doc_id % 5 = 0 then concat('forged', cast(doc_id as string)) else chunk_id end, '","quote":"',
   case doc_id % 7 when 1 then '' when 2 then concat(substr(text, 1, 40), ' paraphrased') when 3 then substr(text, 1, 700) else substr(text, 1, 60) end,
   '","translation_ko":"t"}}]}}',
