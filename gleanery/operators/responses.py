@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,11 +62,10 @@ def parsed(responses: DataFrame) -> DataFrame:
     """source_id, status (ok, recovered, empty, error), candidates. Only rows that don't parse go through Python."""
     rows = responses.select("source_id", body(F.col("raw")).alias("body"))
     rows = rows.withColumn("valid", F.try_parse_json("body").isNotNull())
-    broken = rows.where(~F.col("valid") & (F.col("body") != "")).select("source_id", "body").mapInPandas(_recover, "source_id string, recovered string")
-    joined = rows.join(broken, "source_id", "left")
-    status = F.when(F.col("body") == "", "empty").when(F.col("valid"), "ok").when(F.col("recovered").isNotNull(), "recovered").otherwise("error")
-    text = F.when(F.col("valid"), F.col("body")).otherwise(F.col("recovered"))
-    return joined.select("source_id", status.alias("status"), F.from_json(text, SCHEMA)["wiki_candidates"].alias("candidates"))
+    read = tx.only(rows, F.col("valid") | (F.col("body") == "")).select("source_id", F.when(F.col("body") == "", "empty").otherwise("ok").alias("status"), "body")
+    broken = tx.only(rows, ~F.col("valid") & (F.col("body") != "")).select("source_id", "body").mapInPandas(_recover, "source_id string, recovered string")
+    broken = broken.select("source_id", F.when(F.col("recovered").isNotNull(), "recovered").otherwise("error").alias("status"), F.col("recovered").alias("body"))
+    return read.unionByName(broken).select("source_id", "status", F.from_json("body", SCHEMA)["wiki_candidates"].alias("candidates"))
 
 
 def response_candidates(found: DataFrame) -> DataFrame:
@@ -124,13 +124,39 @@ def judged(candidates: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def merged(candidates: DataFrame, gate: DataFrame) -> DataFrame:
-    """One row for each (type, title, summary): bound evidence distinct by chunk and quote, with the first translation, and how many rows it had."""
-    keys = candidates.select("source_id", "idx", F.col("kind").alias("type"), "title", F.col("summary_ko").alias("summary"))
-    own = keys.groupBy("type", "title", "summary").agg(F.count("*").alias("n_rows"), F.countDistinct("source_id").alias("n_sources"))
+    """One row for each (type, title, summary): bound evidence distinct by chunk and quote, with the first translation, how many rows, sources and rejected pieces it had, the first reason of each kind, and its terms, twelve at most."""
+    reasons = ("mapping_reason", "reuse_reason", "boundary_note", "reason")
+    at = F.struct("source_id", "idx")
+    keys = candidates.select("source_id", "idx", F.col("kind").alias("type"), "title", F.col("summary_ko").alias("summary"), *reasons, F.coalesce("standard_terms", F.array().cast("array<string>")).alias("terms"))
+    said = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", at)).alias(c) for c in reasons]
+    terms = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "idx", "terms"))), lambda x: x["terms"]))), 1, lx.MAX_TERMS)
+    own = keys.groupBy("type", "title", "summary").agg(F.count("*").alias("n_rows"), F.countDistinct("source_id").alias("n_sources"), terms.alias("terms"), *said)
+    lost = keys.join(gate.where("verdict <> 'bound'"), ["source_id", "idx"]).groupBy("type", "title", "summary").agg(F.countDistinct("chunk_id", "verdict").alias("n_rejected")).toDF("l_type", "l_title", "l_summary", "n_rejected")
     kept = keys.join(gate.where("verdict = 'bound'"), ["source_id", "idx"]).groupBy("type", "title", "summary", "chunk_id", "quote").agg(F.min(F.struct("source_id", "idx", "ei")).alias("at"), F.max(F.nullif("translation", F.lit(""))).alias("translation"))
-    evidence = kept.groupBy("type", "title", "summary").agg(F.count("*").alias("n_evidence"))
-    null_safe = [own[c].eqNullSafe(evidence[c]) for c in ("type", "title", "summary")]
-    return own.join(evidence, null_safe[0] & null_safe[1] & null_safe[2], "left").select(own["type"], own["title"], own["summary"], "n_rows", "n_sources", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+    evidence = kept.groupBy("type", "title", "summary").agg(F.count("*").alias("n_evidence")).toDF("e_type", "e_title", "e_summary", "n_evidence")
+
+    same = lambda mark: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in ("type", "title", "summary")])
+    joined = own.join(evidence, same("e"), "left").join(lost, same("l"), "left")
+    return joined.select("type", "title", "summary", "n_rows", "n_sources", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), "terms", *reasons)
+
+
+def steps(judged_rows: DataFrame, gate: DataFrame) -> DataFrame:
+    """source_id, idx, no, step, status: what became of each candidate of a response (rows of :func:`judged` with ``status``), in seven steps."""
+    rejected = gate.where("verdict <> 'bound'").select("source_id", "idx").distinct().withColumn("lost", F.lit(True))
+    rows = judged_rows.join(rejected, ["source_id", "idx"], "left")
+    given = lambda *cols: reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")) != "" for c in cols])
+    tests = [
+        ("discipline_profile", given("discipline_profile", "discipline_unit"), "warning"), ("reuse_reason", given("reuse_reason"), "warning"), ("mapping_reason", given("mapping_reason"), "warning"),
+        ("parse", F.col("status").isin("ok", "recovered"), "blocked"), ("shape_validation", F.col("title").isNotNull(), "blocked"), ("chunk_id_binding", F.col("lost").isNull(), "blocked"), ("importable", F.col("importable"), "blocked"),
+    ]
+    found = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(name).alias("step"), F.when(ok, "passed").otherwise(bad).alias("status")) for n, (name, ok, bad) in enumerate(tests, 1)])
+    return rows.select("source_id", "idx", F.explode(found).alias("s")).select("source_id", "idx", "s.*")
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """source_id, reason of responses that gave nothing to read: empty, not JSON, or without the list of candidates."""
+    reason = F.when(F.col("status").isin("empty", "error"), F.col("status")).when(F.col("candidates").isNull(), "shape")
+    return found.select("source_id", reason.alias("reason")).where("reason is not null")
 
 
 def imported(judged_rows: DataFrame, gate: DataFrame) -> DataFrame:

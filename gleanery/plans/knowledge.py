@@ -59,7 +59,17 @@ def importable_candidates(spark, sf_dir):
 
 def merged_candidates(spark, sf_dir):
     asked, gate = _gated(spark, sf_dir)
-    return rs.merged(rs.judged(asked, gate), gate).select("type", "title", "n_rows", "n_sources", "n_evidence")
+    return rs.merged(rs.judged(asked, gate), gate).select("type", "title", "n_rows", "n_sources", "n_evidence", "n_rejected", F.coalesce("reuse_reason", F.lit("")).alias("reuse_reason"))
+
+
+def response_steps(spark, sf_dir):
+    asked, gate = _gated(spark, sf_dir)
+    return rs.steps(rs.judged(asked, gate), gate).groupBy("no", "step", "status").agg(F.count("*").alias("n"))
+
+
+def response_failures(spark, sf_dir):
+    found, _ = _responses(spark, sf_dir)
+    return rs.failures(found)
 
 
 def imported_entries(spark, sf_dir):
@@ -206,27 +216,62 @@ def decision_stream_latest(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, batch_prefix, term_policy, batch_prompts,
+        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, response_steps, response_failures, batch_prefix, term_policy, batch_prompts,
         decision_carry, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
         step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest,
     )
 }
 
 _R = f"""with {q.with_views('resp_chunks', 'responses', 'decisions')},
-  ra as (select source_id, trim(case when regexp_matches(raw, '(?is)```(?:json)?\\s*(.*?)```') then regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)```', 1) else raw end) as inner_text from responses),
-  rb as (select source_id, regexp_extract(inner_text, '(?s)(\\{{.*\\}})', 1) as body from ra),
-  rc as (select source_id, case when json_valid(body) then 'ok' else 'recovered' end as status, case when json_valid(body) then body else concat(body, ']}}') end as j from rb),
+  r1 as (select source_id, trim(case when regexp_matches(raw, '(?is)```(?:json)?\\s*(.*?)```') then regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)```', 1) else raw end) as inner_text from responses),
+  r2 as (select source_id, inner_text, regexp_extract(inner_text, '(?s)(\\{{.*\\}})', 1) as body from r1),
+  r3 as (select source_id, case when inner_text = '' then 'empty' when body = '' then 'error' when json_valid(body) then 'ok' else 'recovered' end as status, case when json_valid(body) then body else concat(body, ']}}') end as j from r2),
+  r4 as (select * from r3 where status in ('ok', 'recovered')),
   cand as (select source_id, status, 0 as idx, json_extract_string(j, '$.wiki_candidates[0].title') as title, json_extract_string(j, '$.wiki_candidates[0].type') as type, json_extract_string(j, '$.wiki_candidates[0].confidence') as confidence,
-    json_extract_string(j, '$.wiki_candidates[0].summary_ko') as summary, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].chunk_id')) as chunk_id, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].quote')) as quote from rc),
+    json_extract_string(j, '$.wiki_candidates[0].summary_ko') as summary, json_extract_string(j, '$.wiki_candidates[0].reuse_reason') as reuse, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].chunk_id')) as chunk_id, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].quote')) as quote from r4),
   gate as (select c.*, k.text as chunk_text, case when c.chunk_id = '' then 'no_chunk' when k.chunk_id is null then 'forged' when quote = '' then 'no_quote' when length(quote) > 600 then 'long_quote' when not contains(k.text, quote) then 'not_verbatim' else 'bound' end as verdict from cand c left join resp_chunks k on k.source_id = c.source_id and k.chunk_id = c.chunk_id)"""
+_FIELDS = (("title", "title"), ("summary_ko", "summary"), ("reuse_reason", "reuse"))
+_CONTEXT = "regexp_matches(concat_ws(' ', title, summary, reuse, case when kind in (" + ", ".join(f"'{t}'" for t in rs.TYPES) + ") then kind end), '" + "|".join(rs.CONTEXT_MARKERS) + "')"
+_TERM_CASES = ", ".join(f"case when contains(coalesce({c}, ''), '{r[0]}'){f" and not contains({c}, '{r[2]}')" if r[2] else ''}{' and ' + _CONTEXT if r[3] else ''} then 'term {label} {r[0]}' end" for label, c in _FIELDS for r in rs.TERM_RULES)
+_J = f"""{_R}, gk as (select *, case when trim(coalesce(type, '')) = '' then 'other' else trim(type) end as kind from gate),
+  c1 as (select source_id as candidate_id, kind as type, coalesce(title, '') as title, summary, case when verdict = 'bound' then quote else '' end as evidence_text from gk), {mtp._REASON},
+  jd as (select gk.*, list_filter(list_concat([case when trim(coalesce(title, '')) = '' then 'title' end, case when kind not in ({", ".join(f"'{t}'" for t in rs.TYPES)}) then 'type' end, case when confidence is not null and lower(trim(confidence)) not in ('high', 'medium', 'low') then 'confidence' end,
+    case when rs.reason is not null then 'structure' end, case when verdict <> 'bound' then verdict end], [{_TERM_CASES}]), lambda x: x is not null) as violations from gk join rs on rs.candidate_id = gk.source_id)"""
+
+
+def _grams(name: str, table: str, key: str, text: str) -> str:
+    return f"{name} as (select distinct id, unnest(case when length(c) < 2 then [c] else list_transform(range(1, length(c)), lambda i: substr(c, cast(i as int), 2)) end) as token from (select {key} as id, {q.compact(text)} as c from {table}) z where c <> '')"
+
+
+#: Each candidate's best outline node, if one reaches the least score: ``bn`` (candidate_id, node_id, score).
+_WHOLE = "concat_ws(chr(10), title, summary)"
+_NODE = f"""{mtp._BASE}, {mtp._CAND}, {mtp._tok('qa', 'c1', 'candidate_id', _WHOLE, 1)}, {mtp._tok('qb', 'c1', 'candidate_id', _WHOLE)}, {mtp._tok('na', 'existing', 'ord', 'title', 1)}, {_grams('gw', 'c1', 'candidate_id', _WHOLE)}, {_grams('gp', 'c1', 'candidate_id', 'title')}, {_grams('gn', 'existing', 'ord', 'title')},
+  {mtp._pairs('n1', 'qa', 'na', mtp._J)}, {mtp._pairs('n2', 'gw', 'gn', mtp._J)}, {mtp._pairs('n3', 'gp', 'gn', mtp._J)}, {mtp._pairs('n4', 'qb', 'na', 'least(0.34, 0.18 + n_both * 0.05)')},
+  np as (select l, r, max(sim) as sim from (select * from n1 union all select * from n2 union all select * from n3 union all select * from n4) z group by 1, 2),
+  nq as (select l, r, sim, {q.compact('c1.title')} as cq, {q.compact("concat_ws(chr(10), c1.title, c1.summary)")} as cw, {q.compact('e.title')} as cn from np join c1 on c1.candidate_id = l join existing e on e.ord = r),
+  nr as (select *, (cq = cn and cq <> '') or (length(cq) >= 3 and length(cn) >= 3 and (contains(cq, cn) or contains(cn, cq))) as holds, length(cw) >= 3 and length(cn) >= 3 and (contains(cw, cn) or contains(cn, cw)) as inside from nq),
+  ns as (select *, case when holds then 1.0 when cw = cn then 1.0 when inside then greatest(0.92, sim) else sim end as score from nr),
+  bn as (select l as candidate_id, concat('n', r) as node_id, score from (select *, row_number() over (partition by l order by not holds, case when holds then 0 else -score end, r) as k from ns) z where k = 1 and score >= 0.18)"""
 _C = f"with recursive {q.with_views('cue_docs', 'decisions')}, {cdp.plain_sql('cue_docs')}"
 
 ORACLES = {
-    "response_parse_status": f"{_R} select source_id, status, cast(1 as bigint) as n_candidates from rc",
+    "response_parse_status": f"{_R} select source_id, status, cast(case when status in ('ok', 'recovered') then 1 else 0 end as bigint) as n_candidates from r3",
+    "response_failures": f"{_R} select source_id, status as reason from r3 where status in ('empty', 'error')",
+    "importable_candidates": f"{_J} select source_id, 0 as idx, array_to_string(list_sort(violations), ',') as violations, len(violations) = 0 as importable from jd",
+    "merged_candidates": f"{_J} select kind as type, title, count(*) as n_rows, count(distinct source_id) as n_sources, count(distinct (chunk_id, quote)) filter (where verdict = 'bound') as n_evidence, count(distinct (chunk_id, verdict)) filter (where verdict <> 'bound') as n_rejected, coalesce(arg_min(reuse, source_id) filter (where reuse <> ''), '') as reuse_reason from jd group by kind, title, summary",
+    "imported_entries": f"{_J}, sl as (select *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from jd where len(violations) = 0 and verdict = 'bound') select concat(source_id, '-llm-0-', case when slug = '' then 'entry' else slug end) as id, source_id, 'draft' as status, cast(1 as bigint) as n_claims, quote as original_text from sl",
+    "run_report": f"{_J} select concat('response_', status) as measure, count(*) as n from r3 group by 1 union all select 'candidates', count(*) from jd union all select 'importable', count(*) from jd where len(violations) = 0 union all select 'rejected_evidence', count(*) from jd where verdict <> 'bound'",
+    "response_steps": f"{_J}, st as (select unnest([{{'no': 1, 'step': 'discipline_profile', 'status': 'warning'}}, {{'no': 2, 'step': 'reuse_reason', 'status': case when reuse <> '' then 'passed' else 'warning' end}}, {{'no': 3, 'step': 'mapping_reason', 'status': 'warning'}}, {{'no': 4, 'step': 'parse', 'status': 'passed'}}, {{'no': 5, 'step': 'shape_validation', 'status': 'passed'}}, {{'no': 6, 'step': 'chunk_id_binding', 'status': case when verdict = 'bound' then 'passed' else 'blocked' end}}, {{'no': 7, 'step': 'importable', 'status': case when len(violations) = 0 then 'passed' else 'blocked' end}}]) as s from jd) select s.no as no, s.step as step, s.status as status, count(*) as n from st group by 1, 2, 3",
+    "bigram_outline_map": f"{_NODE} select candidate_id, coalesce(node_id, '') as node_id, round(coalesce(score, 0.0), 6) as score from c1 left join bn using (candidate_id)",
+    "wiki_index": f"{_NODE}, en2 as (select source_id, node_id, count(*) as n from c1 left join bn using (candidate_id) group by 1, 2) select concat(source_id, '-', coalesce(node_id, 'unclassified')) as id, coalesce(node_id, 'unclassified') as title, 'draft' as status, coalesce(node_id, '') as outline_node_id, n as n_claims from en2",
+    "wiki_entries": f"""{_NODE}, cm as (select c1.candidate_id, c1.source_id, coalesce(node_id, 'unclassified') as node, begin, stop from c1 left join bn using (candidate_id)), sx as (select ct.candidate_id, ct.source_text from ct),
+      cl as (select cm.source_id, node, count(*) as n, string_agg(source_text, chr(10) order by begin, stop, cm.candidate_id) as texts from cm join sx on sx.candidate_id = cm.candidate_id group by 1, 2),
+      tt as (select cm.source_id, node, lower(term) as term from cm join tg on tg.candidate_id = cm.candidate_id), tn as (select source_id, node, least(count(distinct term), 24) as n_terms from tt group by 1, 2)
+      select concat(cl.source_id, '-', cl.node) as id, cl.node as title, n as n_claims, md5(texts) as claims_md5, coalesce(n_terms, 0) as n_terms from cl left join tn on tn.source_id = cl.source_id and tn.node = cl.node""",
     "json_recovery": f"{_R} select source_id, title, type from cand where status = 'recovered'",
     "evidence_gate": f"{_R} select source_id, idx, 0 as ei, chunk_id, verdict from gate",
     "quarantine_reasons": f"{_R} select verdict, count(*) as n from gate where verdict <> 'bound' group by 1",
-    "batch_prefix": f"{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join rc on rc.source_id = cast(doc_id as varchar)) select source, coalesce(min(batch) filter (where status <> 'ok'), count(*)) as n_good, coalesce(arg_min(status, batch) filter (where status <> 'ok'), '') as stopped_by from b group by 1",
+    "batch_prefix": f"{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)) select source, coalesce(min(batch) filter (where status <> 'ok'), count(*)) as n_good, coalesce(arg_min(status, batch) filter (where status <> 'ok'), '') as stopped_by from b group by 1",
     "evidence_locators": f"{_R} select source_id, idx, 0 as ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 as bigint) as line from gate where verdict = 'bound'",
     "term_policy": f"select conv_id as id, cast({' + '.join(f'''(contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''})::int''' for r in rs.TERM_RULES)} as bigint) as n_terms, coalesce(array_to_string(list_sort(list_filter([{', '.join(f'''case when contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''} then '{r[0]}' end''' for r in rs.TERM_RULES)}], lambda x: x is not null)), ','), '') as terms from (select conv_id, string_agg(text, chr(10)) as t, coalesce(bool_or(regexp_matches(text, '{'|'.join(rs.CONTEXT_MARKERS)}')), false) as rel from conversations group by 1) x",
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",

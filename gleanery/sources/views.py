@@ -80,7 +80,7 @@ from documents
 """
 
 RESPONSES = f"""
-select source_id, doc_id, concat(
+select source_id, doc_id, case when doc_id % 29 = 3 then '' when doc_id % 31 = 4 then 'There is nothing to report.' else concat(
   case when doc_id % 4 = 0 then concat('Here is the result:', chr(10), chr(96), chr(96), chr(96), 'json', chr(10)) else '' end,
   '{{"wiki_candidates":[{{"title":"', case when doc_id % 11 = 0 then '' else substr(text, 1, 30) end,
   '","type":"', case doc_id % 13 when 0 then 'essay' when 1 then 'method' else 'argument' end,
@@ -90,7 +90,7 @@ select source_id, doc_id, concat(
   case doc_id % 7 when 1 then '' when 2 then concat(substr(text, 1, 40), ' paraphrased') when 3 then substr(text, 1, 700) else substr(text, 1, 60) end,
   '","translation_ko":"t"}}]}}',
   case when doc_id % 19 = 0 then ',{{"title":"cut' else ']}}' end,
-  case when doc_id % 4 = 0 then concat(chr(10), chr(96), chr(96), chr(96)) else '' end) as raw
+  case when doc_id % 4 = 0 then concat(chr(10), chr(96), chr(96), chr(96)) else '' end) end as raw
 from ({RESP_CHUNKS}) x
 """
 
