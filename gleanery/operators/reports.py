@@ -133,6 +133,23 @@ def step_judgement(scored: DataFrame) -> DataFrame:
     return scored.select("candidate_id", F.explode(steps).alias("s")).select("candidate_id", "s.no", "s.step", "s.status")
 
 
+def entry_summary(entries: DataFrame) -> DataFrame:
+    """source_id, id, title, status, node, n_claims: the entries of each source that they are from."""
+    return entries.select(F.explode("source_ids").alias("source_id"), "id", "title", "status", F.col("outline_node_id").alias("node"), F.size("claims").cast("long").alias("n_claims"))
+
+
+def redacted(report: DataFrame, debug: bool = False, hidden: tuple[str, ...] = ("raw", "filename", "path", "batch")) -> DataFrame:
+    """A report without what may not leave: raw responses, names and paths of files, numbers of batches; all of it with ``debug``."""
+    return report if debug else report.drop(*hidden)
+
+
+def hidden_entries(entries: DataFrame) -> DataFrame:
+    """id, reason: entries that are structure instead of knowledge."""
+    said = F.array_join(F.transform("claims", lambda c: F.concat_ws("\n", F.nullif(c["statement"], F.lit("")), F.nullif(c["original_text"], F.lit("")), F.nullif(c["translated_text"], F.lit("")))), "\n")
+    rows = entries.select("id", "title", said.alias("said"), F.lit("other").alias("type"))
+    return tx.only(tx.with_structural_reason(rows, "type", "title", F.lit(""), F.col("said")), F.col("reason").isNotNull()).select("id", "reason")
+
+
 def sized_report(rows: DataFrame, sizes: tuple[int, ...] = (40, 10, 3, 0), most: int = 48_000) -> DataFrame:
     """source_id, kept, report: JSON of a source's first rows (source_id, item), of the largest preset that fits ``most`` characters."""
     order = Window.partitionBy("source_id").orderBy("item")

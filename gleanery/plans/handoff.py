@@ -102,7 +102,17 @@ def bibliography(spark, sf_dir):
     return rows.select("source_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author", "translator", "publisher", "year", "confidence", "display_title")])
 
 
-QUERIES = {f.__name__: f for f in (topn_cards, action_order, card_prompts, batch_handoff, outline_signature, evidence_excerpts, source_purity, ref_locators, page_documents, page_chunks, chunk_reading_order, bibliography)}
+def entry_summary(spark, sf_dir):
+    return rp.entry_summary(kn._by_source(spark, sf_dir)).select("source_id", "id", "title", "status", F.coalesce("node", F.lit("")).alias("node"), "n_claims")
+
+
+def hidden_entries(spark, sf_dir):
+    """Entries of one source each, titled by their first claim, that are structure."""
+    built = kn._by_source(spark, sf_dir).withColumn("title", F.get("claims", F.lit(0))["statement"])
+    return rp.hidden_entries(built)
+
+
+QUERIES = {f.__name__: f for f in (topn_cards, action_order, card_prompts, batch_handoff, outline_signature, evidence_excerpts, source_purity, ref_locators, page_documents, page_chunks, chunk_reading_order, bibliography, entry_summary, hidden_entries)}
 
 _ACTION = "case action when 'create_new' then 0 when 'update_existing' then 1 when 'link_only' then 2 else 3 end"
 _TOP = f"""{mtp._SCORED}, dec as (select source_id, max(decision) as decision from ({views.DECISIONS.replace(' as string)', ' as varchar)')}) z group by 1),
@@ -140,6 +150,9 @@ _LABEL = r"""case when regexp_matches(t, '^#{1,6}\s+.+$') then '' when regexp_ma
 _LABELLED = _NODES.replace("n as (select source_id, row_number()", f"n as (select source_id, {_LABEL} row_number()")
 
 ORACLES = {
+    "entry_summary": f"{kn._C} select source_id, concat(source_id, '-unclassified') as id, 'unclassified' as title, 'draft' as status, '' as node, count(*) as n_claims from cand group by 1",
+    "hidden_entries": f"""{mtp._BASE}, {mtp._CAND.replace('c1 as (', 'c0 as (')}, c1 as (select concat(c0.source_id, '-unclassified') as candidate_id, 'other' as type, arg_min(c0.title, (c0.begin, c0.stop)) as title, '' as summary,
+      string_agg(concat_ws(chr(10), nullif(c0.title, ''), nullif(ct.source_text, '')), chr(10) order by c0.begin, c0.stop, c0.candidate_id) as evidence_text from c0 join ct on ct.candidate_id = c0.candidate_id group by c0.source_id), {mtp._REASON} select candidate_id as id, reason from rs where reason is not null""",
     "topn_cards": f"{_TOP} select candidate_id, decision, action, total, cast(rank as int) as rank from top",
     "action_order": f"{mtp._SCORED} select {_ACTION} as place, action, count(*) as n from sg group by 1, 2",
     "card_prompts": f"""{mtp._BASE}, {mtp._CAND}, {mtp._ANCHOR}, bl as (select c1.candidate_id, string_agg({_BLOCK}, chr(10) order by c.ord) as blocks from c1 left join an using (candidate_id) join c on c.source_id = c1.source_id and {_NEAR} group by 1),

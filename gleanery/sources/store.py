@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def persisted(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def write_by_source(rows: DataFrame, path: str) -> None:
+    """Rows with ``source_id`` as Parquet, a folder for each source; sources that are there already are replaced, others stay."""
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source_id").parquet(path)
+
+
+def read_source(spark: SparkSession, path: str, schema: str, source_id: str) -> DataFrame:
+    """The rows of one source (none if it has no folder); only its folder is read."""
+    return spark.read.schema(f"{schema}, source_id string").parquet(path).where(F.col("source_id") == source_id)
+
+
+def corpus_files(spark: SparkSession, glob: str) -> DataFrame:
+    """path, length, content of the files that ``glob`` names, empty ones left out."""
+    return spark.read.format("binaryFile").load(glob).where("length > 0").select("path", "length", "content")

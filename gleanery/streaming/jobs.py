@@ -1,21 +1,24 @@
 """Incremental jobs: new sources without duplicates, latest decisions.
 
-Each runs over what is there now (``availableNow``) and returns its sink as a
-table.  State, checkpoints and sinks lie under the shared checkpoint folder.
+Each runs over what has come since its last run (``availableNow``) and returns
+its sink as a table.  Its folder holds the checkpoint, so that a run resumes where
+the last one ended, and what each batch found; a batch that is run twice writes the
+same folder again.  Nothing is rewritten, and no state is held between batches.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder for a job, in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
@@ -25,31 +28,42 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
 
 
-def source_stream(spark: SparkSession, documents: str) -> DataFrame:
+def _found(session: SparkSession, at: str, schema: str, below: int | None = None) -> DataFrame:
+    """What the batches, or those before number ``below``, have found: one folder for each."""
+    rows = session.read.schema(f"{schema}, batch int").option("basePath", f"{at}/found").parquet(f"{at}/found")
+    return rows.where(F.col("batch") < below) if below is not None else rows
+
+
+def _run(rows: DataFrame, at: str, schema: str, find) -> DataFrame:
+    """Runs ``find(batch, what was found before)`` over new batches, and returns all that was found."""
+
+    def add(batch: DataFrame, no: int) -> None:
+        before = _found(batch.sparkSession, at, schema, no) if no else None
+        find(batch, before).write.mode("overwrite").parquet(f"{at}/found/batch={no}")
+
+    query = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _found(rows.sparkSession, at, schema).drop("batch")
+
+
+def source_stream(spark: SparkSession, documents: str, folder: str | None = None) -> DataFrame:
     """content_id, first_id: documents by content, each content once, as they arrive."""
-    at = _folder(spark)
     rows = _table(spark, documents).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_id"))
-    first = rows.dropDuplicates(["content_id"])
-    query = first.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+
+    def new(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        once = batch.groupBy("content_id").agg(F.min("doc_id").alias("first_id"))
+        return once if before is None else once.join(before.select("content_id"), "content_id", "left_anti")
+
+    return _run(rows, folder or fresh_folder(spark), "content_id string, first_id long", new)
 
 
-def decision_stream(spark: SparkSession, events: str) -> DataFrame:
+def decision_stream(spark: SparkSession, events: str, folder: str | None = None) -> DataFrame:
     """source_id, decision, updated_at: the latest decision of each source; ties by event id. Out-of-order events lose."""
-    at = _folder(spark)
     kind = F.col("event_type")
     decision = F.when(kind.isin("purchase", "signup"), "approved").when(kind == "click", "held").when(kind == "error", "discarded").otherwise("pending")
-    rows = _table(spark, events).select(F.col("user_id").cast("string").alias("source_id"), F.struct("ts", "event_id", decision.alias("decision")).alias("last"))
-
-    def merge(batch: DataFrame, no: int) -> None:
-        """The batch's latest joined with those so far; a batch run twice writes the same folder."""
-        session, latest = batch.sparkSession, batch.groupBy("source_id").agg(F.max("last").alias("last"))
-        if no:
-            latest = latest.unionByName(session.read.parquet(f"{at}/v{no - 1}")).groupBy("source_id").agg(F.max("last").alias("last"))
-        latest.write.mode("overwrite").parquet(f"{at}/v{no}")
-
-    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{at}/v{last}").select("source_id", "last.decision", F.col("last.ts").alias("updated_at"))
+    rows = _table(spark, events)
+    ts = rows.schema["ts"].dataType.simpleString()
+    rows = rows.select(F.col("user_id").cast("string").alias("source_id"), F.struct("ts", F.col("event_id").cast("long").alias("event_id"), decision.alias("decision")).alias("last"))
+    latest = lambda df: df.groupBy("source_id").agg(F.max("last").alias("last"))
+    found = _run(rows, folder or fresh_folder(spark), f"source_id string, last struct<ts: {ts}, event_id: bigint, decision: string>", lambda batch, before: latest(batch))
+    return latest(found).select("source_id", "last.decision", F.col("last.ts").alias("updated_at"))
