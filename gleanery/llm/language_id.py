@@ -53,11 +53,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # the hashes alone are put in order, and of them those below a bound that some eight times the sample should fall under
     n = rows.count()
     below = F.col("h") < min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (8 * sample_rows + 1000) / max(n, 1))))
-    held = rows.where(below).select("h", "h2").orderBy("h", "h2").limit(sample_rows).collect()  # sample_rows pairs of numbers
+    held = rows.where(below).select("h", "h2").distinct().orderBy("h", "h2").limit(sample_rows).collect()  # sample_rows pairs of numbers
     if len(held) < min(sample_rows, n):
-        held = rows.select("h", "h2").orderBy("h", "h2").limit(sample_rows).collect()
+        held = rows.select("h", "h2").distinct().orderBy("h", "h2").limit(sample_rows).collect()
     last = max(((r["h"], r["h2"]) for r in held), default=(-(2**63), -(2**63)))
-    # rows equal to the last one in both hashes are equal texts: all of them stay, or none would be left of a table of repeats
     sample = rows.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("h2") <= last[1]))).dropDuplicates(["h", "h2"]).select("lang", "t")
 
     def count(batches):

@@ -6,12 +6,15 @@ words (anchors.py).  Phrases that anchor windows in two places or more are
 mined by a grouped count and dealt to the blocks of documents that hold them.
 Each block compiles its phrases to an Aho-Corasick automaton over letters of the words' hashes
 and streams its documents through it; windows anchored at a located phrase are
-then confirmed exactly: by a 128-bit hash, counted once a block, over all
-blocks.  Documents are dealt to blocks of about ``BLOCK_MB``, by a hash, once.
+then confirmed by a 128-bit hash, counted once a block, over all blocks, and
+removed where the first half of it comes.  Documents are dealt to blocks of about
+``BLOCK_MB``, by a hash, once.
 
 Cases: null and empty texts have no words; fewer than ``WINDOW`` words stay
 whole; repeated rows are occurrences of each other and each give their row;
-an empty table gives no rows.
+an empty table gives no rows; long texts are worked on in pieces, and with all
+rows of equal id and text in one block; other columns aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
