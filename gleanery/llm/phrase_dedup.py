@@ -2,13 +2,15 @@
 
 A word goes if it is covered by a window of ``WINDOW`` words whose sequence
 also starts anywhere else.  Each window is anchored at one phrase of ``PHRASE``
-words (anchors.py).  Phrases that anchor windows in two places or more are
-mined by a grouped count and dealt to the blocks of documents that hold them.
-Each block compiles its phrases to an Aho-Corasick automaton over letters of the words' hashes
-and streams its documents through it; windows anchored at a located phrase are
-then confirmed by a 128-bit hash, counted once a block, over all blocks, and
-removed where the first half of it comes.  Documents are dealt to blocks of about
-``BLOCK_MB``, by a hash, once.
+words (anchors.py); consecutive windows of one anchor form a context.  Recurring
+passages are confirmed first: a context met twice is one as a whole; of a context
+met once whose anchor recurs, the windows are compared with all others at such
+anchors by a 128-bit hash, and each run of windows met twice is one.  Passages are
+dealt, as texts, to the blocks of documents that they were seen in.  Each block
+compiles its passages to one Aho-Corasick automaton, with one letter for each
+word, streams its documents through it, and removes every occurrence whose words
+agree by their 64-bit hashes: what goes is what the automaton located.
+Documents are dealt to blocks of about ``BLOCK_MB``, by a hash.
 
 Cases: null and empty texts have no words; fewer than ``WINDOW`` words stay
 whole; repeated rows are occurrences of each other and each give their row;
@@ -23,17 +25,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import gram_hashes, mixed, pieces, window_anchors, window_starts
-from .common import block_count, checkpoint
+from .anchors import PIECE, gram_hashes, mixed, pieces, window_anchors, window_starts
+from .common import block_count, checkpoint, written
+from .suffix_dedup import _OTHER, REPEATED, _contexts, _key, _numbers, _rows_in, judge
 
 WINDOW = 35
 PHRASE = 8
 BLOCK_MB = 8
-LETTERS = 3
-_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -43,96 +44,131 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class _Texts:
-    """The word hashes of some texts, and their anchored windows piece by piece."""
+    """The words of some texts with their hashes, and their contexts piece by piece."""
 
     def __init__(self, texts, window: int, phrase: int):
-        hashes = [word_hashes((t or b"").split()) for t in texts]
-        self.lengths = [len(h) for h in hashes]
-        self.hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        split = [(t or b"").split() for t in texts]
+        self.lengths = [len(w) for w in split]
+        self.words = [w for ws in split for w in ws]
+        self.hashes = word_hashes(self.words)
         self.begins = np.cumsum([0, *self.lengths])
         self.window, self.phrase = window, phrase
 
-    def parts(self):
-        """(units, place of each piece's unit 0 in all words, offsets, starts, anchors, first, last, phrase hashes)."""
+    def contexts(self):
+        """(units, first and last window starts of each context, its place in all words, rows of (anchor, two hashes))."""
         for batch in pieces(self.lengths, self.window):
             units = np.concatenate([self.hashes[self.begins[d] + b : self.begins[d] + e] for d, b, e in batch])
             offsets, starts = window_starts(batch, self.window)
             grams = gram_hashes(units, self.phrase)
             at, first, last = window_anchors(grams, self.window - self.phrase + 1, starts)
             shift = np.array([self.begins[d] + b for d, b, _ in batch]) - offsets
-            yield units, shift, offsets, at, first, last, grams
-
-    def letters(self, begin: int, n: int) -> tuple:
-        """``LETTERS`` letters for each word, one byte of its hash each, tagged by place: few children for each node of an automaton."""
-        h = self.hashes[begin : begin + n].astype(np.int64)
-        return tuple(np.stack([(k << 8) + ((h >> 8 * k) & 255) for k in range(LETTERS)], axis=1).ravel().tolist())
-
-
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    count = last - first + 1
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            place = first + shift[np.searchsorted(offsets, first, side="right") - 1]
+            yield units, first, last, place, np.column_stack([grams[at].view(np.int64), _contexts(units.tobytes(), 8 * first, 8 * last, 8 * self.window)])
 
 
 def mine(blocked: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(block, a): anchor phrases that recur, for each block that has them."""
+    """(block, a, c1, c2, n): the contexts of each block's documents, as far as a batch shows them."""
 
     def run(batches):
         for b in batches:
             texts = _Texts((t.as_py() for t in b.column(1)), window, phrase)
-            block = np.repeat(b.column(0).to_numpy(), texts.lengths)
-            found = []
-            for _, shift, offsets, at, _, _, grams in texts.parts():
-                place = at + shift[np.searchsorted(offsets, at, side="right") - 1]
-                found.append(np.stack([block[place].astype(np.int64), grams[at].view(np.int64)]))
-            if found:
-                rows, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(n.astype(np.int32))], names=["block", "a", "n"])
-
-    mined = checkpoint(blocked.select("block", "t").mapInArrow(run, "block int, a long, n int"))
-    recurring = mined.groupBy("a").agg(F.sum("n").alias("total")).where("total >= 2").select("a")
-    return mined.select("block", "a").join(recurring, "a").select("block", "a").distinct()
-
-
-def locate(blocked: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(block, h1, h2, n): windows anchored at a phrase that a block's automaton locates, and how often the block has them."""
-
-    def run(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        texts = _Texts((t.as_py() for t in docs.column("t")), window, phrase)
-        wanted = np.sort(recurring.column("a").to_numpy())
-        automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), set()
-        for _, shift, offsets, at, _, _, grams in texts.parts() if len(wanted) else ():
-            g = grams[at].view(np.int64)
-            k = np.searchsorted(wanted, g).clip(max=len(wanted) - 1)
-            for p, a in zip((at + shift[np.searchsorted(offsets, at, side="right") - 1])[wanted[k] == g].tolist(), g[wanted[k] == g].tolist()):
-                if a not in known:
-                    known.add(a)
-                    automaton.add_word(texts.letters(p, phrase), 1)
-        located = np.zeros(len(texts.hashes) + 1, dtype=bool)
-        if known:
-            automaton.make_automaton()
-            for begin, n in zip(texts.begins.tolist(), texts.lengths):
-                for cut in range(0, n, 1 << 20):
-                    ends = np.array([end for end, _ in automaton.iter(texts.letters(begin + cut, min(n - cut, (1 << 20) + phrase - 1)))], dtype=np.int64)
-                    located[ends // LETTERS + (begin + cut - phrase + 1)] = True
-        found = []
-        for units, shift, offsets, at, first, last, _ in texts.parts() if known else ():
-            hit = located[at + shift[np.searchsorted(offsets, at, side="right") - 1]]
-            starts = _ranges(first[hit], last[hit])
-            found.append(np.stack([gram_hashes(units, window)[starts], gram_hashes(mixed(units), window, _OTHER)[starts]], axis=1))
-        rows, n = _counted(np.concatenate([*found, np.zeros((0, 2), np.uint64)]))
-        block = docs.column("block")[0].as_py() if docs.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(rows), block, np.int32)), "h1": rows[:, 0].view(np.int64), "h2": rows[:, 1].view(np.int64), "n": pa.array(n.astype(np.int32))})
+            block = np.repeat(b.column(0).to_numpy(), texts.lengths).astype(np.int64)
+            found = [np.zeros((0, 4), np.int64)]
+            for _, _, _, place, rows in texts.contexts():
+                found.append(np.column_stack([block[place], rows]))
+            rows, n = _counted(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in (1, 2, 3)), pa.array(n.astype(np.int32))], names=["block", "a", "c1", "c2", "n"])
 
-    return blocked.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(run, "block int, h1 long, h2 long, n int")
+    return checkpoint(blocked.select("block", "t").mapInArrow(run, "block int, a long, c1 long, c2 long, n int"))
 
 
 def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
+    """Distinct rows and how often each comes."""
+    rows = rows[np.lexsort(rows.T)]
     first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
-    return np.ascontiguousarray(rows[first]).copy(order="F"), np.diff(np.r_[first, len(rows)])
+    return rows[first], np.diff(np.r_[first, len(rows)])
+
+
+def contexts(blocked: DataFrame, judged: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(block, c1, c2, n, whole, passage, w1, w2): the words of judged contexts, ``whole`` if met twice; the hashes of their windows where they are to be compared."""
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        table = _numbers(known, ("a", "c1", "c2", "n", "lead", "state"))
+        table = table[np.argsort(_key(table[:, :3].copy()))]
+        keys, done = table[:, :3].copy(), np.zeros(len(table), dtype=bool)
+        order, passages, hashes, sizes = [], [], [np.zeros((0, 2), np.uint64)], []
+        texts = _Texts((t.as_py() for t in docs.column("t")) if len(table) else (), window, phrase)
+        for units, first, last, place, rows in texts.contexts():
+            at = _rows_in(rows, keys)
+            h = np.stack([gram_hashes(units, window), gram_hashes(mixed(units), window, _OTHER)], axis=1)
+            for i in np.flatnonzero(at >= 0).tolist():
+                k = at[i]
+                if done[k]:
+                    continue
+                done[k] = True
+                order.append(k)
+                passages.append(b" ".join(texts.words[place[i] : place[i] + last[i] - first[i] + window]))
+                own = h[first[i] : last[i] + 1] if table[k, 4] else h[:0]
+                hashes.append(own)
+                sizes.append(len(own))
+        rows = table[np.array(order, np.int64)]
+        h, ends = np.concatenate(hashes).view(np.int64), pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        column = lambda k: pa.array(np.ascontiguousarray(rows[:, k]))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h[:, k]))) for k in (0, 1)]
+        whole = pa.array(rows[:, 5] == REPEATED)
+        return pa.table({"block": pa.array(np.full(len(rows), block, np.int32)), "c1": column(1), "c2": column(2), "n": pa.array(rows[:, 3].astype(np.int32)), "whole": whole, "passage": pa.array(passages, pa.binary()), "w1": lists[0], "w2": lists[1]})
+
+    schema = "block int, c1 long, c2 long, n int, whole boolean, passage binary, w1 array<long>, w2 array<long>"
+    return blocked.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(run, schema)
+
+
+def confirmed(found: DataFrame) -> DataFrame:
+    """(block, passage, at): words that recur: all windows of ``passage``, or, if not null, those that start at ``at``."""
+    each = found.where(F.size("w1") > 0).select("block", "c1", "c2", "n", "whole", F.posexplode(F.arrays_zip("w1", "w2")).alias("lo", "w")).select("block", "c1", "c2", "n", "whole", "lo", "w.w1", "w.w2")
+    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2").select("w1", "w2")
+    # at most WINDOW - PHRASE + 1 starts for a context
+    starts = each.where("not whole").join(twice, ["w1", "w2"], "left_semi").groupBy("block", "c1", "c2").agg(F.sort_array(F.collect_list("lo")).alias("at"))
+    parts = found.where("not whole").join(starts, ["block", "c1", "c2"]).select("block", "passage", "at")
+    return found.where("whole").select("block", "passage", F.lit(None).cast("array<int>").alias("at")).unionByName(parts)
+
+
+def _letters(hashes: np.ndarray) -> str:
+    """One letter for each word, of its hash's last byte."""
+    return hashes.astype(np.uint8).tobytes().decode("latin-1")
+
+
+def locate(texts: _Texts, passages: pa.Table) -> np.ndarray:
+    """Which words lie in an occurrence of a passage, as an automaton over all passages finds them."""
+    import ahocorasick
+
+    window, keys = texts.window, {}
+    for passage, at in zip(passages.column("passage"), passages.column("at")):
+        h, at = word_hashes(passage.as_py().split(b" ")), at.as_py()
+        starts = np.arange(len(h) - window + 1) if at is None else np.array(at)
+        cuts = np.flatnonzero(np.diff(starts) > 1)
+        for lo, hi in zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist()):
+            part = h[lo : hi + window]
+            keys.setdefault(_letters(part), set()).add(part.tobytes())
+    change = np.zeros(len(texts.hashes) + 1, dtype=np.int32)
+    if keys:
+        automaton, longest = ahocorasick.Automaton(), max(map(len, keys))
+        for key, parts in keys.items():
+            automaton.add_word(key, parts)
+        automaton.make_automaton()
+        raw, begin, end = texts.hashes.tobytes(), [], []
+        for d, n in zip(texts.begins.tolist(), texts.lengths):
+            for cut in range(d, d + n, PIECE):
+                for last, parts in automaton.iter(_letters(texts.hashes[cut : min(d + n, cut + PIECE + longest - 1)])):
+                    stop = cut + last + 1
+                    for part in parts:  # of equal length
+                        start = stop - len(part) // 8
+                        if raw.startswith(part, 8 * start):
+                            begin.append(start)
+                            end.append(stop)
+        np.add.at(change, np.array(begin, np.int64), 1)
+        np.add.at(change, np.array(end, np.int64), -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block_mb: int = BLOCK_MB, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -140,37 +176,25 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     n_blocks = block_count(docs, text_col, block_mb)
     block = F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(n_blocks)).cast("int")
     blocked = docs.select(block.alias("block"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("doc_id"))
-    windows = locate(blocked, mine(blocked, window, phrase), window, phrase)
-    # a block has one row for a window, so that a window found everywhere has as many rows as there are blocks
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    repeated = windows.withColumn("total", total).where("total >= 2").select("block", "h1")
+    judged = judge(mine(blocked, window, phrase), None)
+    passages = confirmed(written(contexts(blocked, judged, window, phrase), "passages"))
     id_type = blocked.schema["doc_id"].dataType.simpleString()
 
-    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
         found = _Texts((t.as_py() for t in docs.column("t")), window, phrase)
-        wanted = np.sort(repeated.column("h1").to_numpy())
-        change = np.zeros(len(found.hashes) + 1, dtype=np.int32)
-        for batch in pieces(found.lengths, window) if len(wanted) else ():
-            offsets, starts = window_starts(batch, window)
-            units = np.concatenate([found.hashes[found.begins[d] + b : found.begins[d] + e] for d, b, e in batch])
-            h = gram_hashes(units, window)[starts].view(np.int64)
-            at = starts[wanted[np.searchsorted(wanted, h).clip(max=len(wanted) - 1)] == h]
-            shift = np.array([found.begins[d] + b for d, b, _ in batch]) - offsets
-            at = at + shift[np.searchsorted(offsets, at, side="right") - 1]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = locate(found, passages)
         removed, sha, kept = [], [], []
-        for k, t in enumerate(docs.column("t")):
-            mask = gone[found.begins[k] : found.begins[k + 1]]
+        for begin, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist()):
+            mask = gone[begin:end]
             n = int(mask.sum())
-            rest = b" ".join([w for w, g in zip((t.as_py() or b"").split(), mask.tolist()) if not g])
+            words = found.words[begin:end]
+            rest = b" ".join([w for w, g in zip(words, mask.tolist()) if not g] if n else words)
             removed.append(n)
             sha.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode() if texts else None)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(found.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    out = blocked.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = blocked.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
 
 

@@ -104,8 +104,9 @@ def mine(blocked: DataFrame, length: int, gram: int) -> DataFrame:
     return checkpoint(blocked.select("block", "t").mapInArrow(run, "block int, a long, c1 long, c2 long, n int"))
 
 
-def judge(mined: DataFrame, hot: int) -> DataFrame:
-    """(block, a, c1, c2, state, n, lead): contexts whose anchor recurs; ``lead`` in the one block that speaks for a context."""
+def judge(mined: DataFrame, hot: int | None) -> DataFrame:
+    """(block, a, c1, c2, state, n, lead): contexts whose anchor recurs; ``lead`` in the one block that speaks for a context.  No anchor is hot if ``hot`` is None."""
+    hot = 2**62 if hot is None else hot
     contexts = mined.groupBy("a", "c1", "c2").agg(F.sum("n").alias("n"), F.min("block").alias("first"))
     anchors = contexts.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total >= 2")
     state = F.when(F.col("n") >= 2, REPEATED).when(F.col("kinds") <= hot, SORTED).otherwise(HASHED)
