@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import PIECE, gram_hashes, mixed, pieces, window_anchors, window_starts
-from .common import block_count, checkpoint, written
-from .suffix_dedup import _OTHER, REPEATED, _contexts, _key, _numbers, _rows_in, judge
+from .anchors import _A, PIECE, gram_hashes, mixed, pieces, window_anchors, window_starts
+from .common import block_count, may_be_in, written
+from .suffix_dedup import _OTHER, _contexts
 
 WINDOW = 35
 PHRASE = 8
@@ -44,18 +44,22 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class _Texts:
-    """The words of some texts with their hashes, and their contexts piece by piece."""
-
-    def __init__(self, texts, window: int, phrase: int):
-        split = [(t or b"").split() for t in texts]
-        self.lengths = [len(w) for w in split]
-        self.words = [w for ws in split for w in ws]
-        self.hashes = word_hashes(self.words)
+    """The hashes of the words of some texts, the words if ``keep``, and the texts' contexts piece by piece."""
+
+    def __init__(self, texts, window: int, phrase: int, keep: bool = True):
+        self.words, hashes = [], [np.zeros(0, np.uint64)]
+        for t in texts:
+            words = (t or b"").split()
+            hashes.append(word_hashes(words))
+            if keep:
+                self.words += words
+        self.lengths = [len(h) for h in hashes[1:]]
+        self.hashes = np.concatenate(hashes)
         self.begins = np.cumsum([0, *self.lengths])
         self.window, self.phrase = window, phrase
 
     def contexts(self):
-        """(units, first and last window starts of each context, its place in all words, rows of (anchor, two hashes))."""
+        """(units, first and last window starts of each context, its place in all words, its anchor)."""
         for batch in pieces(self.lengths, self.window):
             units = np.concatenate([self.hashes[self.begins[d] + b : self.begins[d] + e] for d, b, e in batch])
             offsets, starts = window_starts(batch, self.window)
@@ -63,23 +67,25 @@ class _Texts:
             at, first, last = window_anchors(grams, self.window - self.phrase + 1, starts)
             shift = np.array([self.begins[d] + b for d, b, _ in batch]) - offsets
             place = first + shift[np.searchsorted(offsets, first, side="right") - 1]
-            yield units, first, last, place, np.column_stack([grams[at].view(np.int64), _contexts(units.tobytes(), 8 * first, 8 * last, 8 * self.window)])
+            yield units, first, last, place, grams[at].view(np.int64)
 
 
 def mine(blocked: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(block, a, c1, c2, n): the contexts of each block's documents, as far as a batch shows them."""
+    """(block, a): anchor phrases that recur, for each block that has them."""
 
     def run(batches):
         for b in batches:
-            texts = _Texts((t.as_py() for t in b.column(1)), window, phrase)
+            texts = _Texts((t.as_py() for t in b.column(1)), window, phrase, keep=False)
             block = np.repeat(b.column(0).to_numpy(), texts.lengths).astype(np.int64)
-            found = [np.zeros((0, 4), np.int64)]
-            for _, _, _, place, rows in texts.contexts():
-                found.append(np.column_stack([block[place], rows]))
+            found = [np.zeros((0, 2), np.int64)]
+            for _, _, _, place, anchor in texts.contexts():
+                found.append(np.column_stack([block[place], anchor]))
             rows, n = _counted(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in (1, 2, 3)), pa.array(n.astype(np.int32))], names=["block", "a", "c1", "c2", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(n.astype(np.int32))], names=["block", "a", "n"])
 
-    return checkpoint(blocked.select("block", "t").mapInArrow(run, "block int, a long, c1 long, c2 long, n int"))
+    mined = written(blocked.select("block", "t").mapInArrow(run, "block int, a long, n int"), "anchors")
+    recurring = mined.groupBy("a").agg(F.sum("n").alias("total")).where("total >= 2").select("a")
+    return mined.select("block", "a").join(recurring, "a").select("block", "a").distinct()
 
 
 def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,48 +95,82 @@ def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.diff(np.r_[first, len(rows)])
 
 
-def contexts(blocked: DataFrame, judged: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(block, c1, c2, n, whole, passage, w1, w2): the words of judged contexts, ``whole`` if met twice; the hashes of their windows where they are to be compared."""
+def packed_texts(blocked: DataFrame) -> DataFrame:
+    """``blocked`` with its texts compressed one by one, as they are shuffled twice."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t.as_py() or b"") for t in b.column(1)], pa.binary()), b.column(2)], names=["block", "t", "doc_id"])
+
+    return blocked.mapInArrow(run, blocked.schema)
+
+
+def _unpacked(docs: pa.Table):
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(t.as_py()) for t in docs.column("t"))
+
+
+def contexts(packed: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(block, c1, c2, n, passage): the distinct contexts of each block whose anchor recurs, two hashes of their words, how often the block has them, and the words."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
-        table = _numbers(known, ("a", "c1", "c2", "n", "lead", "state"))
-        table = table[np.argsort(_key(table[:, :3].copy()))]
-        keys, done = table[:, :3].copy(), np.zeros(len(table), dtype=bool)
-        order, passages, hashes, sizes = [], [], [np.zeros((0, 2), np.uint64)], []
-        texts = _Texts((t.as_py() for t in docs.column("t")) if len(table) else (), window, phrase)
-        for units, first, last, place, rows in texts.contexts():
-            at = _rows_in(rows, keys)
-            h = np.stack([gram_hashes(units, window), gram_hashes(mixed(units), window, _OTHER)], axis=1)
-            for i in np.flatnonzero(at >= 0).tolist():
-                k = at[i]
-                if done[k]:
-                    continue
-                done[k] = True
-                order.append(k)
-                passages.append(b" ".join(texts.words[place[i] : place[i] + last[i] - first[i] + window]))
-                own = h[first[i] : last[i] + 1] if table[k, 4] else h[:0]
-                hashes.append(own)
-                sizes.append(len(own))
-        rows = table[np.array(order, np.int64)]
-        h, ends = np.concatenate(hashes).view(np.int64), pa.array(np.cumsum([0, *sizes]).astype(np.int32))
-        column = lambda k: pa.array(np.ascontiguousarray(rows[:, k]))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(h[:, k]))) for k in (0, 1)]
-        whole = pa.array(rows[:, 5] == REPEATED)
-        return pa.table({"block": pa.array(np.full(len(rows), block, np.int32)), "c1": column(1), "c2": column(2), "n": pa.array(rows[:, 3].astype(np.int32)), "whole": whole, "passage": pa.array(passages, pa.binary()), "w1": lists[0], "w2": lists[1]})
-
-    schema = "block int, c1 long, c2 long, n int, whole boolean, passage binary, w1 array<long>, w2 array<long>"
-    return blocked.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(run, schema)
-
-
-def confirmed(found: DataFrame) -> DataFrame:
-    """(block, passage, at): words that recur: all windows of ``passage``, or, if not null, those that start at ``at``."""
-    each = found.where(F.size("w1") > 0).select("block", "c1", "c2", "n", "whole", F.posexplode(F.arrays_zip("w1", "w2")).alias("lo", "w")).select("block", "c1", "c2", "n", "whole", "lo", "w.w1", "w.w2")
-    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2").select("w1", "w2")
+        wanted = np.sort(known.column("a").to_numpy())
+        at, rows, passages = {}, [], []
+        texts = _Texts(_unpacked(docs) if len(wanted) else (), window, phrase)
+        for units, first, last, place, a in texts.contexts():
+            hit = np.flatnonzero(wanted[np.searchsorted(wanted, a).clip(max=len(wanted) - 1)] == a)
+            keys = _contexts(units.tobytes(), 8 * first[hit], 8 * last[hit], 8 * window)
+            for c, begin, end in zip(map(tuple, keys.tolist()), place[hit].tolist(), (place + last - first)[hit].tolist()):
+                k = at.setdefault(c, len(rows))
+                if k < len(rows):
+                    rows[k][2] += 1
+                else:
+                    rows.append([*c, 1])
+                    passages.append(b" ".join(texts.words[begin : end + window]))
+        rows = np.array(rows, np.int64).reshape(-1, 3)
+        return pa.table({"block": pa.array(np.full(len(rows), block, np.int32)), "c1": pa.array(rows[:, 0].copy()), "c2": pa.array(rows[:, 1].copy()), "n": pa.array(rows[:, 2].astype(np.int32)), "passage": pa.array(passages, pa.binary())})
+
+    return packed.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(run, "block int, c1 long, c2 long, n int, passage binary")
+
+
+def window_rows(leads: DataFrame, window: int) -> DataFrame:
+    """(block, c1, c2, n, lo, w1, w2): two hashes of each window of the contexts ``leads`` (block, c1, c2, n, passage)."""
+
+    def run(batches):
+        for b in batches:
+            split = [p.as_py().split(b" ") for p in b.column(4)]
+            size = np.array([len(w) for w in split], np.int64)
+            units = word_hashes([w for ws in split for w in ws])
+            count, begin = size - window + 1, np.cumsum(size) - size
+            own = np.repeat(np.arange(len(size)), count)
+            lo = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            start = begin[own] + lo
+            h = [gram_hashes(u, window, f)[start].view(np.int64) for u, f in ((units, _A), (mixed(units), _OTHER))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(own)) for k in range(4)), pa.array(lo.astype(np.int32)), *map(pa.array, h)], names=["block", "c1", "c2", "n", "lo", "w1", "w2"])
+
+    return leads.mapInArrow(run, "block int, c1 long, c2 long, n int, lo int, w1 long, w2 long")
+
+
+def confirmed(found: DataFrame, window: int) -> DataFrame:
+    """(block, c1, c2, at): contexts with windows met twice: all of them, or, if not null, those that start at ``at``."""
+    key = F.xxhash64("block", "c1", "c2").alias("key")
+    # of equal contexts one speaks for all
+    counts = written(found.groupBy("c1", "c2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("total"), F.min("block").alias("block")), "contexts")
+    likely = may_be_in(found.select("*", key), "key", counts.select(key), counts.count())
+    leads = likely.join(counts, ["block", "c1", "c2"]).select("block", "c1", "c2", F.col("total").alias("n"), "passage")
+    each = written(window_rows(leads, window), "windows")
+    twice = written(each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total >= 2").select("w1", "w2"), "repeated")
+    single = may_be_in(each.where("n = 1"), "w1", twice, twice.count())
     # at most WINDOW - PHRASE + 1 starts for a context
-    starts = each.where("not whole").join(twice, ["w1", "w2"], "left_semi").groupBy("block", "c1", "c2").agg(F.sort_array(F.collect_list("lo")).alias("at"))
-    parts = found.where("not whole").join(starts, ["block", "c1", "c2"]).select("block", "passage", "at")
-    return found.where("whole").select("block", "passage", F.lit(None).cast("array<int>").alias("at")).unionByName(parts)
+    parts = single.join(twice, ["w1", "w2"], "left_semi").groupBy("block", "c1", "c2").agg(F.sort_array(F.collect_list("lo")).alias("at"))
+    whole = found.select("block", "c1", "c2").join(counts.where("total = 2").select("c1", "c2"), ["c1", "c2"])
+    return whole.select("block", "c1", "c2", F.lit(None).cast("array<int>").alias("at")).unionByName(parts)
 
 
 def _letters(hashes: np.ndarray) -> str:
@@ -138,13 +178,13 @@ def _letters(hashes: np.ndarray) -> str:
     return hashes.astype(np.uint8).tobytes().decode("latin-1")
 
 
-def locate(texts: _Texts, passages: pa.Table) -> np.ndarray:
-    """Which words lie in an occurrence of a passage, as an automaton over all passages finds them."""
+def locate(texts: _Texts, passages: list[tuple[bytes, list[int] | None]]) -> np.ndarray:
+    """Which words lie in an occurrence of a passage (all of it, or its windows that start at the places given), as an automaton over all passages finds them."""
     import ahocorasick
 
     window, keys = texts.window, {}
-    for passage, at in zip(passages.column("passage"), passages.column("at")):
-        h, at = word_hashes(passage.as_py().split(b" ")), at.as_py()
+    for passage, at in passages:
+        h = word_hashes(passage.split(b" "))
         starts = np.arange(len(h) - window + 1) if at is None else np.array(at)
         cuts = np.flatnonzero(np.diff(starts) > 1)
         for lo, hi in zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist()):
@@ -176,13 +216,17 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     n_blocks = block_count(docs, text_col, block_mb)
     block = F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(n_blocks)).cast("int")
     blocked = docs.select(block.alias("block"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("doc_id"))
-    judged = judge(mine(blocked, window, phrase), None)
-    passages = confirmed(written(contexts(blocked, judged, window, phrase), "passages"))
+    packed = packed_texts(blocked)
+    found = written(contexts(packed, mine(blocked, window, phrase), window, phrase), "passages")
+    told = found.select("block", "c1", "c2", "passage", F.lit(None).cast("array<int>").alias("at")).unionByName(confirmed(found, window), allowMissingColumns=True)
     id_type = blocked.schema["doc_id"].dataType.simpleString()
 
-    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
-        found = _Texts((t.as_py() for t in docs.column("t")), window, phrase)
-        gone = locate(found, passages)
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        found = _Texts(_unpacked(docs), window, phrase)
+        is_text = pa.compute.is_valid(told["passage"])
+        seen, recur = told.filter(is_text), told.filter(pa.compute.invert(is_text))
+        passage = dict(zip(zip(seen["c1"].to_pylist(), seen["c2"].to_pylist()), seen["passage"].to_pylist()))
+        gone = locate(found, [(passage[c1, c2], at) for c1, c2, at in zip(recur["c1"].to_pylist(), recur["c2"].to_pylist(), recur["at"].to_pylist())])
         removed, sha, kept = [], [], []
         for begin, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist()):
             mask = gone[begin:end]
@@ -194,7 +238,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             kept.append(rest.decode() if texts else None)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(found.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    out = blocked.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
 
 

@@ -56,8 +56,6 @@ def test_empty_and_clashing_columns(spark):
 
 
 def test_automaton_locates_whole_passages_only():
-    import pyarrow as pa
-
     words = [f"w{i}" for i in range(60)]
     near = words.copy()  # another word with the same letter in the middle of the passage
     letter = phrase_dedup._letters(phrase_dedup.word_hashes([b"w20"]))
@@ -65,9 +63,9 @@ def test_automaton_locates_whole_passages_only():
     docs = [" ".join(["before", *words, "after"]), " ".join(near), "", " ".join(words[:39] * 2), " ".join(words[5:])]
     texts = phrase_dedup._Texts([d.encode() for d in docs], 35, 8)
     passage = " ".join(words[:40]).encode()
-    whole = phrase_dedup.locate(texts, pa.table({"passage": pa.array([passage], pa.binary()), "at": pa.array([None], pa.list_(pa.int32()))}))
+    whole = phrase_dedup.locate(texts, [(passage, None)])
     assert whole.nonzero()[0].tolist() == list(range(1, 41))
-    run = phrase_dedup.locate(texts, pa.table({"passage": pa.array([passage], pa.binary()), "at": pa.array([[0, 1, 2, 5]], pa.list_(pa.int32()))}))
+    run = phrase_dedup.locate(texts, [(passage, [0, 1, 2, 5])])
     begins = texts.begins.tolist()
     spans = [(1, 38), (6, 41), (begins[3], begins[3] + 37), (begins[3] + 39, begins[3] + 76), (begins[4], begins[4] + 35)]
     assert set(run.nonzero()[0].tolist()) == {i for a, b in spans for i in range(a, b)}
