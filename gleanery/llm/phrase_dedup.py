@@ -7,9 +7,10 @@ passages are confirmed first: a context met twice is one as a whole; of a contex
 met once whose anchor recurs, the windows are compared with all others at such
 anchors by a 128-bit hash, and each run of windows met twice is one.  Passages are
 dealt, as texts, to the blocks of documents that they were seen in.  Each block
-compiles its passages to one Aho-Corasick automaton, with one letter for each
-word, streams its documents through it, and removes every occurrence whose words
-agree by their 64-bit hashes: what goes is what the automaton located.
+compiles its passages to Aho-Corasick automata, with one letter for each word and
+shards of about ``SHARD_LETTERS`` letters, streams its documents through each, and
+removes every occurrence whose words agree by their 64-bit hashes: what goes is
+what the automata located.
 Documents are dealt to blocks of about ``BLOCK_MB``, by a hash.
 
 Cases: null and empty texts have no words; fewer than ``WINDOW`` words stay
@@ -35,6 +36,8 @@ from .suffix_dedup import _OTHER, _contexts
 WINDOW = 35
 PHRASE = 8
 BLOCK_MB = 8
+#: Letters of the passages that one automaton holds; a longer passage has one for itself.
+SHARD_LETTERS = 1 << 18
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -44,15 +47,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class _Texts:
-    """The hashes of the words of some texts, the words if ``keep``, and the texts' contexts piece by piece."""
+    """The hashes of the words of some texts, and the texts' contexts piece by piece."""
 
-    def __init__(self, texts, window: int, phrase: int, keep: bool = True):
-        self.words, hashes = [], [np.zeros(0, np.uint64)]
+    def __init__(self, texts, window: int, phrase: int):
+        hashes = [np.zeros(0, np.uint64)]
         for t in texts:
-            words = (t or b"").split()
-            hashes.append(word_hashes(words))
-            if keep:
-                self.words += words
+            hashes.append(word_hashes((t or b"").split()))
         self.lengths = [len(h) for h in hashes[1:]]
         self.hashes = np.concatenate(hashes)
         self.begins = np.cumsum([0, *self.lengths])
@@ -75,7 +75,7 @@ def mine(blocked: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = _Texts((t.as_py() for t in b.column(1)), window, phrase, keep=False)
+            texts = _Texts((t.as_py() for t in b.column(1)), window, phrase)
             block = np.repeat(b.column(0).to_numpy(), texts.lengths).astype(np.int64)
             found = [np.zeros((0, 2), np.int64)]
             for _, _, _, place, anchor in texts.contexts():
@@ -115,6 +115,19 @@ def _unpacked(docs: pa.Table):
     return (unpack(t.as_py()) for t in docs.column("t"))
 
 
+def _words_at(docs: pa.Table, texts: _Texts):
+    """A function that gives the words from one place of ``texts`` to another of the same text; asked in order, it splits each text once."""
+    held = [-1, []]
+
+    def words(begin: int, end: int) -> list[bytes]:
+        d = int(np.searchsorted(texts.begins, begin, side="right")) - 1
+        if held[0] != d:
+            held[:] = d, next(_unpacked(docs.slice(d, 1))).split()
+        return held[1][begin - texts.begins[d] : end - texts.begins[d]]
+
+    return words
+
+
 def contexts(packed: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
     """(block, c1, c2, n, passage): the distinct contexts of each block whose anchor recurs, two hashes of their words, how often the block has them, and the words."""
 
@@ -123,6 +136,7 @@ def contexts(packed: DataFrame, phrases: DataFrame, window: int, phrase: int) ->
         wanted = np.sort(known.column("a").to_numpy())
         at, rows, passages = {}, [], []
         texts = _Texts(_unpacked(docs) if len(wanted) else (), window, phrase)
+        words = _words_at(docs, texts)
         for units, first, last, place, a in texts.contexts():
             hit = np.flatnonzero(wanted[np.searchsorted(wanted, a).clip(max=len(wanted) - 1)] == a)
             keys = _contexts(units.tobytes(), 8 * first[hit], 8 * last[hit], 8 * window)
@@ -132,7 +146,7 @@ def contexts(packed: DataFrame, phrases: DataFrame, window: int, phrase: int) ->
                     rows[k][2] += 1
                 else:
                     rows.append([*c, 1])
-                    passages.append(b" ".join(texts.words[begin : end + window]))
+                    passages.append(b" ".join(words(begin, end + window)))
         rows = np.array(rows, np.int64).reshape(-1, 3)
         return pa.table({"block": pa.array(np.full(len(rows), block, np.int32)), "c1": pa.array(rows[:, 0].copy()), "c2": pa.array(rows[:, 1].copy()), "n": pa.array(rows[:, 2].astype(np.int32)), "passage": pa.array(passages, pa.binary())})
 
@@ -178,11 +192,9 @@ def _letters(hashes: np.ndarray) -> str:
     return hashes.astype(np.uint8).tobytes().decode("latin-1")
 
 
-def locate(texts: _Texts, passages: list[tuple[bytes, list[int] | None]]) -> np.ndarray:
-    """Which words lie in an occurrence of a passage (all of it, or its windows that start at the places given), as an automaton over all passages finds them."""
-    import ahocorasick
-
-    window, keys = texts.window, {}
+def _shards(passages, window: int, letters: int):
+    """Runs of windows of the passages, as hashes by their letters, about ``letters`` letters at a time."""
+    keys, held = {}, 0
     for passage, at in passages:
         h = word_hashes(passage.split(b" "))
         starts = np.arange(len(h) - window + 1) if at is None else np.array(at)
@@ -190,13 +202,26 @@ def locate(texts: _Texts, passages: list[tuple[bytes, list[int] | None]]) -> np.
         for lo, hi in zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist()):
             part = h[lo : hi + window]
             keys.setdefault(_letters(part), set()).add(part.tobytes())
-    change = np.zeros(len(texts.hashes) + 1, dtype=np.int32)
+            held += len(part)
+        if held >= letters:
+            yield keys
+            keys, held = {}, 0
     if keys:
+        yield keys
+
+
+def locate(texts: _Texts, passages, letters: int = SHARD_LETTERS) -> np.ndarray:
+    """Which words lie in an occurrence of a passage (all of it, or its windows that start at the places given), as automata over all passages find them."""
+    import ahocorasick
+
+    change = np.zeros(len(texts.hashes) + 1, dtype=np.int32)
+    raw = texts.hashes.tobytes()
+    for keys in _shards(passages, texts.window, letters):
         automaton, longest = ahocorasick.Automaton(), max(map(len, keys))
         for key, parts in keys.items():
             automaton.add_word(key, parts)
         automaton.make_automaton()
-        raw, begin, end = texts.hashes.tobytes(), [], []
+        begin, end = [], []
         for d, n in zip(texts.begins.tolist(), texts.lengths):
             for cut in range(d, d + n, PIECE):
                 for last, parts in automaton.iter(_letters(texts.hashes[cut : min(d + n, cut + PIECE + longest - 1)])):
@@ -225,13 +250,14 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         found = _Texts(_unpacked(docs), window, phrase)
         is_text = pa.compute.is_valid(told["passage"])
         seen, recur = told.filter(is_text), told.filter(pa.compute.invert(is_text))
-        passage = dict(zip(zip(seen["c1"].to_pylist(), seen["c2"].to_pylist()), seen["passage"].to_pylist()))
-        gone = locate(found, [(passage[c1, c2], at) for c1, c2, at in zip(recur["c1"].to_pylist(), recur["c2"].to_pylist(), recur["at"].to_pylist())])
+        row = {key: k for k, key in enumerate(zip(seen["c1"].to_pylist(), seen["c2"].to_pylist()))}
+        passages, places = seen["passage"].combine_chunks(), recur["at"].combine_chunks()
+        gone = locate(found, ((passages[row[key]].as_py(), places[k].as_py()) for k, key in enumerate(zip(recur["c1"].to_pylist(), recur["c2"].to_pylist()))))
         removed, sha, kept = [], [], []
-        for begin, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist()):
+        for text, begin, end in zip(_unpacked(docs), found.begins[:-1].tolist(), found.begins[1:].tolist()):
             mask = gone[begin:end]
             n = int(mask.sum())
-            words = found.words[begin:end]
+            words = text.split()
             rest = b" ".join([w for w, g in zip(words, mask.tolist()) if not g] if n else words)
             removed.append(n)
             sha.append(hashlib.sha256(rest).hexdigest())

@@ -69,3 +69,5 @@ def test_automaton_locates_whole_passages_only():
     begins = texts.begins.tolist()
     spans = [(1, 38), (6, 41), (begins[3], begins[3] + 37), (begins[3] + 39, begins[3] + 76), (begins[4], begins[4] + 35)]
     assert set(run.nonzero()[0].tolist()) == {i for a, b in spans for i in range(a, b)}
+    both = [(passage, None), (" ".join(words[22:]).encode(), [1, 3])]
+    assert all((phrase_dedup.locate(texts, both, letters) == phrase_dedup.locate(texts, both)).all() for letters in (1, 41, 1000))
