@@ -143,6 +143,11 @@ _ANCHOR = f"""{sgp._CHUNKS}, an as (select d.candidate_id, d.source_id, c.chunk_
     qualify row_number() over (partition by d.candidate_id order by d.begin < c.begin or d.begin >= c.stop, c.ord) = 1)"""
 
 
+_WORDS_OF = "concat_ws(chr(10), title, summary, evidence_text, terms)"
+_GROUPS = f"""{_tok('gw', 'c1', 'candidate_id', _WORDS_OF)}, {_tok('gx', 'c1', 'candidate_id', _WORDS_OF, 1)}, {_tok('gn', 'existing', 'ord', 'title', 1)}, {_pairs('g1', 'gx', 'gn', _J)}, {_pairs('g2', 'gw', 'gn', '0.24')},
+  gb as (select l, r from (select * from g1 union all select * from g2) where sim >= {lx.OUTLINE_LEAST} qualify row_number() over (partition by l order by sim desc, r) = 1)"""
+
+
 def _labels(t: str) -> str:
     ls = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: {q.trimmed('x')}), lambda x: x <> '')"
     return f"(len({ls}) between 1 and 4 and len(list_filter({ls}, lambda x: length(x) > 150)) = 0)"
@@ -179,5 +184,6 @@ ORACLES = {
     "schema_fit": f"{_BASE}, {_CAND}, {_FIT} select candidate_id, n_matched from sf",
     "structural_reasons": f"{_BASE}, {_CAND}, {_REASON} select candidate_id, coalesce(reason, '') as reason from rs",
     "scored_candidates": f"{_SCORED} select candidate_id, type, schema_fit, claim_strength, evidence_quality, reusability, novelty, boundary, penalty, total, action, case when action in ('update_existing', 'link_only') then target else '' end as target from sg",
+    "card_groups": f"{_BASE}, {_CAND}, {_GROUPS} select coalesce(r, 9999) as node_ord, count(*) as n_cards, min(begin) as first_begin, max(begin) as last_begin from c1 left join gb on l = candidate_id group by 1",
     "action_tally": f"{_SCORED} select coalesce(type, 'all') as type, coalesce(action, 'all') as action, count(*) as n from sg group by grouping sets ((type), (action), (type, action))",
 }
