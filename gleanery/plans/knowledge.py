@@ -254,7 +254,25 @@ _NODE = f"""{mtp._BASE}, {mtp._CAND}, {mtp._tok('qa', 'c1', 'candidate_id', _WHO
   bn as (select l as candidate_id, concat('n', r) as node_id, score from (select *, row_number() over (partition by l order by not holds, case when holds then 0 else -score end, r) as k from ns) z where k = 1 and score >= 0.18)"""
 _C = f"with recursive {q.with_views('cue_docs', 'decisions')}, {cdp.plain_sql('cue_docs')}"
 
+_FLAT = lambda x: f"trim(regexp_replace({x}, '\\r?\\n', ' ', 'g'))"
+_NL = "chr(10)"
+#: ``eb``: blocks and ids of each source's claims; ``et``: its terms, each once, the first 24.
+_MARKDOWN = f"""{mtp._BASE}, {mtp._CAND},
+  ek as (select c1.source_id, begin, stop, c1.candidate_id, concat_ws({_NL}, concat('### ', {_FLAT('title')}), concat('- claim_id: ', c1.candidate_id), concat('- evidence: ', replace(refs, ',', ', ')), '', '<!-- translated -->', '', '<!-- original -->', source_text, '<!-- end -->', '') as block
+    from c1 join (select candidate_id, source_text from ct) x on x.candidate_id = c1.candidate_id),
+  eb as (select source_id, string_agg(block, {_NL} order by begin, stop, candidate_id) as blocks, string_agg(candidate_id, ', ' order by begin, stop, candidate_id) as ids from ek group by 1),
+  el as (select candidate_id, list(term order by i) as ts from tg group by 1),
+  eo as (select source_id, term, row_number() over (partition by source_id order by begin, stop, ts, i) as p from tg join el on el.candidate_id = tg.candidate_id join c1 on c1.candidate_id = tg.candidate_id),
+  eu as (select source_id, arg_min(term, p) as term, min(p) as p from eo group by source_id, lower(term) qualify row_number() over (partition by source_id order by min(p)) <= 24),
+  et as (select source_id, string_agg({_FLAT('term')}, ', ' order by p) as terms from eu group by 1)"""
+_REPORT = lambda n: f"concat('{{\"items\":', cast(to_json(items[1:{n}]) as varchar), '}}')"
+
 ORACLES = {
+    "entry_markdown": f"""{_MARKDOWN}, em as (select concat(eb.source_id, '-unclassified') as id, concat_ws({_NL}, '---', concat('id: ', eb.source_id, '-unclassified'), 'title: unclassified', 'category: extracted', 'status: draft', 'outline_node_id: ', concat('source_ids: ', eb.source_id), concat('original_terms: ', coalesce(terms, '')), 'tags: ', 'related: ',
+      concat('created_from_candidates: ', ids), 'created_at: 2024-01-01T00:00:00Z', 'updated_at: 2024-01-01T00:00:00Z', 'review_notes: ', '---', '', '# unclassified', '', '## claims', '', blocks) as markdown from eb left join et on et.source_id = eb.source_id) select id, md5(markdown) as markdown_md5 from em""",
+    "report_export": f"""{_C}, ri as (select source_id, list(title order by title) as items from (select source_id, title from cand qualify row_number() over (partition by source_id order by title) <= 40) x group by 1),
+      rk as (select source_id, items, case when length({_REPORT(40)}) <= 48000 then 40 when length({_REPORT(10)}) <= 48000 then 10 when length({_REPORT(3)}) <= 48000 then 3 else 0 end as kept from ri)
+      select source_id, cast(kept as bigint) as kept, md5({_REPORT('kept')}) as report_md5 from rk""",
     "response_parse_status": f"{_R} select source_id, status, cast(case when status in ('ok', 'recovered') then 1 else 0 end as bigint) as n_candidates from r3",
     "response_failures": f"{_R} select source_id, status as reason from r3 where status in ('empty', 'error')",
     "importable_candidates": f"{_J} select source_id, 0 as idx, array_to_string(list_sort(violations), ',') as violations, len(violations) = 0 as importable from jd",
