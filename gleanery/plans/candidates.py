@@ -112,6 +112,28 @@ def plain_sql(docs: str) -> str:
   cand as (select candidate_id, source_id, type, title, summary, begin, stop, g.refs, evidence_text, n_refs from candl l join candg g on g.lead_id = l.candidate_id where no = 1)"""
 
 
+def markdown_sql() -> str:
+    """``with`` clauses up to ``mz``, the candidates of Markdown sources, repeated ones merged."""
+    concept = r"(?i)\A(?:(?:Concept|Definition)\b|(?:개념|정의)\B)"  # CONCEPT_HEADING without its lookahead
+    ref = lambda n: f"concat(source_id, '#md-block-', {n})"
+    return f"""with {q.with_views('md_docs')}, {sgp._MD_BLOCKS},
+  ma as (select source_id, k3 as kind, min(ln) as ln, min(begin) as begin, max(stop) as stop, string_agg(line, chr(10) order by ln) as raw from t group by source_id, island, k3),
+  mb as (select *, row_number() over (partition by source_id order by ln) - 1 as no, case when kind = 'paragraph' then regexp_replace(regexp_replace(raw, '\\*\\*|__', '', 'g'), '[*_]', '', 'g') else raw end as plain from ma),
+  mc as (select *, first_value(case when kind = 'paragraph' then struct_pack(no := no, stop := stop, plain := plain, raw := raw) end ignore nulls) over (partition by source_id order by ln rows between 1 following and unbounded following) as nx,
+    {q.trimmed(f"regexp_replace(raw, '^#{{1,6}}{chr(92)}s+', '')")} as heading, {q.group('raw', lx.BOLD_DEFINITION, 1)} as bold, {q.one_line(q.group('raw', lx.BOLD_DEFINITION, 2))} as clean, {q.one_line('plain')} as whole, {q.trimmed(f"regexp_replace(raw, '(?m)^>{chr(92)}s?', '', 'g')")} as quote from mb),
+  md as (select *, regexp_matches(heading, '{concept}') as is_concept, {q.trimmed(f"regexp_replace(regexp_replace(heading, '{concept}', ''), '^[{chr(92)}s:—–-]+', '')")} as name, {q.trimmed(q.group('clean', lx.BOLD_SENTENCE, 1))} as first, {q.one_line(q.group('clean', lx.BOLD_SENTENCE, 2))} as rest from mc),
+  me as (select *, {q.prose_type('rest')} as rest_type, {q.prose_type('whole')} as whole_type from md),
+  mf as (select *, case when rest_type is not null then {q.one_line('first')} else clean end as lead from me),
+  mg as (select source_id, 'concept' as type, case when name = '' then heading else name end as title, coalesce(substr(replace(nx.plain, chr(10), ' '), 1, 240), heading) as summary, begin, coalesce(nx.stop, stop) as stop, case when nx is null then [{ref('no')}] else [{ref('no')}, {ref('nx.no')}] end as refs from mf where kind = 'heading' and is_concept
+    union all select source_id, 'concept', {q.trimmed('bold')}, {truncated('lead', 240)}, begin, stop, [{ref('no')}] from mf where kind = 'paragraph' and bold <> ''
+    union all select source_id, rest_type, {title_sql('rest')}, {truncated('rest', 300)}, begin, stop, [{ref('no')}] from mf where kind = 'paragraph' and bold <> '' and rest_type is not null
+    union all select source_id, whole_type, {title_sql('whole')}, {truncated('whole', 300)}, begin, stop, [{ref('no')}] from mf where kind = 'paragraph' and bold = '' and whole_type is not null
+    union all select source_id, 'quotation', substr(string_split(quote, chr(10))[1], 1, 80), case when length(quote) > 240 then concat(substr(quote, 1, 237), '…') else quote end, begin, stop, [{ref('no')}] from mf where kind = 'blockquote' and length(quote) >= 8),
+  mh as (select *, substr(sha256(concat(source_id, ':', type, ':', begin, ':', stop)), 1, 16) as candidate_id, lower({q.one_line('title')}) as kt, lower({q.one_line('summary')}) as ks from mg),
+  my as (select *, row_number() over same as nth, list(refs) over (partition by source_id, type, kt, ks) as all_refs from mh window same as (partition by source_id, type, kt, ks order by begin, stop, candidate_id)),
+  mz as (select candidate_id, source_id, type, title, summary, begin, stop, cast(least(len(list_distinct(flatten(all_refs))), 12) as bigint) as n_refs from my where nth = 1)"""
+
+
 def _all(p: str) -> str:
     return f"regexp_extract_all(text, '{q.re2(p)}')"
 
@@ -134,6 +156,7 @@ ORACLES = {
       f as (select source_id, term, min(i) as i from e group by 1, 2), g as (select * from f qualify row_number() over (partition by source_id order by i) <= 12)
       select d.source_id, coalesce(string_agg(term, ',' order by term), '') as terms, count(term) as n_terms from cue_docs d left join g on g.source_id = d.source_id group by 1""",
     "candidates": f"{_W}, {plain_sql('cue_docs')} select candidate_id, source_id, type, md5(title) as title_md5, md5(summary) as summary_md5, begin, stop, refs, md5(evidence_text) as evidence_md5 from cand",
+    "md_candidates": f"""{markdown_sql()} select candidate_id, source_id, type, md5(title) as title_md5, md5(summary) as summary_md5, begin, stop, n_refs from mz""",
     "candidate_dedup": f"""{_W}, twice as (select source_id, concat(text, chr(10), chr(10), text) as text from cue_docs), {plain_sql('twice')}
       select source_id, type, md5(lower(arg_min(title, begin))) as title_md5, least(count(distinct refs), 12) as n_refs, arg_min(refs, begin) as first_ref, min(begin) as begin from candr group by source_id, type, lower({q.one_line('title')}), lower({q.one_line('summary')})""",
     "schema_conformance": f"{_W}, {plain_sql('cue_docs')} select source_id, count(*) as n, count(*) filter (where length(title) > 0 and length(summary) > 0 and length(refs) > 0 and begin >= 0 and stop >= begin and length(evidence_text) > 0) as n_valid from cand group by 1",

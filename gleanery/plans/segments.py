@@ -91,6 +91,15 @@ w as (select source_id, begin, text, 0 as s, 0 as e from p
 k as (select source_id, begin + s as begin, begin + e as stop, substr(text, cast(s + 1 as int), cast(e - s as int)) as text, row_number() over (partition by source_id order by begin + s) - 1 as ord from w where e > 0),
 c as (select source_id, ord, substr(sha256(concat(source_id, ':', ord, ':', begin, ':', stop)), 1, 16) as chunk_id, begin, stop, text, substr(sha256(text), 1, 16) as content_hash from k where {q.trimmed('text')} <> '')"""
 _MD_LINES = f"""l as (select *, starts_with(line, '```') as fence, sum(case when starts_with(line, '```') then 1 else 0 end) over (partition by source_id order by ln) as nf from {q.lines('md_docs')} x)"""
+#: Lines of Markdown blocks as ``t`` (source_id, island, k3: their kind, ln, line, begin, stop).
+_MD_BLOCKS = f"""{_MD_LINES},
+      k as (select *, case when (nf % 2 = 1) or fence then 'code' when {q.trimmed('line')} = '' then 'blank' when regexp_full_match(line, '\\s*(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*') then 'hr' when {q.has('line', chr(92) + 'A#{1,6}' + chr(92) + 's+[^' + chr(92) + 'n]*' + chr(92) + 'z')} then 'heading' when starts_with(line, '>') then 'blockquote' else 'run' end as kind0,
+        nf = max(nf) over (partition by source_id) and max(nf) over (partition by source_id) % 2 = 1 as open from l),
+      k2 as (select *, case when kind0 = 'code' and open then 'dropped' else kind0 end as kind, case when kind0 = 'code' then floor((nf + case when fence and nf % 2 = 0 then -1 else 0 end) / 2) end as fno from k),
+      i as (select *, sum(case when kind is distinct from pk or kind in ('heading', 'hr') or fno is distinct from pf then 1 else 0 end) over (partition by source_id order by ln) as island from (select *, lag(kind) over (partition by source_id order by ln) as pk, lag(fno) over (partition by source_id order by ln) as pf from k2) z),
+      r as (select *, regexp_matches(line, '^\\s*([-*+]|\\d+\\.)\\s+') as item, regexp_matches(line, '^\\s{{2,}}\\S') as indented from i where kind not in ('blank', 'dropped')),
+      s as (select *, arg_min(item, ln) over (partition by source_id, island) as fi, min(case when not item and not indented then ln end) over (partition by source_id, island) as nl from r),
+      t as (select *, case when kind = 'run' then case when fi and ln < coalesce(nl, 2147483647) then 'list' else 'paragraph' end else kind end as k3 from s)"""
 
 ORACLES = {
     "claim_verb_counts": f"{_CUE} select source_id, cast({q.claims('text')} as bigint) as n_claims from cue_docs",
@@ -108,14 +117,7 @@ ORACLES = {
       select source_id, min(ln) as first_line, max(ln) as last_line, min(begin) as begin, max(stop) as stop, md5(string_agg(line, chr(10) order by ln)) as text_md5 from h where not apart group by source_id, island""",
     "chunks": f"{_CUE}, {_CHUNKS} select source_id, ord, chunk_id, begin, stop, content_hash from c",
     "chunk_batches": f"{_CUE}, {_CHUNKS}, b as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c) select source_id, batch, count(*) as n_chunks, cast(sum(stop - begin) as bigint) as n_chars, min(ord) as first_ord from b group by 1, 2",
-    "md_blocks": f"""with {q.with_views('md_docs')}, {_MD_LINES},
-      k as (select *, case when (nf % 2 = 1) or fence then 'code' when {q.trimmed('line')} = '' then 'blank' when regexp_full_match(line, '\\s*(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*') then 'hr' when {q.has('line', chr(92) + 'A#{1,6}' + chr(92) + 's+[^' + chr(92) + 'n]*' + chr(92) + 'z')} then 'heading' when starts_with(line, '>') then 'blockquote' else 'run' end as kind0,
-        nf = max(nf) over (partition by source_id) and max(nf) over (partition by source_id) % 2 = 1 as open from l),
-      k2 as (select *, case when kind0 = 'code' and open then 'dropped' else kind0 end as kind, case when kind0 = 'code' then floor((nf + case when fence and nf % 2 = 0 then -1 else 0 end) / 2) end as fno from k),
-      i as (select *, sum(case when kind is distinct from pk or kind in ('heading', 'hr') or fno is distinct from pf then 1 else 0 end) over (partition by source_id order by ln) as island from (select *, lag(kind) over (partition by source_id order by ln) as pk, lag(fno) over (partition by source_id order by ln) as pf from k2) z),
-      r as (select *, regexp_matches(line, '^\\s*([-*+]|\\d+\\.)\\s+') as item, regexp_matches(line, '^\\s{{2,}}\\S') as indented from i where kind not in ('blank', 'dropped')),
-      s as (select *, arg_min(item, ln) over (partition by source_id, island) as fi, min(case when not item and not indented then ln end) over (partition by source_id, island) as nl from r),
-      t as (select *, case when kind = 'run' then case when fi and ln < coalesce(nl, 2147483647) then 'list' else 'paragraph' end else kind end as k3 from s)
+    "md_blocks": f"""with {q.with_views('md_docs')}, {_MD_BLOCKS}
       select source_id, k3 as kind, max(case when k3 = 'heading' then length(regexp_extract(line, '^(#{{1,6}})', 1)) else 0 end) as level, min(ln) as first_line, max(ln) as last_line, md5(string_agg(line, chr(10) order by ln)) as raw_md5 from t group by source_id, island, k3""",
     "heading_paths": f"""with {q.with_views('md_docs')}, l as (select *, case when regexp_full_match(line, '#{{1,6}}\\s+.*') then length(regexp_extract(line, '^(#{{1,6}})', 1)) end as level, {q.trimmed(q.group('line', chr(92) + 'A#{1,6}' + chr(92) + 's+([^' + chr(92) + 'n]*)' + chr(92) + 'z', 1))} as title from {q.lines('md_docs')} x),
       b as (select *, level is not null or {q.trimmed('line')} = '' as apart, sum(case when level is not null or {q.trimmed('line')} = '' then 1 else 0 end) over (partition by source_id order by ln) as island from l),
