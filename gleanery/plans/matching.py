@@ -64,7 +64,7 @@ def schema_fit(spark, sf_dir):
 
 
 def structural_reasons(spark, sf_dir):
-    found, _, _ = parts(spark, sf_dir)
+    found = cd.plain_candidates(sgp.cue_docs(spark, sf_dir))  # one branch reads them: no intermediate table
     judged = tx.with_structural_reason(found, "type", "title", F.col("summary"), F.col("evidence_text"))
     return judged.select("candidate_id", F.coalesce("reason", F.lit("")).alias("reason"))
 
