@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fill_in_middle, language_id, line_dedup, lm_score, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup
+from . import decontaminate, fill_in_middle, language_id, line_dedup, lm_score, mixing, phrase_dedup, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from .common import load
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_mix": lambda spark, sf: mixing.op6_mix(load(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
+    "op11_token_files": lambda spark, sf: token_files.op11_token_files(load(spark, sf, "documents")),
     "op13_fill_in_middle": lambda spark, sf: fill_in_middle.op13_fill_in_middle(load(spark, sf, "documents")),
 }
 ORACLES = {
