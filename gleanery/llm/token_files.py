@@ -52,9 +52,9 @@ from .buffers import binaries, flat, slices
 from .common import shared_folder, written
 
 #: Bytes of texts worked on at a time.
-SLICE = 32 << 20
+SLICE = 4 << 20
 #: Pieces of texts whose ids a worker keeps.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Sum of the frequencies, as a power of two; larger where the vocabulary needs it.
 BITS = 20
 LANES = 2048
@@ -122,9 +122,6 @@ class Pieces:
         """All ids of the pieces, and the ``len + 1`` offsets of each piece's."""
         at = list(map(self.known.get, pieces))
         new = [p for p, k in zip(pieces, at) if k is None]
-        if self.n + len(new) > self.most:
-            self.known, self.n, self.used = {}, 0, 0
-            at, new = [None] * len(pieces), pieces
         if new:
             found = self.encode(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -135,9 +132,11 @@ class Pieces:
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
             self.begin[self.n + 1 : self.n + len(new) + 1] = self.used + np.cumsum(sizes)
-            self.known.update(zip(new, range(self.n, self.n + len(new))))
-            self.n, self.used = self.n + len(new), self.used + total
-            at = list(map(self.known.get, pieces))
+            place = iter(range(self.n, self.n + len(new)))
+            at = [next(place) if k is None else k for k in at]
+            if self.n + len(new) <= self.most:  # else their place is taken by the next new ones
+                self.known.update(zip(new, range(self.n, self.n + len(new))))
+                self.n, self.used = self.n + len(new), self.used + total
         k = np.array(at, np.int64)
         return gathered(self.ids, self.begin[k], self.begin[k + 1] - self.begin[k])
 
