@@ -187,3 +187,12 @@ BOLD_SENTENCE = r"\A(.{8,260}?[.!?])\s+(.{40,})\z"
 
 # ---- fixed values: thresholds of matching and scoring ----
 SIM_UPDATE, SIM_LINK, IGNORE_TOTAL, OUTLINE_LEAST = 0.5, 0.2, 1, 0.18
+
+# ---- fixed values: the Markdown form of entries ----
+MD_KEYS = ("id", "title", "category", "status", "outline_node_id", "source_ids", "original_terms", "tags", "related", "created_from_candidates", "created_at", "updated_at", "review_notes")
+MD_STATUSES = ("draft", "reviewed", "verified", "deprecated", "superseded")
+MD_TRANSLATED = "<!-- annotation:translated -->"
+MD_ORIGINAL = "<!-- annotation:original -->"
+MD_END = "<!-- /annotation -->"
+MD_CLAIMS_START = "## 주장"
+MD_CLAIMS = "## 주장 (claims)"

@@ -1,4 +1,4 @@
-"""Knowledge entries: decisions, build, index, Markdown text and back, upsert, reviews."""
+"""Knowledge entries: decisions, build, index, upsert, reviews."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-_KEYS = ("id", "title", "category", "status", "outline_node_id", "source_ids", "original_terms", "tags", "related", "created_from_candidates", "created_at", "updated_at", "review_notes")
+def with_decisions(candidates: DataFrame, log: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Candidates with their latest decision, and its event, of ``log`` (source_id, candidate_id, decision, updated_at, event_id), ``pending`` if there is none.
 
-
-def with_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Candidates with the decision of their source, ``pending`` if there is none."""
-    latest = decisions.groupBy("source_id").agg(F.max("decision").alias("decision"))
-    return candidates.join(latest, "source_id", "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+    Only records up to ``as_of`` count, in whatever order they came; of equal times the greatest event id wins.  The
+    log is keyed by source and candidate alone, so a decision stays when a candidate is scored anew.
+    """
+    known = log if as_of is None else log.where(F.col("updated_at") <= as_of)
+    latest = known.groupBy("source_id", "candidate_id").agg(F.max(F.struct("updated_at", "event_id", "decision")).alias("last"), F.count("*").alias("n_records"))
+    joined = candidates.join(latest, ["source_id", "candidate_id"], "left")
+    return joined.withColumns({"decision": F.coalesce("last.decision", F.lit("pending")), "decided_by": F.col("last.event_id"), "n_records": F.coalesce("n_records", F.lit(0))}).drop("last")
 
 
 def savable(scored: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def build(candidates: DataFrame, mapping: DataFrame, now: str = "2024-01-01T00:0
     """One entry for each source and outline node (``unclassified`` without one), its claims in document order."""
     rows = candidates.join(mapping.select("candidate_id", "node_id"), "candidate_id", "left")
     node = F.coalesce("node_id", F.lit("unclassified"))
-    claim = F.struct("begin", "stop", "candidate_id", F.col("title").alias("statement"), F.lit("").alias("translated_text"), F.col("source_text").alias("original_text"), "refs")
+    claim = F.struct("begin", "stop", "candidate_id", F.col("candidate_id").alias("claim_id"), F.col("title").alias("statement"), F.lit("").alias("translated_text"), F.col("source_text").alias("original_text"), F.col("refs").alias("evidence_refs"))
     claims = F.array_sort(F.collect_list(claim))
     terms = F.array_sort(F.collect_list(F.struct("begin", "stop", F.col("original_terms").alias("t"))))
     grouped = rows.groupBy("source_id", node.alias("node")).agg(claims.alias("claims"), F.flatten(F.transform(terms, lambda x: x["t"])).alias("all_terms"))
@@ -32,7 +35,7 @@ def build(candidates: DataFrame, mapping: DataFrame, now: str = "2024-01-01T00:0
     unique = F.slice(F.filter("all_terms", lambda t, i: F.array_position("low", F.lower(t)) == i + 1), 1, 24)
     return grouped.select(
         F.concat_ws("-", "source_id", "node").alias("id"), F.col("node").alias("title"), F.lit("extracted").alias("category"), F.lit("draft").alias("status"),
-        F.when(F.col("node") != "unclassified", F.col("node")).alias("outline_node_id"), F.array("source_id").alias("source_ids"), unique.alias("original_terms"), "claims",
+        F.when(F.col("node") != "unclassified", F.col("node")).alias("outline_node_id"), F.array("source_id").alias("source_ids"), unique.alias("original_terms"), "claims", F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("related"),
         F.transform("claims", lambda c: c["candidate_id"]).alias("created_from_candidates"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
 
@@ -41,24 +44,6 @@ def index(entries: DataFrame) -> DataFrame:
     return entries.select("id", "title", "category", "status", "outline_node_id", F.size("claims").cast("long").alias("n_claims"), "updated_at").orderBy("id")
 
 
-def to_markdown(entries: DataFrame) -> DataFrame:
-    """id, markdown: front matter, title, and a block for each claim with its translation and original."""
-    flat = lambda c: F.trim(F.regexp_replace(c, "\r?\n", " "))
-    value = lambda k: F.array_join(F.transform(k, flat), ", ") if k in ("source_ids", "original_terms", "created_from_candidates") else F.coalesce(flat(F.col(k)), F.lit("")) if k in entries.columns else F.lit("")
-    front = F.concat_ws("\n", F.lit("---"), *[F.concat(F.lit(f"{k}: "), value(k)) for k in _KEYS], F.lit("---"))
-    block = lambda c: F.concat_ws("\n", F.concat(F.lit("### "), flat(c["statement"])), F.concat(F.lit("- claim_id: "), c["candidate_id"]), F.concat(F.lit("- evidence: "), F.array_join(c["refs"], ", ")), F.lit(""), F.lit("<!-- translated -->"), c["translated_text"], F.lit("<!-- original -->"), c["original_text"], F.lit("<!-- end -->"), F.lit(""))
-    return entries.select("id", F.concat_ws("\n", front, F.lit(""), F.concat(F.lit("# "), "title"), F.lit(""), F.lit("## claims"), F.lit(""), F.array_join(F.transform("claims", block), "\n")).alias("markdown"))
-
-
-def from_markdown(texts: DataFrame) -> DataFrame:
-    """The inverse of :func:`to_markdown`: id, title, status, claims (statement, candidate_id, refs, translated_text, original_text)."""
-    field = lambda k: F.regexp_extract("markdown", rf"(?m)^{k}: ?(.*)$", 1)
-    blocks = F.slice(F.split("markdown", "\n### "), 2, 1_000_000)
-    claim = lambda b: F.struct(F.regexp_extract(b, r"\A([^\n]*)", 1).alias("statement"), F.regexp_extract(b, r"\n- claim_id: ([^\n]*)", 1).alias("candidate_id"), F.split(F.regexp_extract(b, r"\n- evidence: ([^\n]*)", 1), ", ").alias("refs"), F.regexp_extract(b, r"(?s)<!-- translated -->\n(.*?)\n<!-- original -->", 1).alias("translated_text"), F.regexp_extract(b, r"(?s)<!-- original -->\n(.*?)\n<!-- end -->", 1).alias("original_text"))
-    status = F.when(field("status").isin("draft", "reviewed", "approved", "held", "archived"), field("status")).otherwise("draft")
-    return texts.select(field("id").alias("id"), field("title").alias("title"), status.alias("status"), F.transform(blocks, claim).alias("claims"))
-
-
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 

@@ -1,8 +1,7 @@
 """Joins of candidates with chunks, entries and outline nodes.
 
-Similarities over sets come from inverted-index joins: rows that share no token
-(or bigram) have similarity 0, so that joining on the shared ones is exact and
-no pair is made for nothing.
+A best entry or node counts from a threshold on only, so similarities are joined
+with it (similarity.py): what cannot reach it never meets.
 """
 
 from __future__ import annotations
@@ -12,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.store import persisted
+from . import similarity as sm
 
 
 def token_rows(texts: DataFrame) -> DataFrame:
-    """(id, token), distinct, of rows (id, text)."""
-    split = texts.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("token"))
+    """(id, token), distinct, of rows (id, text); other columns but ``text`` stay beside ``id``."""
+    keep = [c for c in texts.columns if c != "text"]
+    split = texts.select(*keep, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")).alias("token"))
     return split.where(tx.is_token(F.col("token"))).distinct()
 
 
@@ -27,46 +29,62 @@ def synonyms(spark: SparkSession, table: dict[str, str] = lx.SYNONYMS) -> DataFr
 def expanded(tokens: DataFrame, table: DataFrame, hops: int = 1) -> DataFrame:
     """(id, token) with the synonyms of tokens, ``hops`` times."""
     for _ in range(hops):
-        tokens = tokens.unionByName(tokens.join(F.broadcast(table), "token").select("id", F.col("synonym").alias("token"))).distinct()  # the vocabulary is a parameter of some dozen rows
+        keep = [c for c in tokens.columns if c != "token"]
+        tokens = tokens.unionByName(tokens.join(F.broadcast(table), "token").select(*keep, F.col("synonym").alias("token"))).distinct()  # the vocabulary is a parameter of some dozen rows
     return tokens
 
 
-def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, both, nl, nr) for pairs of (id, token) rows that share a token."""
-    both = left.withColumnRenamed("id", "l").join(right.withColumnRenamed("id", "r"), "token").groupBy("l", "r").agg(F.count("*").alias("both"))
-    size = lambda df, c: df.groupBy(F.col("id").alias(c)).agg(F.count("*").alias(f"n{c}"))
-    return both.join(size(left, "l"), "l").join(size(right, "r"), "r")
+def kinds_of(fields: DataFrame, kinds: dict[str, tuple[str, ...]], table: DataFrame, widened: tuple[str, ...]) -> DataFrame:
+    """(id, kind, token) from rows (id, field, text): each text is split once, a kind is a set of fields, and ``widened`` kinds have synonyms."""
+    of = {f: [k for k, fields_ in kinds.items() if f in fields_] for f in {f for fs in kinds.values() for f in fs}}
+    chosen = F.create_map(*[x for f, ks in of.items() for x in (F.lit(f), F.array(*map(F.lit, ks)))])
+    rows = token_rows(fields).select("id", "token", F.explode(F.element_at(chosen, F.col("field"))).alias("kind")).distinct()
+    return rows.where(~F.col("kind").isin(*widened)).unionByName(expanded(rows.where(F.col("kind").isin(*widened)), table))
 
 
-def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
-    return shared_counts(left, right).select("l", "r", (F.col("both") / (F.col("nl") + F.col("nr") - F.col("both"))).alias("sim"))
+def _fields(df: DataFrame, key: str, **fields) -> DataFrame:
+    """(id, field, text), a row for each field."""
+    return df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("text")) for n, c in fields.items()])).alias("f")).select("id", "f.*")
 
 
-def contained(left: DataFrame, right: DataFrame) -> DataFrame:
-    """A quarter for one shared token, then the shared part of the smaller set."""
-    return shared_counts(left, right).select("l", "r", F.when(F.col("both") == 1, 0.25).otherwise(F.col("both") / F.least("nl", "nr")).alias("sim"))
+def entry_sets(candidates: DataFrame, entries: DataFrame, table: DataFrame) -> DataFrame:
+    """Ranked sets of candidates (all, terms, name) and of entries (id, ord, title, summary, and tags, original_terms, related, if there are any): all, name."""
+    terms = F.array_join("original_terms", " ")
+    left = kinds_of(_fields(candidates, "candidate_id", title=F.col("title"), summary=F.col("summary"), terms=terms), {"all": ("title", "summary", "terms"), "terms": ("terms",), "name": ("title", "terms")}, table, ("all", "terms"))
+    names = F.concat_ws(" ", *[c for c in ("title", "tags", "original_terms", "related") if c in entries.columns])
+    right = kinds_of(_fields(entries, "ord", names=names, summary=F.col("summary")), {"all": ("names", "summary"), "name": ("names",)}, table, ("all",))
+    return sm.ranked_sets(left, right)
 
 
-def best_entry(candidates: DataFrame, entries: DataFrame, table: DataFrame) -> DataFrame:
-    """(candidate_id, target, sim): the most similar entry (id, ord, title, summary), the first of equals; none shares a token: null and 0."""
-    of = lambda df, key, *cols: df.select(F.col(key).alias("id"), F.concat_ws(" ", *cols).alias("text"))
-    terms = F.array_join("original_terms", " ")
-    entry = expanded(token_rows(of(entries, "ord", "title", "summary")), table)
-    measures = [
-        jaccard(expanded(token_rows(of(candidates, "candidate_id", "title", "summary", terms)), table), entry),
-        jaccard(expanded(token_rows(of(candidates, "candidate_id", terms)), table), entry),
-        contained(token_rows(of(candidates, "candidate_id", "title", terms)), token_rows(of(entries, "ord", "title"))),
-    ]
-    pairs = measures[0].unionByName(measures[1]).unionByName(measures[2]).groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("best"))
-    named = pairs.join(entries.select(F.col("ord").alias("ro"), F.col("id").alias("target")), F.col("best.r") == F.col("ro"))
-    return candidates.select("candidate_id").join(named, F.col("candidate_id") == F.col("l"), "left").select("candidate_id", "target", F.coalesce(-F.col("best.s"), F.lit(0.0)).alias("sim"))
+def best_entry(candidates: DataFrame, entries: DataFrame, table: DataFrame, least: float = lx.SIM_LINK) -> DataFrame:
+    """(candidate_id, target, sim): the most similar entry from ``least`` (a quarter at most) on, the first of equals; null and 0 if there is none."""
+    sets = persisted(entry_sets(candidates, entries, table))
+    order = entries.select(F.col("ord").cast("string").alias("r"), "ord")
+    pairs = sm.jaccard_from(sets, ["all", "terms"], "all", least).unionByName(sm.contained_best(sets, "name", "name", order))
+    named = entries.select(F.col("ord").cast("string").alias("r"), "ord", F.col("id").alias("target"))
+    best = pairs.join(named, "r").groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "ord", "target")).alias("best"))
+    return candidates.select("candidate_id").join(best, F.col("candidate_id") == F.col("l"), "left").select("candidate_id", "best.target", F.coalesce(-F.col("best.s"), F.lit(0.0)).alias("sim"))
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
-    """(id, token, compact): distinct bigrams of the compact form of (id, text); a form of one character is its own."""
-    compact = texts.select("id", tx.compact("text").alias("compact")).where("compact <> ''")
-    grams = F.when(F.length("compact") < 2, F.array("compact")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length("compact") - 1, F.lit(1))), lambda i: F.substring("compact", i, F.lit(2))))
-    return compact.select("id", F.explode(grams).alias("token")).distinct()
+    """(id, ..., token): distinct bigrams of the compact form of ``text``; a form of one character is its own."""
+    keep = [c for c in texts.columns if c != "text"]
+    compact = texts.select(*keep, tx.compact("text").alias("compact")).where("compact <> ''")
+    grams = F.when(F.length("compact") < 2, F.array("compact")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("compact") - 1, F.lit(1))), lambda i: F.substring("compact", i, F.lit(2)))))
+    return compact.select(*keep, F.explode(grams).alias("token"))
+
+
+def node_sets(queries: DataFrame, nodes: DataFrame, table: DataFrame) -> DataFrame:
+    """Ranked sets of queries (words, plain words, bigrams of all and of the primary text) and of nodes."""
+    whole = queries.select("id", F.concat_ws("\n", "primary", "context").alias("text"))
+    node = nodes.select(F.col("ord").alias("id"), "text")
+    of = lambda df, kind: df.withColumn("kind", F.lit(kind))
+    plain = token_rows(of(whole, "plain"))
+    words = expanded(plain.withColumn("kind", F.lit("words")), table)
+    primary = bigrams(of(queries.select("id", F.col("primary").alias("text")), "first pairs"))
+    left = plain.unionByName(words).unionByName(bigrams(of(whole, "pairs"))).unionByName(primary)
+    right = expanded(token_rows(of(node, "words")), table).unionByName(bigrams(of(node, "pairs")))
+    return sm.ranked_sets(left, right)
 
 
 def best_node(queries: DataFrame, nodes: DataFrame, table: DataFrame, graded: bool = False) -> DataFrame:
@@ -76,29 +94,43 @@ def best_node(queries: DataFrame, nodes: DataFrame, table: DataFrame, graded: bo
     wins; else the best of token similarity, bigram similarity of query and
     primary, and a keyword bonus, from 0.18. ``graded`` leaves out containment and bonus.
     """
-    whole = queries.select("id", F.concat_ws("\n", "primary", "context").alias("text"))
-    node = nodes.select(F.col("ord").alias("id"), "text")
-    both = [
-        jaccard(expanded(token_rows(whole), table), expanded(token_rows(node), table)),
-        jaccard(bigrams(whole), bigrams(node)),
-        jaccard(bigrams(queries.select("id", F.col("primary").alias("text"))), bigrams(node)),
-    ]
+    least = lx.OUTLINE_LEAST
+    sets = persisted(node_sets(queries, nodes, table))
+    order = nodes.select(F.col("ord").cast("string").alias("r"), "ord")
+    pairs = sm.jaccard_from(sets, ["words"], "words", least).unionByName(sm.jaccard_from(sets, ["pairs", "first pairs"], "pairs", least))
+    bonus = lambda n: F.least(F.lit(0.34), 0.18 + n * 0.05)
     if not graded:
-        needle = expanded(token_rows(node), table)
-        both.append(shared_counts(token_rows(whole), needle).select("l", "r", F.least(F.lit(0.34), 0.18 + F.col("both") * 0.05).alias("sim")))
-    pairs = both[0]
-    for more in both[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = pairs.groupBy("l", "r").agg(F.max("sim").alias("sim"))
-    texts = pairs.join(queries.select(F.col("id").alias("l"), tx.compact("primary").alias("cq"), tx.compact(F.concat_ws("\n", "primary", "context")).alias("cw")), "l")
-    texts = texts.join(nodes.select(F.col("ord").alias("r"), "node_id", tx.compact("text").alias("cn")), "r")
-    long = (F.length("cq") >= 3) & (F.length("cn") >= 3)
-    holds = (F.col("cq") == F.col("cn")) & (F.col("cq") != "") | (long & (F.contains("cq", "cn") | F.contains("cn", "cq")))
-    inside = (F.length("cw") >= 3) & (F.length("cn") >= 3) & (F.contains("cw", "cn") | F.contains("cn", "cw"))
-    sim = F.when(F.col("cw") == F.col("cn"), 1.0).when(inside | holds, F.greatest(F.lit(0.92), "sim")).otherwise(F.col("sim"))
-    first = F.struct((~holds if not graded else F.lit(True)).alias("later"), F.when(holds, F.lit(-1.0) if not graded else -sim).otherwise(-sim).alias("s"), "r", "node_id")
-    best = texts.groupBy("l").agg(F.min(first).alias("b")).where((-F.col("b.s")) >= lx.OUTLINE_LEAST)
-    return queries.select("id").join(best, F.col("id") == F.col("l"), "left").select("id", "b.node_id", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
+        # one shared word: only the first node counts; more: by prefixes
+        pairs = pairs.unionByName(sm.first_sharing(sets, "plain", "words", order).withColumn("sim", bonus(F.lit(1))))
+        pairs = pairs.unionByName(sm.overlapping(sets, "plain", "words", 2).select("l", "r", bonus(F.col("both")).alias("sim")))
+    found = pairs.select("l", "r", "sim", F.lit(False).alias("holds"))
+    compact = lambda df, i, t: df.select(F.col(i).cast("string").alias("id"), tx.compact(t).alias("text")).where("text <> ''")
+    all_text = compact(queries, "id", F.concat_ws("\n", "primary", "context"))
+    first_text = compact(queries, "id", F.when(F.coalesce(F.col("primary"), F.lit("")) == "", F.col("context")).otherwise(F.col("primary")))
+    of_node = compact(nodes, "ord", F.col("text"))
+    equal = lambda a: a.withColumnRenamed("id", "l").join(of_node.withColumnRenamed("id", "r"), "text").select("l", "r")
+    told = lambda df, sim, holds: df.select("l", "r", F.lit(sim).alias("sim"), F.lit(holds).alias("holds"))
+    found = found.unionByName(told(sm.containing(all_text, of_node), 0.92, False)).unionByName(told(equal(all_text), 1.0, False))
+    first = sm.containing(first_text, of_node).unionByName(equal(first_text))
+    found = found.unionByName(told(first, 0.92, not graded))
+    if graded:
+        found = found.unionByName(told(equal(first_text), 1.0, False))
+    named = nodes.select(F.col("ord").cast("string").alias("r"), "ord", "node_id")
+    rank = F.struct((~F.col("holds")).alias("later"), F.when(F.col("holds"), -1.0).otherwise(-F.col("sim")).alias("s"), "ord", "node_id")
+    best = found.join(named, "r").groupBy("l").agg(F.min(rank).alias("b"))
+    return queries.select("id").join(best, F.col("id").cast("string") == F.col("l"), "left").select("id", "b.node_id", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
+
+
+def best_group(cards: DataFrame, nodes: DataFrame, table: DataFrame) -> DataFrame:
+    """(id, ord) of rows (id, text): the node (ord, text) whose words fit best, 0.24 for any shared keyword, from 0.18 on; null if none does."""
+    plain = token_rows(cards.select("id", F.lit("plain").alias("kind"), "text"))
+    right = expanded(token_rows(nodes.select(F.col("ord").alias("id"), F.lit("words").alias("kind"), "text")), table)
+    sets = persisted(sm.ranked_sets(plain.unionByName(expanded(plain.withColumn("kind", F.lit("words")), table)), right))
+    order = nodes.select(F.col("ord").cast("string").alias("r"), "ord")
+    # a pair with words of its own in common counts 0.24 at least; without (its synonyms alone are shared) from the threshold on
+    pairs = sm.jaccard_from(sets, ["words"], "words", lx.OUTLINE_LEAST).unionByName(sm.first_sharing(sets, "plain", "words", order).withColumn("sim", F.lit(0.24)))
+    best = pairs.join(order, "r").groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "ord")).alias("b"))
+    return cards.select("id").join(best, F.col("id").cast("string") == F.col("l"), "left").select("id", "b.ord")
 
 
 def anchored(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

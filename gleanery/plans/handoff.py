@@ -11,6 +11,7 @@ from ..operators import handoff as ho
 from ..operators import reports as rp
 from ..operators import segment as sg
 from ..sources import views
+from ..sources.store import persisted
 from . import knowledge as kn
 from . import matching as mtp
 from . import segments as sgp
@@ -20,7 +21,7 @@ from . import sqltext as q
 def _cards(spark, sf_dir):
     """Scored candidates with their decisions and texts, and the chunks."""
     found, chunks, entries = mtp.parts(spark, sf_dir)
-    scored = en.with_decisions(mtp.scored_of(spark, found, chunks, entries), views.view(spark, sf_dir, views.DECISIONS))
+    scored = en.with_decisions(mtp.scored_of(spark, found, chunks, entries), kn.decision_log(spark, sf_dir, found))
     cards = scored.join(found.select("candidate_id", "title", "summary", "evidence_text", "stop"), "candidate_id")
     return cards, chunks.withColumn("page", F.lit(None).cast("int")), entries
 
@@ -107,16 +108,17 @@ def entry_summary(spark, sf_dir):
 
 
 def hidden_entries(spark, sf_dir):
-    """Entries of one source each, titled by their first claim, that are structure."""
-    built = kn._by_source(spark, sf_dir).withColumn("title", F.get("claims", F.lit(0))["statement"])
-    return rp.hidden_entries(built)
+    """Entries of one source each, titled by their first claim, that are structure; of all candidates, as the save gate would keep them from being entries."""
+    found = persisted(cd.plain_candidates(sgp.cue_docs(spark, sf_dir)))
+    built = en.build(found, found.select("candidate_id", F.lit(None).cast("string").alias("node_id")))
+    return rp.hidden_entries(built.withColumn("title", F.get("claims", F.lit(0))["statement"]))
 
 
 QUERIES = {f.__name__: f for f in (topn_cards, action_order, card_prompts, batch_handoff, outline_signature, evidence_excerpts, source_purity, ref_locators, page_documents, page_chunks, chunk_reading_order, bibliography, entry_summary, hidden_entries)}
 
 _ACTION = "case action when 'create_new' then 0 when 'update_existing' then 1 when 'link_only' then 2 else 3 end"
-_TOP = f"""{mtp._SCORED}, dec as (select source_id, max(decision) as decision from ({views.DECISIONS.replace(' as string)', ' as varchar)')}) z group by 1),
-  crd as (select sg.*, c1.source_id, c1.title, c1.summary, c1.evidence_text, coalesce(d.decision, 'pending') as decision from sg join c1 using (candidate_id) left join dec d on d.source_id = c1.source_id),
+_TOP = f"""{mtp._SCORED}, {q.with_views('decision_log')}, {kn._dec('c1')},
+  crd as (select sg.*, c1.source_id, c1.title, c1.summary, c1.evidence_text, coalesce(d.decision, 'pending') as decision from sg join c1 using (candidate_id) left join dec d on d.candidate_id = c1.candidate_id),
   top as (select *, row_number() over (order by case decision when 'approved' then 0 else 1 end, total desc, {_ACTION}, source_id, candidate_id) as rank from crd where action <> 'ignore' and decision not in ('held', 'discarded') qualify rank <= 8)"""
 _NEAR = """(an.ord is null or c.ord in (select ord from c o where o.source_id = c1.source_id and (o.ord = an.ord or o.ord = (select max(ord) from c b where b.source_id = c1.source_id and b.ord < an.ord) or o.ord = (select min(ord) from c b where b.source_id = c1.source_id and b.ord > an.ord))))"""
 _BLOCK = "concat('- chunk_id: ', c.chunk_id, chr(10), '  source_id: ', c.source_id, chr(10), '  page: (none)', chr(10), '  text:', chr(10), '    ', replace(c.text, chr(10), concat(chr(10), '    ')))"
@@ -150,7 +152,7 @@ _LABEL = r"""case when regexp_matches(t, '^#{1,6}\s+.+$') then '' when regexp_ma
 _LABELLED = _NODES.replace("n as (select source_id, row_number()", f"n as (select source_id, {_LABEL} row_number()")
 
 ORACLES = {
-    "entry_summary": f"{kn._C} select source_id, concat(source_id, '-unclassified') as id, 'unclassified' as title, 'draft' as status, '' as node, count(*) as n_claims from cand group by 1",
+    "entry_summary": f"{kn._SAVED} select source_id, concat(source_id, '-unclassified') as id, 'unclassified' as title, 'draft' as status, '' as node, count(*) as n_claims from c9 group by 1",
     "hidden_entries": f"""{mtp._BASE}, {mtp._CAND.replace('c1 as (', 'c0 as (')}, c1 as (select concat(c0.source_id, '-unclassified') as candidate_id, 'other' as type, arg_min(c0.title, (c0.begin, c0.stop)) as title, '' as summary,
       string_agg(concat_ws(chr(10), nullif(c0.title, ''), nullif(ct.source_text, '')), chr(10) order by c0.begin, c0.stop, c0.candidate_id) as evidence_text from c0 join ct on ct.candidate_id = c0.candidate_id group by c0.source_id), {mtp._REASON} select candidate_id as id, reason from rs where reason is not null""",
     "topn_cards": f"{_TOP} select candidate_id, decision, action, total, cast(rank as int) as rank from top",

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators import entries as en
+from ..operators import markdown as md
 from ..operators import matching as mt
 from ..operators import reports as rp
 from ..operators import responses as rs
@@ -95,17 +97,36 @@ def batch_prompts(spark, sf_dir):
     return rs.prompts(cut).select("source_id", "batch", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
 
 
-def _decided(spark, sf_dir):
+def decision_log(spark, sf_dir, found):
+    """The records on candidates (with ``begin``): those on all of a source, and those on its begin's turn."""
+    turns = found.select("source_id", "candidate_id", F.explode(F.array(F.lit(-1).cast("long"), (F.col("begin") % 3).cast("long"))).alias("turn"))
+    return turns.join(views.view(spark, sf_dir, views.DECISION_LOG), ["source_id", "turn"]).select("source_id", "candidate_id", "decision", "updated_at", "event_id")
+
+
+def _decided(spark, sf_dir, as_of=None):
     found = persisted(cd.plain_candidates(sgp.cue_docs(spark, sf_dir)))
-    return en.with_decisions(found, views.view(spark, sf_dir, views.DECISIONS))
+    return en.with_decisions(found, decision_log(spark, sf_dir, found), as_of)
 
 
 def decision_carry(spark, sf_dir):
     return _decided(spark, sf_dir).select("candidate_id", "source_id", "decision")
 
 
+def decision_as_of(spark, sf_dir):
+    """What held in the middle of the log, by which record, and of how many."""
+    then = F.lit("2024-01-15").cast("timestamp")
+    return _decided(spark, sf_dir, then).select("candidate_id", "decision", F.coalesce("decided_by", F.lit(-9)).alias("decided_by"), "n_records")
+
+
+def _saved(spark, sf_dir):
+    """Candidates that the save gate lets pass, and the existing entries."""
+    found, chunks, existing = mtp.parts(spark, sf_dir)
+    cards = en.with_decisions(mtp.scored_of(spark, found, chunks, existing), decision_log(spark, sf_dir, found))
+    return persisted(found.join(en.savable(cards).select("candidate_id"), "candidate_id", "left_semi")), existing
+
+
 def _entries(spark, sf_dir):
-    found, _, existing = mtp.parts(spark, sf_dir)
+    found, existing = _saved(spark, sf_dir)
     asked = found.select(F.col("candidate_id").alias("id"), F.col("title").alias("primary"), F.col("summary").alias("context"))
     node = mt.best_node(asked, mtp.nodes(existing), mt.synonyms(spark)).select(F.col("id").alias("candidate_id"), "node_id")
     return en.build(found, node)
@@ -120,21 +141,29 @@ def wiki_index(spark, sf_dir):
 
 
 def _by_source(spark, sf_dir):
-    """Entries without outline: one for each source."""
-    found = persisted(cd.plain_candidates(sgp.cue_docs(spark, sf_dir)))
+    """Entries without outline, of candidates that pass the save gate: one for each source."""
+    found, _ = _saved(spark, sf_dir)
     return en.build(found, found.select("candidate_id", F.lit(None).cast("string").alias("node_id")))
 
 
 def entry_markdown(spark, sf_dir):
-    return en.to_markdown(_by_source(spark, sf_dir)).select("id", F.md5("markdown").alias("markdown_md5"))
+    return md.to_markdown(_by_source(spark, sf_dir)).select("id", F.md5("markdown").alias("markdown_md5"))
+
+
+def _five_by_five(spark, sf_dir):
+    """Entries of five documents each, with all fields of the Markdown form."""
+    rows = views.view(spark, sf_dir, views.ENTRY_CLAIMS)
+    none = F.lit(None).cast("string")
+    claim = F.struct("doc_id", "claim_id", "statement", "translated_text", "original_text", F.array(F.concat(F.lit("r"), F.col("doc_id").cast("string")), F.lit("b")).alias("evidence_refs"), none.alias("candidate_id"))
+    built = rows.groupBy("id").agg(F.min(F.struct("doc_id", "statement", "summary", "status")).alias("h"), F.array_sort(F.collect_list(claim)).alias("claims"))
+    return built.select("id", F.col("h.statement").alias("title"), "h.summary", "h.status", "claims", F.array("id", F.lit("s")).alias("source_ids"))
 
 
 def markdown_roundtrip(spark, sf_dir):
-    """Entries whose claims come back from their Markdown as they were."""
-    built = persisted(_by_source(spark, sf_dir))
-    back = en.from_markdown(en.to_markdown(built)).select("id", F.col("claims").alias("back"))
-    same = lambda a, b: F.transform(a, lambda c: c["original_text"]) == F.transform(b, lambda c: c["original_text"])
-    return built.join(back, "id").select("id", F.size("claims").cast("long").alias("n_claims"), same(F.col("claims"), F.col("back")).alias("same"))
+    """Claims of entries that were written as Markdown and read back, with the fields of their entry."""
+    texts = md.to_markdown(_five_by_five(spark, sf_dir)).select(F.col("id").alias("key"), "markdown")
+    back = md.from_markdown(texts).select("id", "title", "status", F.coalesce("summary", F.lit("")).alias("summary"), F.array_join("source_ids", "|").alias("source_ids"), F.posexplode("claims").alias("no", "c"))
+    return back.select("id", F.md5("title").alias("title_md5"), "status", F.md5("summary").alias("summary_md5"), "source_ids", "no", "c.claim_id", F.md5("c.statement").alias("statement_md5"), F.md5("c.translated_text").alias("translated_md5"), F.md5("c.original_text").alias("original_md5"), F.array_join("c.evidence_refs", "|").alias("refs"))
 
 
 def entry_upsert(spark, sf_dir):
@@ -217,12 +246,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, response_steps, response_failures, batch_prefix, term_policy, batch_prompts,
-        decision_carry, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
+        decision_carry, decision_as_of, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
         step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest,
     )
 }
 
-_R = f"""with {q.with_views('resp_chunks', 'responses', 'decisions')},
+_R = f"""with {q.with_views('resp_chunks', 'responses')},
   r1 as (select source_id, trim(case when regexp_matches(raw, '(?is)```(?:json)?\\s*(.*?)```') then regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)```', 1) else raw end) as inner_text from responses),
   r2 as (select source_id, inner_text, regexp_extract(inner_text, '(?s)(\\{{.*\\}})', 1) as body from r1),
   r3 as (select source_id, case when inner_text = '' then 'empty' when body = '' then 'error' when json_valid(body) then 'ok' else 'recovered' end as status, case when json_valid(body) then body else concat(body, ']}}') end as j from r2),
@@ -245,31 +274,43 @@ def _grams(name: str, table: str, key: str, text: str) -> str:
 
 #: Each candidate's best outline node, if one reaches the least score: ``bn`` (candidate_id, node_id, score).
 _WHOLE = "concat_ws(chr(10), title, summary)"
-_NODE = f"""{mtp._BASE}, {mtp._CAND}, {mtp._tok('qa', 'c1', 'candidate_id', _WHOLE, 1)}, {mtp._tok('qb', 'c1', 'candidate_id', _WHOLE)}, {mtp._tok('na', 'existing', 'ord', 'title', 1)}, {_grams('gw', 'c1', 'candidate_id', _WHOLE)}, {_grams('gp', 'c1', 'candidate_id', 'title')}, {_grams('gn', 'existing', 'ord', 'title')},
+_NODE_TAIL = f"""{mtp._tok('qa', 'c1', 'candidate_id', _WHOLE, 1)}, {mtp._tok('qb', 'c1', 'candidate_id', _WHOLE)}, {mtp._tok('na', 'existing', 'ord', 'title', 1)}, {_grams('gw', 'c1', 'candidate_id', _WHOLE)}, {_grams('gp', 'c1', 'candidate_id', 'title')}, {_grams('gn', 'existing', 'ord', 'title')},
   {mtp._pairs('n1', 'qa', 'na', mtp._J)}, {mtp._pairs('n2', 'gw', 'gn', mtp._J)}, {mtp._pairs('n3', 'gp', 'gn', mtp._J)}, {mtp._pairs('n4', 'qb', 'na', 'least(0.34, 0.18 + n_both * 0.05)')},
   np as (select l, r, max(sim) as sim from (select * from n1 union all select * from n2 union all select * from n3 union all select * from n4) z group by 1, 2),
   nq as (select l, r, sim, {q.compact('c1.title')} as cq, {q.compact("concat_ws(chr(10), c1.title, c1.summary)")} as cw, {q.compact('e.title')} as cn from np join c1 on c1.candidate_id = l join existing e on e.ord = r),
   nr as (select *, (cq = cn and cq <> '') or (length(cq) >= 3 and length(cn) >= 3 and (contains(cq, cn) or contains(cn, cq))) as holds, length(cw) >= 3 and length(cn) >= 3 and (contains(cw, cn) or contains(cn, cw)) as inside from nq),
   ns as (select *, case when holds then 1.0 when cw = cn then 1.0 when inside then greatest(0.92, sim) else sim end as score from nr),
   bn as (select l as candidate_id, concat('n', r) as node_id, score from (select *, row_number() over (partition by l order by not holds, case when holds then 0 else -score end, r) as k from ns) z where k = 1 and score >= 0.18)"""
-_C = f"with recursive {q.with_views('cue_docs', 'decisions')}, {cdp.plain_sql('cue_docs')}"
+_NODE = f"{mtp._BASE}, {mtp._CAND}, {_NODE_TAIL}"
+_C = f"with recursive {q.with_views('cue_docs', 'decision_log')}, {cdp.plain_sql('cue_docs')}"
+
+
+def _dec(candidates: str, test: str = "true") -> str:
+    """``dec``: each candidate's latest decision."""
+    return f"dec as (select c.candidate_id, arg_max(l.decision, (l.updated_at, l.event_id)) as decision, arg_max(l.event_id, (l.updated_at, l.event_id)) as decided_by, count(*) as n_records from {candidates} c join decision_log l on l.source_id = c.source_id and (l.turn = -1 or l.turn = c.begin % 3) where {test} group by 1)"
+
+
+#: ``c9``: candidates that pass the save gate.
+_SAVED = f"""{mtp._SCORED}, {q.with_views('decision_log')}, {_dec('c1')}, sv as (select sg.candidate_id from sg left join dec on dec.candidate_id = sg.candidate_id where action <> 'ignore' and coalesce(decision, 'pending') not in ('held', 'discarded')),
+  c9 as (select c1.* from c1 join sv on sv.candidate_id = c1.candidate_id)"""
 
 _FLAT = lambda x: f"trim(regexp_replace({x}, '\\r?\\n', ' ', 'g'))"
+_LF = lambda x: f"regexp_replace({x}, '\\r\\n?', chr(10), 'g')"
 _NL = "chr(10)"
 #: ``eb``: blocks and ids of each source's claims; ``et``: its terms, each once, the first 24.
-_MARKDOWN = f"""{mtp._BASE}, {mtp._CAND},
-  ek as (select c1.source_id, begin, stop, c1.candidate_id, concat_ws({_NL}, concat('### ', {_FLAT('title')}), concat('- claim_id: ', c1.candidate_id), concat('- evidence: ', replace(refs, ',', ', ')), '', '<!-- translated -->', '', '<!-- original -->', source_text, '<!-- end -->', '') as block
-    from c1 join (select candidate_id, source_text from ct) x on x.candidate_id = c1.candidate_id),
+_MARKDOWN = f"""{_SAVED},
+  ek as (select c9.source_id, begin, stop, c9.candidate_id, concat_ws({_NL}, concat('### ', {_FLAT('title')}), concat('- claim_id: ', c9.candidate_id), concat('- candidate_id: ', c9.candidate_id), concat('- evidence: ', replace(refs, ',', ', ')), '', '{lx.MD_TRANSLATED}', '', '{lx.MD_ORIGINAL}', source_text, '{lx.MD_END}', '') as block
+    from c9 join (select candidate_id, source_text from ct) x on x.candidate_id = c9.candidate_id),
   eb as (select source_id, string_agg(block, {_NL} order by begin, stop, candidate_id) as blocks, string_agg(candidate_id, ', ' order by begin, stop, candidate_id) as ids from ek group by 1),
   el as (select candidate_id, list(term order by i) as ts from tg group by 1),
-  eo as (select source_id, term, row_number() over (partition by source_id order by begin, stop, ts, i) as p from tg join el on el.candidate_id = tg.candidate_id join c1 on c1.candidate_id = tg.candidate_id),
+  eo as (select source_id, term, row_number() over (partition by source_id order by begin, stop, ts, i) as p from tg join el on el.candidate_id = tg.candidate_id join c9 on c9.candidate_id = tg.candidate_id),
   eu as (select source_id, arg_min(term, p) as term, min(p) as p from eo group by source_id, lower(term) qualify row_number() over (partition by source_id order by min(p)) <= 24),
-  et as (select source_id, string_agg({_FLAT('term')}, ', ' order by p) as terms from eu group by 1)"""
+  ez as (select source_id, string_agg({_FLAT('term')}, ', ' order by p) as terms from eu group by 1)"""
 _REPORT = lambda n: f"concat('{{\"items\":', cast(to_json(items[1:{n}]) as varchar), '}}')"
 
 ORACLES = {
     "entry_markdown": f"""{_MARKDOWN}, em as (select concat(eb.source_id, '-unclassified') as id, concat_ws({_NL}, '---', concat('id: ', eb.source_id, '-unclassified'), 'title: unclassified', 'category: extracted', 'status: draft', 'outline_node_id: ', concat('source_ids: ', eb.source_id), concat('original_terms: ', coalesce(terms, '')), 'tags: ', 'related: ',
-      concat('created_from_candidates: ', ids), 'created_at: 2024-01-01T00:00:00Z', 'updated_at: 2024-01-01T00:00:00Z', 'review_notes: ', '---', '', '# unclassified', '', '## claims', '', blocks) as markdown from eb left join et on et.source_id = eb.source_id) select id, md5(markdown) as markdown_md5 from em""",
+      concat('created_from_candidates: ', ids), 'created_at: 2024-01-01T00:00:00Z', 'updated_at: 2024-01-01T00:00:00Z', 'review_notes: ', '---', '', '# unclassified', '', '{lx.MD_CLAIMS}', '', blocks) as markdown from eb left join ez on ez.source_id = eb.source_id) select id, md5(markdown) as markdown_md5 from em""",
     "report_export": f"""{_C}, ri as (select source_id, list(title order by title) as items from (select source_id, title from cand qualify row_number() over (partition by source_id order by title) <= 40) x group by 1),
       rk as (select source_id, items, case when length({_REPORT(40)}) <= 48000 then 40 when length({_REPORT(10)}) <= 48000 then 10 when length({_REPORT(3)}) <= 48000 then 3 else 0 end as kept from ri)
       select source_id, cast(kept as bigint) as kept, md5({_REPORT('kept')}) as report_md5 from rk""",
@@ -281,8 +322,8 @@ ORACLES = {
     "run_report": f"{_J} select concat('response_', status) as measure, count(*) as n from r3 group by 1 union all select 'candidates', count(*) from jd union all select 'importable', count(*) from jd where len(violations) = 0 union all select 'rejected_evidence', count(*) from jd where verdict <> 'bound'",
     "response_steps": f"{_J}, st as (select unnest([{{'no': 1, 'step': 'discipline_profile', 'status': 'warning'}}, {{'no': 2, 'step': 'reuse_reason', 'status': case when reuse <> '' then 'passed' else 'warning' end}}, {{'no': 3, 'step': 'mapping_reason', 'status': 'warning'}}, {{'no': 4, 'step': 'parse', 'status': 'passed'}}, {{'no': 5, 'step': 'shape_validation', 'status': 'passed'}}, {{'no': 6, 'step': 'chunk_id_binding', 'status': case when verdict = 'bound' then 'passed' else 'blocked' end}}, {{'no': 7, 'step': 'importable', 'status': case when len(violations) = 0 then 'passed' else 'blocked' end}}]) as s from jd) select s.no as no, s.step as step, s.status as status, count(*) as n from st group by 1, 2, 3",
     "bigram_outline_map": f"{_NODE} select candidate_id, coalesce(node_id, '') as node_id, round(coalesce(score, 0.0), 6) as score from c1 left join bn using (candidate_id)",
-    "wiki_index": f"{_NODE}, en2 as (select source_id, node_id, count(*) as n from c1 left join bn using (candidate_id) group by 1, 2) select concat(source_id, '-', coalesce(node_id, 'unclassified')) as id, coalesce(node_id, 'unclassified') as title, 'draft' as status, coalesce(node_id, '') as outline_node_id, n as n_claims from en2",
-    "wiki_entries": f"""{_NODE}, cm as (select c1.candidate_id, c1.source_id, coalesce(node_id, 'unclassified') as node, begin, stop from c1 left join bn using (candidate_id)), sx as (select ct.candidate_id, ct.source_text from ct),
+    "wiki_index": f"{_SAVED}, {_NODE_TAIL}, en2 as (select source_id, node_id, count(*) as n from c9 left join bn using (candidate_id) group by 1, 2) select concat(source_id, '-', coalesce(node_id, 'unclassified')) as id, coalesce(node_id, 'unclassified') as title, 'draft' as status, coalesce(node_id, '') as outline_node_id, n as n_claims from en2",
+    "wiki_entries": f"""{_SAVED}, {_NODE_TAIL}, cm as (select c9.candidate_id, c9.source_id, coalesce(node_id, 'unclassified') as node, begin, stop from c9 left join bn using (candidate_id)), sx as (select ct.candidate_id, ct.source_text from ct),
       cl as (select cm.source_id, node, count(*) as n, string_agg(source_text, chr(10) order by begin, stop, cm.candidate_id) as texts from cm join sx on sx.candidate_id = cm.candidate_id group by 1, 2),
       tt as (select cm.source_id, node, lower(term) as term from cm join tg on tg.candidate_id = cm.candidate_id), tn as (select source_id, node, least(count(distinct term), 24) as n_terms from tt group by 1, 2)
       select concat(cl.source_id, '-', cl.node) as id, cl.node as title, n as n_claims, md5(texts) as claims_md5, coalesce(n_terms, 0) as n_terms from cl left join tn on tn.source_id = cl.source_id and tn.node = cl.node""",
@@ -293,10 +334,13 @@ ORACLES = {
     "evidence_locators": f"{_R} select source_id, idx, 0 as ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 as bigint) as line from gate where verdict = 'bound'",
     "term_policy": f"select conv_id as id, cast({' + '.join(f'''(contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''})::int''' for r in rs.TERM_RULES)} as bigint) as n_terms, coalesce(array_to_string(list_sort(list_filter([{', '.join(f'''case when contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''} then '{r[0]}' end''' for r in rs.TERM_RULES)}], lambda x: x is not null)), ','), '') as terms from (select conv_id, string_agg(text, chr(10)) as t, coalesce(bool_or(regexp_matches(text, '{'|'.join(rs.CONTEXT_MARKERS)}')), false) as rel from conversations group by 1) x",
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",
-    "decision_carry": f"{_C} select candidate_id, cand.source_id, coalesce(d.decision, 'pending') as decision from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
-    "claim_reviews": f"{_C} select candidate_id, md5(case when d.decision = 'approved' then {q.trimmed("concat('reviewed: ', title)")} else title end) as statement_md5 from cand left join (select source_id, max(decision) as decision from decisions group by 1) d on d.source_id = cand.source_id",
-    "candidate_lineage": f"{_C} select concat(source_id, '-unclassified') as entry_id, candidate_id from cand",
-    "markdown_roundtrip": f"{_C} select concat(source_id, '-unclassified') as id, count(*) as n_claims, true as same from cand group by 1",
+    "decision_carry": f"{_C}, {_dec('cand')} select cand.candidate_id, cand.source_id, coalesce(d.decision, 'pending') as decision from cand left join dec d on d.candidate_id = cand.candidate_id",
+    "decision_as_of": f"{_C}, {_dec('cand', "l.updated_at <= timestamp '2024-01-15'")} select cand.candidate_id, coalesce(d.decision, 'pending') as decision, coalesce(d.decided_by, -9) as decided_by, coalesce(d.n_records, 0) as n_records from cand left join dec d on d.candidate_id = cand.candidate_id",
+    "claim_reviews": f"{_C}, {_dec('cand')} select cand.candidate_id, md5(case when d.decision = 'approved' then {q.trimmed("concat('reviewed: ', title)")} else title end) as statement_md5 from cand left join dec d on d.candidate_id = cand.candidate_id",
+    "candidate_lineage": f"{_SAVED} select concat(source_id, '-unclassified') as entry_id, candidate_id from c9",
+    "markdown_roundtrip": f"""with {q.with_views('entry_claims')}, r as (select *, row_number() over (partition by id order by doc_id) as k from entry_claims), h as (select id, arg_min(statement, doc_id) as title, arg_min(summary, doc_id) as summary, min(status) as status from entry_claims group by 1)
+      select r.id, md5({q.trimmed(_LF('h.title'))}) as title_md5, case when h.status = 'unknown' then 'draft' else h.status end as status, md5({q.trimmed(_LF('h.summary'))}) as summary_md5, concat(r.id, '|s') as source_ids, cast(k - 1 as int) as no, case when claim_id = '' then concat('c', k) else claim_id end as claim_id,
+        md5({q.trimmed(_LF('statement'))}) as statement_md5, md5({q.trimmed(_LF('translated_text'))}) as translated_md5, md5({q.trimmed(_LF('original_text'))}) as original_md5, concat('r', doc_id, '|b') as refs from r join h on h.id = r.id""",
     "entry_upsert": "select cast(item_id as varchar) as id, 'old' as origin from benchmark where cast(item_id as varchar) not in (select cast(doc_id as varchar) from documents) union all select cast(doc_id as varchar), 'new' from documents",
     "text_quality": f"""with {q.with_views('volume_pages')}, p as (select source_id, len(regexp_extract_all(text, '[\\pL\\pN]')) as n, length(text) as chars, len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0E-\\x1F�□■▯]')) as odd from volume_pages),
       g as (select source_id, count(*) as n_pages, count(*) filter (where n >= 80) as extractable, count(*) filter (where n < 80) as low, count(*) filter (where n < 10) as blank, cast(sum(n) as bigint) as total, cast(sum(odd) as bigint) as odd, sum(chars) + count(*) - 1 as chars from p group by 1),

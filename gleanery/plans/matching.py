@@ -91,13 +91,10 @@ def action_tally(spark, sf_dir):
 def card_groups(spark, sf_dir):
     """Cards by the outline node that their words fit best (0.24 for any shared keyword), with the range of their places."""
     found, _, entries = parts(spark, sf_dir)
-    table, node = mt.synonyms(spark), nodes(entries).select(F.col("ord").alias("id"), "text")
     words = F.concat_ws("\n", "title", "summary", "evidence_text", F.array_join("original_terms", "\n"))
-    hay = mt.token_rows(found.select(F.col("candidate_id").alias("id"), words.alias("text")))
-    sims = mt.jaccard(mt.expanded(hay, table), mt.expanded(mt.token_rows(node), table)).unionByName(mt.shared_counts(hay, mt.expanded(mt.token_rows(node), table)).select("l", "r", F.lit(0.24).alias("sim")))
-    best = sims.groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r")).alias("b")).where((-F.col("b.s")) >= lx.OUTLINE_LEAST)
-    joined = found.join(best, F.col("candidate_id") == F.col("l"), "left")
-    return joined.groupBy(F.coalesce("b.r", F.lit(9999)).alias("node_ord")).agg(F.count("*").alias("n_cards"), F.min("begin").alias("first_begin"), F.max("begin").alias("last_begin"))
+    best = mt.best_group(found.select(F.col("candidate_id").alias("id"), words.alias("text")), nodes(entries), mt.synonyms(spark))
+    joined = found.join(best, F.col("candidate_id") == F.col("id"), "left")
+    return joined.groupBy(F.coalesce("ord", F.lit(9999)).alias("node_ord")).agg(F.count("*").alias("n_cards"), F.min("begin").alias("first_begin"), F.max("begin").alias("last_begin"))
 
 
 QUERIES = {f.__name__: f for f in (token_table, synonym_expand, candidate_chunk_join, chunk_neighbours, jaccard_best_entry, bigram_outline_map, schema_fit, structural_reasons, scored_candidates, action_tally, card_groups)}
@@ -134,10 +131,10 @@ def _pairs(name: str, a: str, b: str, sim: str) -> str:
 
 
 _J = "cast(n_both as double) / (nl + nr - n_both)"
-_BEST = f"""{_tok('en', 'existing', 'ord', "concat_ws(' ', title, summary)", 1)}, {_tok('et', 'existing', 'ord', 'title')}, {_tok('ca', 'c1', 'candidate_id', "concat_ws(' ', title, summary, terms)", 1)}, {_tok('cb', 'c1', 'candidate_id', 'terms', 1)}, {_tok('cc', 'c1', 'candidate_id', "concat_ws(' ', title, terms)")},
+_BEST = f"""{_tok('en', 'existing', 'ord', "concat_ws(' ', title, tags, original_terms, related, summary)", 1)}, {_tok('et', 'existing', 'ord', "concat_ws(' ', title, tags, original_terms, related)")}, {_tok('ca', 'c1', 'candidate_id', "concat_ws(' ', title, summary, terms)", 1)}, {_tok('cb', 'c1', 'candidate_id', 'terms', 1)}, {_tok('cc', 'c1', 'candidate_id', "concat_ws(' ', title, terms)")},
   {_pairs('m1', 'ca', 'en', _J)}, {_pairs('m2', 'cb', 'en', _J)}, {_pairs('m3', 'cc', 'et', "case when n_both = 1 then 0.25 else cast(n_both as double) / least(nl, nr) end")},
   mm as (select * from m1 union all select * from m2 union all select * from m3), mb as (select l, r, sim from mm qualify row_number() over (partition by l order by sim desc, r) = 1),
-  be as (select c1.candidate_id, coalesce(e.id, '') as target, coalesce(sim, 0.0) as sim from c1 left join mb on l = candidate_id left join existing e on e.ord = r)"""
+  be as (select c1.candidate_id, coalesce(e.id, '') as target, coalesce(sim, 0.0) as sim from c1 left join mb on l = candidate_id and sim >= {lx.SIM_LINK} left join existing e on e.ord = r)"""
 _FIT = f"""{_tok('kw', 'existing', '0', 'title', 2)}, {_tok('hy', 'c1', 'candidate_id', "concat_ws(chr(10), title, summary, evidence_text, terms)")}, sf as (select c1.candidate_id, count(k.token) as n_matched from c1 left join hy on hy.id = c1.candidate_id left join (select distinct token from kw) k on k.token = hy.token group by 1)"""
 _ANCHOR = f"""{sgp._CHUNKS}, an as (select d.candidate_id, d.source_id, c.chunk_id, c.ord, length({q.trimmed('c.text')}) as n_text, d.begin < c.begin or d.begin >= c.stop as later from c1 d join c on c.source_id = d.source_id and d.begin < c.stop and d.stop > c.begin or c.source_id = d.source_id and d.begin >= c.begin and d.begin < c.stop
     qualify row_number() over (partition by d.candidate_id order by d.begin < c.begin or d.begin >= c.stop, c.ord) = 1)"""

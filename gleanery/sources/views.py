@@ -60,11 +60,9 @@ from documents
 """
 
 EXISTING = """
-select item_id as ord, concat('e-', cast(item_id as string)) as id, split_part(text, '.', 1) as title, text as summary from benchmark
-"""
-
-DECISIONS = """
-select cast(doc_id as string) as source_id, case when toxic = 1 then 'discarded' when quality = 1 then 'approved' else 'held' end as decision from labels
+select item_id as ord, concat('e-', cast(item_id as string)) as id, split_part(text, '.', 1) as title, text as summary,
+  concat_ws(' ', split_part(text, ' ', 3), case when item_id % 3 = 0 then 'criticism' else 'record' end) as tags, case when item_id % 4 = 0 then concat(split_part(text, ' ', 2), ' intertextuality') else '' end as original_terms,
+  case when item_id % 5 = 0 then split_part(text, '.', 2) else '' end as related from benchmark
 """
 
 DECISION_EVENTS = """
@@ -73,6 +71,21 @@ select event_id, cast(user_id as string) as source_id, ts as updated_at,
 from events
 """
 
+#: Records on all candidates of a source (turn -1), and on those whose begin leaves ``turn`` when divided by 3; not in order of time.
+DECISION_LOG = f"""
+select cast(doc_id as string) as source_id, cast('2023-12-31 00:00:00' as timestamp) as updated_at, cast(-1 as bigint) as event_id, cast(-1 as bigint) as turn, case when toxic = 1 then 'discarded' when quality = 1 then 'approved' else 'held' end as decision from labels
+union all select source_id, cast(updated_at as timestamp) as updated_at, cast(event_id as bigint) as event_id, cast(event_id % 3 as bigint) as turn, decision from ({DECISION_EVENTS}) y
+"""
+
+#: Five documents an entry; texts with lines that look like structure.
+ENTRY_CLAIMS = """
+select concat('e-', cast(cast(floor(doc_id / 5) as bigint) as string)) as id, doc_id, case when doc_id % 7 = 0 then '' else concat('k', cast(doc_id as string)) end as claim_id, split_part(text, chr(10), 1) as statement,
+  case when doc_id % 3 = 0 then concat('translated ', substr(text, 1, 80), chr(10), '### not a claim', chr(10), '<!-- /annotation -->', chr(10), 'end') else '' end as translated_text,
+  case doc_id % 4 when 0 then concat(text, chr(10), '<!-- annotation:original -->', chr(10), '### inside', chr(10), chr(92), '<!-- /annotation -->', chr(10), 'last') when 1 then concat('- claim_id: zz', chr(10), text) else text end as original_text,
+  concat(text, chr(10), '## 주장 in a summary', chr(10), '### neither') as summary, case cast(floor(doc_id / 5) as bigint) % 4 when 0 then 'draft' when 1 then 'verified' when 2 then 'unknown' else 'superseded' end as status
+from (select doc_id, coalesce(text, '') as text from documents) x
+"""
+
 RESP_CHUNKS = """
 select cast(doc_id as string) as source_id, doc_id, concat('c', cast(doc_id as string)) as chunk_id,
   translate(coalesce(text, ''), concat(chr(34), chr(92), chr(10), chr(13), chr(9)), '     ') as text

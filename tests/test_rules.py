@@ -10,6 +10,7 @@ from gleanery.functions import text as tx
 from gleanery.functions.rx import java
 from gleanery.operators import candidates as cd
 from gleanery.operators import entries as en
+from gleanery.operators import markdown as md
 from gleanery.operators import matching as mt
 from gleanery.operators import reports as rp
 from gleanery.operators import responses as rs
@@ -181,9 +182,40 @@ def test_terms_make_candidates_unfit(spark):
 def test_markdown_round_trip(spark, sources):
     found = cd.plain_candidates(sources)
     built = en.build(found, found.select("candidate_id", F.lit(None).cast("string").alias("node_id")))
-    (back,) = en.from_markdown(en.to_markdown(built)).collect()
+    (back,) = md.from_markdown(md.to_markdown(built).select(F.col("id").alias("key"), "markdown")).collect()
     (entry,) = built.collect()
     assert [c.original_text for c in back.claims] == [c.original_text for c in entry.claims] and back.id == entry.id
+    assert [c.claim_id for c in back.claims] == entry.created_from_candidates == back.created_from_candidates
+
+
+def test_markdown_of_texts_that_look_like_markdown(spark):
+    odd = ["### no claim\n- claim_id: x", "<!-- /annotation -->", "\\<!-- annotation:original -->\n  <!-- annotation:translated -->  ", "## 주장 (claims)\nmore", "---\nid: y\n---", ""]
+    claims = [(f"k{i}" if i else "", f"statement: {i}", t, odd[-1 - i], ["a", "b"], None) for i, t in enumerate(odd)]
+    rows = [("e,1", "A title: of it", "summary\n## 주장\n# x", "verified", claims, ["t1", "t2"]), ("e2", "", "", "held", [], [])]
+    df = spark.createDataFrame(rows, f"id string, title string, summary string, status string, claims array<struct<{md.CLAIM.replace(' string', ': string').replace(' array', ': array')}>>, tags array<string>")
+    got = {r.id: r for r in md.from_markdown(md.to_markdown(df).select(F.col("id").alias("key"), "markdown")).collect()}
+    one, two = got["e,1"], got["e2"]
+    assert (one.title, one.summary, one.status, one.tags) == (*rows[0][1:4], ["t1", "t2"]) and (two.title, two.summary, two.status, two.claims) == ("", None, "draft", [])
+    assert [tuple(c) for c in one.claims] == [(c[0] or "c1", c[1], c[2].strip(), c[3].strip(), c[4], c[5]) for c in claims]
+
+
+def test_markdown_of_others(spark):
+    texts = [("bare", "no front\nmatter"), ("crlf", "---\r\nid: a\r\nstatus: reviewed\r\n---\r\n\r\n# T\r\n\r\n## 주장 (claims)\r\n\r\n### one\r\n- evidence: x, , y\r\ntext between\r\n- claim_id: late\r\n### two\r\n"), ("open", "---\nid: b")]
+    got = {r.key: r for r in md.from_markdown(spark.createDataFrame(texts, "key string, markdown string")).collect()}
+    assert (got["bare"].id, got["bare"].summary, got["bare"].claims) == ("", "no front\nmatter", []) and got["open"].id == "b"
+    assert (got["crlf"].id, got["crlf"].status, got["crlf"].summary) == ("a", "reviewed", None)
+    assert [(c.claim_id, c.statement, c.evidence_refs) for c in got["crlf"].claims] == [("c1", "one", ["x", "y"]), ("c2", "two", [])]
+
+
+def test_decisions_by_candidate_latest_first(spark):
+    rows = [("s", c) for c in "abcd"] + [("r", "a")]
+    found = spark.createDataFrame(rows, "source_id string, candidate_id string")
+    log = [("s", "a", "held", 5, 1), ("s", "a", "approved", 9, 2), ("s", "a", "discarded", 7, 3), ("s", "b", "discarded", 4, 4), ("s", "b", "held", 4, 5), ("s", "c", "approved", 20, 6), ("x", "d", "held", 1, 7)]
+    events = spark.createDataFrame(log, "source_id string, candidate_id string, decision string, updated_at int, event_id long")
+    got = lambda as_of=None: {(r.source_id, r.candidate_id): (r.decision, r.decided_by, r.n_records) for r in en.with_decisions(found, events, as_of).collect()}
+    none = ("pending", None, 0)
+    assert got() == {("s", "a"): ("approved", 2, 3), ("s", "b"): ("held", 5, 2), ("s", "c"): ("approved", 6, 1), ("s", "d"): none, ("r", "a"): none}
+    assert got(F.lit(8)) == {("s", "a"): ("discarded", 3, 2), ("s", "b"): ("held", 5, 2), ("s", "c"): none, ("s", "d"): none, ("r", "a"): none}
 
 
 def test_quality_levels_and_sniffing(spark):
