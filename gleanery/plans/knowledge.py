@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import candidates as cd
+from ..operators import cursor as cu
 from ..operators import entries as en
 from ..operators import markdown as md
+from ..operators import links as ln
 from ..operators import matching as mt
+from ..operators import ranks
 from ..operators import reports as rp
 from ..operators import responses as rs
 from ..operators import segment as sg
-from ..sources import views
-from ..sources.store import persisted
+from ..sources import store, views
+from ..sources.store import persisted, shared_folder
 from ..streaming import jobs
 from . import candidates as cdp
 from . import matching as mtp
@@ -79,12 +83,50 @@ def imported_entries(spark, sf_dir):
     return rs.imported(rs.judged(asked, gate), gate).select("id", "source_id", "status", F.size("claims").cast("long").alias("n_claims"), F.get("claims", F.lit(0))["original_text"].alias("original_text"))
 
 
-def batch_prefix(spark, sf_dir):
-    """Responses of a document source in id order, as its batches."""
+def _source_batches(spark, sf_dir):
+    """(source, batch, status): responses of a document source in id order, as its batches."""
     found, _ = _responses(spark, sf_dir)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "source")
-    rows = docs.withColumn("batch", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).join(found.select("source_id", "status"), "source_id")
-    return rs.good_prefix(rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id")
+    status = found.select("source_id", "status")
+    return ranks.ranked(docs, ["source"], ["doc_id"], "batch").join(status, F.col("doc_id").cast("string") == F.col("source_id")).select("source", "batch", "status")
+
+
+def batch_prefix(spark, sf_dir):
+    return rs.good_prefix(_source_batches(spark, sf_dir))
+
+
+def cursor_runs(spark, sf_dir):
+    """What a second run takes after the good prefix of the first, with the same outline and with a changed one."""
+    batches = persisted(_source_batches(spark, sf_dir))
+    cursor = spark.createDataFrame([], "source string, signature string, next_batch long")
+    cursor = persisted(cu.advance(batches, cursor, cu.take(batches, cursor, "a"), "a"))
+    runs = [cu.take(batches, cursor, sign).select(F.lit(sign).alias("outline"), "source", "batch") for sign in ("a", "b")]
+    return runs[0].unionByName(runs[1])
+
+
+def entry_links(spark, sf_dir):
+    """Links between benchmark entries, checked against the entries, each other and the decisions."""
+    return _links(spark, sf_dir).select("src", "dst", "relation", "rationale", "valid", "known", "mutual", "decision")
+
+
+def _links(spark, sf_dir):
+    entries = views.view(spark, sf_dir, views.LINKED_ENTRIES).withColumn("related", F.split("related", ","))
+    return ln.checked(ln.edges(entries), entries, views.view(spark, sf_dir, views.DECISION_EVENTS))
+
+
+def dangling_links(spark, sf_dir):
+    return ln.dangling(_links(spark, sf_dir))
+
+
+def chunk_store(spark, sf_dir):
+    """A store of all chunks in which the English sources are replaced by their first chunks alone, as it is read back."""
+    cut = sg.chunks(sgp.cue_docs(spark, sf_dir).withColumn("kind", F.lit("plaintext"))).select("source_id", F.col("ord").cast("int").alias("ord"), "chunk_id", "text")
+    english = sgp.cue_docs(spark, sf_dir).where("lang = 'en'").select("source_id")
+    path = f"{shared_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    store.write_by_source(cut, path)
+    store.write_by_source(cut.join(english, "source_id", "left_semi").where("ord = 0"), path)
+    back = store.read_store(spark, path, "ord int, chunk_id string, text string")
+    return back.groupBy("source_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.min("chunk_id").alias("least_id"))
 
 
 def term_policy(spark, sf_dir):
@@ -235,17 +277,17 @@ def report_export(spark, sf_dir):
 
 
 def source_stream_dedup(spark, sf_dir):
-    return jobs.source_stream(spark, f"{sf_dir}/documents.parquet").select("content_id")
+    return jobs.source_stream(spark, f"{sf_dir}/documents.parquet").select("content_id", "first_id")
 
 
 def decision_stream_latest(spark, sf_dir):
-    return jobs.decision_stream(spark, f"{sf_dir}/events.parquet").select("source_id", "decision")
+    return jobs.decision_stream(spark, f"{sf_dir}/events.parquet").select("source_id", "decision", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, response_steps, response_failures, batch_prefix, term_policy, batch_prompts,
+        response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, response_steps, response_failures, batch_prefix, cursor_runs, entry_links, dangling_links, chunk_store, term_policy, batch_prompts,
         decision_carry, decision_as_of, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
         step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest,
     )
@@ -308,6 +350,12 @@ _MARKDOWN = f"""{_SAVED},
   ez as (select source_id, string_agg({_FLAT('term')}, ', ' order by p) as terms from eu group by 1)"""
 _REPORT = lambda n: f"concat('{{\"items\":', cast(to_json(items[1:{n}]) as varchar), '}}')"
 
+_LINKS = f"""with {q.with_views('linked_entries', 'decision_events')}, le as (select id, case when payload = '' then null else payload end as payload, string_split(related, ',') as rel from linked_entries),
+  lx as (select id, payload, trim(rel[k]) as dst, k from le, unnest(range(1, len(rel) + 1)) as u(k)), ly as (select id as src, dst, min(k) as k, any_value(payload) as payload from lx where dst <> '' group by 1, 2),
+  lz as (select *, payload is null or (json_valid(payload) and payload like '{{%') as valid from ly), ld as (select source_id, arg_max(decision, (updated_at, event_id)) as decision from decision_events group by 1),
+  lc as (select src, dst, valid, coalesce(case when valid then json_extract_string(payload, '$.relation') end, 'related') as relation, coalesce(case when valid then json_extract_string(payload, '$.rationale') end, '') as rationale,
+    dst in (select id from linked_entries) as known, exists (select 1 from lz b where b.src = lz.dst and b.dst = lz.src) as mutual, coalesce(ld.decision, 'pending') as decision from lz left join ld on ld.source_id = lz.src)"""
+
 ORACLES = {
     "entry_markdown": f"""{_MARKDOWN}, em as (select concat(eb.source_id, '-unclassified') as id, concat_ws({_NL}, '---', concat('id: ', eb.source_id, '-unclassified'), 'title: unclassified', 'category: extracted', 'status: draft', 'outline_node_id: ', concat('source_ids: ', eb.source_id), concat('original_terms: ', coalesce(terms, '')), 'tags: ', 'related: ',
       concat('created_from_candidates: ', ids), 'created_at: 2024-01-01T00:00:00Z', 'updated_at: 2024-01-01T00:00:00Z', 'review_notes: ', '---', '', '# unclassified', '', '{lx.MD_CLAIMS}', '', blocks) as markdown from eb left join ez on ez.source_id = eb.source_id) select id, md5(markdown) as markdown_md5 from em""",
@@ -331,6 +379,12 @@ ORACLES = {
     "evidence_gate": f"{_R} select source_id, idx, 0 as ei, chunk_id, verdict from gate",
     "quarantine_reasons": f"{_R} select verdict, count(*) as n from gate where verdict <> 'bound' group by 1",
     "batch_prefix": f"{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)) select source, coalesce(min(batch) filter (where status <> 'ok'), count(*)) as n_good, coalesce(arg_min(status, batch) filter (where status <> 'ok'), '') as stopped_by from b group by 1",
+    "cursor_runs": f"""{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)),
+      g as (select source, least(5, count(*), coalesce(min(batch) filter (where status <> 'ok'), count(*))) as good from b group by 1)
+      select 'a' as outline, b.source, batch from b join g on g.source is not distinct from b.source where batch >= good and batch < good + 5 union all select 'b', source, batch from b where batch < 5""",
+    "entry_links": f"{_LINKS} select src, dst, relation, rationale, valid, known, mutual, decision from lc",
+    "dangling_links": f"{_LINKS} select dst, count(*) as n_links, min(src) as first_src from lc where not known group by 1",
+    "chunk_store": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS} select c.source_id, count(*) as n_chunks, cast(sum(length(c.text)) as bigint) as n_chars, min(chunk_id) as least_id from c join cue_docs d on d.source_id = c.source_id where d.lang is distinct from 'en' or c.ord = 0 group by 1",
     "evidence_locators": f"{_R} select source_id, idx, 0 as ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 as bigint) as line from gate where verdict = 'bound'",
     "term_policy": f"select conv_id as id, cast({' + '.join(f'''(contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''})::int''' for r in rs.TERM_RULES)} as bigint) as n_terms, coalesce(array_to_string(list_sort(list_filter([{', '.join(f'''case when contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''} then '{r[0]}' end''' for r in rs.TERM_RULES)}], lambda x: x is not null)), ','), '') as terms from (select conv_id, string_agg(text, chr(10)) as t, coalesce(bool_or(regexp_matches(text, '{'|'.join(rs.CONTEXT_MARKERS)}')), false) as rel from conversations group by 1) x",
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",
@@ -350,6 +404,6 @@ ORACLES = {
     "source_summary": f"{_C}, {sgp._CHUNKS.replace('c as (', 'chunk as (')} select d.source_id, d.lang, coalesce(a.n, 0) as n_candidates, coalesce(b.n, 0) as n_chunks from cue_docs d left join (select source_id, count(*) as n from cand group by 1) a on a.source_id = d.source_id left join (select source_id, count(*) as n from chunk group by 1) b on b.source_id = d.source_id",
     "step_judgement": f"{mtp._SCORED} select step, status, count(*) as n from (select unnest([{{'step': 'created', 'ok': true}}, {{'step': 'structure', 'ok': reason is null}}, {{'step': 'anchor', 'ok': evidence_quality > 0}}, {{'step': 'mapping', 'ok': sim >= 0.18}}, {{'step': 'import', 'ok': action <> 'ignore'}}]) as s from sg) x, lateral (select s.step as step, case when s.ok then 'pass' else 'fail' end as status) y group by 1, 2",
     "pages_text": f"""select page_id, md5(t) as text_md5, length(t) as n_chars from (select page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?i)</p>|<br\\s*/?>|</h[1-6]>|</li>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)), lambda x: {q.one_line('x')}), lambda x: x <> ''), chr(10)) as t from pages) x""",
-    "source_stream_dedup": "select distinct sha256(coalesce(text, '')) as content_id from documents",
-    "decision_stream_latest": f"with {q.with_views('decision_events')} select source_id, arg_max(decision, (updated_at, event_id)) as decision from decision_events group by 1",
+    "source_stream_dedup": "select sha256(coalesce(text, '')) as content_id, cast(min(doc_id) as bigint) as first_id from documents group by 1",
+    "decision_stream_latest": f"with {q.with_views('decision_events')} select source_id, arg_max(decision, (updated_at, event_id)) as decision, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') as updated_at from decision_events group by 1",
 }

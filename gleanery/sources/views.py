@@ -86,6 +86,12 @@ select concat('e-', cast(cast(floor(doc_id / 5) as bigint) as string)) as id, do
 from (select doc_id, coalesce(text, '') as text from documents) x
 """
 
+#: Entries with the ids that they link to, some of which are none, and what is said of the links.
+LINKED_ENTRIES = """
+select cast(item_id as string) as id, concat_ws(',', cast(item_id + 1 as string), cast((item_id * 7 + 3) % 60 as string), case when item_id % 3 = 0 then cast(item_id - 1 as string) end, case when item_id % 4 = 1 then ' lost ' end, cast(item_id + 1 as string)) as related,
+  case item_id % 5 when 0 then '{"relation":"broader","rationale":"same record"}' when 1 then '{"relation":"supports"}' when 2 then '{broken' when 3 then '' else '["no object"]' end as payload from benchmark
+"""
+
 RESP_CHUNKS = """
 select cast(doc_id as string) as source_id, doc_id, concat('c', cast(doc_id as string)) as chunk_id,
   translate(coalesce(text, ''), concat(chr(34), chr(92), chr(10), chr(13), chr(9)), '     ') as text
