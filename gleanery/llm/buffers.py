@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the ``len + 1`` offsets of its rows; null is empty."""
-    column = pc.fill_null(column.cast(pa.binary()).cast(pa.large_binary()), b"")
+    column = column.cast(pa.binary()).cast(pa.large_binary())  # the bytes aren't copied
+    column = pc.fill_null(column, b"") if column.null_count else column
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)

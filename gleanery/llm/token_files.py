@@ -45,14 +45,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .anchors import mixed
 from .buffers import binaries, flat, slices
 from .common import shared_folder, written
 
 #: Bytes of texts worked on at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Pieces that are encoded as one text.
+JOINED = 512
 #: Pieces of texts whose ids a worker keeps.
 CACHE = 1 << 19
 #: Sum of the frequencies, as a power of two; larger where the vocabulary needs it.
@@ -65,6 +69,8 @@ FRAME = 1 << 20
 #: Ids of a shard; there are at most 2^16 shards.
 SHARD = 1 << 22
 _LOW = np.uint64(1 << 31)
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 _HEAD = struct.Struct("<4s5I")
 
 
@@ -111,40 +117,82 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
-        self.ids, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
-        self.n, self.used = 0, 0
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
-
-    def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces, and the ``len + 1`` offsets of each piece's."""
-        at = list(map(self.known.get, pieces))
-        new = [p for p, k in zip(pieces, at) if k is None]
-        if new:
-            found = self.encode(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(sizes.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(new) + 1 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.begin[self.n + 1 : self.n + len(new) + 1] = self.used + np.cumsum(sizes)
-            place = iter(range(self.n, self.n + len(new)))
-            at = [next(place) if k is None else k for k in at]
-            if self.n + len(new) <= self.most:  # else their place is taken by the next new ones
-                self.known.update(zip(new, range(self.n, self.n + len(new))))
-                self.n, self.used = self.n + len(new), self.used + total
-        k = np.array(at, np.int64)
-        return gathered(self.ids, self.begin[k], self.begin[k + 1] - self.begin[k])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name is a byte
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.most, self.known = most, pa.array([], pa.binary())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.powers, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and their ``len + 1`` offsets.
+
+        Pieces that begin with white space and end with none are encoded as one text, as a cut between any two is safe, and
+        taken apart by the bytes of each id.  The others are encoded one by one.
+        """
+        data, at = flat(pieces)
+        before, behind = data[np.maximum(at[1:] - 2, 0)], data[np.maximum(at[1:] - 3, 0)]
+        last = data[at[1:] - 1]
+        ends_well = (_CLASS[last] < 3) | ((last >= 0x80) & (before != 0xC2) & ~((behind >= 0xE1) & (behind <= 0xE3)))
+        joins = (_CLASS[data[at[:-1]]] == 3) & ends_well & (np.diff(at) > 1)
+        sizes = np.zeros(len(pieces), np.int64)
+        found = []
+        for rows, step in ((np.flatnonzero(joins), JOINED), (np.flatnonzero(~joins), 1)):
+            some, marks = flat(pieces.take(pa.array(rows)))
+            raw, cuts = some.tobytes(), np.append(np.arange(0, len(rows), step), len(rows))
+            texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(marks[cuts[:-1]].tolist(), marks[cuts[1:]].tolist())]
+            ids = [e.ids for k in range(0, len(texts), 32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False)]
+            own = np.fromiter(chain.from_iterable(ids), np.uint32)
+            if step == 1:
+                sizes[rows] = list(map(len, ids))
+            else:
+                sizes[rows] = np.diff(np.searchsorted(np.cumsum(self.sizes[own]), marks[1:]) + 1, prepend=0)
+            found.append((rows, own))
+        order = np.argsort(np.concatenate([r for r, _ in found]), kind="stable")
+        all_ids = np.concatenate([i for _, i in found])
+        own = np.concatenate([sizes[r] for r, _ in found])
+        begin = np.cumsum(own) - own
+        return gathered(all_ids, begin[order], own[order])
+
+    def lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the (distinct) pieces, and the ``len + 1`` offsets of each piece's."""
+        h = self.hashes_of(*flat(pieces))
+        at = np.full(len(pieces), -1)
+        if len(self.hashes):
+            near = np.searchsorted(self.hashes, h).clip(max=len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[near] == h)
+            row = self.rows[near[hit]]
+            same = pc.equal(self.known.take(pa.array(row)), pieces.take(pa.array(hit))).to_numpy(zero_copy_only=False)  # a hash is no proof
+            at[hit[same]] = row[same]
+        new = np.flatnonzero(at < 0)
+        ids, ends = self.ids, self.ends
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            some, marks = self.encode(fresh)
+            at[new] = len(self.known) + np.arange(len(new))
+            ids, ends = np.concatenate([ids, some]), np.concatenate([ends, ends[-1] + marks[1:]])
+            if len(self.known) + len(new) <= self.most:
+                order = np.argsort(h[new])
+                place = np.searchsorted(self.hashes, h[new][order])
+                self.hashes, self.rows = np.insert(self.hashes, place, h[new][order]), np.insert(self.rows, place, at[new][order])
+                self.known, self.ids, self.ends = pa.concat_arrays([self.known, fresh]), ids, ends
+        return gathered(ids, ends[at], ends[at + 1] - ends[at])
+
+    def hashes_of(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each piece, from running sums of its bytes times powers of an odd number."""
+        if len(self.powers) < len(data):
+            self.powers, self.inverse = (np.cumprod(np.full(2 * len(data), f, np.uint64)) for f in (_FACTOR, _INVERSE))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)])))
+        return mixed((sums[at[1:]] - sums[at[:-1]]) * self.inverse[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 def gathered(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated runs of ``values``, and their offsets in it."""
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    return values[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    place = np.repeat(begin - ends[:-1], sizes)
+    place += np.arange(ends[-1])
+    return values[place], ends
 
 
 _WORKER: dict[str, Pieces] = {}
@@ -154,12 +202,13 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, end_id: int
     """Ids of all texts, each with ``end_id`` behind, and their ``len + 1`` offsets."""
     cuts = safe_cuts(data, offsets[:-1])
     coded = binaries(data, np.append(cuts, len(data))).dictionary_encode()
-    held, ends = pieces.lookup(list(coded.dictionary.to_numpy(zero_copy_only=False)))
+    held, ends = pieces.lookup(coded.dictionary.cast(pa.binary()))
     which = coded.indices.to_numpy()
     ids, run = gathered(held, ends[which], ends[which + 1] - ends[which])
     texts = run[np.searchsorted(cuts, offsets)]  # ids before each text
     out = np.full(len(ids) + len(offsets) - 1, end_id, np.uint32)
-    place = np.arange(len(ids)) + np.repeat(np.arange(len(texts) - 1), np.diff(texts))
+    place = np.repeat(np.arange(len(texts) - 1), np.diff(texts))
+    place += np.arange(len(ids))
     out[place] = ids
     return out, texts + np.arange(len(texts))
 
@@ -175,6 +224,7 @@ def tokens(docs: DataFrame, file: str, end_id: int, cache: int, id_col: str, tex
         for b in slices(batches, "t", SLICE):
             ids, ends = token_ids(*flat(b.column("t")), _WORKER[file], end_id)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), binaries(ids.astype(width).view(np.uint8), ends * np.dtype(width).itemsize).cast(pa.binary())], names=["doc_id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
