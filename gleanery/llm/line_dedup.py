@@ -15,9 +15,16 @@ linked lines may lie beyond also probes the next class.  Candidates share an
 indexed segment.  They are verified by equal leading and trailing blocks, then by a
 bit-parallel simulation of the 2 * TAU + 1 diagonals around the main one.
 
-A segment that many lines share is dealt in tiles; neighbours in text order are
-linked first, and then only pairs of different classes are verified, so that
-dense groups don't emit all their pairs.  All steps are DataFrame operations.
+A segment that more than ``GROUP`` lines share says little of them.  Two linked
+lines with a first (or last) segment in common are as many edits apart as what is
+left of them, so the rest is cut into segments again, and so on while groups are
+large; with the middle one in common there is one edit on either side, and one
+half of either side is untouched, so the side that differs more is halved.  What is
+left in groups that can't be refined any more, as their lines have next to
+nothing of their own, is dealt in tiles.  Neighbours in text order are linked first, and
+then only pairs of different classes are verified, so that dense groups don't emit all
+their pairs.  A pair is verified if as few of the lines' 256 bigram bits differ as the
+edits may change.  All steps are DataFrame operations.
 
 Cases: null and blank lines are never duplicates; lines are compared without
 the white space at their ends; repeated rows are duplicates of each other; ties
@@ -39,6 +46,8 @@ TAU = 2
 #: Code points of the shorter line for each edit.
 PER_EDIT = 5
 TILE = 128
+#: Lines of a segment that are compared with each other.
+GROUP = 128
 _BLOCK = 32
 _ENDS = " \t\r\x0b\x0c"
 
@@ -55,24 +64,107 @@ def _class(size: Column) -> Column:
     return F.when(size < 2 * PER_EDIT, F.lit(PER_EDIT)).when(size < 16, F.lit(2 * PER_EDIT)).when(size < 32, size - size % 4).otherwise(size - size % 16).cast("int")
 
 
-def _segment_keys(line: Column) -> Column:
-    """The keys of a line, an array of longs; those with an odd number are indexed, the others only probe."""
+#: What of a line a key leaves open: one part from ``c`` to ``d`` before the end, of ``y`` code points at least; or, if not ``one``, that and a part from ``a`` to ``b`` of ``x``.
+_OPEN = ("one", "a", "b", "x", "c", "d", "y")
+
+
+def _open(one: bool, **values) -> Column:
+    return F.struct(F.lit(one).alias("one"), *[F.coalesce(values.get(n, F.lit(0)), F.lit(0)).cast("int").alias(n) for n in _OPEN[1:]])
+
+
+def _entry(hashed: list[Column], index: Column, left: Column) -> Column:
+    return F.struct(F.shiftleft(F.xxhash64(*hashed), 1).bitwiseOR(index.cast("long")).alias("e"), left.alias("open"))
+
+
+def _segments(line: Column) -> Column:
+    """The keys of a line, an array of (e, open); those with an odd number are indexed, the others only probe.
+
+    A key behind the begin of the middle segment is met by one at it, of whichever class its line is.
+    """
     size = F.length(line)
     own, above = _class(size), _class(size + TAU)
 
     def keys(cls: Column, indexed: bool, few: bool) -> list[Column]:
         """Of the class's layout: two segments if it has ``few``, else three."""
-        key = lambda i, at, width, index: F.shiftleft(F.xxhash64(cls, F.lit(i), F.substring(line, at, width)), 1).bitwiseOR(F.lit(int(index)).cast("long"))
         width = F.lit(2) if few else F.floor(cls / 3).cast("int")
-        ends = [key(1, F.lit(1), width, indexed), key(3, size - width + 1, width, indexed)]
-        return ends if few else [*ends, key(2, width + 1, width - 1, indexed), key(2, width + 2, width - 1, False)]
+        entry = lambda i, at, n, index, left: _entry([cls, F.lit(i), F.substring(line, at, n)], F.lit(int(index)), left)
+        rest = F.lit(0) if few else cls - width
+        ends = [entry(1, F.lit(1), width, indexed, _open(True, c=width, y=rest)), entry(3, size - width + 1, width, indexed, _open(True, d=width, y=rest))]
+        middle = lambda s: _open(False, b=width + s, x=width, c=2 * width - 1 + s, y=cls - 2 * width)
+        return ends if few else [*ends, entry(2, width + 1, width - 1, True, middle(0)), entry(2, width + 2, width - 1, False, middle(1))]
 
-    none = F.array().cast("array<bigint>")
+    none = F.filter(F.array(*keys(own, True, True)), lambda x: F.lit(False))
     beyond = F.when(above > own, F.array(*keys(above, False, False))).otherwise(none)
     short = F.concat(F.array(*keys(own, True, True)), beyond)
     return F.when(size < PER_EDIT, none).when(size < 2 * PER_EDIT, short).when(above > own, F.concat(F.array(*keys(own, True, False)), beyond)).otherwise(F.array(*keys(own, True, False)))
 
 
+def _segment_keys(line: Column) -> Column:
+    return F.transform(_segments(line), lambda s: s["e"])
+
+
+def _finer(left_first: Column) -> Column:
+    """The keys of rows (k, line, index, open) inside their group, as _segments gives them; none if next to nothing is left open."""
+    o, k, size, index = F.col("open"), F.col("k"), F.length("line"), F.col("index").cast("long")
+    cut = lambda at, n: F.substring(F.col("line"), at + 1, n)
+    w, h, g = F.floor(o["y"] / 3).cast("int"), F.floor(o["y"] / 2).cast("int"), F.floor(o["x"] / 2).cast("int")
+    entry = lambda i, part, flag, left: _entry([k, F.lit(i), part], flag, left)
+    middle = lambda s: _open(False, a=o["c"], b=o["c"] + w + s, x=w, c=o["c"] + 2 * w - 1 + s, d=o["d"], y=o["y"] - 2 * w)
+    whole = F.array(
+        entry(1, cut(o["c"], w), index, _open(True, c=o["c"] + w, d=o["d"], y=o["y"] - w)),
+        entry(3, cut(size - o["d"] - w, w), index, _open(True, c=o["c"], d=o["d"] + w, y=o["y"] - w)),
+        entry(2, cut(o["c"] + w, w - 1), F.lit(1), middle(0)),
+        entry(2, cut(o["c"] + w + 1, w - 1), F.lit(0), middle(1)),
+    )
+    kept = {n: o[n] for n in _OPEN[1:]}
+    side = lambda **new: _open(False, **(kept | new))
+    left = F.array(entry(4, cut(o["a"], g), index, side(a=o["a"] + g, x=o["x"] - g)), entry(5, cut(o["b"] - g, g), index, side(b=o["b"] - g, x=o["x"] - g)))
+    right = F.array(entry(6, cut(o["c"], h), index, side(c=o["c"] + h, y=o["y"] - h)), entry(7, cut(size - o["d"] - h, h), index, side(d=o["d"] + h, y=o["y"] - h)))
+    none = F.filter(left, lambda x: F.lit(False))
+    both = F.when((g >= 1) & ((h < 1) | left_first), left).when(h >= 1, right).otherwise(none)
+    return F.when(o["one"] & (w >= 2), whole).when(o["one"], none).otherwise(both)
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    """(k, n) of the keys of rows (k, lid, index) that different lines share, one of them indexed."""
+    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.count("*").alias("n"))
+    return shared.where("least <> most and index").select("k", "n")
+
+
+def refined(members: DataFrame, texts: DataFrame, group: int) -> DataFrame:
+    """Rows (k, lid, index, n) in groups of up to ``group``, or such as can't be refined, instead of ``members`` (k, lid, index, n)."""
+    done = members.where(F.col("n") <= group)
+    hot = members.where(F.col("n") > group)
+    if hot.isEmpty():
+        return members
+    lines_ = texts.dropDuplicates(["lid"]).join(hot.select("lid").distinct(), "lid", "left_semi")
+    segments = F.explode(F.filter(_segments(F.col("line")), lambda s: F.shiftright(s["e"], 1) == F.col("k"))).alias("s")
+    hot = hot.join(lines_, "lid").select("k", "lid", "n", "line", segments).select("k", "lid", "n", "line", (F.col("s.e") % 2 != 0).alias("index"), "s.open")
+    hot = checkpoint(hot)
+    while not hot.isEmpty():
+        # of two open parts, the one that more lines differ in
+        o = F.col("open")
+        parts = hot.where(~o["one"]).groupBy("k").agg(F.approx_count_distinct(F.expr("substring(line, open.a + 1, open.b - open.a)")).alias("l"), F.approx_count_distinct(F.expr("substring(line, open.c + 1, length(line) - open.d - open.c)")).alias("r"))
+        finer = checkpoint(hot.join(parts.select("k", (F.col("l") >= F.col("r")).alias("left_first")), "k", "left").withColumn("ks", _finer(F.coalesce("left_first", F.lit(True)))))
+        done = done.unionByName(finer.where(F.size("ks") == 0).select("k", "lid", "index", "n"))
+        keyed = finer.select("lid", "line", F.explode("ks").alias("s")).select("lid", "line", F.shiftright("s.e", 1).alias("k"), (F.col("s.e") % 2 != 0).alias("index"), "s.open")
+        keyed = checkpoint(keyed.join(_groups(keyed), "k"))
+        done = done.unionByName(keyed.where(F.col("n") <= group).select("k", "lid", "index", "n"))
+        hot = keyed.where(F.col("n") > group)
+    return checkpoint(done)
+
+
+def with_bits(rows: DataFrame) -> DataFrame:
+    """``rows`` with 256 bits in four longs: one for the hash of each bigram of ``line``. An edit changes four at most."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(2))))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+
+    def bits(i: int) -> Column:
+        return F.aggregate("grams", F.lit(0).cast("long"), lambda s, h: F.when(h.bitwiseAND(F.lit(3)) == i, s.bitwiseOR(one(h))).otherwise(s)).alias(f"s{i}")
+
+    return rows.withColumn("grams", grams).select(*rows.columns, *map(bits, range(4)))
+
+
 def _same_ends() -> tuple[Column, Column]:
     """Hashes of a line's blocks from its begin, and from its end (reversed)."""
     blocks = lambda c: F.transform(F.regexp_extract_all(c, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)), lambda b: F.xxhash64(b))
@@ -124,12 +216,14 @@ def prepared(texts: DataFrame) -> DataFrame:
 def near_links(keyed: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b): links between different lines that connect all linked ones, from their keys (lid, ks) and texts (lid, line); repeats may come."""
     keyed = keyed.select("lid", F.explode("ks").alias("e")).select("lid", F.shiftright("e", 1).alias("k"), (F.col("e") % 2 != 0).alias("index"))
-    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.count("*").alias("n"))
-    shared = checkpoint(shared.where("least <> most and index").select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    members = may_be_in(keyed, "k", shared, shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
-    members = checkpoint(members.withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int")))
-    texts = may_be_in(texts, "lid", members, members.count()).dropDuplicates(["lid"])
-    rows = prepared(checkpoint(texts.join(members, "lid").select("k", "lid", "index", "tiles", "tile", "line")))
+    shared = checkpoint(_groups(keyed))
+    members = may_be_in(keyed, "k", shared.drop("n"), shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
+    members = checkpoint(members)
+    texts = checkpoint(may_be_in(texts, "lid", members, members.count()))
+    members = refined(members, texts, GROUP).groupBy("k", "lid").agg(F.max("index").alias("index"), F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
+    own = with_bits(prepared(texts.dropDuplicates(["lid"])))
+    rows = checkpoint(own.join(members, "lid"))
 
     one = F.struct("lid", "line", "n", "head", "tail")
     order = Window.partitionBy("k", "tile").orderBy("line")
@@ -138,13 +232,14 @@ def near_links(keyed: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
     known = components(first)
 
     rows = rows.join(known.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    one = F.struct("lid", "line", "n", "head", "tail", "root")
+    one = F.struct("lid", "line", "n", "head", "tail", "root", "s0", "s1", "s2", "s3")
     spread = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     index = rows.where("index").select("k", F.col("tile").alias("i"), spread.alias("j"), one.alias("x"))
     probe = rows.select(F.col("k").alias("pk"), spread.alias("pi"), F.col("tile").alias("pj"), one.alias("y"), F.col("index").alias("both"))
     same = (F.col("k") == F.col("pk")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
+    alike = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(4)) + f" <= {4 * tau}"
     # two indexed lines meet twice: one of the meetings is enough
-    pairs = index.join(probe, same & F.expr(f"abs(x.n - y.n) <= {tau} and (not both or x.lid < y.lid) and x.root <> y.root and {_verified(tau)}"))
+    pairs = index.join(probe, same & F.expr(f"abs(x.n - y.n) <= {tau} and (not both or x.lid < y.lid) and x.root <> y.root and {alike} and {_verified(tau)}"))
     return first.unionByName(pairs.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))).unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 

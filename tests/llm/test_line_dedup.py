@@ -97,3 +97,47 @@ def test_repeated_rows_are_duplicates_of_each_other(spark):
     assert got == [(1, 2, 0, 0, ""), (2, 2, 1, 1, "0"), (2, 2, 2, 1, "0,1"), (2, 2, 2, 1, "0,1"), (3, 1, 0, 0, ""), (3, 1, 1, 0, "0"), (4, 0, 0, 0, ""), (4, 0, 0, 0, "")]
     kept = sorted((r.doc_id, r.text or "") for r in line_dedup.keep_first_lines(docs).collect())
     assert kept == [(1, f"{long}\nown"), (2, "other\n"), (3, "alone"), (4, ""), (4, "")]
+
+
+def test_linked_across_classes_of_length(spark):
+    """A line of 96 and one of 95 code points: one deletion before the middle segment, one change behind it."""
+    rng = random.Random(1)
+    rows = []
+    for t in range(25):
+        x = "a" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=94)) + "z"
+        rows += [(2 * t, x), (2 * t + 1, x[:10] + x[11:80] + "#" + x[81:])]
+    got = {r.doc_id: r.n_near for r in line_dedup.op1_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 2 for d in range(50)}
+
+
+def shared(rng, n):
+    """Lines with a begin, an end or a middle in common, some of them near copies of others."""
+    own = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    kinds = [lambda: "one begin is on every line of this kind " + own(20), lambda: own(20) + " one end is on every line of this kind", lambda: own(12) + " a middle is on all lines " + own(12), lambda: "counted line number " + own(3)]
+    texts = [rng.choice(kinds)() for _ in range(n)]
+    return texts + [change(rng, rng.choice(texts), rng.randint(1, 3)) for _ in range(n // 2)]
+
+
+def test_shared_segments_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP", 4)
+    rows = list(enumerate(shared(random.Random(7), 160)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_near) for r in line_dedup.op1_line_dedup(docs).collect()}
+    want = brute(rows)
+    assert got == {d: (len(g := want.get(d, [])), sum(n for _, n in g)) for d in range(len(rows))}
+
+
+def test_shared_segments_are_refined(spark):
+    """Of lines with one begin, few are left in groups that are compared whole, and no line is in many of them."""
+    rng = random.Random(3)
+    rows = [(i, "This boilerplate prefix is on every line of the corpus " + "".join(rng.choices("0123456789abcdef", k=32))) for i in range(2950)]
+    rows += [(2950 + i, t[:70] + t[71:]) for i, t in rows[:50]]
+    texts = spark.createDataFrame(rows, "lid long, line string")
+    keyed = texts.select("lid", F.explode(line_dedup._segment_keys(F.col("line"))).alias("e")).select("lid", F.shiftright("e", 1).alias("k"), (F.col("e") % 2 != 0).alias("index"))
+    members = keyed.join(line_dedup._groups(keyed), "k")
+    assert members.agg(F.max("n")).first()[0] == 3000
+    found = line_dedup.refined(members, texts, 64)
+    sizes = found.groupBy("k").agg(F.countDistinct("lid").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 64
+    assert found.groupBy("lid").count().agg(F.max("count")).first()[0] <= 100
+    assert sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 3000 * 3000 / 20
