@@ -158,3 +158,35 @@ def sized_report(rows: DataFrame, sizes: tuple[int, ...] = (40, 10, 3, 0), most:
     forms = [(n, F.to_json(F.struct(F.slice("items", 1, n).alias("items")))) for n in sizes]
     chosen = F.coalesce(*[F.when(F.length(j) <= most, F.struct(F.lit(n).alias("kept"), j.alias("report"))) for n, j in forms])
     return grouped.select("source_id", chosen.alias("c")).select("source_id", "c.kept", "c.report")
+
+
+def tallied(rows: DataFrame, key: str, measures: list[str]) -> DataFrame:
+    """``key``, ``n`` and for each measure a list of {k, n} by k, counted over all grains in one pass.
+
+    The grains are grouping sets, so a key of any size is summed in parts before it is brought together; what is gathered
+    for a key is one row for each value of a measure.
+    """
+    sets = [[key], *[[key, m] for m in measures]]
+    grains = rows.groupingSets(sets, key, *measures).agg(F.count("*").alias("n"), F.grouping_id(key, *measures).alias("grain"))
+    # a bit of the id is set for each column that a grain leaves out
+    bits = [1 << i for i in reversed(range(len(measures)))]
+    whole = sum(bits)
+    held = lambda bit, m: F.array_sort(F.collect_list(F.when(F.col("grain") == whole - bit, F.struct(F.coalesce(F.col(m), F.lit("none")).alias("k"), "n"))))
+    return grains.groupBy(key).agg(F.max(F.when(F.col("grain") == whole, F.col("n"))).alias("n"), *[held(b, m).alias(m) for b, m in zip(bits, measures)])
+
+
+def run_reports(cards: DataFrame, pages: DataFrame, batches: DataFrame) -> DataFrame:
+    """source_id, report (JSON): what a run found in each source.
+
+    From cards (source_id, type, action, decision), pages (source_id, page), and batches (source_id, status), with failures
+    by kind: what isn't ``ok`` or ``recovered``.
+    """
+    found = tallied(cards, "source_id", ["type", "action", "decision"])
+    last = pages.groupBy("source_id").agg(F.max("page").alias("pages"))
+    ran = tallied(batches.withColumn("failure", F.when(~F.col("status").isin("ok", "recovered"), F.col("status"))), "source_id", ["failure"]).withColumnsRenamed({"n": "batches"})
+    joined = last.join(found, "source_id", "full_outer").join(ran, "source_id", "full_outer")
+    none = F.array().cast("array<struct<k: string, n: bigint>>")
+    lists = [F.coalesce(c, none).alias(f"by_{c}") for c in ("type", "action", "decision")]
+    failures = F.filter(F.coalesce("failure", none), lambda x: x["k"] != "none").alias("failures")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias("cards" if c == "n" else c)
+    return joined.select("source_id", F.to_json(F.struct(F.col("source_id").alias("source"), count("pages"), count("n"), *lists, count("batches"), failures)).alias("report"))

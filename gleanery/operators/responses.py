@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -35,27 +36,49 @@ def body(raw: Column) -> Column:
     return tx.trimmed(F.when(inner.rlike(r"(?s)\{.*\}"), F.regexp_extract(inner, r"(?s)(\{.*\})", 1)).otherwise(inner))
 
 
+#: What can change the scanner's state: an escaped character, a string's end, braces, and the list's end.
+_TOKENS = re.compile(r'\\.|["{}\]]', re.S)
+
+
+def complete_objects(text: str, begin: int) -> list[str]:
+    """The balanced objects of a list that opens before ``begin``, up to its end or the text's.
+
+    One pass: each place is looked at once, however often the text is broken.  An object whose end is missing ends the scan.
+    """
+    found, depth, quoted, at = [], 0, False, begin
+    for token in _TOKENS.finditer(text, begin):
+        mark = token.group()
+        if quoted:
+            quoted = mark != '"'
+        elif mark == '"':
+            quoted = depth > 0  # between objects a quotation mark is noise
+        elif mark == "{":
+            at, depth = (token.start() if not depth else at), depth + 1
+        elif mark == "}" and depth:
+            depth -= 1
+            if not depth:
+                found.append(text[at : token.end()])
+        elif mark == "]" and not depth:
+            break
+    return found
+
+
+def _recovered(text: str) -> str | None:
+    """Complete candidate objects of a damaged body as a valid body; balanced ones that are no JSON are left out; null if none is left."""
+    head = re.search(r'"wiki_candidates"\s*:', text)
+    begin = text.find("[", head.end()) if head else -1
+    found = []
+    for piece in complete_objects(text, begin + 1) if begin >= 0 else ():
+        try:
+            found.append(json.loads(piece))
+        except ValueError:
+            continue
+    return json.dumps({"wiki_candidates": found}, ensure_ascii=False) if found else None
+
+
 def _recover(batches):
-    """Complete candidate objects of truncated bodies, as a valid body; null if there is none."""
-    decoder = json.JSONDecoder()
     for rows in batches:
-        out = []
-        for text in rows["body"]:
-            found, at = [], text.find('"wiki_candidates"')
-            at = text.find("[", at) if at >= 0 else -1
-            at = text.find("{", at) if at >= 0 else -1
-            while at >= 0:
-                try:
-                    value, end = decoder.raw_decode(text, at)
-                    found.append(value)
-                except ValueError:
-                    end = at + 1
-                at = text.find("{", end)
-                stop = text.find("]", end)
-                if 0 <= stop < at:
-                    break
-            out.append(json.dumps({"wiki_candidates": found}, ensure_ascii=False) if found else None)
-        yield pd.DataFrame({"source_id": rows["source_id"], "recovered": out})
+        yield pd.DataFrame({"source_id": rows["source_id"], "recovered": [_recovered(t) for t in rows["body"]]})
 
 
 def parsed(responses: DataFrame) -> DataFrame:

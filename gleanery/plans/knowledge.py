@@ -284,12 +284,40 @@ def decision_stream_latest(spark, sf_dir):
     return jobs.decision_stream(spark, f"{sf_dir}/events.parquet").select("source_id", "decision", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
+def recovered_shapes(spark, sf_dir):
+    """Candidates of responses that are cut or damaged in six ways."""
+    found = rs.parsed(views.view(spark, sf_dir, views.DAMAGED))
+    return rs.response_candidates(found).select("source_id", "status", "idx", "title", "type", F.md5(F.coalesce("summary_ko", F.lit(""))).alias("summary_md5"))
+
+
+def run_report_json(spark, sf_dir):
+    """A report for each volume of four documents: cards by type, action and decision, pages, batches and failures."""
+    found, chunks, existing = mtp.parts(spark, sf_dir)
+    cards = en.with_decisions(mtp.scored_of(spark, found, chunks, existing), decision_log(spark, sf_dir, found))
+    volume = lambda c: F.concat(F.lit("v"), F.floor(F.col(c).cast("long") / 4).cast("string")).alias("source_id")
+    batches, _ = _responses(spark, sf_dir)
+    pages = views.view(spark, sf_dir, views.PAGE_ROWS).select("source_id", "page")
+    reports = rp.run_reports(cards.select(volume("source_id"), "type", "action", "decision"), pages, batches.select(volume("source_id"), "status"))
+    return reports.select("source_id", F.md5("report").alias("report_md5"), F.length("report").cast("long").alias("n_chars"))
+
+
+def decoded_files(spark, sf_dir):
+    """Pages of files written from four documents each, with byte order marks, carriage returns and damaged bytes, as they are read back."""
+    rows = views.view(spark, sf_dir, views.PAGE_ROWS)
+    spoiled = F.concat(F.encode(F.regexp_replace("text", "\n", "\r\n"), "UTF-8"), F.when(F.col("page") == 2, F.unhex(F.lit("FFC3"))).otherwise(F.unhex(F.lit("")))).cast("string")
+    whole = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", spoiled.alias("t")))), lambda x: x["t"]), "\f").alias("text"))
+    path = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    whole.select(F.concat(F.lit("\ufeff"), "text").alias("value"), "source_id").write.partitionBy("source_id").text(path)
+    read = store.decoded(store.corpus_files(spark, f"{path}/*/*.txt"))
+    return read.select(F.regexp_extract("path", "source_id=([^/]*)/", 1).alias("source_id"), "content_id", "page", F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         response_parse_status, json_recovery, evidence_gate, quarantine_reasons, importable_candidates, merged_candidates, imported_entries, response_steps, response_failures, batch_prefix, cursor_runs, entry_links, dangling_links, chunk_store, term_policy, batch_prompts,
         decision_carry, decision_as_of, wiki_entries, wiki_index, entry_markdown, markdown_roundtrip, entry_upsert, claim_reviews, candidate_lineage, text_quality, quality_gate, source_summary,
-        step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest,
+        step_judgement, evidence_locators, run_report, pages_text, report_export, source_stream_dedup, decision_stream_latest, recovered_shapes, run_report_json, decoded_files,
     )
 }
 
@@ -356,6 +384,12 @@ _LINKS = f"""with {q.with_views('linked_entries', 'decision_events')}, le as (se
   lc as (select src, dst, valid, coalesce(case when valid then json_extract_string(payload, '$.relation') end, 'related') as relation, coalesce(case when valid then json_extract_string(payload, '$.rationale') end, '') as rationale,
     dst in (select id from linked_entries) as known, exists (select 1 from lz b where b.src = lz.dst and b.dst = lz.src) as mutual, coalesce(ld.decision, 'pending') as decision from lz left join ld on ld.source_id = lz.src)"""
 
+
+
+def _tally(name: str, rows: str, measure: str) -> str:
+    return f"{name} as (select source_id, concat('[', string_agg(concat('{{{{\"k\":\"', k, '\",\"n\":', n, '}}}}'), ',' order by k), ']') as j from (select source_id, {measure} as k, count(*) as n from {rows} group by 1, 2) y group by 1)".replace("{{", "{").replace("}}", "}")
+
+
 ORACLES = {
     "entry_markdown": f"""{_MARKDOWN}, em as (select concat(eb.source_id, '-unclassified') as id, concat_ws({_NL}, '---', concat('id: ', eb.source_id, '-unclassified'), 'title: unclassified', 'category: extracted', 'status: draft', 'outline_node_id: ', concat('source_ids: ', eb.source_id), concat('original_terms: ', coalesce(terms, '')), 'tags: ', 'related: ',
       concat('created_from_candidates: ', ids), 'created_at: 2024-01-01T00:00:00Z', 'updated_at: 2024-01-01T00:00:00Z', 'review_notes: ', '---', '', '# unclassified', '', '{lx.MD_CLAIMS}', '', blocks) as markdown from eb left join ez on ez.source_id = eb.source_id) select id, md5(markdown) as markdown_md5 from em""",
@@ -382,6 +416,19 @@ ORACLES = {
     "cursor_runs": f"""{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)),
       g as (select source, least(5, count(*), coalesce(min(batch) filter (where status <> 'ok'), count(*))) as good from b group by 1)
       select 'a' as outline, b.source, batch from b join g on g.source is not distinct from b.source where batch >= good and batch < good + 5 union all select 'b', source, batch from b where batch < 5""",
+    "recovered_shapes": f"""with {q.with_views('damaged')}, k as (select source_id, doc_id % 6 as kind, unnest([{{'no': 0, 'title': t, 'type': 'argument', 'summary': ''}}, {{'no': 1, 'title': concat('two ', chr(34), ']}}{{[', chr(92)), 'type': 'method', 'summary': t}}, {{'no': 2, 'title': 'three', 'type': 'concept', 'summary': t}}]) as c from damaged),
+      l as (select source_id, kind, c.no as no, c.title as title, c.type as type, c.summary as summary from k where c.no = 0 or (c.no = 1 and kind <> 2) or (c.no = 2 and kind in (1, 3, 4)))
+      select source_id, 'recovered' as status, cast(no as int) as idx, title, type, md5(summary) as summary_md5 from l""",
+    "run_report_json": f"""{_SAVED}, {_R.split("  r4 as")[0].split("with ", 1)[1].rstrip().rstrip(",")}, {q.with_views('page_rows')},
+      rcd as (select concat('v', cast(cast(floor(cast(c1.source_id as bigint) / 4) as int) as varchar)) as source_id, sg.type, sg.action, coalesce(dec.decision, 'pending') as decision from sg join c1 on c1.candidate_id = sg.candidate_id left join dec on dec.candidate_id = sg.candidate_id),
+      rts as (select source_id, count(*) as n from rcd group by 1), {_tally('rty', 'rcd', 'type')}, {_tally('rac', 'rcd', 'action')}, {_tally('rde', 'rcd', 'decision')},
+      rpg as (select source_id, max(page) as pages from page_rows group by 1), rfl as (select concat('v', cast(cast(floor(cast(source_id as bigint) / 4) as int) as varchar)) as source_id, status from r3), rba as (select source_id, count(*) as batches from rfl group by 1), {_tally('rfa', "(select * from rfl where status not in ('ok', 'recovered')) z", 'status')},
+      rj as (select p.source_id, concat('{{"source":"', p.source_id, '","pages":', p.pages, ',"cards":', coalesce(s.n, 0), ',"by_type":', coalesce(t.j, '[]'), ',"by_action":', coalesce(a.j, '[]'), ',"by_decision":', coalesce(d.j, '[]'), ',"batches":', coalesce(b.batches, 0), ',"failures":', coalesce(f.j, '[]'), '}}') as report
+        from rpg p left join rts s on s.source_id = p.source_id left join rty t on t.source_id = p.source_id left join rac a on a.source_id = p.source_id left join rde d on d.source_id = p.source_id left join rba b on b.source_id = p.source_id left join rfa f on f.source_id = p.source_id)
+      select source_id, md5(report) as report_md5, length(report) as n_chars from rj""",
+    "decoded_files": f"""with {q.with_views('page_rows')}, f as (select *, replace(text, chr(10), concat(chr(13), chr(10))) as crlf, page = max(page) over (partition by source_id) as final from page_rows),
+      b as (select source_id, substr(sha256(unhex(concat('EFBBBF', string_agg(concat(hex(encode(crlf)), case when page = 2 then 'FFC3' else '' end), '0C' order by page), '0A'))), 1, 16) as content_id from f group by 1)
+      select f.source_id, content_id, cast(page as int) as page, md5(concat(regexp_replace(crlf, '\r\n?', chr(10), 'g'), case when page = 2 then repeat(chr(65533), 2) else '' end, case when final then chr(10) else '' end)) as text_md5 from f join b on b.source_id = f.source_id""",
     "entry_links": f"{_LINKS} select src, dst, relation, rationale, valid, known, mutual, decision from lc",
     "dangling_links": f"{_LINKS} select dst, count(*) as n_links, min(src) as first_src from lc where not known group by 1",
     "chunk_store": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS} select c.source_id, count(*) as n_chunks, cast(sum(length(c.text)) as bigint) as n_chars, min(chunk_id) as least_id from c join cue_docs d on d.source_id = c.source_id where d.lang is distinct from 'en' or c.ord = 0 group by 1",

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Without it a session in one process gets a temporary folder; a cluster gets an error, as its machines share none."""
@@ -87,3 +89,14 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def corpus_files(spark: SparkSession, glob: str) -> DataFrame:
     """path, length, content of the files that ``glob`` names, empty ones left out."""
     return spark.read.format("binaryFile").load(glob).where("length > 0").select("path", "length", "content")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """content_id, path, page, text: the pages of files (path, content), as text.
+
+    The id is of the bytes.  Bytes that are no UTF-8 become replacement characters, a byte order mark goes, lines end with
+    \\n, and form feeds part the pages, from 1.
+    """
+    text = tx.normalized(F.make_valid_utf8(F.col("content").cast("string")))
+    rows = files.select(F.substring(F.sha2("content", 256), 1, 16).alias("content_id"), "path", F.posexplode(F.split(text, "\f")).alias("no", "text"))
+    return rows.select("content_id", "path", (F.col("no") + 1).alias("page"), "text")

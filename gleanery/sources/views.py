@@ -114,6 +114,14 @@ from ({RESP_CHUNKS}) x
 """
 
 
+#: Three candidates a response, the second with braces, brackets and escapes in its text, and six kinds of damage.
+DAMAGED = """
+select cast(doc_id as string) as source_id, doc_id, t, concat('{"note":"a {brace","wiki_candidates" : [', a, case doc_id % 6 when 2 then concat(', {"title":', b) when 3 then concat(', "stray" ', b) else concat(', ', b) end,
+  case doc_id % 6 when 0 then concat(', ', substr(c, 1, 25)) when 1 then concat(', {"title": broken}, ', c) when 2 then '' when 3 then concat(' , ', c, '] trailing } ] {') when 4 then concat(', ', c, ']') else concat(', {"title":"cut ', chr(92)) end) as raw
+from (select doc_id, t, concat('{"title":"', t, '","type":"argument","evidence":[{"chunk_id":"c","quote":"q"}]}') as a, concat('{"title":"two ', chr(92), '"]}{[', chr(92), chr(92), '","type":"method","summary_ko":"', t, '"}') as b, concat('{"title":"three","type":"concept","summary_ko":"', t, '"}') as c
+  from (select doc_id, translate(split_part(coalesce(text, ''), chr(10), 1), concat(chr(34), chr(92), chr(13), chr(9), chr(8), chr(12)), '      ') as t from documents) x) y
+"""
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables of ``sf_dir``, which are bound by name in it."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"from {t}" in sql}
