@@ -7,7 +7,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -152,15 +152,19 @@ def merged(candidates: DataFrame, gate: DataFrame) -> DataFrame:
     at = F.struct("source_id", "idx")
     keys = candidates.select("source_id", "idx", F.col("kind").alias("type"), "title", F.col("summary_ko").alias("summary"), *reasons, F.coalesce("standard_terms", F.array().cast("array<string>")).alias("terms"))
     said = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", at)).alias(c) for c in reasons]
-    terms = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "idx", "terms"))), lambda x: x["terms"]))), 1, lx.MAX_TERMS)
-    own = keys.groupBy("type", "title", "summary").agg(F.count("*").alias("n_rows"), F.countDistinct("source_id").alias("n_sources"), terms.alias("terms"), *said)
+    # a title may come in any number of responses: its terms are counted one by one, and only the first are gathered
+    spread = keys.select("type", "title", "summary", "source_id", "idx", F.posexplode("terms").alias("pos", "term"))
+    each = spread.groupBy("type", "title", "summary", "term").agg(F.min(F.struct("source_id", "idx", "pos")).alias("at"))
+    few = each.withColumn("no", F.row_number().over(Window.partitionBy("type", "title", "summary").orderBy("at"))).where(F.col("no") <= lx.MAX_TERMS)
+    terms = few.groupBy("type", "title", "summary").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "term"))), lambda x: x["term"]).alias("terms")).toDF("t_type", "t_title", "t_summary", "terms")
+    own = keys.groupBy("type", "title", "summary").agg(F.count("*").alias("n_rows"), F.countDistinct("source_id").alias("n_sources"), *said)
     lost = keys.join(gate.where("verdict <> 'bound'"), ["source_id", "idx"]).groupBy("type", "title", "summary").agg(F.countDistinct("chunk_id", "verdict").alias("n_rejected")).toDF("l_type", "l_title", "l_summary", "n_rejected")
     kept = keys.join(gate.where("verdict = 'bound'"), ["source_id", "idx"]).groupBy("type", "title", "summary", "chunk_id", "quote").agg(F.min(F.struct("source_id", "idx", "ei")).alias("at"), F.max(F.nullif("translation", F.lit(""))).alias("translation"))
     evidence = kept.groupBy("type", "title", "summary").agg(F.count("*").alias("n_evidence")).toDF("e_type", "e_title", "e_summary", "n_evidence")
 
     same = lambda mark: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in ("type", "title", "summary")])
-    joined = own.join(evidence, same("e"), "left").join(lost, same("l"), "left")
-    return joined.select("type", "title", "summary", "n_rows", "n_sources", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), "terms", *reasons)
+    joined = own.join(evidence, same("e"), "left").join(lost, same("l"), "left").join(terms, same("t"), "left")
+    return joined.select("type", "title", "summary", "n_rows", "n_sources", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), *reasons)
 
 
 def steps(judged_rows: DataFrame, gate: DataFrame) -> DataFrame:

@@ -53,10 +53,10 @@ PAGE_ROWS = """
 select concat('v', cast(cast(floor(doc_id / 4) as int) as string)) as source_id, cast(doc_id % 4 + 1 as int) as page, coalesce(text, '') as text from documents
 """
 
+#: All texts of a document source as its pages, with blank pages and title pages of a word between them.
 VOLUME_PAGES = """
-select source as source_id, cast(row_number() over (partition by source order by doc_id) as int) as page,
-  case doc_id % 9 when 0 then '' when 1 then split_part(coalesce(text, ''), ' ', 1) else coalesce(text, '') end as text
-from documents
+select source as source_id, cast(doc_id as bigint) * 2 as page, coalesce(text, '') as text from documents
+union all select source, cast(doc_id as bigint) * 2 + 1, case when doc_id % 9 = 0 then '' else split_part(coalesce(text, ''), ' ', 1) end from documents where doc_id % 9 < 2
 """
 
 EXISTING = """
