@@ -168,9 +168,9 @@ ORACLES = {
         case when summary <> '' and summary <> title then concat(chr(10), '  summary: ', summary) else '' end, case when evidence_text <> '' then concat(chr(10), '  evidence_preview: ', {q.one_line('evidence_text')}) else '' end), chr(10) order by rank) as cards from top),
       kwd as (select string_agg(concat('- ', title), chr(10) order by ord) as keywords from (select * from existing order by ord limit 20) z)
       select n_cards, n_chunks, md5(concat('[CANDIDATES]', chr(10), cards, chr(10), chr(10), '[SCHEMA]', chr(10), keywords, chr(10), chr(10), '[CANDIDATE_CHUNKS]', chr(10), blocks, chr(10), chr(10), 'Answer with one JSON object: wiki_candidates.')) as prompt_md5 from cbk, bl, kwd""",
-    "evidence_excerpts": f"""{kn._R}, nd as (select source_id, chunk_text, {q.one_line('quote')} as needle from gate where chunk_text is not null), ps as (select *, case when needle = '' then 0 else strpos(lower(chunk_text), lower(substr(needle, 1, 80))) end as pos from nd)
-      select source_id, 0 as idx, 0 as ei, md5(case when pos = 0 then {_EXCERPT('chunk_text')} else {_EXCERPT('substr(chunk_text, cast(greatest(pos - 161, 0) + 1 as int), cast(least(pos - 1 + length(needle) + 160, length(chunk_text)) - greatest(pos - 161, 0) as int))')} end) as context_md5 from ps""",
-    "source_purity": f"{kn._R} select cand.source_id, 0 as idx, count(distinct k.source_id) as n_sources, coalesce(case when count(distinct k.source_id) = 1 then min(k.source_id) end, '') as owner from cand left join resp_chunks k on k.chunk_id = cand.chunk_id group by 1",
+    "evidence_excerpts": f"""{kn._R}, nd as (select source_id, idx, ei, chunk_text, {q.one_line('quote')} as needle from gate where chunk_text is not null), ps as (select *, case when needle = '' then 0 else strpos(lower(chunk_text), lower(substr(needle, 1, 80))) end as pos from nd)
+      select source_id, idx, ei, md5(case when pos = 0 then {_EXCERPT('chunk_text')} else {_EXCERPT('substr(chunk_text, cast(greatest(pos - 161, 0) + 1 as int), cast(least(pos - 1 + length(needle) + 160, length(chunk_text)) - greatest(pos - 161, 0) as int))')} end) as context_md5 from ps""",
+    "source_purity": f"{kn._R} select cand.source_id, cand.idx, count(distinct k.source_id) as n_sources, coalesce(case when count(distinct k.source_id) = 1 then min(k.source_id) end, '') as owner from cand left join ev on ev.source_id = cand.source_id and ev.idx = cand.idx left join resp_chunks k on k.chunk_id = ev.chunk_id group by 1, 2",
     "ref_locators": f"{kn._C} select candidate_id, 0 as page, coalesce(try_cast(nullif(regexp_extract(refs, '#line-([0-9]+)', 1), '') as int), 0) as line from cand",
     "page_documents": f"with {q.with_views('page_rows')}, s as (select *, coalesce(sum(length(text) + 1) over (partition by source_id order by page rows between unbounded preceding and 1 preceding), 0) as start from page_rows) select source_id, md5(string_agg(text, chr(12) order by page)) as text_md5, string_agg(cast(start as bigint), ',' order by page) as page_starts from s group by 1",
     "page_chunks": f"""with recursive {q.with_views('page_rows')}, ps as (select *, coalesce(sum(length(text) + 1) over (partition by source_id order by page rows between unbounded preceding and 1 preceding), 0) as base from page_rows), pg as (select concat(source_id, '|', page) as source_id, text from page_rows), {_PAGED},

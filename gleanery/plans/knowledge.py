@@ -326,16 +326,18 @@ _R = f"""with {q.with_views('resp_chunks', 'responses')},
   r2 as (select source_id, inner_text, regexp_extract(inner_text, '(?s)(\\{{.*\\}})', 1) as body from r1),
   r3 as (select source_id, case when inner_text = '' then 'empty' when body = '' then 'error' when json_valid(body) then 'ok' else 'recovered' end as status, case when json_valid(body) then body else concat(body, ']}}') end as j from r2),
   r4 as (select * from r3 where status in ('ok', 'recovered')),
-  cand as (select source_id, status, 0 as idx, json_extract_string(j, '$.wiki_candidates[0].title') as title, json_extract_string(j, '$.wiki_candidates[0].type') as type, json_extract_string(j, '$.wiki_candidates[0].confidence') as confidence,
-    json_extract_string(j, '$.wiki_candidates[0].summary_ko') as summary, json_extract_string(j, '$.wiki_candidates[0].reuse_reason') as reuse, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].chunk_id')) as chunk_id, trim(json_extract_string(j, '$.wiki_candidates[0].evidence[0].quote')) as quote from r4),
-  gate as (select c.*, k.text as chunk_text, case when c.chunk_id = '' then 'no_chunk' when k.chunk_id is null then 'forged' when quote = '' then 'no_quote' when length(quote) > 600 then 'long_quote' when not contains(k.text, quote) then 'not_verbatim' else 'bound' end as verdict from cand c left join resp_chunks k on k.source_id = c.source_id and k.chunk_id = c.chunk_id)"""
+  cn as (select source_id, status, cast(i as int) as idx, json_extract(j, concat('$.wiki_candidates[', i, ']')) as cj from r4, unnest(range(0, cast(coalesce(json_array_length(j, '$.wiki_candidates'), 0) as bigint))) as u(i)),
+  cand as (select source_id, status, idx, cj, cj ->> '$.title' as title, cj ->> '$.type' as type, cj ->> '$.confidence' as confidence, cj ->> '$.summary_ko' as summary, cj ->> '$.reuse_reason' as reuse, cj ->> '$.discipline_profile' as profile, cj ->> '$.mapping_reason' as mapping from cn),
+  ev as (select source_id, idx, cast(i as int) as ei, trim(json_extract_string(cj, concat('$.evidence[', i, '].chunk_id'))) as chunk_id, {q.trimmed("json_extract_string(cj, concat('$.evidence[', i, '].quote'))")} as quote from cand, unnest(range(0, cast(coalesce(json_array_length(cj, '$.evidence'), 0) as bigint))) as u(i)),
+  gate as (select e.*, k.text as chunk_text, case when e.chunk_id = '' then 'no_chunk' when k.chunk_id is null then 'forged' when quote = '' then 'no_quote' when length(quote) > 600 then 'long_quote' when not contains(k.text, quote) then 'not_verbatim' else 'bound' end as verdict from ev e left join resp_chunks k on k.source_id = e.source_id and k.chunk_id = e.chunk_id)"""
 _FIELDS = (("title", "title"), ("summary_ko", "summary"), ("reuse_reason", "reuse"))
 _CONTEXT = "regexp_matches(concat_ws(' ', title, summary, reuse, case when kind in (" + ", ".join(f"'{t}'" for t in rs.TYPES) + ") then kind end), '" + "|".join(rs.CONTEXT_MARKERS) + "')"
 _TERM_CASES = ", ".join(f"case when contains(coalesce({c}, ''), '{r[0]}'){f" and not contains({c}, '{r[2]}')" if r[2] else ''}{' and ' + _CONTEXT if r[3] else ''} then 'term {label} {r[0]}' end" for label, c in _FIELDS for r in rs.TERM_RULES)
-_J = f"""{_R}, gk as (select *, case when trim(coalesce(type, '')) = '' then 'other' else trim(type) end as kind from gate),
-  c1 as (select source_id as candidate_id, kind as type, coalesce(title, '') as title, summary, case when verdict = 'bound' then quote else '' end as evidence_text from gk), {mtp._REASON},
-  jd as (select gk.*, list_filter(list_concat([case when trim(coalesce(title, '')) = '' then 'title' end, case when kind not in ({", ".join(f"'{t}'" for t in rs.TYPES)}) then 'type' end, case when confidence is not null and lower(trim(confidence)) not in ('high', 'medium', 'low') then 'confidence' end,
-    case when rs.reason is not null then 'structure' end, case when verdict <> 'bound' then verdict end], [{_TERM_CASES}]), lambda x: x is not null) as violations from gk join rs on rs.candidate_id = gk.source_id)"""
+_J = f"""{_R}, ga as (select source_id, idx, list(distinct verdict) filter (where verdict <> 'bound') as faults, string_agg(quote, chr(10) order by quote) filter (where verdict = 'bound') as quotes from gate group by 1, 2),
+  gk as (select c.*, coalesce(faults, []) as faults, coalesce(quotes, '') as quotes, coalesce(json_array_length(cj, '$.evidence'), 0) as n_ev, concat(c.source_id, '|', c.idx) as key, case when trim(coalesce(type, '')) = '' then 'other' else trim(type) end as kind from cand c left join ga on ga.source_id = c.source_id and ga.idx = c.idx),
+  c1 as (select key as candidate_id, kind as type, coalesce(title, '') as title, summary, quotes as evidence_text from gk), {mtp._REASON},
+  jd as (select gk.*, list_filter(list_concat(list_concat([case when trim(coalesce(title, '')) = '' then 'title' end, case when kind not in ({", ".join(f"'{t}'" for t in rs.TYPES)}) then 'type' end, case when n_ev = 0 then 'evidence' end, case when confidence is not null and lower(trim(confidence)) not in ('high', 'medium', 'low') then 'confidence' end,
+    case when rs.reason is not null then 'structure' end], faults), [{_TERM_CASES}]), lambda x: x is not null) as violations from gk join rs on rs.candidate_id = gk.key)"""
 
 
 def _grams(name: str, table: str, key: str, text: str) -> str:
@@ -396,13 +398,15 @@ ORACLES = {
     "report_export": f"""{_C}, ri as (select source_id, list(title order by title) as items from (select source_id, title from cand qualify row_number() over (partition by source_id order by title) <= 40) x group by 1),
       rk as (select source_id, items, case when length({_REPORT(40)}) <= 48000 then 40 when length({_REPORT(10)}) <= 48000 then 10 when length({_REPORT(3)}) <= 48000 then 3 else 0 end as kept from ri)
       select source_id, cast(kept as bigint) as kept, md5({_REPORT('kept')}) as report_md5 from rk""",
-    "response_parse_status": f"{_R} select source_id, status, cast(case when status in ('ok', 'recovered') then 1 else 0 end as bigint) as n_candidates from r3",
-    "response_failures": f"{_R} select source_id, status as reason from r3 where status in ('empty', 'error')",
-    "importable_candidates": f"{_J} select source_id, 0 as idx, array_to_string(list_sort(violations), ',') as violations, len(violations) = 0 as importable from jd",
-    "merged_candidates": f"{_J} select kind as type, title, count(*) as n_rows, count(distinct source_id) as n_sources, count(distinct (chunk_id, quote)) filter (where verdict = 'bound') as n_evidence, count(distinct (chunk_id, verdict)) filter (where verdict <> 'bound') as n_rejected, coalesce(arg_min(reuse, source_id) filter (where reuse <> ''), '') as reuse_reason from jd group by kind, title, summary",
-    "imported_entries": f"{_J}, sl as (select *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from jd where len(violations) = 0 and verdict = 'bound') select concat(source_id, '-llm-0-', case when slug = '' then 'entry' else slug end) as id, source_id, 'draft' as status, cast(1 as bigint) as n_claims, quote as original_text from sl",
-    "run_report": f"{_J} select concat('response_', status) as measure, count(*) as n from r3 group by 1 union all select 'candidates', count(*) from jd union all select 'importable', count(*) from jd where len(violations) = 0 union all select 'rejected_evidence', count(*) from jd where verdict <> 'bound'",
-    "response_steps": f"{_J}, st as (select unnest([{{'no': 1, 'step': 'discipline_profile', 'status': 'warning'}}, {{'no': 2, 'step': 'reuse_reason', 'status': case when reuse <> '' then 'passed' else 'warning' end}}, {{'no': 3, 'step': 'mapping_reason', 'status': 'warning'}}, {{'no': 4, 'step': 'parse', 'status': 'passed'}}, {{'no': 5, 'step': 'shape_validation', 'status': 'passed'}}, {{'no': 6, 'step': 'chunk_id_binding', 'status': case when verdict = 'bound' then 'passed' else 'blocked' end}}, {{'no': 7, 'step': 'importable', 'status': case when len(violations) = 0 then 'passed' else 'blocked' end}}]) as s from jd) select s.no as no, s.step as step, s.status as status, count(*) as n from st group by 1, 2, 3",
+    "response_parse_status": f"{_R} select source_id, status, cast(case when status in ('ok', 'recovered') then coalesce(json_array_length(j, '$.wiki_candidates'), 0) else 0 end as bigint) as n_candidates from r3",
+    "response_failures": f"{_R} select source_id, case when status in ('empty', 'error') then status else 'shape' end as reason from r3 where status in ('empty', 'error') or json_extract(j, '$.wiki_candidates') is null",
+    "importable_candidates": f"{_J} select source_id, idx, array_to_string(list_sort(violations), ',') as violations, len(violations) = 0 as importable from jd",
+    "merged_candidates": f"""{_J}, me as (select kind, title, summary, count(distinct (chunk_id, quote)) filter (where verdict = 'bound') as ne, count(distinct (chunk_id, verdict)) filter (where verdict <> 'bound') as nr from jd join gate on gate.source_id = jd.source_id and gate.idx = jd.idx group by 1, 2, 3),
+      mo as (select kind, title, summary, count(*) as n_rows, count(distinct source_id) as n_sources, coalesce(arg_min(reuse, (source_id, idx)) filter (where reuse <> ''), '') as reuse_reason from jd group by 1, 2, 3)
+      select mo.kind as type, mo.title, n_rows, n_sources, coalesce(ne, 0) as n_evidence, coalesce(nr, 0) as n_rejected, reuse_reason from mo left join me on me.kind = mo.kind and me.title is not distinct from mo.title and me.summary is not distinct from mo.summary""",
+    "imported_entries": f"{_J}, sl as (select *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from jd where len(violations) = 0), bo as (select source_id, idx, count(*) as n, arg_min(quote, ei) as quote from gate where verdict = 'bound' group by 1, 2) select concat(sl.source_id, '-llm-', sl.idx, '-', case when slug = '' then 'entry' else slug end) as id, sl.source_id, 'draft' as status, n as n_claims, quote as original_text from sl join bo on bo.source_id = sl.source_id and bo.idx = sl.idx",
+    "run_report": f"{_J} select concat('response_', status) as measure, count(*) as n from r3 group by 1 union all select 'candidates', count(*) from jd union all select 'importable', count(*) from jd where len(violations) = 0 union all select 'rejected_evidence', count(*) from gate where verdict <> 'bound'",
+    "response_steps": f"{_J}, st as (select unnest([{{'no': 1, 'step': 'discipline_profile', 'status': case when coalesce(profile, '') <> '' then 'passed' else 'warning' end}}, {{'no': 2, 'step': 'reuse_reason', 'status': case when reuse <> '' then 'passed' else 'warning' end}}, {{'no': 3, 'step': 'mapping_reason', 'status': case when coalesce(mapping, '') <> '' then 'passed' else 'warning' end}}, {{'no': 4, 'step': 'parse', 'status': case when status in ('ok', 'recovered') then 'passed' else 'blocked' end}}, {{'no': 5, 'step': 'shape_validation', 'status': case when title is not null then 'passed' else 'blocked' end}}, {{'no': 6, 'step': 'chunk_id_binding', 'status': case when len(faults) = 0 then 'passed' else 'blocked' end}}, {{'no': 7, 'step': 'importable', 'status': case when len(violations) = 0 then 'passed' else 'blocked' end}}]) as s from jd) select s.no as no, s.step as step, s.status as status, count(*) as n from st group by 1, 2, 3",
     "bigram_outline_map": f"{_NODE} select candidate_id, coalesce(node_id, '') as node_id, round(coalesce(score, 0.0), 6) as score from c1 left join bn using (candidate_id)",
     "wiki_index": f"{_SAVED}, {_NODE_TAIL}, en2 as (select source_id, node_id, count(*) as n from c9 left join bn using (candidate_id) group by 1, 2) select concat(source_id, '-', coalesce(node_id, 'unclassified')) as id, coalesce(node_id, 'unclassified') as title, 'draft' as status, coalesce(node_id, '') as outline_node_id, n as n_claims from en2",
     "wiki_entries": f"""{_SAVED}, {_NODE_TAIL}, cm as (select c9.candidate_id, c9.source_id, coalesce(node_id, 'unclassified') as node, begin, stop from c9 left join bn using (candidate_id)), sx as (select ct.candidate_id, ct.source_text from ct),
@@ -410,7 +414,7 @@ ORACLES = {
       tt as (select cm.source_id, node, lower(term) as term from cm join tg on tg.candidate_id = cm.candidate_id), tn as (select source_id, node, least(count(distinct term), 24) as n_terms from tt group by 1, 2)
       select concat(cl.source_id, '-', cl.node) as id, cl.node as title, n as n_claims, md5(texts) as claims_md5, coalesce(n_terms, 0) as n_terms from cl left join tn on tn.source_id = cl.source_id and tn.node = cl.node""",
     "json_recovery": f"{_R} select source_id, title, type from cand where status = 'recovered'",
-    "evidence_gate": f"{_R} select source_id, idx, 0 as ei, chunk_id, verdict from gate",
+    "evidence_gate": f"{_R} select source_id, idx, ei, chunk_id, verdict from gate",
     "quarantine_reasons": f"{_R} select verdict, count(*) as n from gate where verdict <> 'bound' group by 1",
     "batch_prefix": f"{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)) select source, coalesce(min(batch) filter (where status <> 'ok'), count(*)) as n_good, coalesce(arg_min(status, batch) filter (where status <> 'ok'), '') as stopped_by from b group by 1",
     "cursor_runs": f"""{_R}, b as (select d.source, row_number() over (partition by d.source order by doc_id) - 1 as batch, status from documents d join r3 on r3.source_id = cast(doc_id as varchar)),
@@ -432,7 +436,7 @@ ORACLES = {
     "entry_links": f"{_LINKS} select src, dst, relation, rationale, valid, known, mutual, decision from lc",
     "dangling_links": f"{_LINKS} select dst, count(*) as n_links, min(src) as first_src from lc where not known group by 1",
     "chunk_store": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS} select c.source_id, count(*) as n_chunks, cast(sum(length(c.text)) as bigint) as n_chars, min(chunk_id) as least_id from c join cue_docs d on d.source_id = c.source_id where d.lang is distinct from 'en' or c.ord = 0 group by 1",
-    "evidence_locators": f"{_R} select source_id, idx, 0 as ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 as bigint) as line from gate where verdict = 'bound'",
+    "evidence_locators": f"{_R} select source_id, idx, ei, cast(strpos(chunk_text, quote) - 1 as bigint) as at, cast(1 + len(regexp_extract_all(substr(chunk_text, 1, strpos(chunk_text, quote) - 1), chr(10))) as bigint) as line from gate where verdict = 'bound'",
     "term_policy": f"select conv_id as id, cast({' + '.join(f'''(contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''})::int''' for r in rs.TERM_RULES)} as bigint) as n_terms, coalesce(array_to_string(list_sort(list_filter([{', '.join(f'''case when contains(t, '{r[0]}'){f" and not contains(t, '{r[2]}')" if r[2] else ''}{" and rel" if r[3] else ''} then '{r[0]}' end''' for r in rs.TERM_RULES)}], lambda x: x is not null)), ','), '') as terms from (select conv_id, string_agg(text, chr(10)) as t, coalesce(bool_or(regexp_matches(text, '{'|'.join(rs.CONTEXT_MARKERS)}')), false) as rel from conversations group by 1) x",
     "batch_prompts": f"with recursive {q.with_views('cue_docs')}, {sgp._CHUNKS}, bb as (select *, cast(floor((row_number() over (partition by source_id order by ord) - 1) / 8) as int) as batch from c), pr as (select source_id, batch, concat('source: ', source_id, chr(10), string_agg(concat('- chunk_id: ', chunk_id, chr(10), '    ', replace(text, chr(10), concat(chr(10), '    '))), chr(10) order by ord), chr(10), 'Answer with one JSON object: wiki_candidates.') as prompt from bb group by 1, 2) select source_id, batch, md5(prompt) as prompt_md5, length(prompt) as n_chars from pr",
     "decision_carry": f"{_C}, {_dec('cand')} select cand.candidate_id, cand.source_id, coalesce(d.decision, 'pending') as decision from cand left join dec d on d.candidate_id = cand.candidate_id",

@@ -94,26 +94,29 @@ select cast(item_id as string) as id, concat_ws(',', cast(item_id + 1 as string)
 
 RESP_CHUNKS = """
 select cast(doc_id as string) as source_id, doc_id, concat('c', cast(doc_id as string)) as chunk_id,
-  translate(coalesce(text, ''), concat(chr(34), chr(92), chr(10), chr(13), chr(9)), '     ') as text
+  translate(coalesce(text, ''), concat(chr(34), chr(92), chr(13), chr(9)), '    ') as text
 from documents
 """
 
+#: One or two candidates a response; evidence from the begin and the middle of the chunk, over line ends, from another source's chunk, or none.
 RESPONSES = f"""
-select source_id, doc_id, case when doc_id % 29 = 3 then '' when doc_id % 31 = 4 then 'There is nothing to report.' else concat(
+select source_id, doc_id, case when doc_id % 29 = 3 then '' when doc_id % 31 = 4 then 'There is nothing to report.' when doc_id % 37 = 5 then '{{"answer":"no list"}}' else concat(
   case when doc_id % 4 = 0 then concat('Here is the result:', chr(10), chr(96), chr(96), chr(96), 'json', chr(10)) else '' end,
-  '{{"wiki_candidates":[{{"title":"', case when doc_id % 11 = 0 then '' else substr(text, 1, 30) end,
+  '{{"wiki_candidates":[{{"title":"', case when doc_id % 11 = 0 then '' else replace(substr(text, 1, 30), chr(10), ' ') end,
   '","type":"', case doc_id % 13 when 0 then 'essay' when 1 then 'method' else 'argument' end,
   '","confidence":"', case when doc_id % 17 = 0 then 'certain' else 'high' end,
   '","summary_ko":"', case doc_id % 6 when 0 then 'a note' when 1 then '하나님의 은혜' when 2 then '은혜' else 'the text argues this' end, '","reuse_reason":"', case when doc_id % 5 = 1 then 'again' else '' end, '","evidence":[{{"chunk_id":"',
-  case when doc_id % 5 = 0 then concat('forged', cast(doc_id as string)) else chunk_id end, '","quote":"',
-  case doc_id % 7 when 1 then '' when 2 then concat(substr(text, 1, 40), ' paraphrased') when 3 then substr(text, 1, 700) else substr(text, 1, 60) end,
-  '","translation_ko":"t"}}]}}',
+  case when doc_id % 5 = 0 then concat('forged', cast(doc_id as string)) when doc_id % 23 = 1 then '' else chunk_id end, '","quote":"',
+  case doc_id % 7 when 1 then '' when 2 then concat(replace(substr(text, 1, 40), chr(10), concat(chr(92), 'n')), ' paraphrased') when 3 then replace(substr(text, 1, 700), chr(10), concat(chr(92), 'n')) else replace(substr(text, 1, 60), chr(10), concat(chr(92), 'n')) end,
+  '","translation_ko":"t"}}', case when doc_id % 3 = 0 then concat(',{{"chunk_id":"', chunk_id, '","quote":"', replace(substr(text, 20 + cast(doc_id % 40 as int), 150), chr(10), concat(chr(92), 'n')), '"}}') else '' end,
+  case when doc_id % 9 = 0 then concat(',{{"chunk_id":"c', cast(doc_id + 1 as string), '","quote":"elsewhere"}}') else '' end, ']}}',
+  case when doc_id % 4 = 1 then concat(',{{', case when doc_id % 12 = 1 then '' else concat('"title":"second ', replace(substr(text, 1, 20), chr(10), ' '), '",') end, '"type":"concept","summary_ko":"it claims what follows","discipline_profile":"history","mapping_reason":"fits","evidence":[',
+    case when doc_id % 8 = 5 then '' else concat('{{"chunk_id":" ', chunk_id, ' ","quote":" ', replace(substr(text, 30, 200), chr(10), concat(chr(92), 'n')), '"}}') end, ']}}') else '' end,
   case when doc_id % 19 = 0 then ',{{"title":"cut' else ']}}' end,
   case when doc_id % 4 = 0 then concat(chr(10), chr(96), chr(96), chr(96)) else '' end) end as raw
 from ({RESP_CHUNKS}) x
 """
 
-
 #: Three candidates a response, the second with braces, brackets and escapes in its text, and six kinds of damage.
 DAMAGED = """
 select cast(doc_id as string) as source_id, doc_id, t, concat('{"note":"a {brace","wiki_candidates" : [', a, case doc_id % 6 when 2 then concat(', {"title":', b) when 3 then concat(', "stray" ', b) else concat(', ', b) end,
