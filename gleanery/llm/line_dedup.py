@@ -36,6 +36,8 @@ called.  Equal lines are told by a 64-bit hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,10 @@ TAU = 2
 #: Code points of the shorter line for each edit.
 PER_EDIT = 5
 TILE = 128
-#: Lines of a segment that are compared with each other.
-GROUP = 128
+#: Classes of lines of a segment that are compared with each other.
+GROUP = 512
+#: Rows of a line, in the mean, up to which groups are refined.
+COPIES = 64
 _BLOCK = 32
 _ENDS = " \t\r\x0b\x0c"
 
@@ -72,12 +76,13 @@ def _open(one: bool, **values) -> Column:
     return F.struct(F.lit(one).alias("one"), *[F.coalesce(values.get(n, F.lit(0)), F.lit(0)).cast("int").alias(n) for n in _OPEN[1:]])
 
 
-def _entry(hashed: list[Column], index: Column, left: Column) -> Column:
-    return F.struct(F.shiftleft(F.xxhash64(*hashed), 1).bitwiseOR(index.cast("long")).alias("e"), left.alias("open"))
+def _entry(hashed: list[Column], index: Column, left: Column | None) -> Column:
+    e = F.shiftleft(F.xxhash64(*hashed), 1).bitwiseOR(index.cast("long"))
+    return e if left is None else F.struct(e.alias("e"), left.alias("open"))
 
 
-def _segments(line: Column) -> Column:
-    """The keys of a line, an array of (e, open); those with an odd number are indexed, the others only probe.
+def _segments(line: Column, opened: bool = True) -> Column:
+    """The keys of a line, an array of (e, open), or of e alone; those with an odd number are indexed, the others only probe.
 
     A key behind the begin of the middle segment is met by one at it, of whichever class its line is.
     """
@@ -87,20 +92,20 @@ def _segments(line: Column) -> Column:
     def keys(cls: Column, indexed: bool, few: bool) -> list[Column]:
         """Of the class's layout: two segments if it has ``few``, else three."""
         width = F.lit(2) if few else F.floor(cls / 3).cast("int")
-        entry = lambda i, at, n, index, left: _entry([cls, F.lit(i), F.substring(line, at, n)], F.lit(int(index)), left)
+        entry = lambda i, at, n, index, left: _entry([cls, F.lit(i), F.substring(line, at, n)], F.lit(int(index)), left if opened else None)
         rest = F.lit(0) if few else cls - width
         ends = [entry(1, F.lit(1), width, indexed, _open(True, c=width, y=rest)), entry(3, size - width + 1, width, indexed, _open(True, d=width, y=rest))]
         middle = lambda s: _open(False, b=width + s, x=width, c=2 * width - 1 + s, y=cls - 2 * width)
         return ends if few else [*ends, entry(2, width + 1, width - 1, True, middle(0)), entry(2, width + 2, width - 1, False, middle(1))]
 
-    none = F.filter(F.array(*keys(own, True, True)), lambda x: F.lit(False))
+    none = F.slice(F.array(*keys(own, True, True)), 1, 0) if opened else F.array().cast("array<bigint>")
     beyond = F.when(above > own, F.array(*keys(above, False, False))).otherwise(none)
     short = F.concat(F.array(*keys(own, True, True)), beyond)
     return F.when(size < PER_EDIT, none).when(size < 2 * PER_EDIT, short).when(above > own, F.concat(F.array(*keys(own, True, False)), beyond)).otherwise(F.array(*keys(own, True, False)))
 
 
 def _segment_keys(line: Column) -> Column:
-    return F.transform(_segments(line), lambda s: s["e"])
+    return _segments(line, False)
 
 
 def _finer(left_first: Column) -> Column:
@@ -120,49 +125,57 @@ def _finer(left_first: Column) -> Column:
     side = lambda **new: _open(False, **(kept | new))
     left = F.array(entry(4, cut(o["a"], g), index, side(a=o["a"] + g, x=o["x"] - g)), entry(5, cut(o["b"] - g, g), index, side(b=o["b"] - g, x=o["x"] - g)))
     right = F.array(entry(6, cut(o["c"], h), index, side(c=o["c"] + h, y=o["y"] - h)), entry(7, cut(size - o["d"] - h, h), index, side(d=o["d"] + h, y=o["y"] - h)))
-    none = F.filter(left, lambda x: F.lit(False))
+    none = F.slice(left, 1, 0)
     both = F.when((g >= 1) & ((h < 1) | left_first), left).when(h >= 1, right).otherwise(none)
     return F.when(o["one"] & (w >= 2), whole).when(o["one"], none).otherwise(both)
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """(k, n) of the keys of rows (k, lid, index) that different lines share, one of them indexed."""
-    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.count("*").alias("n"))
-    return shared.where("least <> most and index").select("k", "n")
+    """(k, n, kinds) of the keys of rows (k, lid, root, index) that lines of different classes share, one of them indexed; ``kinds`` is about the number of classes."""
+    shared = keyed.groupBy("k").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("index").alias("index"), F.count("*").alias("n"), F.approx_count_distinct("root").alias("kinds"))
+    return shared.where("least <> most and index").select("k", "n", "kinds")
+
 
+def refined(hot: DataFrame, texts: DataFrame, group: int) -> DataFrame:
+    """Rows (k, lid, root, index, n) in groups of up to ``group`` classes, or such as can't be refined, instead of ``hot`` (k, lid, root, index, n) from larger ones.
 
-def refined(members: DataFrame, texts: DataFrame, group: int) -> DataFrame:
-    """Rows (k, lid, index, n) in groups of up to ``group``, or such as can't be refined, instead of ``members`` (k, lid, index, n)."""
-    done = members.where(F.col("n") <= group)
-    hot = members.where(F.col("n") > group)
-    if hot.isEmpty():
-        return members
+    A group goes on being refined while not all of its keys are met by all of its lines, and until a line has some
+    ``COPIES`` rows; beyond that, which is a matter of cost alone, it stays as it is.
+    """
     lines_ = texts.dropDuplicates(["lid"]).join(hot.select("lid").distinct(), "lid", "left_semi")
     segments = F.explode(F.filter(_segments(F.col("line")), lambda s: F.shiftright(s["e"], 1) == F.col("k"))).alias("s")
-    hot = hot.join(lines_, "lid").select("k", "lid", "n", "line", segments).select("k", "lid", "n", "line", (F.col("s.e") % 2 != 0).alias("index"), "s.open")
+    hot = hot.join(lines_, "lid").select("k", "lid", "root", "n", "line", segments).select("k", "lid", "root", "n", "line", (F.col("s.e") % 2 != 0).alias("index"), "s.open")
     hot = checkpoint(hot)
+    most, out, done = COPIES * hot.count(), ["k", "lid", "root", "index", "n"], []
     while not hot.isEmpty():
         # of two open parts, the one that more lines differ in
         o = F.col("open")
         parts = hot.where(~o["one"]).groupBy("k").agg(F.approx_count_distinct(F.expr("substring(line, open.a + 1, open.b - open.a)")).alias("l"), F.approx_count_distinct(F.expr("substring(line, open.c + 1, length(line) - open.d - open.c)")).alias("r"))
         finer = checkpoint(hot.join(parts.select("k", (F.col("l") >= F.col("r")).alias("left_first")), "k", "left").withColumn("ks", _finer(F.coalesce("left_first", F.lit(True)))))
-        done = done.unionByName(finer.where(F.size("ks") == 0).select("k", "lid", "index", "n"))
-        keyed = finer.select("lid", "line", F.explode("ks").alias("s")).select("lid", "line", F.shiftright("s.e", 1).alias("k"), (F.col("s.e") % 2 != 0).alias("index"), "s.open")
+        keyed = finer.select(F.col("k").alias("of"), F.col("n").alias("of_n"), "lid", "root", "line", F.size("ks").alias("n_ks"), F.explode("ks").alias("s")).select("of", "of_n", "n_ks", "lid", "root", "line", F.shiftright("s.e", 1).alias("k"), (F.col("s.e") % 2 != 0).alias("index"), "s.open")
         keyed = checkpoint(keyed.join(_groups(keyed), "k"))
-        done = done.unionByName(keyed.where(F.col("n") <= group).select("k", "lid", "index", "n"))
-        hot = keyed.where(F.col("n") > group)
-    return checkpoint(done)
-
-
-def with_bits(rows: DataFrame) -> DataFrame:
-    """``rows`` with 256 bits in four longs: one for the hash of each bigram of ``line``. An edit changes four at most."""
+        # a group whose lines meet in nearly all their keys again is dense: more keys would only copy it
+        met = checkpoint(keyed.groupBy("of").agg((F.sum("n") >= F.first("of_n") * F.first("of_n") * F.first("n_ks") * 0.7).alias("dense")))
+        if keyed.count() > most:
+            done.append(hot.select(*out))
+            break
+        judged = finer.join(met.where("dense").select(F.col("of").alias("k"), "dense"), "k", "left")
+        done.append(checkpoint(judged.where((F.size("ks") == 0) | F.col("dense")).select(*out)))
+        keyed = checkpoint(keyed.join(met.where("not dense").select("of"), "of", "left_semi"))
+        done.append(keyed.where(F.col("kinds") <= group).select(*out))
+        hot = checkpoint(keyed.where(F.col("kinds") > group).select(*out, "line", "open"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def with_bits(rows: DataFrame, large: Column) -> DataFrame:
+    """``rows`` with 256 bits in four longs, one for the hash of each bigram of ``line``; null if not ``large``. An edit changes four at most."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(2))))
     one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
 
     def bits(i: int) -> Column:
-        return F.aggregate("grams", F.lit(0).cast("long"), lambda s, h: F.when(h.bitwiseAND(F.lit(3)) == i, s.bitwiseOR(one(h))).otherwise(s)).alias(f"s{i}")
+        return F.when(large, F.aggregate("grams", F.lit(0).cast("long"), lambda s, h: F.when(h.bitwiseAND(F.lit(3)) == i, s.bitwiseOR(one(h))).otherwise(s))).alias(f"s{i}")
 
-    return rows.withColumn("grams", grams).select(*rows.columns, *map(bits, range(4)))
+    return rows.withColumn("grams", F.when(large, grams)).select(*rows.columns, *map(bits, range(4)))
 
 
 def _same_ends() -> tuple[Column, Column]:
@@ -215,29 +228,36 @@ def prepared(texts: DataFrame) -> DataFrame:
 
 def near_links(keyed: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b): links between different lines that connect all linked ones, from their keys (lid, ks) and texts (lid, line); repeats may come."""
-    keyed = keyed.select("lid", F.explode("ks").alias("e")).select("lid", F.shiftright("e", 1).alias("k"), (F.col("e") % 2 != 0).alias("index"))
-    shared = checkpoint(_groups(keyed))
-    members = may_be_in(keyed, "k", shared.drop("n"), shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
+    keyed = keyed.select("lid", F.col("lid").alias("root"), F.explode("ks").alias("e")).select("lid", "root", F.shiftright("e", 1).alias("k"), (F.col("e") % 2 != 0).alias("index"))
+    shared = keyed.groupBy("k").agg(F.min("lid").alias("least"), F.max("lid").alias("most"), F.max("index").alias("index"), F.count("*").alias("n_rows"))
+    shared = checkpoint(shared.where("least <> most and index").select("k", "n_rows"))
+    members = may_be_in(keyed, "k", shared.drop("n_rows"), shared.count()).groupBy("k", "lid").agg(F.max("index").alias("index")).join(shared, "k")
     members = checkpoint(members)
-    texts = checkpoint(may_be_in(texts, "lid", members, members.count()))
-    members = refined(members, texts, GROUP).groupBy("k", "lid").agg(F.max("index").alias("index"), F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
-    members = members.withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
-    own = with_bits(prepared(texts.dropDuplicates(["lid"])))
-    rows = checkpoint(own.join(members, "lid"))
+    texts = may_be_in(texts, "lid", members, members.count()).dropDuplicates(["lid"])
+    rows = prepared(checkpoint(texts.join(members, "lid").select("k", "lid", "index", "n_rows", "line")))
 
+    tiled = lambda df: df.withColumn("tiles", F.ceil(F.col("n_rows") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
     one = F.struct("lid", "line", "n", "head", "tail")
     order = Window.partitionBy("k", "tile").orderBy("line")
-    beside = rows.select(F.lag(one).over(order).alias("x"), one.alias("y")).where("x is not null and x.lid <> y.lid")
+    beside = tiled(rows).select(F.lag(one).over(order).alias("x"), one.alias("y")).where("x is not null and x.lid <> y.lid")
     first = within(beside, tau).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
     known = components(first)
 
     rows = rows.join(known.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    large = checkpoint(rows.where(F.col("n_rows") > GROUP).groupBy("k").agg(F.approx_count_distinct("root").alias("kinds")).where(F.col("kinds") > GROUP).select("k"))
+    if not large.isEmpty():
+        hot = checkpoint(rows.join(large, "k", "left_semi"))
+        finer = refined(hot.select("k", "lid", "root", "index", F.col("n_rows").alias("n")), hot.select("lid", "line"), GROUP).groupBy("k", "lid").agg(F.max("index").alias("index"), F.max("n").cast("long").alias("n_rows"))
+        whole = hot.drop("k", "index", "n_rows").dropDuplicates(["lid"])
+        rows = rows.join(large, "k", "left_anti").unionByName(whole.join(finer, "lid").select(*rows.columns))
+    rows = with_bits(tiled(rows), F.col("n_rows") > TILE)
     one = F.struct("lid", "line", "n", "head", "tail", "root", "s0", "s1", "s2", "s3")
     spread = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     index = rows.where("index").select("k", F.col("tile").alias("i"), spread.alias("j"), one.alias("x"))
     probe = rows.select(F.col("k").alias("pk"), spread.alias("pi"), F.col("tile").alias("pj"), one.alias("y"), F.col("index").alias("both"))
     same = (F.col("k") == F.col("pk")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
-    alike = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(4)) + f" <= {4 * tau}"
+    alike = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(4))
+    alike = f"coalesce({alike} <= {4 * tau}, true)"
     # two indexed lines meet twice: one of the meetings is enough
     pairs = index.join(probe, same & F.expr(f"abs(x.n - y.n) <= {tau} and (not both or x.lid < y.lid) and x.root <> y.root and {alike} and {_verified(tau)}"))
     return first.unionByName(pairs.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))).unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
