@@ -6,6 +6,8 @@ for an ASCII word boundary, ``\\z`` for the end of the text.
 
 from __future__ import annotations
 
+import re
+
 #: White space beyond the ASCII kind, as code points or ranges of them.
 _WIDE = ["00A0", "1680", "2000-200A", "2028", "2029", "202F", "205F", "3000", "FEFF"]
 _JAVA_SPACE = r"\t\n\x0B\f\r " + "".join("-".join(f"\\u{c}" for c in w.split("-")) for w in _WIDE)
@@ -25,7 +27,7 @@ def _spelled(pattern: str, space: str, before: str, after: str) -> str:
             out.append(f"[^{space}]")
         elif two == r"\b":
             head = pattern[:i]
-            out.append(before if not head or head.endswith("(?i)") or head[-1] in "(|" else after)
+            out.append(before if not head or head.endswith("(?i)") or head[-1] in "(|" or re.search(r"\(\?=\[[^\]]*\]\)\Z", head) else after)
         elif two[:1] == "\\":
             out.append(two)
         else:
@@ -36,10 +38,79 @@ def _spelled(pattern: str, space: str, before: str, after: str) -> str:
     return "".join(out)
 
 
+def _closing(pattern: str, i: int) -> int:
+    """Where the group that opens at ``i`` closes."""
+    depth, inside = 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return i
+        i += 1
+    return len(pattern)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The parts between bars that stand in no group."""
+    parts, begin, i, inside = [], 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            i = _closing(pattern, i)
+        elif c == "|":
+            parts.append(pattern[begin:i])
+            begin = i + 1
+        i += 1
+    return [*parts, pattern[begin:]]
+
+
+def _firsts(part: str) -> set[str] | None:
+    """The letters that a match of ``part`` may begin with; None if that isn't told by letters alone."""
+    part = part.removeprefix("(?i)").removeprefix(r"\b")
+    if part.startswith("(?:"):
+        end = _closing(part, 0)
+        sets = [_firsts(x) for x in _alternatives(part[3:end])]
+        rest = part[end + 1 :]
+        found = None if None in sets else set().union(*sets)
+    elif part[:1].isalpha() or part[:1] > "\x7f":
+        found, rest = {part[0]}, part[1:]
+    else:
+        return None
+    if found is None or rest[:1] in ("*", "{"):
+        return None
+    if rest[:1] == "?":
+        after = _firsts(rest[1:])
+        return None if after is None else found | after
+    return found
+
+
+def _hinted(pattern: str) -> str:
+    """Each alternative behind a look at its first letter, so that nothing else is tried where no match can begin."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    parts = _alternatives(pattern.removeprefix(flag))
+    heads = [_firsts(p) for p in parts]
+    return flag + "|".join(p if h is None else f"(?=[{''.join(sorted(h))}]){p}" for p, h in zip(parts, heads))
+
+
 def java(pattern: str) -> str:
     for script in ("Greek", "Hebrew"):
         pattern = pattern.replace(rf"\p{{{script}}}", rf"\p{{Is{script}}}")
-    return _spelled(pattern, _JAVA_SPACE, _JAVA_BEFORE, _JAVA_AFTER)
+    return _spelled(_hinted(pattern), _JAVA_SPACE, _JAVA_BEFORE, _JAVA_AFTER)
 
 
 def re2(pattern: str) -> str:
