@@ -11,7 +11,8 @@ large source is never in one task.
 
 Cases: a null or empty text has size 0 and is taken 0 times; null is a source of
 its own, the last; repeated rows are sampled one by one; an empty table gives
-no rows; reruns agree.
+no rows; reruns agree; a text of any length counts whole; other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations

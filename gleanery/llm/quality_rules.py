@@ -6,7 +6,8 @@ so a new policy, or an ablation of one, reads the ledger and never the texts.
 All of it is per-row expressions: nothing is shuffled but the ablation counts.
 
 Cases: a null or empty text has no words and fails ``few_words``; repeated rows
-give repeated rows; an empty table gives an empty ledger.  Repeats inside a
+give repeated rows; an empty table gives an empty ledger; a text of any
+length is judged whole; other columns aren't read, whatever their names.  Repeats inside a
 document are found by 64-bit hashes of its own 5-word windows.
 """
 
@@ -114,6 +115,12 @@ def op8_quality_rules(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def policy_ablation(docs: DataFrame) -> DataFrame:
+    """For each policy and rule: documents that fail it, and those that only it rejects."""
+    kept_ledger = ledger(docs)
+    return ablation(kept_ledger, BASE).unionByName(ablation(kept_ledger, STRICT))
+
+
 OP8_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 w as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from d),
@@ -127,3 +134,8 @@ m as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(l
 b as (select *, {" + ".join(f"case when {sql} then {BIT[name]} else 0 end" for name, sql in RULES.items())} as bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & {BASE.mask}) <> 0 as base_failed, (bits & {STRICT.mask}) = 0 as kept, cast(bits as bigint) as fail_bits from b
 """
+
+_POLICIES = ", ".join(f"('{p.version}', '{r}', {BIT[r]}, {p.mask})" for p in (BASE, STRICT) for r in p.rules)
+ABLATION_SQL = OP8_SQL.rsplit("select doc_id, n_words", 1)[0] + f"""select policy, rule, cast(count(*) filter (where (bits & bit) <> 0) as bigint) as n_failed, cast(count(*) filter (where (bits & mask) = bit) as bigint) as n_only
+from b, (values {_POLICIES}) v(policy, rule, bit, mask) group by policy, rule
+"""

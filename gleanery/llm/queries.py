@@ -16,6 +16,7 @@ QUERIES = {
     "op6_mix": lambda spark, sf: mixing.op6_mix(load(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.op9_decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op8_quality_rules": lambda spark, sf: quality_rules.op8_quality_rules(load(spark, sf, "documents")),
+    "policy_ablation": lambda spark, sf: quality_rules.policy_ablation(load(spark, sf, "documents")),
     "op11_token_files": lambda spark, sf: token_files.op11_token_files(load(spark, sf, "documents")),
     "op12_lexical_search": lambda spark, sf: lexical_search.op12_lexical_search(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
     "op13_fill_in_middle": lambda spark, sf: fill_in_middle.op13_fill_in_middle(load(spark, sf, "documents")),
@@ -26,6 +27,7 @@ ORACLES = {
     "op6_mix": mixing.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "policy_ablation": quality_rules.ABLATION_SQL,
     "op12_lexical_search": lexical_search.OP12_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }

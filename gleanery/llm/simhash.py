@@ -13,7 +13,9 @@ link between different fingerprints is lost for the components.
 
 Cases: null and empty texts have fingerprint zero, linked like any other;
 fewer than three words are one shingle; repeated rows each give their row and
-share a component; rows without an id don't lower a component's id.
+share a component; rows without an id don't lower a component's id;
+a text of any length is one row's fingerprint; an empty table gives no rows; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

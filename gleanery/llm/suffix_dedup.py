@@ -16,7 +16,8 @@ documents and spread by hash.  Both ways are exact and neither drops a window.
 
 Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` stay
 whole; repeated rows are occurrences of each other and each give their row; an
-empty table gives no rows.
+empty table gives no rows; long texts are worked on in overlapping pieces; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
