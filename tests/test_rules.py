@@ -40,6 +40,20 @@ def test_white_space_and_cuts(spark):
     assert column(spark, ["a \t b\n\n c "], tx.clean_evidence) == ["a b\nc"]
 
 
+def test_white_space_of_all_kinds(spark):
+    texts = ["", " ", "a b", "\ta\u00a0 b\n\nc\u3000", "é b", "é\u2003b", "a  b", "x\r\ny\ufeff", None]
+    for new, old in ((tx.one_line, lambda c: F.trim(F.regexp_replace(c, java(r"\s+"), " "))), (tx.trimmed, lambda c: F.regexp_replace(c, java(r"\A\s+|\s+\z"), ""))):
+        assert column(spark, texts, new) == column(spark, texts, old)
+    assert column(spark, ["\ufeffa\r\nb\rc", "a\nb", None], tx.normalized) == ["a\nb\nc", "a\nb", None]
+
+
+def test_lines_are_judged_once(spark):
+    """The rules on lines stand in the plan once, and noise is tried only in texts with a cue."""
+    docs = spark.createDataFrame([("s", "Concept: A - b")], "source_id string, text string")
+    plan = cd.raw_plain_candidates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "Union" not in plan
+
+
 def test_patterns_compile(spark):
     patterns = [lx.CLAIM_EN, lx.CLAIM_KO, *lx.CLAIM_GUARDS, *[p for ps in lx.DEMOTIONS.values() for p in ps], lx.METHOD_CUE, lx.GREEK, lx.HEBREW, lx.SECTION_MARKER, lx.SENTENCE_END, *lx.QUOTES]
     assert spark.range(1).select(*[F.lit("x").rlike(java(p)).alias(f"c{i}") for i, p in enumerate(patterns)]).count() == 1

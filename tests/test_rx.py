@@ -33,3 +33,18 @@ def test_what_is_hinted():
     assert rx._hinted(r"(?i)\b(?:alpha|beta)s?\b") == r"(?i)(?=[ab])\b(?:alpha|beta)s?\b"
     assert rx._hinted(r"(?:the\s+)?(?:x|y(?:z)?)|[A-Z]b|\d") == r"(?=[txy])(?:the\s+)?(?:x|y(?:z)?)|[A-Z]b|\d"
     assert rx._hinted(r"a*b") == "a*b" and rx._hinted(r"a?b") == "(?=[ab])a?b" and rx._hinted(r"(?:\A|\n)x") == r"(?:\A|\n)x"
+
+
+@pytest.mark.parametrize("pattern", [p for p in PATTERNS + lx.QUOTES + [lx.BIB_PUBLISHER, lx.BIB_YEAR, lx.BIB_AUTHOR] if rx.needles(p)])
+def test_each_match_holds_a_needle(pattern):
+    plain, rng = _python(pattern, False), random.Random(2)
+    for _ in range(500):
+        text = rng.choice(["", " ", "-"]).join(rng.choices(WORDS + [w.upper() for w in WORDS] + ["p.", "see", '"', "“x”", "9"], k=9))
+        assert not plain.search(text) or any(n in text.lower() for n in rx.needles(pattern))
+
+
+def test_what_needles_are_told():
+    assert rx.needles(r"(?i)\b(?:the\s+)?(?:author|authors|text)\s+shows?\b") == ("show",)
+    assert rx.needles(r"\.{4,}\s*\d") == ("....",) and rx.needles(r"방법론?|(?:x|\d)y+") == ("y", "방법")
+    assert rx.needles(r"\p{Greek}[\p{Greek}]+") == () and rx.needles(r"a?|b") == () and rx.needles(r"\Aalpha") == ()
+    assert rx.needles(r"[“\x22][^”]{4,}") == ('"', "“") and rx.needles(r"x(?=y)z") in (("x",), ("z",))
