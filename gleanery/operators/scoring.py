@@ -14,7 +14,9 @@ def scored(candidates: DataFrame, chunks: DataFrame, keywords: DataFrame, entrie
     """The candidates' (with ``page``, if they have one) sub-scores, total, structural reason, recommended action, target and rationale."""
     rows = tx.with_structural_reason(candidates, "type", "title", F.col("summary"), F.col("evidence_text"))
     rows = rows.withColumn("_hay", F.concat_ws("\n", "title", "summary", "evidence_text"))
-    rows = rows.withColumn("kinds", tx.demotion_kinds("_hay")).withColumn("claims", tx.claim_count("_hay")).withColumn("bounded", tx.has(F.col("_hay"), lx.BOUNDARY_SCORE_CUE))
+    # tried only in texts that RE2 lets them match
+    rows = rows.withColumns({"_noisy": tx.may_have("_hay", *tx.NOISE), "_claiming": tx.may_have("_hay", *tx.CLAIMS), "_bounded": tx.may_have("_hay", lx.BOUNDARY_SCORE_CUE)})
+    rows = rows.withColumn("kinds", F.when(F.col("_noisy"), tx.demotion_kinds("_hay")).otherwise(F.array().cast("array<string>"))).withColumn("claims", F.when(F.col("_claiming"), tx.claim_count("_hay")).otherwise(0)).withColumn("bounded", F.col("_bounded") & tx.has(F.col("_hay"), lx.BOUNDARY_SCORE_CUE))
     rows = rows.join(mt.schema_fit(candidates, keywords, table), "candidate_id").join(mt.anchored(candidates, chunks).drop("source_id"), "candidate_id").join(mt.best_entry(candidates, entries, table), "candidate_id")
     flag = lambda c: F.when(c, 1).otherwise(0)
     held, many = F.col("how") == "inside", F.size("refs") >= 2
