@@ -70,3 +70,19 @@ def test_no_nodes_and_no_rows_dealt(spark):
     assert mt.best_node(asked, node.limit(0), mt.synonyms(spark)).collect() == [("a", None, 0.0)]
     best = mt.best_node(asked, node, mt.synonyms(spark))
     assert best.collect() == [("a", "n", 1.0)] and "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listed_entries_agree_with_joined_ones(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["record", "of", "intertextuality", "상호텍스트성", "typology", "예표론", "ab", "criticism", "source", "éa", "日本", *[f"w{j}x" for j in range(12)]]
+    text = lambda most: " ".join(rng.choices(words, k=rng.randint(0, most)))
+    found = [(f"c{i}", text(4), text(9), [text(2) for _ in range(rng.randint(0, 9))]) for i in range(120)] + [("none", None, None, None), ("wide", " ".join(words), "", []), ("z", "zzz", "", [])]
+    entries = [(40 - j, f"e{j}", text(3), text(9), [text(2)], text(12) if j % 4 == 0 else "") for j in range(40)] + [(50, "null", None, None, None, None), (51, "all", " ".join(words[:11]), "", [], "")]
+    left = spark.createDataFrame(found, "candidate_id string, title string, summary string, original_terms array<string>")
+    right = spark.createDataFrame(entries, "ord int, id string, title string, summary string, tags array<string>, related string")
+    best = lambda: {r.candidate_id: (r.target, r.sim) for r in mt.best_entry(left, right, mt.synonyms(spark)).collect()}
+    listed = mt.best_entry(left, right, mt.synonyms(spark))
+    assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()
+    got = best()
+    monkeypatch.setattr(lists, "NODES", 0)
+    assert got == best() and len({t for t, _ in got.values()}) > 10 and got["z"] == got["none"] == (None, 0.0)
